@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 # Confidence threshold for a mention to count for an author (strict ``>``).
 DEFAULT_MIN_RHO = 0.20
 
+# derived tables every scoring reads; materialised together by persist_derived()
+CORE_DERIVED = ("doc_entities", "author_entity", "papers", "popularity", "total")
+
 
 @dataclass
 class Corpus:
@@ -39,11 +42,21 @@ class Corpus:
             self._memo[key] = build()
         return self._memo[key]
 
-    def persist_derived(self, *keys: str) -> None:
-        """Persist memoised derived tables that several jobs will read."""
-        for k in keys or list(self._memo):
-            if k in self._memo:
-                self._memo[k] = self._memo[k].persist()
+    def persist_derived(self, *keys: str) -> "Corpus":
+        """Persist the derived tables several jobs read (memory, spilling to disk).
+
+        Persisted blocks lost with an executor are recomputed from lineage.
+        Without arguments the core tables are built and persisted.
+        """
+        keys = keys or CORE_DERIVED
+        for k in keys:
+            getattr(self, k)()  # build (memoised)
+            self._memo[k] = self._memo[k].persist()
+        return self
+
+    def unpersist(self) -> None:
+        for df in self._memo.values():
+            df.unpersist()
 
     # shortcuts to the most used derived tables --------------------------
     def doc_entities(self) -> DataFrame:

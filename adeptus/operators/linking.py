@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adeptus.session import checked_broadcast
+from adeptus.session import Bounded, checked_broadcast
 
 DEFAULT_MAX_NGRAM = 4
 _WORD = re.compile(r"\w+")
@@ -121,11 +121,15 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
 
 
 def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_col: str = "text",
-                  max_ngram: int = DEFAULT_MAX_NGRAM, min_link_prob: float = 0.0) -> DataFrame:
+                  max_ngram: int = DEFAULT_MAX_NGRAM, min_link_prob: float = 0.0,
+                  small_side: str | None = "gazetteer") -> DataFrame:
     """M1: annotations (id, begin, end, entity, rho) of every text.
 
     ``id`` is returned as a string.  Overlapping spans that are not nested
     are both kept; a span inside a longer matched span is dropped.
+    ``small_side``: which join side to broadcast after a count proves it
+    small -- ``"gazetteer"`` for a corpus of texts, ``"texts"`` for a batch
+    of short queries, None to leave the choice to the planner / AQE.
     """
     gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
     # one sense per surface: highest commonness, then entity name
@@ -134,7 +138,12 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
                           F.struct("commonness", F.col("entity").alias("e"))).alias("s"))
             .select("surface", F.col("s.entity").alias("entity"), F.col("s.link_prob").alias("rho")))
     grams = ngrams(tokenize(texts, id_col, text_col), max_ngram)
-    matched = grams.join(checked_broadcast(best), "surface")
+    if small_side == "gazetteer":
+        matched = grams.join(checked_broadcast(best), "surface")
+    elif small_side == "texts":
+        matched = Bounded(grams).hint().join(best, "surface")
+    else:
+        matched = grams.join(best, "surface")
     # sub-spans strictly inside each matched span
     m = F.col("n")
     sub = (matched.select("id", "i", "n")
@@ -156,7 +165,7 @@ def annotations_array(annotations: DataFrame) -> DataFrame:
 
 def query_entities(queries: DataFrame, gazetteer: DataFrame, max_ngram: int = DEFAULT_MAX_NGRAM) -> DataFrame:
     """Distinct (query_id, entity) found by linking each query text."""
-    ann = link_entities(queries, gazetteer, "query_id", "text", max_ngram)
+    ann = link_entities(queries, gazetteer, "query_id", "text", max_ngram, small_side="texts")
     return ann.select(F.col("id").alias("query_id"), "entity").distinct()
 
 

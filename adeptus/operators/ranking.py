@@ -20,9 +20,11 @@ def attach_names(scores: DataFrame, authors: DataFrame) -> DataFrame:
     return scores.join(authors.select("author_id", "name"), "author_id", "left")
 
 
-def top_k(df: DataFrame, k: int, partition: str = "query_id",
-          order=(F.desc("score"), F.asc("author_id")), rank_col: str = "rank") -> DataFrame:
-    """Keep the first k rows of each partition in the given order, with their rank."""
+def top_k(df: DataFrame, k: int, partition: str = "query_id", order=None,
+          rank_col: str = "rank") -> DataFrame:
+    """Keep the first k rows of each partition in the given order (default:
+    score desc, author_id asc), with their rank."""
+    order = order if order is not None else (F.desc("score"), F.asc("author_id"))
     w = Window.partitionBy(partition).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= F.lit(int(k)))
 
@@ -67,10 +69,14 @@ def author_profile_top(corpus: Corpus, k: int = 50) -> DataFrame:
                       years_text.alias("years_text"))
 
 
-def trec_run_lines(run: DataFrame, run_name_col: str = "scoring") -> DataFrame:
-    """``qid 0 author 0 score runname`` lines (one column ``value``)."""
+def trec_run_lines(run: DataFrame, run_name_col: str = "scoring", score_format: str = "%.6f") -> DataFrame:
+    """``qid 0 author 0 score runname`` lines (one column ``value``).
+
+    The score is printed with a fixed format (default 6 decimals).
+    """
     return run.select(F.concat_ws(" ", "query_id", F.lit("0"), "author_id", F.lit("0"),
-                                  F.col("score").cast("string"), F.col(run_name_col)).alias("value"))
+                                  F.format_string(score_format, F.col("score")),
+                                  F.col(run_name_col)).alias("value"))
 
 
 def query_entity_lines(query_entities: DataFrame) -> DataFrame:

@@ -32,14 +32,19 @@ def _rel_expr(a: str, b: str, both: str, n: str):
             .otherwise(F.when(num == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
 
 
-def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame) -> DataFrame:
+def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame, small: bool | None = None) -> DataFrame:
     """Oriented relatedness rows (source, other, rel) for every entity that
     co-occurs in a document with a source entity (source != other).
 
-    ``sources``: DataFrame with an ``entity`` column (e.g. query entities).
+    ``sources``: DataFrame with an ``entity`` column (e.g. query entities);
+    ``small``: caller's proof that it may be broadcast (None: count it).
     """
     de = corpus.doc_entities().select("document_id", "entity")
-    src = checked_broadcast(sources.select("entity").distinct())
+    src = sources.select("entity").distinct()
+    if small is None:
+        src = checked_broadcast(src)
+    elif small:
+        src = F.broadcast(src)
     src_docs = de.join(src, "entity").select("document_id", F.col("entity").alias("source"))
     co = (src_docs.join(de.withColumnRenamed("entity", "other"), "document_id")
           .where(F.col("source") != F.col("other"))
@@ -72,7 +77,8 @@ def needed_pairs(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     The product is per query over the union of candidates' entities, which
     is bounded by query entities x entity vocabulary.
     """
-    qe = checked_broadcast(query_entities.select("query_id", "entity").distinct())
+    from adeptus.operators.scoring import query_side
+    qe = query_side(query_entities).hint()
     ae = corpus.author_entity().select("author_id", "entity")
     cands = ae.join(qe, "entity").select("query_id", "author_id").distinct()
     cand_entities = (cands.join(ae, "author_id").select("query_id", F.col("entity").alias("other"))

@@ -13,19 +13,37 @@ final ``groupBy(query_id, author_id)`` aggregates map-side first.
 
 from __future__ import annotations
 
+import math
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
-from adeptus.session import checked_broadcast
+from adeptus.session import Bounded
 
 # Fixed parameters of the relatedness scoring (values from the reference).
 RELATEDNESS_ALPHA = 1e-5
 RELATEDNESS_X = 10.0
 
 
+_QUERY_SIDES: "weakref.WeakKeyDictionary[DataFrame, Bounded]" = weakref.WeakKeyDictionary()
+
+
+def query_side(query_entities: DataFrame) -> Bounded:
+    """Distinct (query_id, entity), persisted and counted once per input DataFrame.
+
+    The count is the size proof for broadcasting the query side and every
+    table derived from it with no more rows (weights, norms, counts).
+    """
+    b = _QUERY_SIDES.get(query_entities)
+    if b is None:
+        b = Bounded(query_entities.select("query_id", "entity").distinct())
+        _QUERY_SIDES[query_entities] = b
+    return b
+
+
 def author_profiles(corpus: Corpus) -> DataFrame:
     """E1 for all authors: per (author, entity) ef, iaf, ef*iaf, max_rho, years.
 
@@ -58,10 +76,9 @@ def query_entity_counts(query_entities: DataFrame) -> DataFrame:
 
 def query_weights(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     """``qw(e) = (1/|Q|) * ln(N / pop(e))`` for query entities known to the corpus."""
-    qe = query_entities.select("query_id", "entity").distinct()
-    qe_b = checked_broadcast(qe)
-    counts = query_entity_counts(qe)
-    return (corpus.popularity().join(qe_b, "entity")
+    side = query_side(query_entities)
+    counts = side.hint(query_entity_counts(side.df))
+    return (corpus.popularity().join(side.hint(), "entity")
             .join(counts, "query_id")
             .crossJoin(F.broadcast(corpus.total()))
             .select("query_id", "entity",
@@ -71,8 +88,8 @@ def query_weights(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
 
 def citing_authors(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     """Distinct (query, author) with a confident mention of a query entity."""
-    qe = checked_broadcast(query_entities.select("query_id", "entity").distinct())
-    return corpus.author_entity().join(qe, "entity").select("query_id", "author_id").distinct()
+    side = query_side(query_entities)
+    return corpus.author_entity().join(side.hint(), "entity").select("query_id", "author_id").distinct()
 
 
 def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
@@ -89,7 +106,8 @@ def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     Candidates are exactly the authors with a confident mention of a known
     query entity, i.e. the rows of the profile ⋈ query-weight join.
     """
-    qw = checked_broadcast(query_weights(corpus, query_entities))
+    side = query_side(query_entities)
+    qw = side.hint(query_weights(corpus, query_entities))  # rows <= query entities
     joined = author_profiles(corpus).join(qw, "entity")
     sums = (joined.groupBy("query_id", "author_id")
             .agg(F.sum(F.col("ef_iaf") * F.col("qw")).alias("dot"),
@@ -99,7 +117,7 @@ def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     qnorm = qw.groupBy("query_id").agg(F.sum("qw").alias("qw_sum"))
     denom = F.sqrt(F.col("efiaf_sum")) * F.sqrt(F.col("qw_sum"))
     return (sums.join(author_norms(corpus), "author_id")
-            .join(F.broadcast(qnorm), "query_id")
+            .join(side.hint(qnorm), "query_id")
             .select("query_id", "author_id",
                     F.coalesce(F.try_divide(F.col("dot"), denom), F.lit(0.0)).alias("cossim_efiaf"),
                     "efiaf", "eciaf", "log_ec_ef_iaf"))
@@ -141,12 +159,12 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
     """
     from adeptus.operators.relatedness import cooccurrence_relatedness
 
-    qe = query_entities.select("query_id", "entity").distinct()
-    qe_b = checked_broadcast(qe)
-    counts = query_entity_counts(qe)
+    side = query_side(query_entities)
+    qe, qe_b = side.df, side.hint()
+    counts = side.hint(query_entity_counts(qe))
     sources = qe.select("entity").distinct()
     if relatedness is None:
-        relatedness = cooccurrence_relatedness(corpus, sources)
+        relatedness = cooccurrence_relatedness(corpus, sources, small=side.small)
     rel = (relatedness.select("source", "other", "rel")
            .join(sources.withColumnRenamed("entity", "source"), "source", "left_semi")
            .where(F.col("source") != F.col("other"))
@@ -156,7 +174,7 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
         "author_id", "entity", (F.col("author_freq") * F.col("max_rho")).alias("w"))
     wsum = ae.groupBy("author_id").agg(F.sum("w").alias("W"))
     cands = ae.join(qe_b, "entity").select("query_id", "author_id").distinct()
-    ln1a = float(__import__("math").log1p(alpha))
+    ln1a = math.log1p(alpha)
     term = F.ln(F.lit(1.0) - F.pow(F.col("rel"), F.lit(x)) + F.lit(alpha)) - F.lit(ln1a)
     pairs = (qe_b.withColumnRenamed("entity", "source").join(rel, "source")
              .join(ae.withColumnRenamed("entity", "other"), "other")
@@ -168,7 +186,7 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
              .select("query_id", "author_id",
                      F.pow(F.least(F.greatest(gap, F.lit(0.0)), F.lit(1.0)), F.lit(1.0 / x)).alias("t")))
     return (per_q.groupBy("query_id", "author_id").agg(F.sum("t").alias("t_sum"))
-            .join(F.broadcast(counts), "query_id")
+            .join(counts, "query_id")
             .select("query_id", "author_id",
                     (F.col("t_sum") / F.col("n_query_entities")).alias("score")))
 

@@ -91,8 +91,37 @@ rel AS (
 ORACLE: dict[str, str] = {}
 
 
+def _r6(text: str) -> str:
+    """Rewrite every ``round(X, 6)`` as ``(floor((X) * 1e6 + 0.5) / 1e6)`` (see queries.r6)."""
+    out, i = [], 0
+    while True:
+        j = text.find("round(", i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        if j > 0 and (text[j - 1].isalnum() or text[j - 1] == "_"):
+            out.append(text[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            ch = text[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = text[j + 6:k]
+        head, sep, digits = inner.rpartition(",")
+        if sep and digits.strip() == "6":
+            out.append(text[i:j] + f"(floor(({_r6(head)}) * 1e6 + 0.5) / 1e6)")
+        else:
+            out.append(text[i:j] + "round(" + _r6(inner) + ")")
+        i = k + 1
+
+
 def sql(name: str, body: str) -> None:
-    ORACLE[name] = FIX + body
+    ORACLE[name] = _r6(FIX + body)
 
 
 # ---------------------------------------------------------------- D: stats
@@ -268,3 +297,157 @@ SELECT author_id, rank, entity, round(freq_pct, 6) AS freq_pct, round(importance
                             ', ' ORDER BY year)
           FROM strong_year sy WHERE sy.author_id = prof.author_id AND sy.entity = prof.entity) AS years_text
   FROM prof) WHERE rank <= 50""")
+
+# --------------------------------------------------------- 2.L evaluation
+CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
+SUCCESS = (1, 5, 10)
+RECALL_POINTS = tuple(i / 10.0 for i in range(11))
+
+_EVAL = """,
+qrels AS (
+  SELECT t.query_id, CAST(u.o_custkey AS VARCHAR) AS author_id,
+         CAST(CASE WHEN u.units >= 100 THEN 2 WHEN u.units >= 50 THEN 1 ELSE 0 END AS INTEGER) AS rel
+  FROM (SELECT p_name, o_custkey, sum(l_quantity) AS units
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+        GROUP BY p_name, o_custkey) u
+  JOIN topics t ON t.text = u.p_name),
+run AS (SELECT query_id, author_id, eciaf AS score FROM scores),
+rr AS (
+  SELECT * FROM (
+    SELECT query_id, author_id, score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, author_id DESC) AS rank
+    FROM run) WHERE rank <= 1000),
+qs AS (
+  SELECT query_id, count(*) FILTER (WHERE rel >= 1) AS num_rel, count(*) FILTER (WHERE rel < 1) AS num_nonrel
+  FROM qrels GROUP BY query_id),
+cj AS (
+  SELECT r.query_id, r.author_id, r.rank, q.rel,
+         CASE WHEN q.rel >= 1 THEN 1 ELSE 0 END AS is_rel,
+         coalesce(s.num_rel, 0) AS num_rel, coalesce(s.num_nonrel, 0) AS num_nonrel,
+         sum(CASE WHEN q.rel >= 1 THEN 1 ELSE 0 END) OVER w AS cum_rel,
+         sum(CASE WHEN q.rel IS NOT NULL AND q.rel < 1 THEN 1 ELSE 0 END) OVER w AS cum_nonrel
+  FROM rr r LEFT JOIN qrels q USING (query_id, author_id) LEFT JOIN qs s USING (query_id)
+  WINDOW w AS (PARTITION BY r.query_id ORDER BY r.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+idcg AS (
+  SELECT query_id, sum(rel / log2(irank + 1)) AS idcg,
+         {idcg_k}
+  FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, author_id) AS irank
+        FROM qrels WHERE rel > 0) GROUP BY query_id),
+pq AS (
+  SELECT query_id, count(*) AS num_ret, max(num_rel) AS num_rel, sum(is_rel) AS num_rel_ret,
+         sum(CASE WHEN is_rel = 1 THEN cum_rel / rank ELSE 0.0 END) AS ap_sum,
+         sum(CASE WHEN rank <= num_rel THEN is_rel ELSE 0 END) AS rprec_hits,
+         min(CASE WHEN is_rel = 1 THEN rank END) AS first_rel,
+         sum(CASE WHEN is_rel = 1 THEN
+               CASE WHEN least(num_rel, num_nonrel) > 0
+                    THEN 1.0 - least(cum_nonrel, num_rel) / least(num_rel, num_nonrel) ELSE 1.0 END
+             ELSE 0.0 END) AS bpref_sum,
+         sum((CASE WHEN rel > 0 THEN CAST(rel AS DOUBLE) ELSE 0.0 END) / log2(rank + 1)) AS dcg,
+         {hits_k},
+         {iprec_i}
+  FROM cj GROUP BY query_id),
+m AS (
+  SELECT pq.query_id, num_ret, num_rel, num_rel_ret,
+         CASE WHEN num_rel > 0 THEN ap_sum / num_rel ELSE 0.0 END AS map,
+         ln(greatest(CASE WHEN num_rel > 0 THEN ap_sum / num_rel ELSE 0.0 END, 1e-5)) AS gm_map,
+         CASE WHEN num_rel > 0 THEN rprec_hits / num_rel ELSE 0.0 END AS Rprec,
+         coalesce(1.0 / first_rel, 0.0) AS recip_rank,
+         CASE WHEN num_rel > 0 THEN bpref_sum / num_rel ELSE 0.0 END AS bpref,
+         CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg,
+         CASE WHEN num_ret > 0 THEN num_rel_ret / num_ret ELSE 0.0 END AS set_P,
+         CASE WHEN num_rel > 0 THEN num_rel_ret / num_rel ELSE 0.0 END AS set_recall,
+         {final_k},
+         {final_iprec}
+  FROM pq LEFT JOIN idcg USING (query_id)),
+mf AS (
+  SELECT m.*, CASE WHEN set_P + set_recall > 0 THEN 2 * set_P * set_recall / (set_P + set_recall) ELSE 0.0 END AS set_F
+  FROM m)
+"""
+
+
+def _fmt_eval() -> str:
+    idcg_k = ",\n         ".join(
+        f"sum(CASE WHEN irank <= {k} THEN rel / log2(irank + 1) ELSE 0.0 END) AS idcg_{k}" for k in CUTOFFS)
+    hits_k = ",\n         ".join(
+        [f"sum(CASE WHEN rank <= {k} THEN is_rel ELSE 0 END) AS hits_{k}" for k in sorted(set(CUTOFFS) | set(SUCCESS))]
+        + [f"sum(CASE WHEN rank <= {k} THEN (CASE WHEN rel > 0 THEN CAST(rel AS DOUBLE) ELSE 0.0 END) / log2(rank + 1) "
+           f"ELSE 0.0 END) AS dcg_{k}" for k in CUTOFFS])
+    iprec_i = ",\n         ".join(
+        f"max(CASE WHEN is_rel = 1 AND (CASE WHEN num_rel > 0 THEN cum_rel / num_rel ELSE 0.0 END) >= {p!r} - 1e-12 "
+        f"THEN cum_rel / rank END) AS iprec_{i}" for i, p in enumerate(RECALL_POINTS))
+    final = []
+    for k in CUTOFFS:
+        final.append(f"hits_{k} / {float(k)!r} AS P_{k}")
+        final.append(f"CASE WHEN num_rel > 0 THEN hits_{k} / num_rel ELSE 0.0 END AS recall_{k}")
+        final.append(f"CASE WHEN coalesce(idcg_{k}, 0) > 0 THEN dcg_{k} / idcg_{k} ELSE 0.0 END AS ndcg_cut_{k}")
+    for k in SUCCESS:
+        final.append(f"CASE WHEN hits_{k} > 0 THEN 1.0 ELSE 0.0 END AS success_{k}")
+    final_iprec = ",\n         ".join(
+        f'coalesce(iprec_{i}, 0.0) AS "iprec_at_recall_{p:.2f}"'.replace(f"{p:.2f}", f"{p:.2f}".replace(".", "_"))
+        for i, p in enumerate(RECALL_POINTS))
+    return _EVAL.format(idcg_k=idcg_k, hits_k=hits_k, iprec_i=iprec_i,
+                        final_k=",\n         ".join(final), final_iprec=final_iprec)
+
+
+EVAL = _fmt_eval()
+_INT_MEASURES = {"num_ret", "num_rel", "num_rel_ret"}
+EVAL_GROUPS = {
+    "eval_counts": ["num_ret", "num_rel", "num_rel_ret"],
+    "eval_precision_at_k": [f"P_{k}" for k in CUTOFFS] + [f"recall_{k}" for k in CUTOFFS]
+    + [f"success_{k}" for k in SUCCESS],
+    "eval_map": ["map", "gm_map"],
+    "eval_rprec_rr": ["Rprec", "recip_rank"],
+    "eval_bpref": ["bpref"],
+    "eval_iprec": [f"iprec_at_recall_{p:.2f}".replace(".", "_") for p in RECALL_POINTS],
+    "eval_ndcg": ["ndcg"] + [f"ndcg_cut_{k}" for k in CUTOFFS],
+    "eval_set_measures": ["set_P", "set_recall", "set_F"],
+}
+for _q, _cols in EVAL_GROUPS.items():
+    sel = ", ".join(f'"{c}"' if c in _INT_MEASURES else f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in _cols)
+    sql(_q, EVAL + f"SELECT query_id, {sel} FROM mf")
+
+_ALL_MEASURES = [c for cols in EVAL_GROUPS.values() for c in cols]
+
+
+def _trec_all() -> str:
+    unions = "\n  UNION ALL ".join(
+        f"SELECT query_id, '{c[:-3] + '.' + c[-2:] if c.startswith('iprec') else c}' AS measure, "
+        f"floor(CAST(\"{c}\" AS DOUBLE) * 1e6 + 0.5) AS units FROM mf" for c in _ALL_MEASURES)
+    return EVAL + f""",
+long AS (
+  SELECT * FROM ({unions}) WHERE query_id IN (SELECT query_id FROM qs WHERE num_rel > 0)),
+judged AS (SELECT CAST(count(*) AS DOUBLE) AS nj, CAST(sum(num_rel) AS DOUBLE) AS total_rel FROM qs WHERE num_rel > 0),
+summ AS (
+  SELECT measure, 'all' AS query_id,
+         floor(1e6 * CASE WHEN measure IN ('num_ret', 'num_rel_ret') THEN sum(units) / 1e6
+              WHEN measure = 'num_rel' THEN any_value(total_rel)
+              WHEN measure = 'gm_map' THEN exp((sum(units) / 1e6 + (any_value(nj) - count(*)) * ln(1e-5)) / any_value(nj))
+              ELSE sum(units) / (any_value(nj) * 1e6) END + 0.5) / 1e6 AS value
+  FROM long, judged GROUP BY measure)
+SELECT measure, query_id, units / 1e6 AS value FROM long
+UNION ALL SELECT measure, query_id, value FROM summ"""
+
+
+sql("trec_eval_all", _trec_all())
+
+sql("ranked_run", EVAL + "SELECT query_id, author_id, rank, round(score, 6) AS score FROM rr")
+
+sql("topics_with_qrels", EVAL + """
+SELECT DISTINCT q.query_id, t.text FROM qrels q JOIN topics t USING (query_id)""")
+
+sql("trec_run_lines", EVAL + """
+SELECT query_id || ' 0 ' || author_id || ' 0 ' || printf('%.6f', round(score, 6)) || ' eciaf_score' AS value FROM rr""")
+
+sql("query_entity_list", """
+SELECT query_id, string_agg(entity, '; ' ORDER BY entity) AS entities FROM qe GROUP BY query_id""")
+
+sql("batch_topics", EVAL + """,
+jt AS (SELECT DISTINCT query_id FROM qrels)
+SELECT query_id, author_id, scoring, round(score, 6) AS score FROM (
+  SELECT s.query_id, s.author_id, 'eciaf_score' AS scoring, s.eciaf AS score,
+         row_number() OVER (PARTITION BY s.query_id ORDER BY s.eciaf DESC, s.author_id) AS rk
+  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)
+  UNION ALL
+  SELECT s.query_id, s.author_id, 'efiaf_score', s.efiaf,
+         row_number() OVER (PARTITION BY s.query_id ORDER BY s.efiaf DESC, s.author_id)
+  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)) WHERE rk <= 1000""")

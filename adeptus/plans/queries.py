@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from adeptus import fixtures as fx
 from adeptus.corpus import Corpus
-from adeptus.operators import linking, ranking, relatedness, scoring, stats
+from adeptus.operators import evaluate, linking, ranking, relatedness, scoring, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,7 +26,14 @@ def query(fn):
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round half up to 6 decimals as floor(x * 1e6 + 0.5) / 1e6.
+
+    The same expression is used by the oracle SQL: IEEE operations give the
+    same double in both engines, whereas each engine's round() treats exact
+    ties differently.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
 def _years_text(col="years"):
@@ -34,14 +41,28 @@ def _years_text(col="years"):
                                                               y["n"].cast("string"))), ",")
 
 
+_CORPORA: dict = {}
+
+
 def _corpus(spark, sf) -> Corpus:
-    return fx.corpus(spark, sf)
+    """The fixture corpus of ``sf`` with its derived tables persisted.
+
+    Built once per session and directory, like the reference's database:
+    every query of the session reads the same materialised derived tables.
+    """
+    key = (id(spark), sf)
+    if key not in _CORPORA:
+        _CORPORA[key] = fx.corpus(spark, sf).persist_derived()
+    return _CORPORA[key]
 
 
 def _query_entities(spark, sf, corpus: Corpus) -> DataFrame:
     """Topics linked to entities with a gazetteer of the corpus's entity titles."""
-    gaz = linking.title_gazetteer(corpus.mentions.select("entity").distinct())
-    return linking.query_entities(fx.topics(spark, sf), gaz)
+    key = ("qe", id(spark), sf)
+    if key not in _CORPORA:
+        gaz = linking.title_gazetteer(corpus.popularity().select("entity"))
+        _CORPORA[key] = linking.query_entities(fx.topics(spark, sf), gaz)
+    return _CORPORA[key]
 
 
 # ---------------------------------------------------------------- D: stats
@@ -245,3 +266,88 @@ def author_profile_top50(spark, sf):
     return p.select("author_id", "rank", "entity", r6("freq_pct").alias("freq_pct"),
                     r6("importance").alias("importance"), r6("rarity").alias("rarity"),
                     r6("max_rho").alias("max_rho"), "years_text")
+
+
+# --------------------------------------------------------- 2.L evaluation
+def _run_and_qrels(spark, sf):
+    c = _corpus(spark, sf)
+    key = ("run", id(spark), sf)
+    if key not in _CORPORA:
+        run = scoring.eciaf_score(c, _query_entities(spark, sf, c))
+        _CORPORA[key] = (run.persist(), fx.qrels(spark, sf).persist())
+    return _CORPORA[key]
+
+
+@query
+def topics_with_qrels(spark, sf):
+    """Judged topics (distinct) joined to their text; unknown topics dropped."""
+    qrels = fx.qrels(spark, sf)
+    return qrels.select("query_id").distinct().join(fx.topics(spark, sf), "query_id")
+
+
+@query
+def ranked_run(spark, sf):
+    run, _ = _run_and_qrels(spark, sf)
+    return ranking.ranked_run(run).select("query_id", "author_id", "rank", r6("score").alias("score"))
+
+
+def _measures(spark, sf):
+    run, qrels = _run_and_qrels(spark, sf)
+    return evaluate.per_query_measures(run, qrels)
+
+
+def _measure_query(cols):
+    def fn(spark, sf):
+        m = _measures(spark, sf)
+        return m.select("query_id", *[r6(F.col(c)).alias(c) if c not in _INT_MEASURES else F.col(c)
+                                      for c in cols])
+    return fn
+
+
+_INT_MEASURES = {"num_ret", "num_rel", "num_rel_ret"}
+EVAL_GROUPS = {
+    "eval_counts": ["num_ret", "num_rel", "num_rel_ret"],
+    "eval_precision_at_k": [f"P_{k}" for k in evaluate.CUTOFFS] + [f"recall_{k}" for k in evaluate.CUTOFFS]
+    + [f"success_{k}" for k in evaluate.SUCCESS],
+    "eval_map": ["map", "gm_map"],
+    "eval_rprec_rr": ["Rprec", "recip_rank"],
+    "eval_bpref": ["bpref"],
+    "eval_iprec": [evaluate.iprec_column(p) for p in evaluate.RECALL_POINTS],
+    "eval_ndcg": ["ndcg"] + [f"ndcg_cut_{k}" for k in evaluate.CUTOFFS],
+    "eval_set_measures": ["set_P", "set_recall", "set_F"],
+}
+for _q, _cols in EVAL_GROUPS.items():
+    QUERIES[_q] = _measure_query(_cols)
+
+
+@query
+def trec_eval_all(spark, sf):
+    run, qrels = _run_and_qrels(spark, sf)
+    return evaluate.trec_eval(run, qrels, decimals=6).select("measure", "query_id", "value")
+
+
+@query
+def trec_run_lines(spark, sf):
+    run, _ = _run_and_qrels(spark, sf)
+    ranked = ranking.ranked_run(run).withColumn("score", r6("score"))
+    return ranking.trec_run_lines(ranked.withColumn("scoring", F.lit("eciaf_score")))
+
+
+@query
+def query_entity_list(spark, sf):
+    c = _corpus(spark, sf)
+    return ranking.query_entity_lines(_query_entities(spark, sf, c)).select("query_id", "entities")
+
+
+@query
+def batch_topics(spark, sf):
+    """Judged topics (C8) x two scorings, one plan per scoring, unioned."""
+    c = _corpus(spark, sf)
+    topics = topics_with_qrels(spark, sf)
+    gaz = linking.title_gazetteer(c.popularity().select("entity"))
+    qe = linking.query_entities(topics, gaz)
+    outs = []
+    for name in ("eciaf_score", "efiaf_score"):
+        s = ranking.find_experts(c, qe, name, k=1000, sort=False)
+        outs.append(s.select("query_id", "author_id", F.lit(name).alias("scoring"), r6("score").alias("score")))
+    return outs[0].unionByName(outs[1])

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "adeptus",
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -64,3 +65,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+class Bounded:
+    """A persisted DataFrame with a proven row bound.
+
+    ``small`` says whether the count is within ``max_rows``; tables derived
+    from it with at most as many rows (e.g. an inner join on a unique key)
+    may use :meth:`hint` on themselves too.  Persisted (not checkpointed
+    locally), so lost blocks are recomputed from lineage.
+    """
+
+    def __init__(self, df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
+        self.df = df.persist()
+        self.rows = self.df.count()
+        self.small = self.rows <= max_rows
+
+    def hint(self, df: DataFrame | None = None) -> DataFrame:
+        d = self.df if df is None else df
+        return F.broadcast(d) if self.small else d
