@@ -12,7 +12,7 @@ FIX = """
 WITH authors AS (
   SELECT CAST(c_custkey AS VARCHAR) AS author_id, c_name AS name, n_name AS institution
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
-documents AS (
+fx_documents AS (
   SELECT CAST(o_orderkey AS BIGINT) AS document_id, CAST(o_custkey AS VARCHAR) AS author_id,
          CAST(year(o_orderdate) AS INTEGER) AS year
   FROM orders),
@@ -39,13 +39,20 @@ ae AS (
   SELECT author_id, entity, CAST(sum(docs) AS BIGINT) AS author_freq, max(mr) AS max_rho,
          string_agg(CAST(year AS VARCHAR) || 'x' || CAST(n AS VARCHAR), ',' ORDER BY year) AS years
   FROM strong_year GROUP BY author_id, entity),
+paper_rows AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS author_id, a.name, a.institution,
+         CAST(year(o.o_orderdate) AS INTEGER) AS year, d.text AS abstract,
+         CASE WHEN o.o_orderstatus = 'F' THEN '10.0/' || CAST(o.o_orderkey AS VARCHAR) END AS doi,
+         o.o_orderkey AS ordinal, 'orders-' || o.o_orderstatus AS input_file
+  FROM orders o JOIN authors a ON CAST(o.o_custkey AS VARCHAR) = a.author_id
+       LEFT JOIN documents d ON o.o_orderkey = d.doc_id),
 papers AS (
   SELECT author_id, count(DISTINCT document_id) AS papers FROM mentions
   WHERE entity IS NOT NULL GROUP BY author_id),
 pop AS (
   SELECT entity, count(DISTINCT document_id) AS entity_popularity FROM mentions
   WHERE entity IS NOT NULL GROUP BY entity),
-total AS (SELECT count(*) AS total_papers FROM documents),
+total AS (SELECT count(*) AS total_papers FROM fx_documents),
 prof AS (
   SELECT ae.author_id, ae.entity, ae.author_freq, p.papers, pp.entity_popularity, t.total_papers,
          ae.author_freq / p.papers AS ef,
@@ -142,7 +149,7 @@ GROUP BY m.entity, a.institution""")
 
 sql("institution_document_count", """
 SELECT a.institution, count(*) AS document_count
-FROM documents d JOIN authors a USING (author_id) GROUP BY a.institution""")
+FROM fx_documents d JOIN authors a USING (author_id) GROUP BY a.institution""")
 
 sql("institution_author_count", """
 SELECT institution, count(*) AS authors FROM authors GROUP BY institution""")
@@ -451,3 +458,128 @@ SELECT query_id, author_id, scoring, round(score, 6) AS score FROM (
   SELECT s.query_id, s.author_id, 'efiaf_score', s.efiaf,
          row_number() OVER (PARTITION BY s.query_id ORDER BY s.efiaf DESC, s.author_id)
   FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)) WHERE rk <= 1000""")
+
+# ------------------------------------------------- text path (documents table)
+_WS = "[ \\t\\n\\x0B\\f\\r]"  # the reference's whitespace class
+
+sql("text_snippets", f"""
+SELECT doc_id, regexp_replace(CASE WHEN length(text) > 83 THEN substr(text, 1, 80) || '...' ELSE text END,
+                              '{_WS}', ' ', 'g') AS snippet
+FROM documents""")
+
+sql("truncate_texts", "SELECT doc_id, substr(text, 1, 5000) AS text FROM documents")
+
+
+def _lang_sql() -> str:
+    from adeptus.operators.language import STOPWORDS
+    toks = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: length(w) > 0)"
+    rows = []
+    for lang, words in sorted(STOPWORDS.items()):
+        lst = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+        rows.append(f"SELECT doc_id, lang, '{lang}' AS l, len(list_filter(tokens, lambda w: list_contains({lst}, w))) AS n "
+                    f"FROM toks")
+    union = "\n  UNION ALL ".join(rows)
+    return f""",
+toks AS (SELECT doc_id, lang, {toks} AS tokens FROM documents),
+scored AS ({union}),
+best AS (
+  SELECT doc_id, lang, l, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, l) AS rk FROM scored),
+detected AS (
+  SELECT doc_id, lang, CASE WHEN n > 0 THEN l ELSE 'broken' END AS detected FROM best WHERE rk = 1)
+"""
+
+
+_LANG = _lang_sql()
+sql("detect_language", _LANG + "SELECT doc_id, lang, detected FROM detected")
+sql("language_counts", _LANG + "SELECT detected AS lang, count(*) AS documents FROM detected GROUP BY detected")
+sql("route_non_english", _LANG + "SELECT doc_id, detected FROM detected WHERE detected <> 'en'")
+
+# ------------------------------------------------------ ingest path (papers)
+sql("papers_year_filter", """
+SELECT author_id, year, ordinal FROM paper_rows WHERE year BETWEEN 1996 AND 2000""")
+
+sql("legit_documents", """
+SELECT author_id, year, ordinal, length(abstract) AS abstract_chars FROM paper_rows
+WHERE abstract IS NOT NULL AND length(abstract) > 10""")
+
+sql("ingest_summary", """
+SELECT input_file, count(*) AS total,
+       count(*) FILTER (WHERE year BETWEEN 1996 AND 2000) AS in_range,
+       count(*) FILTER (WHERE year BETWEEN 1996 AND 2000 AND abstract IS NOT NULL AND length(abstract) > 10)
+         AS with_abstract,
+       count(*) FILTER (WHERE year BETWEEN 1996 AND 2000 AND NOT coalesce(abstract IS NOT NULL AND length(abstract) > 10, false)
+                        AND doi IS NOT NULL AND length(doi) > 0) AS doi_without_abstract
+FROM paper_rows GROUP BY input_file""")
+
+sql("assign_document_ids", """
+SELECT ordinal, author_id, CAST(row_number() OVER (ORDER BY ordinal) - 1 AS BIGINT) AS document_id
+FROM paper_rows
+WHERE year BETWEEN 1996 AND 2000 AND abstract IS NOT NULL AND length(abstract) > 10""")
+
+sql("authors_first_wins", """
+SELECT author_id, arg_min(name, ordinal) AS name, arg_min(institution, ordinal) AS institution
+FROM paper_rows GROUP BY author_id""")
+
+sql("normalize_author_names", """
+SELECT CAST(c_custkey AS VARCHAR) AS author_id,
+       regexp_replace(
+         array_to_string(list_transform(
+           string_split(trim(regexp_replace(c_mktsegment || ' ' || c_name, '\\s+', ' ', 'g')), ' '),
+           lambda w: upper(w[1]) || lower(w[2:])), ' '),
+         '[^\\p{L}\\p{N}_]+', ' ', 'g') AS name
+FROM customer""")
+
+sql("papers_from_documents", """
+SELECT source AS author_id, 'Name of ' || source AS name, 'TU' AS institution, 2017 AS year,
+       text AS abstract, CAST(NULL AS VARCHAR) AS doi, doc_id AS ordinal
+FROM documents""")
+
+_ASSOC = """,
+assoc AS (
+  SELECT l_orderkey AS document_id, CAST(l_suppkey AS VARCHAR) AS author_id, l_orderkey * 8 + l_linenumber AS line_no
+  FROM lineitem),
+last_wins AS (
+  SELECT document_id, author_id FROM (
+    SELECT document_id, author_id,
+           row_number() OVER (PARTITION BY document_id ORDER BY line_no DESC, author_id DESC) AS rk
+    FROM assoc) WHERE rk = 1)
+"""
+
+sql("document_author_last_wins", _ASSOC + "SELECT document_id, author_id FROM last_wins")
+
+sql("merge_documents_authors", _ASSOC + """
+SELECT l.document_id, l.author_id, length(d.text) AS text_chars
+FROM last_wins l JOIN documents d ON d.doc_id = l.document_id
+WHERE d.text IS NOT NULL AND length(d.text) > 0""")
+
+# ------------------------------------------------------------ B: lookups
+sql("author_ids_by_name", """
+SELECT name, author_id FROM authors
+WHERE name IN (SELECT a.name FROM authors a WHERE a.author_id IN (SELECT author_id FROM fx_documents))""")
+
+sql("document_by_id", """
+SELECT author_id, document_id, year, CAST(NULL AS VARCHAR) AS body FROM fx_documents
+WHERE document_id IN (SELECT l_orderkey FROM lineitem)""")
+
+sql("author_lookup", """
+SELECT author_id, name, institution FROM authors WHERE author_id IN (SELECT author_id FROM papers)""")
+
+sql("institution_papers", """
+SELECT a.author_id, a.institution, d.document_count FROM authors a JOIN (
+  SELECT a2.institution, count(*) AS document_count
+  FROM fx_documents d2 JOIN authors a2 USING (author_id) GROUP BY a2.institution) d USING (institution)""")
+
+sql("author_mentions", """
+SELECT author_id, document_id, year, entity, round(rho, 6) AS rho FROM mentions""")
+
+sql("author_completion", """
+SELECT author_id, name, institution FROM authors WHERE name ILIKE '%customer%00001%'
+ORDER BY author_id LIMIT 50""")
+
+sql("author_card", """
+SELECT ae.author_id, a.name, p.papers AS papers_count,
+       row_number() OVER (PARTITION BY ae.author_id ORDER BY ae.author_freq DESC, ae.entity) AS rank,
+       ae.entity, ae.author_freq AS frequency,
+       (SELECT string_agg(CAST(year AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY year)
+        FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) AS years
+FROM ae JOIN papers p USING (author_id) LEFT JOIN authors a USING (author_id)""")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from adeptus import fixtures as fx
 from adeptus.corpus import Corpus
-from adeptus.operators import evaluate, linking, ranking, relatedness, scoring, stats
+from adeptus.functions import text as text_fn
+from adeptus.operators import evaluate, ingest, language, linking, lookups, ranking, relatedness, scoring, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -351,3 +352,183 @@ def batch_topics(spark, sf):
         s = ranking.find_experts(c, qe, name, k=1000, sort=False)
         outs.append(s.select("query_id", "author_id", F.lit(name).alias("scoring"), r6("score").alias("score")))
     return outs[0].unionByName(outs[1])
+
+
+# ------------------------------------------------- text path (documents table)
+def _docs(spark, sf):
+    return fx.read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+@query
+def text_snippets(spark, sf):
+    return _docs(spark, sf).select("doc_id", text_fn.snippet("text").alias("snippet"))
+
+
+@query
+def truncate_texts(spark, sf):
+    return _docs(spark, sf).select("doc_id", text_fn.truncate("text").alias("text"))
+
+
+@query
+def detect_language(spark, sf):
+    d = language.with_language(_docs(spark, sf))
+    return d.select("doc_id", "lang", "detected")
+
+
+@query
+def language_counts(spark, sf):
+    return language.language_counts(language.with_language(_docs(spark, sf)))
+
+
+@query
+def route_non_english(spark, sf):
+    d = language.route_non_english(language.with_language(_docs(spark, sf)))
+    return d.select("doc_id", "detected")
+
+
+def _anchor_gazetteer(spark, sf):
+    key = ("gaz", id(spark), sf)
+    if key not in _CORPORA:
+        pages = fx.read_table(spark, sf, "pages").select("html")
+        _CORPORA[key] = linking.anchor_gazetteer(pages).persist()
+    return _CORPORA[key]
+
+
+@query
+def anchor_gazetteer(spark, sf):
+    g = _anchor_gazetteer(spark, sf)
+    return g.select("surface", "entity", r6("commonness").alias("commonness"), r6("link_prob").alias("link_prob"))
+
+
+@query
+def link_entities(spark, sf):
+    """M1: every document linked against the anchor gazetteer of the pages."""
+    ann = linking.link_entities(_docs(spark, sf).select("doc_id", "text"), _anchor_gazetteer(spark, sf),
+                                "doc_id", "text", min_link_prob=0.01)
+    return ann.select(F.col("id").cast("long").alias("doc_id"), "begin", "end", "entity", r6("rho").alias("rho"))
+
+
+@query
+def annotated_bodies(spark, sf):
+    """B13 over M1's annotations of every document (documents without any keep their escaped text)."""
+    docs = _docs(spark, sf).select("doc_id", "text")
+    ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text", min_link_prob=0.01)
+    arrays = linking.annotations_array(ann).withColumn("doc_id", F.col("id").cast("long")).drop("id")
+    return (docs.join(arrays, "doc_id", "left")
+            .select("doc_id", text_fn.annotated_text("text", "annotations").alias("body")))
+
+
+# ------------------------------------------------------ ingest path (papers)
+_Y0, _Y1 = 1996, 2000  # year window inside the driver data (the reference uses 2006-2017)
+
+
+@query
+def papers_year_filter(spark, sf):
+    p = ingest.year_filter(fx.papers(spark, sf), _Y0, _Y1)
+    return p.select("author_id", "year", "ordinal")
+
+
+@query
+def legit_documents(spark, sf):
+    p = ingest.accepted(fx.papers(spark, sf))
+    return p.select("author_id", "year", "ordinal", F.length("abstract").alias("abstract_chars"))
+
+
+@query
+def ingest_summary(spark, sf):
+    return ingest.ingest_summary(fx.papers(spark, sf), _Y0, _Y1)
+
+
+@query
+def assign_document_ids(spark, sf):
+    p = ingest.accepted(ingest.year_filter(fx.papers(spark, sf), _Y0, _Y1))
+    return ingest.assign_document_ids(p, bucket_rows=4096).select("ordinal", "author_id", "document_id")
+
+
+@query
+def authors_first_wins(spark, sf):
+    return ingest.authors_first_wins(fx.papers(spark, sf))
+
+
+@query
+def normalize_author_names(spark, sf):
+    c = fx.read_table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("author_id"),
+                    text_fn.normalize_author("c_mktsegment", "c_name").alias("name"))
+
+
+@query
+def papers_from_documents(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.col("source").alias("author_id"), "text")
+    return ingest.papers_from_documents(d)
+
+
+def _assoc(spark, sf):
+    li = fx.read_table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").cast("string").alias("author_id"),
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"))
+
+
+@query
+def document_author_last_wins(spark, sf):
+    return ingest.last_wins(_assoc(spark, sf))
+
+
+@query
+def merge_documents_authors(spark, sf):
+    assoc = ingest.last_wins(_assoc(spark, sf))
+    texts = _docs(spark, sf).select(F.col("doc_id").alias("document_id"), "text")
+    m = ingest.merge_documents_authors(assoc, texts)
+    return m.select("document_id", "author_id", F.length("text").alias("text_chars"))
+
+
+# ------------------------------------------------------------ B: lookups
+@query
+def author_ids_by_name(spark, sf):
+    """B7 batched: ids of every name that has a document (semi-join on requested names)."""
+    c = _corpus(spark, sf)
+    names = c.authors.join(c.documents.select("author_id").distinct(), "author_id", "left_semi").select("name")
+    return c.authors.join(names.distinct(), "name", "left_semi").select("name", "author_id")
+
+
+@query
+def document_by_id(spark, sf):
+    """B8 batched: documents for every id referenced by a line item."""
+    c = _corpus(spark, sf)
+    ids = fx.read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id")).distinct()
+    return c.documents.join(ids, "document_id", "left_semi").select("author_id", "document_id", "year", "body")
+
+
+@query
+def author_lookup(spark, sf):
+    """B9 batched: name and institution of every author with a mention."""
+    c = _corpus(spark, sf)
+    return c.authors.join(c.papers(), "author_id", "left_semi").select("author_id", "name", "institution")
+
+
+@query
+def institution_papers(spark, sf):
+    """Each author's institution with that institution's document count."""
+    c = _corpus(spark, sf)
+    d3 = stats.institution_document_count(c.documents, c.authors)
+    return c.authors.join(d3, "institution").select("author_id", "institution", "document_count")
+
+
+@query
+def author_mentions(spark, sf):
+    """Every mention (year, entity, rho) of every author, no rho filter."""
+    m = fx.mentions(spark, sf)
+    return m.select("author_id", "document_id", "year", "entity", r6("rho").alias("rho"))
+
+
+@query
+def author_completion(spark, sf):
+    """Name completion for the term 'customer 00001' (50 results, by author id)."""
+    return lookups.author_completion(fx.authors(spark, sf), "customer 00001")
+
+
+@query
+def author_card(spark, sf):
+    """D18 in long form: one row per (author, entity) of the author card."""
+    return lookups.author_card(_corpus(spark, sf)).select(
+        "author_id", "name", "papers_count", "rank", "entity", "frequency", "years")

@@ -84,3 +84,14 @@ class Bounded:
     def hint(self, df: DataFrame | None = None) -> DataFrame:
         d = self.df if df is None else df
         return F.broadcast(d) if self.small else d
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster when it has fewer partitions than cores.
+
+    For CPU-heavy per-row work (text) read from few large files.  With many
+    input splits (the large-scale case) the DataFrame is returned unchanged
+    and no shuffle is added.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
