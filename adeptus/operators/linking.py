@@ -7,9 +7,9 @@ Pipeline (Spark jobs; Python only tokenises one text at a time):
 2. n-grams of 1..``max_ngram`` tokens, built JVM-side from the token arrays.
 3. join with a gazetteer ``(surface, entity, commonness, link_prob)``;
    broadcast only after a row count proves it small, else a shuffle join.
-4. each matched span keeps its most common sense; spans strictly inside a
-   longer matched span are dropped (longest match wins) by an anti join
-   against generated sub-spans, so no pairs of spans are ever formed.
+4. each matched span keeps its most common sense; spans inside a longer
+   matched span are dropped (longest match wins) by a running maximum of
+   span ends over each text's matched spans, so no pairs are ever formed.
 5. ``rho`` = link probability of the surface (min_link_prob filters).
 
 Gazetteers come either from entity titles (:func:`title_gazetteer`) or from
@@ -22,11 +22,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adeptus.session import Bounded, checked_broadcast
+from adeptus.session import Bounded, checked_broadcast, spread
 
 DEFAULT_MAX_NGRAM = 4
 _WORD = re.compile(r"\w+")
@@ -137,23 +137,25 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
             .agg(F.max_by(F.struct("entity", "link_prob"),
                           F.struct("commonness", F.col("entity").alias("e"))).alias("s"))
             .select("surface", F.col("s.entity").alias("entity"), F.col("s.link_prob").alias("rho")))
-    grams = ngrams(tokenize(texts, id_col, text_col), max_ngram)
+    # n-grams longer than the longest surface cannot match
+    longest = gaz.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
+    n_max = max(1, min(int(max_ngram), int(longest)))
+    src = texts if small_side == "texts" else spread(texts)
+    grams = ngrams(tokenize(src, id_col, text_col), n_max)
     if small_side == "gazetteer":
         matched = grams.join(checked_broadcast(best), "surface")
     elif small_side == "texts":
         matched = Bounded(grams).hint().join(best, "surface")
     else:
         matched = grams.join(best, "surface")
-    # sub-spans strictly inside each matched span
-    m = F.col("n")
-    sub = (matched.select("id", "i", "n")
-           .select("id", "i", "n", F.explode(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)))).alias("len"))
-           .where(F.col("len") < F.col("n"))
-           .select("id", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - F.col("len"))).alias("si"),
-                   "len")
-           .select("id", F.col("si").alias("i"), F.col("len").alias("n"))
-           .distinct())
-    kept = matched.join(sub, ["id", "i", "n"], "left_anti")
+    # longest match wins: a span is dropped when an earlier-starting (or
+    # same-start, longer) matched span reaches at least as far; one window
+    # per text over its matched spans only
+    w = (Window.partitionBy("id").orderBy(F.col("i").asc(), F.col("n").desc())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max(F.col("i") + F.col("n")).over(w)
+    kept = matched.withColumn("_reach", reach).where(
+        F.col("_reach").isNull() | (F.col("_reach") < F.col("i") + F.col("n")))
     return kept.select("id", "begin", "end", "entity", "rho")
 
 

@@ -13,7 +13,6 @@ final ``groupBy(query_id, author_id)`` aggregates map-side first.
 
 from __future__ import annotations
 
-import math
 import weakref
 from collections.abc import Callable
 
@@ -150,8 +149,9 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
     ``clip(1 - g_q + alpha, 0, 1) ** (1/x)``.  Unrelated pairs (rel = 0)
     contribute the constant ``ln(1 + alpha)``, so with ``W = sum w`` and
     ``D = sum_{rel>0} w * (ln(1 - r^x + alpha) - ln(1 + alpha))``:
-    ``1 - g_q + alpha = -(1 + alpha) * expm1(D / W)``.  Only related pairs are
-    joined (no |Q| x |A| product) and the unrelated case is exactly 0.
+    ``1 - g_q + alpha = -(1 + alpha) * expm1(D / W)``.  Only related pairs
+    whose term is not exactly 0.0 are joined (no |Q| x |A| product) and the
+    unrelated case is exactly 0.
 
     ``relatedness``: oriented rows (source, other, rel) covering the query
     entities as ``source``; default is co-occurrence relatedness (M3) of the
@@ -174,13 +174,21 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
         "author_id", "entity", (F.col("author_freq") * F.col("max_rho")).alias("w"))
     wsum = ae.groupBy("author_id").agg(F.sum("w").alias("W"))
     cands = ae.join(qe_b, "entity").select("query_id", "author_id").distinct()
-    ln1a = math.log1p(alpha)
-    term = F.ln(F.lit(1.0) - F.pow(F.col("rel"), F.lit(x)) + F.lit(alpha)) - F.lit(ln1a)
-    pairs = (qe_b.withColumnRenamed("entity", "source").join(rel, "source")
+    # ln(1 + alpha) with the very same double operations as the term, so an
+    # unrelated pair (r = 0) gives exactly 0.0
+    ln1a = F.ln(F.lit(1.0) - F.pow(F.lit(0.0), F.lit(x)) + F.lit(alpha))
+    # per related pair, the constant part of its term; pairs whose term is
+    # exactly 0.0 in floating point (r^x below the precision of 1 + alpha)
+    # add nothing and are dropped before the author join
+    rel_terms = (rel.select("source", "other",
+                            (F.ln(F.lit(1.0) - F.pow(F.col("rel"), F.lit(x)) + F.lit(alpha)) - ln1a)
+                            .alias("term"))
+                 .where(F.col("term") != 0.0))
+    pairs = (qe_b.withColumnRenamed("entity", "source").join(rel_terms, "source")
              .join(ae.withColumnRenamed("entity", "other"), "other")
              .join(cands, ["query_id", "author_id"], "left_semi")
              .groupBy("query_id", "source", "author_id")
-             .agg(F.sum(F.col("w") * term).alias("D")))
+             .agg(F.sum(F.col("w") * F.col("term")).alias("D")))
     gap = -(1.0 + alpha) * F.expm1(F.col("D") / F.col("W"))
     per_q = (pairs.join(wsum, "author_id")
              .select("query_id", "author_id",
