@@ -1,8 +1,8 @@
 """The store: a folder of Parquet tables replacing the reference's database.
 
-Layout ``<path>/<table>`` for the base tables authors, documents,
-entity_occurrences and the derived tables entities (D2) and institutions
-(D3).  Derived tables are recomputed from the base tables after a write,
+Layout ``<path>/<table>/batch=<id>`` for the base tables authors,
+documents, entity_occurrences and ``<path>/<table>`` for the derived tables
+entities (D2) and institutions (D3).  Derived tables are recomputed from the base tables after a write,
 never updated in place.  The folder should be on shared storage: it is also
 what cuts lineage between the build and the query jobs.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adeptus import schemas
 from adeptus.corpus import Corpus
@@ -20,47 +21,79 @@ BASE = {"authors": schemas.AUTHORS, "documents": schemas.DOCUMENTS, "entity_occu
 
 
 class Store:
-    """Open (optionally erasing) and write a corpus store."""
+    """Open (optionally erasing) and write a corpus store.
+
+    Every write is one *batch*: the base tables get a ``batch=<id>``
+    partition written in overwrite mode, so writing the same batch id again
+    (a retried job or stream epoch) replaces it instead of duplicating rows.
+    """
 
     def __init__(self, spark: SparkSession, path: str, erase: bool = False):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._erase = erase
+        if erase:
+            self._delete(self.path)
+
+    # -- file system helpers (Hadoop API: works for any cluster file system)
+    def _fs_path(self, p: str):
+        jvm = self.spark.sparkContext._jvm
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        return hp, hp.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, p: str) -> None:
+        hp, fs = self._fs_path(p)
+        if fs.exists(hp):
+            fs.delete(hp, True)
 
     def _p(self, table: str) -> str:
         return f"{self.path}/{table}"
 
     def exists(self, table: str = "documents") -> bool:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self._p(table))
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(hpath)
+        return bool(self.batches(table))
+
+    def batches(self, table: str = "documents") -> list[str]:
+        hp, fs = self._fs_path(self._p(table))
+        if not fs.exists(hp):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(hp) if st.isDirectory()]
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith("batch="))
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, exclude_batch: str | None = None) -> DataFrame:
         schema = BASE.get(table)
         r = self.spark.read
-        return (r.schema(schema) if schema is not None else r).parquet(self._p(table))
+        if schema is not None:
+            r = r.schema(T.StructType(schema.fields + [T.StructField("batch", T.StringType())]))
+        df = r.parquet(self._p(table))
+        if "batch" in df.columns:
+            if exclude_batch is not None:
+                df = df.where(F.col("batch") != F.lit(exclude_batch))
+            df = df.drop("batch")
+        return df
 
     def corpus(self) -> Corpus:
         return Corpus(self.read("authors"), self.read("documents"), self.read("entity_occurrences"))
 
-    def write(self, corpus: Corpus) -> "Store":
-        """Write a corpus: overwrite when opened with ``erase`` or empty, else append.
+    def next_batch(self) -> str:
+        nums = [int(b) for b in self.batches() if b.isdigit()]
+        return f"{(max(nums) + 1) if nums else 0:06d}"
+
+    def write(self, corpus: Corpus, batch: str | None = None, refresh: bool = True) -> "Store":
+        """Write a corpus as one batch (default: the next numbered batch).
 
-        On append, authors already stored keep their row (first wins) and
-        the caller is expected to have continued document ids from
-        :meth:`next_document_id`.
+        Authors already stored in other batches keep their row (first wins);
+        document ids are the caller's (see :meth:`next_document_id`).
         """
-        fresh = self._erase or not self.exists()
-        mode = "overwrite" if fresh else "append"
+        batch = batch or self.next_batch()
         authors = corpus.authors
-        if not fresh:
-            authors = authors.join(self.read("authors").select("author_id"), "author_id", "left_anti")
-        authors.select(*schemas.AUTHORS.names).write.mode(mode).parquet(self._p("authors"))
-        corpus.documents.select(*schemas.DOCUMENTS.names).write.mode(mode).parquet(self._p("documents"))
-        corpus.mentions.select(*schemas.MENTIONS.names).write.mode(mode).parquet(self._p("entity_occurrences"))
-        self._erase = False
-        self.refresh_derived()
+        if self.exists("authors") and any(b != batch for b in self.batches("authors")):
+            authors = authors.join(self.read("authors", exclude_batch=batch).select("author_id"),
+                                   "author_id", "left_anti")
+        for table, df, schema in (("authors", authors, schemas.AUTHORS),
+                                  ("documents", corpus.documents, schemas.DOCUMENTS),
+                                  ("entity_occurrences", corpus.mentions, schemas.MENTIONS)):
+            df.select(*schema.names).write.mode("overwrite").parquet(f"{self._p(table)}/batch={batch}")
+        if refresh:
+            self.refresh_derived()
         return self
 
     def refresh_derived(self) -> None:
@@ -70,11 +103,12 @@ class Store:
         stats.institution_document_count(c.documents, c.authors) \
             .write.mode("overwrite").parquet(self._p("institutions"))
 
-    def next_document_id(self) -> int:
+    def next_document_id(self, exclude_batch: str | None = None) -> int:
         """D15 (as an int for the next ingest): max stored document id + 1, or 0."""
         if not self.exists():
             return 0
-        return int(ingest.next_document_id(self.read("documents")).first()["next_id"])
+        docs = self.read("documents", exclude_batch=exclude_batch)
+        return int(ingest.next_document_id(docs).first()["next_id"])
 
 
 def write_lines(df: DataFrame, path: str, column: str = "value") -> None:

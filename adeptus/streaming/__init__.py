@@ -1,0 +1 @@
+"""Structured Streaming jobs (continuous ingest into the store)."""
