@@ -583,3 +583,9 @@ SELECT ae.author_id, a.name, p.papers AS papers_count,
        (SELECT string_agg(CAST(year AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY year)
         FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) AS years
 FROM ae JOIN papers p USING (author_id) LEFT JOIN authors a USING (author_id)""")
+
+# ------------------------------------------------------ A20: result shapes
+sql("document_json", """
+SELECT document_id, '{"author_id":' || to_json(author_id) || ',"ret_doc_id":' || CAST(document_id AS VARCHAR)
+       || ',"year":' || CAST(year AS VARCHAR) || '}' AS json
+FROM fx_documents""")

@@ -532,3 +532,18 @@ def author_card(spark, sf):
     """D18 in long form: one row per (author, entity) of the author card."""
     return lookups.author_card(_corpus(spark, sf)).select(
         "author_id", "name", "papers_count", "rank", "entity", "frequency", "years")
+
+
+# ------------------------------------------------------ A20: result shapes
+@query
+def document_json(spark, sf):
+    """/document shape for every stored document."""
+    return lookups.document_json(_corpus(spark, sf).documents)
+
+
+@query
+def find_experts_json(spark, sf):
+    """/query shape: per topic the top-10 experts (eciaf) as a JSON array."""
+    c = _corpus(spark, sf)
+    ranked = ranking.find_experts(c, _query_entities(spark, sf, c), "eciaf_score", sort=False)
+    return lookups.experts_json(ranked.withColumn("score", r6("score")), 10)
