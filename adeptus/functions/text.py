@@ -51,12 +51,16 @@ def annotated_text(text, annotations) -> Column:
     text between them and the surface are HTML-escaped; each span carries
     the entity (attribute-escaped) and the score.  Unlike the reference,
     the text after the last annotation is escaped too.
+
+    Each annotation is paired with the previous one's end by ``zip_with``
+    so the per-annotation lambda only sees its own arguments (an array
+    expression referenced inside a lambda is re-evaluated per element).
     """
     t = _c(text)
     anns = F.array_sort(F.coalesce(_c(annotations), F.array()))
+    prev_ends = F.concat(F.array(F.lit(0)), F.transform(anns, lambda a: a["end"]))
 
-    def piece(a, i):
-        prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(anns, i)["end"])
+    def piece(a, prev):
         before = F.substring(t, prev + 1, a["begin"] - prev)
         surface = F.substring(t, a["begin"] + 1, a["end"] - a["begin"])
         return F.concat(html_escape(before),
@@ -65,9 +69,9 @@ def annotated_text(text, annotations) -> Column:
                         F.lit("' score='"), a["rho"].cast("string"), F.lit("'>"),
                         html_escape(surface), F.lit("</span>"))
 
-    last_end = F.when(F.size(anns) > 0, F.element_at(anns, -1)["end"]).otherwise(F.lit(0))
+    last_end = F.element_at(prev_ends, -1)
     tail = F.when(last_end < F.length(t), F.substring(t, last_end + 1, F.length(t))).otherwise(F.lit(""))
-    return F.concat(F.array_join(F.transform(anns, piece), ""), html_escape(tail))
+    return F.concat(F.array_join(F.zip_with(anns, prev_ends, piece), ""), html_escape(tail))
 
 
 def snippet(text, limit: int = 83, keep: int = 80) -> Column:

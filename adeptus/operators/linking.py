@@ -97,6 +97,7 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
     * link_prob  = (#times the surface is an anchor) / (#times it occurs as an
                    n-gram in the pages' text), capped at 1.
     """
+    pages = spread(pages.select(html_col))
     anchors = (pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_ANCHOR), 0)).alias("a"))
                .select(F.regexp_extract("a", _ANCHOR, 1).alias("href"),
                        F.regexp_replace(F.regexp_extract("a", _ANCHOR, 2), "<[^>]*>", "").alias("label")))
@@ -107,9 +108,11 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
     sense = anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links"))
     per_surface = sense.groupBy("surface").agg(F.sum("links").alias("as_anchor"))
     # occurrences of anchor surfaces anywhere in the visible text of the pages
+    # (n-grams no longer than the longest anchor surface)
+    longest = per_surface.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
     text = pages.select(F.monotonically_increasing_id().cast("string").alias("id"),
-                        F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ").alias("text"))
-    grams = ngrams(tokenize(text), max_ngram).select("surface")
+                                F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ").alias("text"))
+    grams = ngrams(tokenize(text), max(1, min(int(max_ngram), int(longest)))).select("surface")
     occ = (grams.join(per_surface.select("surface"), "surface", "left_semi")
            .groupBy("surface").agg(F.count(F.lit(1)).alias("occurrences")))
     return (sense.join(per_surface, "surface").join(occ, "surface", "left")
@@ -165,6 +168,20 @@ def annotations_array(annotations: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("begin", "end", "entity", "rho"))).alias("annotations")))
 
 
+def annotated_bodies(texts: DataFrame, annotations: DataFrame, id_col: str = "id",
+                     text_col: str = "text") -> DataFrame:
+    """B13 for every text: (id, body) with its annotations wrapped in spans.
+
+    Texts without annotations keep their (escaped) text.  The texts are
+    spread over the cluster first: building bodies is CPU work per row and
+    must not stay on the few partitions of a large input file.
+    """
+    from adeptus.functions.text import annotated_text
+    arrays = annotations_array(annotations)
+    t = spread(texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
+    return t.join(arrays, "id", "left").select("id", annotated_text("text", "annotations").alias("body"))
+
+
 def query_entities(queries: DataFrame, gazetteer: DataFrame, max_ngram: int = DEFAULT_MAX_NGRAM) -> DataFrame:
     """Distinct (query_id, entity) found by linking each query text."""
     ann = link_entities(queries, gazetteer, "query_id", "text", max_ngram, small_side="texts")

@@ -413,9 +413,8 @@ def annotated_bodies(spark, sf):
     """B13 over M1's annotations of every document (documents without any keep their escaped text)."""
     docs = _docs(spark, sf).select("doc_id", "text")
     ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text", min_link_prob=0.01)
-    arrays = linking.annotations_array(ann).withColumn("doc_id", F.col("id").cast("long")).drop("id")
-    return (docs.join(arrays, "doc_id", "left")
-            .select("doc_id", text_fn.annotated_text("text", "annotations").alias("body")))
+    bodies = linking.annotated_bodies(docs, ann, "doc_id", "text")
+    return bodies.select(F.col("id").cast("long").alias("doc_id"), "body")
 
 
 # ------------------------------------------------------ ingest path (papers)

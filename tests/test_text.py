@@ -27,6 +27,8 @@ def test_annotated_text(spark):
         ("no annotations & here", []),
         ("abc def ghi", [(4, 7, "D", 1.0), (0, 3, "A", 0.5)]),  # unsorted input
         ("x" * 15, [(2, 5, "P", 0.5), (3, 4, "Q", 0.75)]),      # overlapping spans
+        ("è😀 ünï & <code> €", [(1, 2, "Smile", 0.5), (3, 6, "U", 0.5)]),  # non-ASCII offsets
+        ("", []),
     ]
     schema = "t string, a array<struct<begin:int,end:int,entity:string,rho:double>>"
     df = spark.createDataFrame(cases, schema)
