@@ -19,15 +19,21 @@ hyperlink anchors of a web corpus (:func:`anchor_gazetteer`).
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adeptus.session import Bounded, checked_broadcast, spread
 
+# Functions of this module run inside Python workers (mapInPandas); ship
+# them by value so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_MAX_NGRAM = 4
 _WORD = re.compile(r"\w+")
 

@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "adeptus",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # let AQE coalesce the shuffle partitions of persisted (cached) plans too
+        "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

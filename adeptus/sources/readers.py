@@ -7,16 +7,22 @@ as an ``ordinal`` column: file rank (sorted path) * 2^40 + row within file.
 
 from __future__ import annotations
 
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adeptus.functions.text import normalize_author
 
+# Functions of this module run inside Python workers (mapInPandas); ship
+# them by value so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SUPPORTED_FORMATS = ("unipi", "tu")
 SEMICOLON_FIELDS = 20
 # Fixed positions of the semicolon format (0-based).
