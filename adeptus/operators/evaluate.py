@@ -61,15 +61,33 @@ def qrel_stats(qrels: DataFrame, relevance_level: int = 1) -> DataFrame:
                  F.count_if(F.col("rel") < relevance_level).alias("num_nonrel")))
 
 
+IDCG_CHUNK = 100_000  # ideal ranks generated per row (spreads a topic with many judgements)
+
+
 def ideal_dcg(qrels: DataFrame, cutoffs=CUTOFFS) -> DataFrame:
-    """Per query: idcg (all relevant) and idcg_k, judgements sorted by rel desc."""
-    pos = qrels.where(F.col("rel") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("rel"), "author_id")
-    ranked = pos.withColumn("irank", F.row_number().over(w))
+    """Per query: idcg (all relevant) and idcg_k of the ideal ranking (rel desc).
+
+    No sort of a topic's judgements: the ideal ranking puts each relevance
+    level in one contiguous block of ranks, so only the count per (query,
+    level) is aggregated (map-side), the few levels get their first rank by
+    a window, and each block's ranks are generated in chunks of IDCG_CHUNK
+    that are spread over the tasks before being summed.
+    """
+    levels = (qrels.where(F.col("rel") > 0).groupBy("query_id", "rel")
+              .agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = levels.withColumn("start", F.coalesce(F.sum("c").over(w), F.lit(0)) + 1)  # first rank
+    chunks = (blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / IDCG_CHUNK))))
+              .select("query_id", "rel",
+                      (F.col("start") + F.col("k") * IDCG_CHUNK).alias("lo"),
+                      F.least(F.col("start") + F.col("c") - 1,
+                              F.col("start") + (F.col("k") + 1) * IDCG_CHUNK - 1).alias("hi")))
+    ranks = (chunks.repartition(F.col("query_id"), F.col("rel"), F.col("lo"))
+             .select("query_id", "rel", F.explode(F.sequence("lo", "hi")).alias("irank")))
     gain = F.col("rel") / F.log2(F.col("irank") + 1)
     aggs = [F.sum(gain).alias("idcg")] + [
         F.sum(F.when(F.col("irank") <= k, gain).otherwise(0.0)).alias(f"idcg_{k}") for k in cutoffs]
-    return ranked.groupBy("query_id").agg(*aggs)
+    return ranks.groupBy("query_id").agg(*aggs)
 
 
 def per_query_measures(run: DataFrame, qrels: DataFrame, max_rank: int = 1000,
@@ -174,10 +192,9 @@ def trec_eval(run: DataFrame, qrels: DataFrame, max_rank: int = 1000,
         total = F.sum("units")
     else:
         total = F.sum("value")
-    nj = judged.agg(F.count(F.lit(1)).cast("double").alias("n_judged"),
-                    F.sum("nr").alias("total_rel"))  # one row
     agg = (long.groupBy("measure").agg(total.alias("s"), F.count(F.lit(1)).alias("c"))
-           .crossJoin(F.broadcast(nj)))
+           .withColumn("n_judged", judged.agg(F.count(F.lit(1)).cast("double")).scalar())
+           .withColumn("total_rel", judged.agg(F.sum("nr")).scalar()))
     absent = F.col("n_judged") - F.col("c")
     s_val = F.col("s") / F.lit(scale) if scale else F.col("s")
     mean = F.col("s") / (F.col("n_judged") * F.lit(scale)) if scale else F.col("s") / F.col("n_judged")

@@ -73,7 +73,7 @@ def assign_document_ids(papers: DataFrame, ordinal: str = "ordinal", start: int
     offsets = sizes.select("_bucket", (F.sum("_n").over(w_all) - F.col("_n")).alias("_off"))
     w = Window.partitionBy("_bucket").orderBy(ordinal)
     return (b.withColumn("_rn", F.row_number().over(w))
-            .join(F.broadcast(offsets), "_bucket")  # one row per bucket
+            .join(offsets, "_bucket")  # one row per bucket; AQE broadcasts it when small
             .withColumn("document_id", (F.lit(int(start)) + F.col("_off") + F.col("_rn") - 1).cast("long"))
             .drop("_bucket", "_rn", "_off"))
 

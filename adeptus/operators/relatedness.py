@@ -52,7 +52,7 @@ def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame, small: bool | N
     pop = corpus.popularity()
     return (co.join(pop.select(F.col("entity").alias("source"), F.col("entity_popularity").alias("pa")), "source")
             .join(pop.select(F.col("entity").alias("other"), F.col("entity_popularity").alias("pb")), "other")
-            .crossJoin(F.broadcast(corpus.total()))
+            .withColumn("total_papers", corpus.total().scalar())
             .select("source", "other", _rel_expr("pa", "pb", "both", "total_papers").alias("rel")))
 
 

@@ -52,7 +52,7 @@ def author_profiles(corpus: Corpus) -> DataFrame:
         ae = corpus.author_entity()
         return (ae.join(corpus.papers(), "author_id")
                 .join(corpus.popularity(), "entity")
-                .crossJoin(F.broadcast(corpus.total()))  # one row
+                .withColumn("total_papers", corpus.total().scalar())  # scalar subquery
                 .withColumn("ef", F.col("author_freq") / F.col("papers"))
                 .withColumn("iaf", F.ln(F.col("total_papers") / F.col("entity_popularity")))
                 .withColumn("ef_iaf", F.col("ef") * F.col("iaf"))
@@ -79,7 +79,7 @@ def query_weights(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     counts = side.hint(query_entity_counts(side.df))
     return (corpus.popularity().join(side.hint(), "entity")
             .join(counts, "query_id")
-            .crossJoin(F.broadcast(corpus.total()))
+            .withColumn("total_papers", corpus.total().scalar())
             .select("query_id", "entity",
                     (F.lit(1.0) / F.col("n_query_entities")
                      * F.ln(F.col("total_papers") / F.col("entity_popularity"))).alias("qw")))
@@ -91,16 +91,12 @@ def citing_authors(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     return corpus.author_entity().join(side.hint(), "entity").select("query_id", "author_id").distinct()
 
 
-def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
-    """E3-E6 in one pass: one row per (query, candidate author).
-
-    Columns: query_id, author_id, cossim_efiaf, efiaf, eciaf, log_ec_ef_iaf.
+def vector_sums(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
+    """Per (query, candidate author): dot = sum efiaf*qw, efiaf, eciaf, log_ec_ef_iaf.
 
     * efiaf          = sum (ec/P) * qw
     * eciaf          = sum ec * qw
     * log_ec_ef_iaf  = sum (ln ec + ec/P) * qw
-    * cossim_efiaf   = sum efiaf*qw / (sqrt(sum_A efiaf) * sqrt(sum_Q qw))
-      (roots of plain sums, as defined by the reference; 0/0 -> 0.0)
 
     Candidates are exactly the authors with a confident mention of a known
     query entity, i.e. the rows of the profile ⋈ query-weight join.
@@ -108,14 +104,26 @@ def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     side = query_side(query_entities)
     qw = side.hint(query_weights(corpus, query_entities))  # rows <= query entities
     joined = author_profiles(corpus).join(qw, "entity")
-    sums = (joined.groupBy("query_id", "author_id")
+    return (joined.groupBy("query_id", "author_id")
             .agg(F.sum(F.col("ef_iaf") * F.col("qw")).alias("dot"),
                  F.sum(F.col("ef") * F.col("qw")).alias("efiaf"),
                  F.sum(F.col("author_freq") * F.col("qw")).alias("eciaf"),
                  F.sum((F.ln(F.col("author_freq")) + F.col("ef")) * F.col("qw")).alias("log_ec_ef_iaf")))
+
+
+def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
+    """E3-E6 in one pass: one row per (query, candidate author).
+
+    Columns: query_id, author_id, cossim_efiaf, efiaf, eciaf, log_ec_ef_iaf, where
+    cossim_efiaf = sum efiaf*qw / (sqrt(sum_A efiaf) * sqrt(sum_Q qw)) -- roots
+    of plain sums, as defined by the reference; 0/0 -> 0.0.  The author norm
+    is aggregated once for all authors (memoised per corpus).
+    """
+    side = query_side(query_entities)
+    qw = side.hint(query_weights(corpus, query_entities))
     qnorm = qw.groupBy("query_id").agg(F.sum("qw").alias("qw_sum"))
     denom = F.sqrt(F.col("efiaf_sum")) * F.sqrt(F.col("qw_sum"))
-    return (sums.join(author_norms(corpus), "author_id")
+    return (vector_sums(corpus, query_entities).join(author_norms(corpus), "author_id")
             .join(side.hint(qnorm), "query_id")
             .select("query_id", "author_id",
                     F.coalesce(F.try_divide(F.col("dot"), denom), F.lit(0.0)).alias("cossim_efiaf"),
@@ -124,8 +132,9 @@ def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
 
 def _single(column: str) -> Callable[[Corpus, DataFrame], DataFrame]:
     def fn(corpus: Corpus, query_entities: DataFrame, **_) -> DataFrame:
-        return vector_scores(corpus, query_entities).select(
-            "query_id", "author_id", F.col(column).alias("score"))
+        src = vector_scores(corpus, query_entities) if column == "cossim_efiaf" \
+            else vector_sums(corpus, query_entities)  # no norm join needed
+        return src.select("query_id", "author_id", F.col(column).alias("score"))
     fn.__name__ = f"{column}_score"
     fn.__doc__ = f"Score = ``{column}`` column of :func:`vector_scores`."
     return fn

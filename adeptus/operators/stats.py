@@ -204,7 +204,7 @@ def paper_count_quantiles(papers: DataFrame, probs: Iterable[float] = DECILES,
     m = F.lit(1.0 - alphap - betap)
     h = F.col("n") * F.col("prob") + F.lit(alphap) + F.col("prob") * m
     k = F.floor(F.least(F.greatest(h, F.lit(1.0)), F.greatest(F.col("n") - 1, F.lit(1)).cast("double"))).cast("long")
-    targets = (probs_df.crossJoin(F.broadcast(n))
+    targets = (probs_df.withColumn("n", n.scalar())
                .withColumn("k", k)
                .withColumn("g", F.least(F.greatest(h - F.col("k"), F.lit(0.0)), F.lit(1.0)))
                .withColumn("k2", F.least(F.col("k") + 1, F.col("n"))))
@@ -233,7 +233,7 @@ def paper_count_histogram(papers: DataFrame, quantiles: DataFrame | None = None)
     w = Window.orderBy("i")
     bins = (q.select("i", F.floor("quantile").cast("long").alias("begin"))
             .withColumn("nxt", F.lead("begin").over(w))
-            .crossJoin(F.broadcast(mx))
+            .withColumn("mx", mx.scalar())
             .select("i", "begin",
                     F.coalesce(F.col("nxt") - 1, F.col("mx").cast("long")).alias("end")))
     hist = papers.groupBy(F.col("papers").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))

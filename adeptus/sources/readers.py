@@ -59,7 +59,7 @@ def _with_ordinal(df: DataFrame) -> DataFrame:
          .withColumn("_mid", F.monotonically_increasing_id()))
     files = d.groupBy("input_file").agg(F.min("_mid").alias("_first"))
     files = files.withColumn("_rank", F.dense_rank().over(Window.orderBy("input_file")) - 1)  # one row per file
-    return (d.join(F.broadcast(files), "input_file")
+    return (d.join(files, "input_file")  # one row per file; AQE broadcasts it when small
             .withColumn("ordinal", F.col("_rank") * F.lit(1 << 40) + (F.col("_mid") - F.col("_first")))
             .drop("_mid", "_first", "_rank"))
 
