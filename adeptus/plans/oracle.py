@@ -270,7 +270,7 @@ SELECT s.query_id, s.author_id, a.name, round(s.eciaf, 6) AS score
 FROM scores s LEFT JOIN authors a USING (author_id)""")
 
 sql("find_experts_top10", """
-SELECT query_id, rank, author_id, name, round(score, 6) AS score FROM (
+SELECT query_id, CAST(rank AS INTEGER) AS rank, author_id, name, round(score, 6) AS score FROM (
   SELECT s.query_id, s.author_id, a.name, s.efiaf AS score,
          row_number() OVER (PARTITION BY s.query_id ORDER BY s.efiaf DESC, s.author_id) AS rank
   FROM scores s LEFT JOIN authors a USING (author_id)) WHERE rank <= 10""")
@@ -296,7 +296,7 @@ SELECT entity_a, entity_b FROM needed
 WHERE NOT EXISTS (SELECT 1 FROM memo m WHERE m.entity_a = needed.entity_a AND m.entity_b = needed.entity_b)""")
 
 sql("author_profile_top50", """
-SELECT author_id, rank, entity, round(freq_pct, 6) AS freq_pct, round(importance, 6) AS importance,
+SELECT author_id, CAST(rank AS INTEGER) AS rank, entity, round(freq_pct, 6) AS freq_pct, round(importance, 6) AS importance,
        round(rarity, 6) AS rarity, round(max_rho, 6) AS max_rho, years_text FROM (
   SELECT author_id, entity, ef * 100.0 AS freq_pct, ef_iaf * 100.0 AS importance, iaf AS rarity, max_rho,
          row_number() OVER (PARTITION BY author_id ORDER BY ef_iaf DESC, entity) AS rank,
@@ -341,7 +341,7 @@ idcg AS (
   FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, author_id) AS irank
         FROM qrels WHERE rel > 0) GROUP BY query_id),
 pq AS (
-  SELECT query_id, count(*) AS num_ret, max(num_rel) AS num_rel, sum(is_rel) AS num_rel_ret,
+  SELECT query_id, count(*) AS num_ret, max(num_rel) AS num_rel, CAST(sum(is_rel) AS BIGINT) AS num_rel_ret,
          sum(CASE WHEN is_rel = 1 THEN cum_rel / rank ELSE 0.0 END) AS ap_sum,
          sum(CASE WHEN rank <= num_rel THEN is_rel ELSE 0 END) AS rprec_hits,
          min(CASE WHEN is_rel = 1 THEN rank END) AS first_rel,
@@ -437,7 +437,7 @@ UNION ALL SELECT measure, query_id, value FROM summ"""
 
 sql("trec_eval_all", _trec_all())
 
-sql("ranked_run", EVAL + "SELECT query_id, author_id, rank, round(score, 6) AS score FROM rr")
+sql("ranked_run", EVAL + "SELECT query_id, author_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rr")
 
 sql("topics_with_qrels", EVAL + """
 SELECT DISTINCT q.query_id, t.text FROM qrels q JOIN topics t USING (query_id)""")
@@ -499,7 +499,7 @@ sql("papers_year_filter", """
 SELECT author_id, year, ordinal FROM paper_rows WHERE year BETWEEN 1996 AND 2000""")
 
 sql("legit_documents", """
-SELECT author_id, year, ordinal, length(abstract) AS abstract_chars FROM paper_rows
+SELECT author_id, year, ordinal, CAST(length(abstract) AS INTEGER) AS abstract_chars FROM paper_rows
 WHERE abstract IS NOT NULL AND length(abstract) > 10""")
 
 sql("ingest_summary", """
@@ -548,7 +548,7 @@ last_wins AS (
 sql("document_author_last_wins", _ASSOC + "SELECT document_id, author_id FROM last_wins")
 
 sql("merge_documents_authors", _ASSOC + """
-SELECT l.document_id, l.author_id, length(d.text) AS text_chars
+SELECT l.document_id, l.author_id, CAST(length(d.text) AS INTEGER) AS text_chars
 FROM last_wins l JOIN documents d ON d.doc_id = l.document_id
 WHERE d.text IS NOT NULL AND length(d.text) > 0""")
 
@@ -578,7 +578,7 @@ ORDER BY author_id LIMIT 50""")
 
 sql("author_card", """
 SELECT ae.author_id, a.name, p.papers AS papers_count,
-       row_number() OVER (PARTITION BY ae.author_id ORDER BY ae.author_freq DESC, ae.entity) AS rank,
+       CAST(row_number() OVER (PARTITION BY ae.author_id ORDER BY ae.author_freq DESC, ae.entity) AS INTEGER) AS rank,
        ae.entity, ae.author_freq AS frequency,
        (SELECT string_agg(CAST(year AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY year)
         FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) AS years
