@@ -100,6 +100,11 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key).distinct(), key, "left_anti")
 
 
+def pending_documents(docs: DataFrame, done: DataFrame, key: str = "docno") -> DataFrame:
+    """Documents not yet written to the sink (skip what was processed before)."""
+    return pending(docs, done, key)
+
+
 def last_wins(assoc: DataFrame, key: str = "document_id", value: str = "author_id",
               order: str = "line_no") -> DataFrame:
     """One value per key, the one on the last line (max line number).

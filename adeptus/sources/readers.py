@@ -124,6 +124,17 @@ def _xml_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "well_formed": ok})
 
 
+def xml_text(value) -> "F.Column":
+    """Direct text nodes of every element except docno and title, joined by one space."""
+    return F.array_join(F.xpath(value, F.lit("//*[not(self::docno) and not(self::title)]/text()")), " ")
+
+
+def xml_docno(value, file_name) -> "F.Column":
+    """The root's docno text, else ``NONE_<file name>``."""
+    docno = F.nullif(F.xpath_string(value, F.lit("/*/docno/text()")), F.lit(""))
+    return F.coalesce(docno, F.concat(F.lit("NONE_"), file_name))
+
+
 def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
     """One document per XML file.
 
@@ -136,10 +147,8 @@ def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
                                                          F.col("_metadata.file_name").alias("file"))
     checked = files.select("path", "value").mapInPandas(_xml_check, "path string, well_formed boolean")
     good = files.join(checked.where("well_formed"), "path", "left_semi")
-    text = F.array_join(F.xpath("value", F.lit("//*[not(self::docno) and not(self::title)]/text()")), " ")
-    docno = F.nullif(F.xpath_string("value", F.lit("/*/docno/text()")), F.lit(""))
-    return good.select(F.coalesce(docno, F.concat(F.lit("NONE_"), F.col("file"))).alias("docno"),
-                       text.alias("text"), "file")
+    return good.select(xml_docno(F.col("value"), F.col("file")).alias("docno"),
+                       xml_text(F.col("value")).alias("text"), "file")
 
 
 def broken_xml_files(spark: SparkSession, path: str) -> DataFrame:

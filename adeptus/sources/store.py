@@ -111,6 +111,16 @@ class Store:
         return int(ingest.next_document_id(docs).first()["next_id"])
 
 
+def open_store(spark: SparkSession, path: str, erase: bool = False) -> Store:
+    """Open a store, optionally erasing what is there."""
+    return Store(spark, path, erase)
+
+
+def write_store(store: Store, corpus: Corpus, batch: str | None = None) -> Store:
+    """Write a corpus (authors, documents, mentions) as one batch; derived tables refreshed."""
+    return store.write(corpus, batch)
+
+
 def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
     """One text line per row."""
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)

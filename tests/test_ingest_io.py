@@ -32,6 +32,8 @@ def test_first_wins_last_wins_pending(spark):
                                   "document_id string, author_id string, line_no long")
     assert {r.document_id: r.author_id for r in ingest.last_wins(assoc).collect()} == {"d1": "y", "d2": "z"}
     done = spark.createDataFrame([("d1",)], "document_id string")
+    assert [r.document_id for r in ingest.pending_documents(assoc.select("document_id").distinct(), done,
+                                                            "document_id").collect()] == ["d2"]
     assert [r.document_id for r in ingest.pending(assoc.select("document_id").distinct(), done, "document_id")
             .collect()] == ["d2"]
 
@@ -126,7 +128,7 @@ def test_build_corpus_and_store_append(spark, tmpdir_path):
     assert docs[0].body.startswith("<span class='annotation' entity='Graph' score='0.9'>graph</span> ")
     assert "&amp;" in docs[0].body
     assert c.mentions.count() == 3
-    st = store.Store(spark, f"{tmpdir_path}/store", erase=True).write(c)
+    st = store.write_store(store.open_store(spark, f"{tmpdir_path}/store", erase=True), c)
     assert st.next_document_id() == 2
     more = spark.createDataFrame([("a2", "Bo New", "Z", 2015, "graph theory graph", None, 1),
                                   ("a4", "Di", "Z", 2015, "more data here", None, 2)], papers.schema)
