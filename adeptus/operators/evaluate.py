@@ -187,23 +187,25 @@ def trec_eval(run: DataFrame, qrels: DataFrame, max_rank: int = 1000,
             .withColumn("measure", F.regexp_replace("measure", r"^(iprec_at_recall_\d)_(\d\d)$", "$1.$2")))
     scale = float(10 ** decimals) if decimals is not None else None
     if scale:
-        long = long.withColumn("units", F.floor(F.col("value") * F.lit(scale) + F.lit(0.5)))
-        long = long.withColumn("value", F.col("units") / F.lit(scale))
-        total = F.sum("units")
+        long = long.withColumn("v", F.floor(F.col("value") * F.lit(scale) + F.lit(0.5)))
     else:
-        total = F.sum("value")
-    agg = (long.groupBy("measure").agg(total.alias("s"), F.count(F.lit(1)).alias("c"))
-           .withColumn("n_judged", judged.agg(F.count(F.lit(1)).cast("double")).scalar())
-           .withColumn("total_rel", judged.agg(F.sum("nr")).scalar()))
+        long = long.withColumn("v", F.col("value"))
+    # one pass: rollup gives the per-query rows (grouping id 0) and the
+    # per-measure summary (grouping id 1) together
+    g = (long.rollup("measure", "query_id")
+         .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"), F.grouping_id().alias("gid"))
+         .where(F.col("gid") < 2)
+         .withColumn("n_judged", judged.agg(F.count(F.lit(1)).cast("double")).scalar())
+         .withColumn("total_rel", judged.agg(F.sum("nr")).scalar()))
     absent = F.col("n_judged") - F.col("c")
     s_val = F.col("s") / F.lit(scale) if scale else F.col("s")
     mean = F.col("s") / (F.col("n_judged") * F.lit(scale)) if scale else F.col("s") / F.col("n_judged")
-    value = (F.when(F.col("measure").isin("num_ret", "num_rel_ret"), s_val)
-             .when(F.col("measure") == "num_rel", F.col("total_rel"))
-             .when(F.col("measure") == "gm_map",
-                   F.exp((s_val + absent * F.lit(math.log(GM_FLOOR))) / F.col("n_judged")))
-             .otherwise(mean))
+    summary = (F.when(F.col("measure").isin("num_ret", "num_rel_ret"), s_val)
+               .when(F.col("measure") == "num_rel", F.col("total_rel"))
+               .when(F.col("measure") == "gm_map",
+                     F.exp((s_val + absent * F.lit(math.log(GM_FLOOR))) / F.col("n_judged")))
+               .otherwise(mean))
     if scale:
-        value = F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-    summary = agg.select("measure", F.lit("all").alias("query_id"), value.alias("value"))
-    return long.select("measure", "query_id", "value").unionByName(summary)
+        summary = F.floor(summary * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    value = F.when(F.col("gid") == 0, s_val).otherwise(summary)
+    return g.select("measure", F.coalesce(F.col("query_id"), F.lit("all")).alias("query_id"), value.alias("value"))

@@ -5,7 +5,7 @@ papers(author_id, name, institution, year, abstract, doi[, ordinal][, input_file
   -> accepted papers (B2) -> consecutive document ids in input order (F2)
   -> annotation (M1 or any annotator) -> mentions, documents (body = B13)
 
-``ordinal`` is the input order (e.g. file number * 2^32 + line number); when
+``ordinal`` is the input order (the readers give file rank * 2^40 + row in file); when
 absent the order is undefined but ids are still consecutive and unique.
 """
 
