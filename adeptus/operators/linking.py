@@ -111,7 +111,8 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
         F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^.*/", "").alias("entity"),
         F.array_join(F.regexp_extract_all(F.lower("label"), F.lit(r"[\p{L}\p{N}_]+"), 0), " ").alias("surface"))
     anchors = anchors.where((F.length("entity") > 0) & (F.length("surface") > 0))
-    sense = anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links"))
+    # (surface, entity) counts: bounded by the link vocabulary, read twice below
+    sense = anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links")).persist()
     per_surface = sense.groupBy("surface").agg(F.sum("links").alias("as_anchor"))
     # occurrences of anchor surfaces anywhere in the visible text of the pages
     # (n-grams no longer than the longest anchor surface)
@@ -139,6 +140,8 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
     ``small_side``: which join side to broadcast after a count proves it
     small -- ``"gazetteer"`` for a corpus of texts, ``"texts"`` for a batch
     of short queries, None to leave the choice to the planner / AQE.
+    The gazetteer is read more than once (size check, n-gram cap, join):
+    pass a persisted or stored one.
     """
     gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
     # one sense per surface: highest commonness, then entity name

@@ -95,5 +95,9 @@ def spread(df: DataFrame) -> DataFrame:
     input splits (the large-scale case) the DataFrame is returned unchanged
     and no shuffle is added.
     """
+    # a plan with a shuffle already runs at shuffle parallelism; and asking an
+    # adaptive plan with shuffles for its partitions would execute them
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
