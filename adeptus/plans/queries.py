@@ -45,13 +45,24 @@ def _years_text(col="years"):
 _CORPORA: dict = {}
 
 
+def _key(spark, *parts):
+    """Memo key of a session: its application id (unique per SparkContext) and object.
+
+    Entries of other (stopped) contexts are dropped.
+    """
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _CORPORA if k[0] != app]:
+        del _CORPORA[k]
+    return (app, id(spark)) + parts
+
+
 def _corpus(spark, sf) -> Corpus:
     """The fixture corpus of ``sf`` with its derived tables persisted.
 
     Built once per session and directory, like the reference's database:
     every query of the session reads the same materialised derived tables.
     """
-    key = (id(spark), sf)
+    key = _key(spark, sf)
     if key not in _CORPORA:
         _CORPORA[key] = fx.corpus(spark, sf).persist_derived()
     return _CORPORA[key]
@@ -59,7 +70,7 @@ def _corpus(spark, sf) -> Corpus:
 
 def _query_entities(spark, sf, corpus: Corpus) -> DataFrame:
     """Topics linked to entities with a gazetteer of the corpus's entity titles."""
-    key = ("qe", id(spark), sf)
+    key = _key(spark, "qe", sf)
     if key not in _CORPORA:
         gaz = linking.title_gazetteer(corpus.popularity().select("entity"))
         _CORPORA[key] = linking.query_entities(fx.topics(spark, sf), gaz)
@@ -272,7 +283,7 @@ def author_profile_top50(spark, sf):
 # --------------------------------------------------------- 2.L evaluation
 def _run_and_qrels(spark, sf):
     c = _corpus(spark, sf)
-    key = ("run", id(spark), sf)
+    key = _key(spark, "run", sf)
     if key not in _CORPORA:
         run = scoring.eciaf_score(c, _query_entities(spark, sf, c))
         _CORPORA[key] = (run.persist(), fx.qrels(spark, sf).persist())
@@ -387,7 +398,7 @@ def route_non_english(spark, sf):
 
 
 def _anchor_gazetteer(spark, sf):
-    key = ("gaz", id(spark), sf)
+    key = _key(spark, "gaz", sf)
     if key not in _CORPORA:
         pages = fx.read_table(spark, sf, "pages").select("html")
         _CORPORA[key] = linking.anchor_gazetteer(pages).persist()
