@@ -147,3 +147,12 @@ def test_build_corpus_and_store_append(spark, tmpdir_path):
                                                                 "query_id string, value double")).first().value
     assert lines.split("\t") == ["map" + " " * 19, "all", "0.5000"]
     assert F is not None
+
+
+def test_write_texts_and_lines(spark, tmpdir_path):
+    texts = spark.createDataFrame([("D1", "first"), ("NONE_2.xml", "second")], "docno string, text string")
+    store.write_texts(texts, f"{tmpdir_path}/texts")
+    back = {r.docno: r.text for r in spark.read.parquet(f"{tmpdir_path}/texts").collect()}
+    assert back == {"D1": "first", "NONE_2.xml": "second"}
+    store.write_lines(spark.createDataFrame([("a b",), ("c",)], "value string"), f"{tmpdir_path}/lines")
+    assert sorted(r.value for r in spark.read.text(f"{tmpdir_path}/lines").collect()) == ["a b", "c"]
