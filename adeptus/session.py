@@ -78,10 +78,15 @@ class Bounded:
     locally), so lost blocks are recomputed from lineage.
     """
 
-    def __init__(self, df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
-        self.df = df.persist()
-        self.rows = self.df.count()
+    def __init__(self, df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                 rows_per_partition: int = 100_000):
+        persisted = df.persist()
+        self.rows = persisted.count()
         self.small = self.rows <= max_rows
+        # a proven-small side needs few tasks: narrow it (no shuffle) to a
+        # partition count that follows from the count
+        want = max(1, -(-self.rows // rows_per_partition))
+        self.df = persisted.coalesce(want) if self.small else persisted
 
     def hint(self, df: DataFrame | None = None) -> DataFrame:
         d = self.df if df is None else df
