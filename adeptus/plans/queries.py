@@ -72,7 +72,8 @@ def _query_entities(spark, sf, corpus: Corpus) -> DataFrame:
     """Topics linked to entities with a gazetteer of the corpus's entity titles."""
     key = _key(spark, "qe", sf)
     if key not in _CORPORA:
-        gaz = linking.title_gazetteer(corpus.popularity().select("entity"))
+        # the gazetteer is read by several jobs (n-gram cap, join): persist it once
+        gaz = linking.title_gazetteer(corpus.popularity().select("entity")).persist()
         _CORPORA[key] = linking.query_entities(fx.topics(spark, sf), gaz)
     return _CORPORA[key]
 
@@ -356,7 +357,7 @@ def batch_topics(spark, sf):
     """Judged topics (C8) x two scorings, one plan per scoring, unioned."""
     c = _corpus(spark, sf)
     topics = topics_with_qrels(spark, sf)
-    gaz = linking.title_gazetteer(c.popularity().select("entity"))
+    gaz = linking.title_gazetteer(c.popularity().select("entity")).persist()
     qe = linking.query_entities(topics, gaz)
     outs = []
     for name in ("eciaf_score", "efiaf_score"):
