@@ -21,10 +21,14 @@ from adeptus.corpus import DEFAULT_MIN_RHO
 
 
 def _entity_set(spark, entities) -> DataFrame:
-    """A one-column ``entity`` DataFrame from a DataFrame or a Python list."""
+    """A one-column ``entity`` DataFrame from a DataFrame or a Python list.
+
+    A Python list is bounded by driver memory and is hinted for broadcast; a
+    DataFrame is left to the planner (AQE broadcasts it when it is small).
+    """
     if isinstance(entities, DataFrame):
         return entities.select("entity").distinct()
-    return spark.createDataFrame([(e,) for e in set(entities)], "entity string")
+    return F.broadcast(spark.createDataFrame([(e,) for e in set(entities)], "entity string"))
 
 
 # --------------------------------------------------------------------------
@@ -83,9 +87,7 @@ def entity_popularity(doc_ent: DataFrame, entities=None) -> DataFrame:
     """
     pop = doc_ent.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_popularity"))
     if entities is not None:
-        pop = pop.join(F.broadcast(_entity_set(doc_ent.sparkSession, entities))
-                       if not isinstance(entities, DataFrame) else entities.select("entity").distinct(),
-                       "entity", "left_semi")
+        pop = pop.join(_entity_set(doc_ent.sparkSession, entities), "entity", "left_semi")
     return pop
 
 
@@ -145,16 +147,13 @@ def grouped_entity_rhos(mentions: DataFrame, year: int | None = None) -> DataFra
 def author_documents(doc_ent: DataFrame, entities=None) -> DataFrame:
     """Mention count per (document, entity) with year, no rho filter.
 
-    Optionally restricted to an entity set (semi-join, broadcast: the set is
-    a query-sized list).
+    Optionally restricted to an entity set (semi-join; a Python list is
+    broadcast).
     """
     out = doc_ent.select("author_id", "document_id", "year", "entity",
                          F.col("n_all").alias("count"))
     if entities is not None:
-        ents = entities.select("entity").distinct() if isinstance(entities, DataFrame) \
-            else _entity_set(doc_ent.sparkSession, entities)
-        out = out.join(F.broadcast(ents) if not isinstance(entities, DataFrame) else ents,
-                       "entity", "left_semi")
+        out = out.join(_entity_set(doc_ent.sparkSession, entities), "entity", "left_semi")
     return out
 
 
