@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe
+from adeptus.llm import archive, bpe, language, licenses, quality, toxicity
 from adeptus.llm.shared import scratch_path, written
 
 
@@ -49,4 +49,45 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(again, F.col("full_key").cast("long")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_arc_to_warc)}
+def _fold(key: str, parts: int):
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+#: Bounds of the training samples: labelled documents; documents of each label; documents of each language.
+QUALITY_TRAIN, TOXICITY_TRAIN, LANGUAGE_TRAIN = 6000, 2500, 1000
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learnt from labels of the folds 0 and 2 of 3."""
+    docs = _table(spark, sf_dir, "documents")
+    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", _fold("k", 3) != 1, QUALITY_TRAIN)
+    return quality.score(docs, quality.fit(sample)).select(
+        "doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt from labels of the folds 1 to 4 of 5."""
+    docs = _table(spark, sf_dir, "documents")
+    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", _fold("k", 5) != 0,
+                                     TOXICITY_TRAIN, by_label=True)
+    return toxicity.score(docs, toxicity.fit(sample)).select(
+        "doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt from the folds 0, 1 and 3 of 4."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs, _fold("k", 4) != 2, LANGUAGE_TRAIN))
+    return language.identify(docs, model).select(
+        "doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_arc_to_warc, op5_quality, op6_license_scan, op7_toxicity,
+                                   op8_language)}
