@@ -4,7 +4,47 @@ Missing are the operators that SQL can't express; tests/llm checks those
 against a brute-force version, an exact round trip or held-out accuracy.
 """
 
+from adeptus.llm import mixing
+
+
+def _topic_sql(text: str) -> str:
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains({text}, '{m}')" for m in marks) + f" THEN '{name}'"
+        for name, marks in mixing.TOPICS)
+    return f"CASE {cases} ELSE 'prose' END"
+
+
+def mixing_ctes(docs: str, seed: str = "mix") -> str:
+    """CTEs that end in ``drawn``: the rows of :func:`adeptus.llm.mixing.draw` over the table ``docs``."""
+    dims = ["source", "lang", "topic"]
+    parts = [f"""mrows AS MATERIALIZED (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang,
+        {_topic_sql("lower(coalesce(text, ''))")} AS topic,
+        CAST(coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) AS BIGINT) AS n_tokens,
+        CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS DOUBLE)
+          / 4294967296.0 AS u FROM {docs})""",
+             """mcells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM mrows
+        GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
+    for d in dims:
+        parts.append(f"""goal_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS g_{d} FROM (
+            SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.TEMPER}) AS p FROM mcells GROUP BY {d}))""")
+    parts.append("""w0 AS MATERIALIZED (SELECT mcells.*, g_source, g_lang, g_topic, CAST(tokens AS DOUBLE) AS weight
+        FROM mcells JOIN goal_source USING (source) JOIN goal_lang USING (lang) JOIN goal_topic USING (topic))""")
+    step = 0
+    for _ in range(mixing.ROUNDS):
+        for d in dims:
+            parts.append(f"""w{step + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight),
+                weight * g_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{step})""")
+            step += 1
+    parts.append(f"""chance AS MATERIALIZED (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER ()
+        AS probability FROM w{step})""")
+    parts.append("""drawn AS MATERIALIZED (SELECT doc_id, source, lang, topic, n_tokens,
+        floor(coalesce(probability, 1.0) * 1e6 + 0.5) / 1e6 AS probability, u < coalesce(probability, 1.0) AS kept
+        FROM mrows LEFT JOIN chance USING (source, lang, topic))""")
+    return ",\n".join(parts)
+
+
 ORACLE = {
+    "op3_mixing": f"WITH {mixing_ctes('documents')} SELECT * FROM drawn",
     "op4_arc_to_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,

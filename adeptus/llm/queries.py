@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe, language, licenses, quality, toxicity
+from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, quality, toxicity
 from adeptus.llm.shared import scratch_path, written
 
 
@@ -89,5 +89,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_arc_to_warc, op5_quality, op6_license_scan, op7_toxicity,
-                                   op8_language)}
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cell, its probability after raking, and whether it is drawn."""
+    return mixing.draw(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan,
+                                   op7_toxicity, op8_language, op9_fingerprint)}
