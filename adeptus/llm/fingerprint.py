@@ -3,8 +3,8 @@
 Every shingle of ``SHINGLE`` words is hashed once.  The hash's high bits choose
 one of ``BINS`` bins, each bin keeps its smallest hash.  An empty bin is filled
 by optimal densification: it draws other bins in an order of its own, the same
-for all documents, until it meets a filled one.  (The first filled bin of
-that order is the filled bin whose draw is smallest, so one pass finds it.)
+for all documents, until it meets a filled one.  (After ``DRAWS`` draws one pass
+finds the filled bin that comes first in a further order.)
 The ``BITS`` low bits of every bin are stored packed, four to a byte half, as
 hexadecimal digits; ``unhex`` gives the bytes.
 
@@ -27,6 +27,9 @@ SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 4
+DIGITS = "0123456789abcdef"
+#: Draws that an empty bin makes one by one; after them it takes the filled bin of smallest draw.
+DRAWS = 8
 #: Ids that share all but so many low bits are put in order together.
 BUCKET_BITS, GROUP_BITS = 11, 18
 LEAST = -(1 << 63)
@@ -44,9 +47,9 @@ def _bin(h: Column) -> Column:
 def shingle_hashes(text: Column) -> Column:
     """Hashes of all shingles of a text, repeats included."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return _bound(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE)))))
+    return _bound(F.transform(words, lambda x: F.xxhash64(x)), lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))),
+        lambda i: F.xxhash64(*(F.get(w, i + k if k else i) for k in range(SHINGLE)))))
 
 
 def smallest_by_bin(hashes: Column) -> Column:
@@ -57,14 +60,22 @@ def smallest_by_bin(hashes: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The packed fingerprint as ``BINS`` hexadecimal digits."""
+    every = F.sequence(F.lit(0), F.lit(BINS - 1))
+
+    def drawn(dense: Column, kept: Column, j: Column) -> Column:
+        draws = [F.get(dense, F.xxhash64(j, F.lit(a)).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int"))
+                 for a in range(DRAWS)]
+        last = F.array_min(F.transform(kept, lambda x: F.struct(F.xxhash64(j, _bin(x)).alias("draw"), x.alias("h"))))
+        return F.coalesce(F.get(dense, j), *draws, last["h"])
+
     def filled(kept: Column) -> Column:
         by_bin = F.map_from_arrays(F.transform(kept, _bin), kept)
-        return _bound(by_bin, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.coalesce(
-            F.element_at(m, j),
-            F.array_min(F.transform(kept, lambda x: F.struct(F.xxhash64(j, _bin(x)).alias("draw"), x.alias("h"))))["h"])))
+        dense = _bound(by_bin, lambda m: F.transform(every, lambda j: F.element_at(m, j)))
+        return _bound(dense, lambda d: F.transform(every, lambda j: drawn(d, kept, j)))
 
     bins = _bound(smallest_by_bin(shingle_hashes(text)), filled)
-    return F.concat_ws("", F.transform(bins, lambda h: F.lower(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))))))
+    digit = lambda h: F.substring(F.lit(DIGITS), h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int") + 1, F.lit(1))
+    return F.concat_ws("", F.transform(bins, digit))
 
 
 def likeness(a: Column, b: Column) -> Column:
