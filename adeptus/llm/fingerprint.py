@@ -4,7 +4,9 @@ Every shingle of ``SHINGLE`` words is hashed once.  The hash's high bits choose
 one of ``BINS`` bins, each bin keeps its smallest hash.  An empty bin is filled
 by optimal densification: it draws other bins in an order of its own, the same
 for all documents, until it meets a filled one.  (After ``DRAWS`` draws one pass
-finds the filled bin that comes first in a further order.)
+finds the filled bin that comes first in a further order.)  A bin's hash is
+hashed with the bin's number before its bits are cut, so that bins filled from
+one bin agree by chance each by itself.
 The ``BITS`` low bits of every bin are stored packed, four to a byte half, as
 hexadecimal digits; ``unhex`` gives the bytes.
 
@@ -74,7 +76,11 @@ def fingerprint(text: Column) -> Column:
         return _bound(dense, lambda d: F.transform(every, lambda j: drawn(d, kept, j)))
 
     bins = _bound(smallest_by_bin(shingle_hashes(text)), filled)
-    digit = lambda h: F.substring(F.lit(DIGITS), h.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int") + 1, F.lit(1))
+
+    def digit(h: Column, j: Column) -> Column:
+        low = F.xxhash64(h, j).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+        return F.substring(F.lit(DIGITS), low + 1, F.lit(1))
+
     return F.concat_ws("", F.transform(bins, digit))
 
 

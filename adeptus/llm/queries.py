@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, quality, toxicity
+from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, toxicity
 from adeptus.llm.shared import scratch_path, written
 
 
@@ -99,5 +99,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan,
-                                   op7_toxicity, op8_language, op9_fingerprint)}
+                                   op7_toxicity, op8_language, op9_fingerprint, op10_near_dedup)}
