@@ -2,9 +2,10 @@
 
 1. ``word_weights`` counts in how many documents each word occurs, over all
    documents, in ``2**IDF_BITS`` hashed word classes: a table of fixed size.  A
-   word's IDF is ``ln(1 + documents / frequency)``.
-2. A document is a bag of shingles of five words.  A shingle weighs its number of
-   occurrences times the mean IDF of its words.  (The IDF is the words', not
+   word's IDF is ``1 + ln(1 + documents / frequency) / ln(1 + documents)``, from
+   1 to 2, so that a rare word counts at most twice a common one.
+2. A document is a bag of shingles of five words.  A shingle weighs
+   ``1 + ln(occurrences)`` times the mean IDF of its words.  (The IDF is the words', not
    the shingle's own: a group of copies would otherwise make just the shingles
    that its members share weigh little.)
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of a
@@ -80,9 +81,9 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     # at most 2**IDF_BITS + 1 rows, whatever the input
     table = rows.toPandas()
     n = float(table.loc[table.word == -1, "docs"].sum())
-    idf = np.full(1 << IDF_BITS, np.log1p(max(n, 1.0)))
+    idf = np.full(1 << IDF_BITS, 2.0)
     table = table[table.word >= 0]
-    idf[table.word.to_numpy(np.int64)] = np.log1p(n / table.docs.to_numpy(float))
+    idf[table.word.to_numpy(np.int64)] = 1 + np.log1p(n / table.docs.to_numpy(float)) / np.log1p(max(n, 1.0))
     return idf.astype(np.float32)
 
 
@@ -142,7 +143,7 @@ def sketch(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
             for lo, hi in slices(offsets, SLICE_BYTES):
                 block = TextBlock(offsets, raw, lo, hi)
                 h, count, mean, first = bags(block, idf.value)
-                keys = band_keys(h, count * mean, first).view(np.int64)
+                keys = band_keys(h, (1 + np.log(count)) * mean, first).view(np.int64)
                 content = []
                 for r in range(hi - lo):
                     a, b = block.first[r], block.first[r + 1]
@@ -182,15 +183,15 @@ def _links(h: np.ndarray, count: np.ndarray, mean: np.ndarray, first: np.ndarray
            left: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links of one unit that join members not yet joined, by exact weighted Jaccard similarity.
 
-    A shingle that occurs ``c`` times is ``c`` features of one occurrence, so
-    the shared weight of two bags is a sum over common features.
+    A shingle that occurs ``c`` times is ``c`` features, which weigh what each
+    occurrence adds, so the shared weight of two bags is a sum over common features.
     """
     at = np.concatenate([np.arange(first[m], first[m + 1]) for m in members])
     who = np.repeat(np.arange(len(members)), first[members + 1] - first[members])
     times = count[at]
     level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
     who, feature = np.repeat(who, times), mix(np.repeat(h[at], times) + level.astype(np.uint64) * POWER)
-    weight = np.repeat(mean[at], times)
+    weight = np.repeat(mean[at], times) * np.where(level, np.log1p(1 / np.maximum(level, 1)), 1.0)
     total = np.bincount(who, weights=weight, minlength=len(members))
     feature, number = np.unique(feature, return_inverse=True)
     often = np.bincount(number) > 1                    # what one member has alone is never shared
