@@ -189,27 +189,27 @@ class Encoder:
         return [b"".join(map(get, m)) for m in matches]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): every whole text encoded, ids packed as ``<u4``."""
-    spark = docs.sparkSession
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
+           carry: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, n_tokens and ids: every whole text encoded, ids packed as ``<u4``."""
     vocabulary = read_ranks(ranks_path)
-    shipped = spark.sparkContext.broadcast((vocabulary, PerfectHash(vocabulary), pattern))
-    key = docs.schema[id_col]
-    schema = T.StructType([T.StructField(id_col, key.dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, PerfectHash(vocabulary), pattern))
+    names = [*carry] if text_col in carry else [*carry, text_col]
+    at, n = names.index(text_col), len(carry)
+    schema = T.StructType([docs.schema[c] for c in carry] + [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shipped.value)
         for batch in batches:
-            texts = batch.column(1)
-            for lo, hi in slices(column_bytes(texts)[0], SLICE_BYTES):
-                ids = encoder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+            for lo, hi in slices(column_bytes(batch.column(at))[0], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                ids = encoder.encode([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+                    [*part.columns[:n], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=[*carry, "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

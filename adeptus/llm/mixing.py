@@ -25,7 +25,7 @@ from adeptus.llm.shared import written
 #: Rounds of raking, and how many are planned at once.
 ROUNDS, AT_ONCE = 12, 4
 #: Power of the natural shares that the default targets follow: 1 is natural, 0 equal shares.
-TEMPER = 0.8
+TEMPER = 0.95
 TOKEN = r"[^ \t\r\n]+"
 # Topic rules, the first that holds counts: name, and strings of which the lower-cased text has one.
 TOPICS = [("legal", ["license", "licence"]), ("web", ["http://", "https://", "www."]), ("table", [" | "])]
@@ -88,26 +88,44 @@ def uniform(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
 
 
-def draw(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id",
-         text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, kept) of every row.
+DIMS = ["source", "lang", "topic"]
+
+
+def cell_columns(text_col: str, source_col: str, lang_col: str) -> dict[str, Column]:
+    """The three dimensions of a document."""
+    return {"source": F.coalesce(F.col(source_col), F.lit("?")), "lang": F.coalesce(F.col(lang_col), F.lit("?")),
+            "topic": topic(F.col(text_col))}
+
+
+def chances(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_col: str = "text",
+            source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(source, lang, topic, probability) of every cell with tokens.
 
     ``targets`` gives shares by dimension (``source``, ``lang``, ``topic``);
     a dimension that it lacks gets the tempered natural shares.
     """
-    dims = ["source", "lang", "topic"]
-    text = F.col(text_col)
-    named = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("?")).alias("source"),
-        F.coalesce(F.col(lang_col), F.lit("?")).alias("lang"), topic(text).alias("topic"),
-        tokens(text).alias("n_tokens"),
-        uniform(seed, F.coalesce(F.col(id_col).cast("string"), text, F.lit(""))).alias("u"))
-    named = written(named, "mix-rows")         # everything below reads these few columns, not the texts
-    cells = written(named.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    counted = docs.select(*(c.alias(d) for d, c in cell_columns(text_col, source_col, lang_col).items()),
+                          tokens(F.col(text_col)).alias("tokens"))
+    cells = written(counted.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     targets = targets or {}
-    goals = {d: targets[d] if d in targets else tempered(cells, d) for d in dims}
-    chance = written(rates(rake(cells, dims, goals), dims), "mix-rates")
-    p = F.coalesce("probability", F.lit(1.0))
-    return named.join(chance, dims, "left").select(
-        "doc_id", "source", "lang", "topic", "n_tokens",
-        (F.floor(p * 1e6 + 0.5) / 1e6).alias("probability"), (F.col("u") < p).alias("kept"))
+    goals = {d: targets[d] if d in targets else tempered(cells, d) for d in DIMS}
+    return written(rates(rake(cells, DIMS, goals), DIMS), "mix-rates")
+
+
+def draw(docs: DataFrame, chance: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
+    """``docs`` with ``__mix``: its cell, probability and whether the row is ``kept``."""
+    dims = cell_columns(text_col, source_col, lang_col)
+    u = uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
+    rows = docs.select("*", *(c.alias(f"__mix_{d}") for d, c in dims.items()), u.alias("__mix_u"))
+    chance = chance.select(*(F.col(d).alias(f"__mix_{d}") for d in dims), F.col("probability").alias("__mix_p"))
+    p = F.coalesce("__mix_p", F.lit(1.0))
+    return rows.join(chance, [f"__mix_{d}" for d in dims], "left").select(
+        *(rows[c] for c in docs.columns),
+        F.struct(*(F.col(f"__mix_{d}").alias(d) for d in dims), p.alias("probability"),
+                 (F.col("__mix_u") < p).alias("kept")).alias("__mix"))
+
+
+def sampled(docs: DataFrame, chance: DataFrame, **columns: str) -> DataFrame:
+    """The rows of ``docs`` that are drawn."""
+    return draw(docs, chance, **columns).filter("__mix.kept").drop("__mix")

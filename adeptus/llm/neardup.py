@@ -303,9 +303,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return stars
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id) of every row; see the module's docstring."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (entry, row_id, row_hash, id, root) of all entries."""
     idf = docs.sparkSession.sparkContext.broadcast(word_weights(docs, text_col))
     seen = sketch(docs, idf, id_col, text_col)
     seen = written(seen, "sketches")
@@ -322,8 +321,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted.alias("w"), F.col("t.row_id").eqNullSafe(F.col("w.row_id")) & (F.col("t.row_hash") == F.col("w.row_hash")))
     texts = texts.select("entry", "text").dropDuplicates(["entry"])
     roots = components(verified(compared.join(texts, "entry"), idf, threshold))
-    rooted = entries.select("entry", "id").join(roots, "entry", "left").select(
-        "entry", "id", F.coalesce("root", "entry").alias("root"))
+    return seen, written(entries.drop("keys").join(roots, "entry", "left").withColumn(
+        "root", F.coalesce("root", "entry")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id) of every row; see the module's docstring."""
+    seen, rooted = _classes(docs, id_col, text_col, threshold)
     classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     of = written(rooted.join(classes, "root").select(F.col("entry").alias("content"), "class_id"), "classes")
     return seen.select(F.col("id").alias(id_col), "content").join(of, "content").select(id_col, "class_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` from each class: that of the smallest id (nulls last)."""
+    _, rooted = _classes(docs, id_col, text_col, threshold)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("row_id").isNull(), "row_id", "row_hash")).alias("row"))
+    first = first.select(F.col("row.row_id").alias("__dd_id"), F.col("row.row_hash").alias("__dd_hash"))
+    rows = docs.withColumn("__dd_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = rows.join(first, rows[id_col].eqNullSafe(first["__dd_id"]) & (rows["__dd_own"] == first["__dd_hash"]))
+    return kept.dropDuplicates(["__dd_id", "__dd_hash"]).select(*(rows[c] for c in docs.columns))

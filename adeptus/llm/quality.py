@@ -137,15 +137,18 @@ def fit(sample: DataFrame, bits: int = BITS) -> Model:
     return Model(weights, rows[0]["bias"])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row of ``docs``."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] = ("doc_id",),
+          out: str = "score") -> DataFrame:
+    """The columns ``carry`` of every row of ``docs``, and its score as ``out``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     bits = int(np.log2(len(model.weights)))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    names = [*carry] if text_col in carry else [*carry, text_col]
+    at, n = names.index(text_col), len(carry)
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = scores(shipped.value, *column_bytes(batch.column(1)), bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[id_col, "score"])
+            found = scores(shipped.value, *column_bytes(batch.column(at)), bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found)], names=[*carry, out])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)

@@ -49,7 +49,8 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(again, F.col("full_key").cast("long")).alias("refers_to"))
 
 
-def _fold(key: str, parts: int):
+def fold(key: str, parts: int):
+    """crc32 of an id as text, modulo ``parts``: the folds that the labels are held out by."""
     return F.crc32(F.col(key).cast("string")) % parts
 
 
@@ -60,9 +61,9 @@ QUALITY_TRAIN, TOXICITY_TRAIN, LANGUAGE_TRAIN = 6000, 2500, 1000
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learnt from labels of the folds 0 and 2 of 3."""
     docs = _table(spark, sf_dir, "documents")
-    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", _fold("k", 3) != 1, QUALITY_TRAIN)
+    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", fold("k", 3) != 1, QUALITY_TRAIN)
     return quality.score(docs, quality.fit(sample)).select(
-        "doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -74,19 +75,19 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learnt from labels of the folds 1 to 4 of 5."""
     docs = _table(spark, sf_dir, "documents")
-    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", _fold("k", 5) != 0,
+    sample = quality.labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", fold("k", 5) != 0,
                                      TOXICITY_TRAIN, by_label=True)
     return toxicity.score(docs, toxicity.fit(sample)).select(
-        "doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learnt from the folds 0, 1 and 3 of 4."""
     docs = _table(spark, sf_dir, "documents")
-    model = language.fit(language.training_rows(docs, _fold("k", 4) != 2, LANGUAGE_TRAIN))
+    model = language.fit(language.training_rows(docs, fold("k", 4) != 2, LANGUAGE_TRAIN))
     return language.identify(docs, model).select(
-        "doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, its probability after raking, and whether it is drawn."""
-    return mixing.draw(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    p = F.col("__mix.probability")
+    return mixing.draw(docs, mixing.chances(docs)).select(
+        "doc_id", "__mix.source", "__mix.lang", "__mix.topic", mixing.tokens(F.col("text")).alias("n_tokens"),
+        (F.floor(p * 1e6 + 0.5) / 1e6).alias("probability"), "__mix.kept")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
