@@ -12,8 +12,8 @@
 
 Files are written by Spark's text writer with the record terminator as line
 separator, so every Spark file system works, and a lost task's files are never
-seen.  An archive is one task's stream; writers therefore aim at
-``FILE_BYTES`` of payload per file.
+seen.  An archive is one task's stream and is inflated as it is read;
+``convert`` aims at ``FILE_BYTES`` of payload per file.
 
 A null payload is an empty one.  Null ids and urls are written as absent and
 read back as null.  A header line that can't be parsed gives a row that has
@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,16 +58,15 @@ def files_for(total_bytes: int) -> int:
 def _as_text(df: DataFrame, run, end: str, folder: str) -> str:
     """Write the binary column ``record`` that ``run`` yields; a file per partition."""
     (df.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", end).option("compression", "gzip").text(folder))
+     .write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder))
     return folder
 
 
 def write_arc(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col: str) -> str:
-    """Write rows as gzipped ARC files, version 1 and 2 in turn; returns ``folder``."""
+    """Write rows as gzipped ARC files, one a partition, version 1 and 2 in turn; returns ``folder``."""
     rows = pages.select(F.col(id_col).cast("string").alias("k"), F.col(url_col).alias("u"),
                         F.coalesce(F.col(payload_col), F.lit("")).alias("p"))
-    n = files_for(rows.agg(F.sum(F.octet_length("p"))).first()[0] or 0)
-    rows = rows.repartition(n, F.xxhash64("k", "u", "p")).withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = None
@@ -92,36 +93,36 @@ def _arc_record(version: str, url: str, ip: str, mime: str, block: bytes) -> byt
     return f"{url} {ip} 20080430204825 {mime} {more}{len(block)}\n".encode() + block
 
 
-def inflated(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def opened(content: bytes) -> BinaryIO:
+    """A stream of an archive's bytes, inflated as it is read if it is gzipped."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
+def parse_arc(stream: BinaryIO) -> Iterator[dict]:
     """Records of one ARC file: offset, url, ip, date, mime, block, problem."""
     at, fields = 0, 5
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
+    while line := stream.readline():
+        start, at = at, at + len(line)
+        line = line.rstrip(b"\r\n")
+        if not line:
             continue
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        line = data[at:end].rstrip(b"\r")
-        part = line.rsplit(b" ", (5 if line.startswith(b"filedesc://") else fields) - 1)
-        if line.startswith(b"filedesc://") and len(part) == 5 and not ARC_DATE.match(part[2]):
+        first = line.startswith(b"filedesc://")
+        part = line.rsplit(b" ", (5 if first else fields) - 1)
+        if first and len(part) == 5 and not ARC_DATE.match(part[2]):
             part = line.rsplit(b" ", 9)    # a version block whose own line has ten fields
         if len(part) not in (5, 10) or not part[-1].isdigit() or not ARC_DATE.match(part[2]):
-            yield {"offset": at, "problem": f"not a header line: {line[:80]!r}"}
-            at = end + 1
+            yield {"offset": start, "problem": f"not a header line: {line[:80]!r}"}
             continue
         size = int(part[-1])
-        block = data[end + 1:end + 1 + size]
-        if line.startswith(b"filedesc://"):
+        block = stream.read(size)
+        at += len(block)
+        if first:
             fields = {b"1": 5, b"2": 10}.get(block[:1], 5)
         else:
-            yield {"offset": at, "url": _text(part[0]), "ip": _text(part[1]), "date": _text(part[2]),
+            yield {"offset": start, "url": _text(part[0]), "ip": _text(part[1]), "date": _text(part[2]),
                    "mime": _text(part[3]), "block": block,
                    "problem": None if len(block) == size else f"{size} bytes declared, {len(block)} there"}
-        at = end + 1 + size
 
 
 def _text(raw: bytes) -> str | None:
@@ -174,7 +175,7 @@ def read_arc(spark: SparkSession, folder: str, with_blocks: bool = True) -> Data
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 name = path.rsplit("/", 1)[-1]
-                for r in parse_arc(inflated(content.as_py())):
+                for r in parse_arc(opened(content.as_py())):
                     if "block" in r:
                         head, payload = http_payload(r["block"])
                         r |= {"key": _key(head), "payload_bytes": len(payload),
@@ -269,27 +270,35 @@ def _warc(kind: str, record_id: str, date: str | None, block: bytes, more: list[
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of one WARC file: offset, headers (lower-case names), block, problem."""
-    at = 0
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
+def parse_warc(stream: BinaryIO) -> Iterator[dict]:
+    """Records of one WARC file: offset, headers (lower-case names), block, problem.
+
+    What stands where a record should begin is skipped, and reported, up to the next
+    line that begins one.
+    """
+    at, lost = 0, None
+    while line := stream.readline():
+        start, at = at, at + len(line)
+        if not line.strip():
             continue
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n") if end >= 0 else [b""]
-        headers = {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace")
-                   for k, _, v in (x.partition(b":") for x in lines[1:])}
-        if not lines[0].startswith(b"WARC/") or not headers.get("content-length", "").isdigit():
-            yield {"offset": at, "headers": {}, "block": None, "problem": f"not a record: {data[at:at + 80]!r}"}
-            skip = data.find(b"\r\nWARC/", at + 1)
-            at = len(data) if skip < 0 else skip + 2
+        headers: dict[str, str] = {}
+        if line.startswith(b"WARC/"):
+            while (more := stream.readline()).strip():
+                at += len(more)
+                k, _, v = more.partition(b":")
+                headers[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+            at += len(more)
+        if not headers.get("content-length", "").isdigit():
+            if lost is None:
+                yield {"offset": start, "headers": {}, "block": None, "problem": f"not a record: {line[:80]!r}"}
+            lost = start
             continue
+        lost = None
         size = int(headers["content-length"])
-        block = data[end + 4:end + 4 + size]
-        yield {"offset": at, "headers": headers, "block": block,
+        block = stream.read(size)
+        at += len(block)
+        yield {"offset": start, "headers": headers, "block": block,
                "problem": None if len(block) == size else f"{size} bytes declared, {len(block)} there"}
-        at = end + 4 + size
 
 
 def read_warc(spark: SparkSession, folder: str, with_blocks: bool = False) -> DataFrame:
@@ -308,7 +317,7 @@ def read_warc(spark: SparkSession, folder: str, with_blocks: bool = False) -> Da
     def rows(batches):
         for batch in batches:
             for content in batch.column(1):
-                for r in parse_warc(inflated(content.as_py())):
+                for r in parse_warc(opened(content.as_py())):
                     h = r["headers"]
                     head, payload = http_payload(r["block"] or b"")
                     digest = f"sha256:{hashlib.sha256(r['block'] or b'').hexdigest()}"
