@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, toxicity
+from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, search, toxicity
 from adeptus.llm.shared import scratch_path, written
 
 
@@ -109,5 +109,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan,
+def op1_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, its whole text as the query."""
+    docs = _table(spark, sf_dir, "documents")
+    index, idf = search.build_index(docs)
+    queries = docs.filter(F.col("doc_id") % 20 == 0)
+    return search.search(index, search.query_vectors(queries, idf, "doc_id", "text"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_bm25_top10, op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan,
                                    op7_toxicity, op8_language, op9_fingerprint, op10_near_dedup)}
