@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from adeptus.llm.textblock import BYTE_KEY, column_bytes, mix, powers, slices
 
-#: Distinct matches that one generation of the memo holds (about 50 MB).
-MEMO_ENTRIES = 200_000
+#: Distinct matches that one generation of the memo holds (about 20 MB).
+MEMO_ENTRIES = 100_000
 #: Bytes of text tokenised at once.
 SLICE_BYTES = 1 << 20
 
@@ -222,9 +222,11 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shipped.value.__getitem__
         for batch in batches:
-            decoded = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist()))
-                       for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
-                                             names=[*batch.schema.names, "decoded"])
+            for lo, hi in slices(column_bytes(batch.column(at))[0], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                decoded = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist()))
+                           for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())],
+                                                 names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def fold(key: str, parts: int):
 
 
 #: Bounds of the training samples: labelled documents; documents of each label; documents of each language.
-QUALITY_TRAIN, TOXICITY_TRAIN, LANGUAGE_TRAIN = 6000, 2500, 1000
+QUALITY_TRAIN, TOXICITY_TRAIN, LANGUAGE_TRAIN = 5000, 1500, 1000
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,7 +284,8 @@ def _fit(marks: list[bytes], positive: list[bytes], often: np.ndarray, negative:
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])                 # K_mm ** -1/2
-    rows = np.vstack([_subsequences(part, column, len(codes)) @ base.T for part in (positive, negative)])
+    both = positive + negative
+    rows = np.vstack([_subsequences(both[i:i + 256], column, len(codes)) @ base.T for i in range(0, len(both), 256)])
     y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
     cost = np.concatenate((np.minimum(often, 50), np.full(len(negative), 3.0)))
     beta, bias = _svm(rows @ root, y, cost)
