@@ -339,7 +339,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of ``docs`` from each class: that of the smallest id (nulls last)."""
     _, rooted = _classes(docs, id_col, text_col, threshold)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("row_id").isNull(), "row_id", "row_hash")).alias("row"))
-    first = first.select(F.col("row.row_id").alias("__dd_id"), F.col("row.row_hash").alias("__dd_hash"))
-    rows = docs.withColumn("__dd_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = rows.join(first, rows[id_col].eqNullSafe(first["__dd_id"]) & (rows["__dd_own"] == first["__dd_hash"]))
-    return kept.dropDuplicates(["__dd_id", "__dd_hash"]).select(*(rows[c] for c in docs.columns))
+    keys = ["__dd_id", "__dd_null", "__dd_hash"]
+
+    def keyed(df: DataFrame, row_id, text_hash) -> DataFrame:
+        return df.select("*", F.coalesce(row_id, F.lit(0)).alias(keys[0]), row_id.isNull().alias(keys[1]), text_hash.alias(keys[2]))
+
+    first = keyed(first, F.col("row.row_id"), F.col("row.row_hash")).select(*keys)
+    rows = keyed(docs, F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # repeated rows are dropped in the partitions that the join has made
+    return rows.join(first, keys).dropDuplicates(keys).select(*docs.columns)
