@@ -6,7 +6,9 @@ the work of a query happens in the library's operators.
 * authors    <- customer ⋈ nation: author_id = c_custkey, name = c_name,
                 institution = n_name
 * documents  <- orders: document_id = o_orderkey, author_id = o_custkey,
-                year = year(o_orderdate), body null (orders have no text)
+                year = year(o_orderdate), body null (orders have no text),
+                institution = name of nation o_orderkey % 25 (an author's papers
+                come from several institutions)
 * mentions   <- lineitem ⋈ orders ⋈ part: one mention of entity p_name per
                 line item, rho = 10 * l_discount (0.0 .. 1.0)
 * topics     <- one topic per distinct part name: query_id =
@@ -47,11 +49,18 @@ def _orders(spark, sf_dir) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select(
+    o = _orders(spark, sf_dir)
+    return o.join(_institutions(spark, sf_dir), o.o_orderkey % 25 == F.col("place"), "left").select(
         F.col("o_orderkey").cast("long").alias("document_id"),
         F.col("o_custkey").cast("string").alias("author_id"),
         F.col("o_year").alias("year"),
-        F.lit(None).cast("string").alias("body"))
+        F.lit(None).cast("string").alias("body"), "institution")
+
+
+def _institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The institution that a paper was written at: that of nation ``o_orderkey % 25``, so authors move."""
+    n = read_table(spark, sf_dir, "nation")  # 25 rows by definition
+    return F.broadcast(n.select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("institution")))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +104,10 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper rows (author_id, name, institution, year, abstract, doi, input_file)."""
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").cast("int").alias("year"))
-    a = authors(spark, sf_dir)
+    a = authors(spark, sf_dir).drop("institution")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return (o.join(a, o.o_custkey.cast("string") == a.author_id)
+            .join(_institutions(spark, sf_dir), o.o_orderkey % 25 == F.col("place"), "left")
             .join(d, o.o_orderkey == d.doc_id, "left")
             .select("author_id", "name", "institution", "year",
                     F.col("text").alias("abstract"),

@@ -141,10 +141,10 @@ def build_corpus(papers: DataFrame, annotator, min_year: int | None = MIN_YEAR,
     docs = assign_document_ids(accepted(p), start=start_id)
     ann = annotator(docs.select(F.col("document_id").cast("string").alias("id"), F.col("abstract").alias("text")))
     ann = ann.withColumn("document_id", F.col("id").cast("long")).drop("id")
-    meta = docs.select("document_id", "author_id", "year", "abstract")
+    meta = docs.select("document_id", "author_id", "year", "abstract", "institution")
     mentions = (ann.join(meta.select("document_id", "author_id", "year"), "document_id")
                 .select("entity", "author_id", "document_id", "year", "rho"))
     arrays = ann.groupBy("document_id").agg(F.collect_list(F.struct("begin", "end", "entity", "rho")).alias("anns"))
     documents = (meta.join(arrays, "document_id", "left")
-                 .select("document_id", "author_id", "year", annotated_text("abstract", "anns").alias("body")))
+                 .select("document_id", "author_id", "year", annotated_text("abstract", "anns").alias("body"), "institution"))
     return Corpus(authors, documents, mentions)

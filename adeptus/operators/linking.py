@@ -4,7 +4,8 @@ Pipeline (Spark jobs; Python only tokenises one text at a time):
 
 1. ``tokenize``: per text, word tokens with character offsets
    (``mapInPandas``; offsets need a running position that SQL arrays lack).
-2. n-grams of 1..``max_ngram`` tokens, built JVM-side from the token arrays.
+2. n-grams of 1..n tokens, n the size of the longest surface that the
+   gazetteer has, built JVM-side from the token arrays.
 3. join with a gazetteer ``(surface, entity, commonness, link_prob)``;
    broadcast only after a row count proves it small, else a shuffle join.
 4. each matched span keeps its most common sense; spans inside a longer
@@ -34,7 +35,6 @@ from adeptus.session import Bounded, checked_broadcast, spread
 # them by value so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEFAULT_MAX_NGRAM = 4
 _WORD = re.compile(r"\w+")
 
 TOKENS_SCHEMA = T.StructType([
@@ -67,7 +67,7 @@ def tokenize(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return src.mapInPandas(_tokenize_batches, TOKENS_SCHEMA)
 
 
-def ngrams(tokens: DataFrame, max_ngram: int = DEFAULT_MAX_NGRAM) -> DataFrame:
+def ngrams(tokens: DataFrame, max_ngram: int) -> DataFrame:
     """(id, i, n, begin, end, surface) for every n-gram, n = 1..max_ngram (0-based i)."""
     with_n = tokens.select("id", "begins", "ends", "toks",
                            F.explode(F.sequence(F.lit(1), F.lit(int(max_ngram)))).alias("n"))
@@ -94,8 +94,7 @@ def title_gazetteer(entities: DataFrame, entity_col: str = "entity") -> DataFram
 _ANCHOR = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
-def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int = DEFAULT_MAX_NGRAM,
-                     min_anchor_count: int = 1) -> DataFrame:
+def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count: int = 1) -> DataFrame:
     """Gazetteer from hyperlinks of a web corpus (anchor text -> link target).
 
     * entity     = link target (href path without leading ``/``, query, fragment)
@@ -119,7 +118,7 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
     longest = per_surface.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
     text = pages.select(F.monotonically_increasing_id().cast("string").alias("id"),
                                 F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ").alias("text"))
-    grams = ngrams(tokenize(text), max(1, min(int(max_ngram), int(longest)))).select("surface")
+    grams = ngrams(tokenize(text), max(1, int(longest))).select("surface")
     occ = (grams.join(per_surface.select("surface"), "surface", "left_semi")
            .groupBy("surface").agg(F.count(F.lit(1)).alias("occurrences")))
     return (sense.join(per_surface, "surface").join(occ, "surface", "left")
@@ -131,7 +130,7 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", max_ngram: int =
 
 
 def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_col: str = "text",
-                  max_ngram: int = DEFAULT_MAX_NGRAM, min_link_prob: float = 0.0,
+                  min_link_prob: float = 0.0,
                   small_side: str | None = "gazetteer") -> DataFrame:
     """M1: annotations (id, begin, end, entity, rho) of every text.
 
@@ -140,7 +139,7 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
     ``small_side``: which join side to broadcast after a count proves it
     small -- ``"gazetteer"`` for a corpus of texts, ``"texts"`` for a batch
     of short queries, None to leave the choice to the planner / AQE.
-    The gazetteer is read more than once (size check, n-gram cap, join):
+    The gazetteer is read more than once (size check, longest surface, join):
     pass a persisted or stored one.
     """
     gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
@@ -151,7 +150,7 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
             .select("surface", F.col("s.entity").alias("entity"), F.col("s.link_prob").alias("rho")))
     # n-grams longer than the longest surface cannot match
     longest = gaz.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
-    n_max = max(1, min(int(max_ngram), int(longest)))
+    n_max = max(1, int(longest))
     src = texts if small_side == "texts" else spread(texts)
     grams = ngrams(tokenize(src, id_col, text_col), n_max)
     if small_side == "gazetteer":
@@ -191,9 +190,9 @@ def annotated_bodies(texts: DataFrame, annotations: DataFrame, id_col: str = "id
     return t.join(arrays, "id", "left").select("id", annotated_text("text", "annotations").alias("body"))
 
 
-def query_entities(queries: DataFrame, gazetteer: DataFrame, max_ngram: int = DEFAULT_MAX_NGRAM) -> DataFrame:
+def query_entities(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Distinct (query_id, entity) found by linking each query text."""
-    ann = link_entities(queries, gazetteer, "query_id", "text", max_ngram, small_side="texts")
+    ann = link_entities(queries, gazetteer, "query_id", "text", small_side="texts")
     return ann.select(F.col("id").alias("query_id"), "entity").distinct()
 
 

@@ -71,8 +71,20 @@ def author_card(corpus: Corpus) -> DataFrame:
                     "entity", F.col("author_freq").alias("frequency"), years.alias("years")))
 
 
-def experts_json(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """A20 /query shape for one scoring: per query the top-k experts as JSON.
+def expert_rows_json(ranked: DataFrame, score_format: str = "%.6f") -> DataFrame:
+    """A20 /query shape for one scoring: (query_id, rank, json) of every hit.
+
+    One row per hit, so that a query with many candidates is never one value;
+    the score is text in a fixed format.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "author_id")
+    hit = F.struct("rank", "author_id", "name", F.format_string(score_format, "score").alias("score"))
+    return (ranked.withColumn("rank", F.row_number().over(w).cast("int"))
+            .select("query_id", "rank", F.to_json(hit).alias("json")))
+
+
+def experts_json(ranked: DataFrame, k: int) -> DataFrame:
+    """One page of the /query shape: per query the first k experts as a JSON array.
 
     ``ranked``: (query_id, author_id, name, score) -- at most k per query are
     kept (window group limit) before they are nested.

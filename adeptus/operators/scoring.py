@@ -210,10 +210,10 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
 
 def random_score(corpus: Corpus, query_entities: DataFrame, seed: int = 42, **_) -> DataFrame:
     """Reproducible uniform [0, 1) score per (query, candidate) from a hash."""
-    h = F.xxhash64(F.col("query_id"), F.col("author_id"), F.lit(int(seed)))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "query_id", "author_id", F.lit(str(int(seed))))), 1, 8), 16, 10)
     return citing_authors(corpus, query_entities).select(
         "query_id", "author_id",
-        (F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("score"))
+        (h.cast("double") / float(1 << 32)).alias("score"))
 
 
 # K1: scoring registry ------------------------------------------------------

@@ -91,24 +91,16 @@ def entity_popularity(doc_ent: DataFrame, entities=None) -> DataFrame:
     return pop
 
 
-def entity_institution_frequency(doc_ent: DataFrame, authors: DataFrame) -> DataFrame:
-    """Documents per (entity, institution), no rho filter.
+def entity_institution_frequency(doc_ent: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents per (entity, institution of the paper), no rho filter."""
+    of = documents.select("document_id", "institution")
+    return (doc_ent.join(of, "document_id").groupBy("entity", "institution")
+            .agg(F.count(F.lit(1)).alias("frequency")))
 
-    Pre-aggregated to (author, entity) before the join with ``authors`` so
-    the join input is one row per author-entity, not per mention.
-    """
-    per_author = doc_ent.groupBy("author_id", "entity").agg(F.count(F.lit(1)).alias("docs"))
-    return (per_author.join(authors.select("author_id", "institution"), "author_id")
-            .groupBy("entity", "institution")
-            .agg(F.sum("docs").alias("frequency")))
-
-
-def institution_document_count(documents: DataFrame, authors: DataFrame) -> DataFrame:
-    """D3: accepted documents per institution (documents without mentions count)."""
-    per_author = documents.groupBy("author_id").agg(F.count(F.lit(1)).alias("docs"))
-    return (per_author.join(authors.select("author_id", "institution"), "author_id")
-            .groupBy("institution")
-            .agg(F.sum("docs").alias("document_count")))
+
+def institution_document_count(documents: DataFrame) -> DataFrame:
+    """D3: accepted documents per institution of the paper (documents without mentions count)."""
+    return documents.groupBy("institution").agg(F.count(F.lit(1)).alias("document_count"))
 
 
 def institution_author_count(authors: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ WITH authors AS (
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
 fx_documents AS (
   SELECT CAST(o_orderkey AS BIGINT) AS document_id, CAST(o_custkey AS VARCHAR) AS author_id,
-         CAST(year(o_orderdate) AS INTEGER) AS year
-  FROM orders),
+         CAST(year(o_orderdate) AS INTEGER) AS year, n_name AS institution
+  FROM orders LEFT JOIN nation ON n_nationkey = o_orderkey % 25),
 mentions AS (
   SELECT p_name AS entity, CAST(o_custkey AS VARCHAR) AS author_id, CAST(l_orderkey AS BIGINT) AS document_id,
          CAST(year(o_orderdate) AS INTEGER) AS year, l_discount * CAST(10.0 AS DOUBLE) AS rho
@@ -40,11 +40,12 @@ ae AS (
          string_agg(CAST(year AS VARCHAR) || 'x' || CAST(n AS VARCHAR), ',' ORDER BY year) AS years
   FROM strong_year GROUP BY author_id, entity),
 paper_rows AS (
-  SELECT CAST(o.o_custkey AS VARCHAR) AS author_id, a.name, a.institution,
+  SELECT CAST(o.o_custkey AS VARCHAR) AS author_id, a.name, pn.n_name AS institution,
          CAST(year(o.o_orderdate) AS INTEGER) AS year, d.text AS abstract,
          CASE WHEN o.o_orderstatus = 'F' THEN '10.0/' || CAST(o.o_orderkey AS VARCHAR) END AS doi,
          o.o_orderkey AS ordinal, 'orders-' || o.o_orderstatus AS input_file
   FROM orders o JOIN authors a ON CAST(o.o_custkey AS VARCHAR) = a.author_id
+       LEFT JOIN nation pn ON pn.n_nationkey = o.o_orderkey % 25
        LEFT JOIN documents d ON o.o_orderkey = d.doc_id),
 papers AS (
   SELECT author_id, count(DISTINCT document_id) AS papers FROM mentions
@@ -142,14 +143,13 @@ sql("total_papers", "SELECT total_papers FROM total")
 sql("entity_popularity", "SELECT entity, entity_popularity FROM pop")
 
 sql("entity_institution_frequency", """
-SELECT m.entity, a.institution, count(DISTINCT m.document_id) AS frequency
-FROM mentions m JOIN authors a USING (author_id)
+SELECT m.entity, d.institution, count(DISTINCT m.document_id) AS frequency
+FROM mentions m JOIN fx_documents d USING (document_id)
 WHERE m.entity IS NOT NULL
-GROUP BY m.entity, a.institution""")
+GROUP BY m.entity, d.institution""")
 
 sql("institution_document_count", """
-SELECT a.institution, count(*) AS document_count
-FROM fx_documents d JOIN authors a USING (author_id) GROUP BY a.institution""")
+SELECT institution, count(*) AS document_count FROM fx_documents GROUP BY institution""")
 
 sql("institution_author_count", """
 SELECT institution, count(*) AS authors FROM authors GROUP BY institution""")
@@ -443,7 +443,7 @@ sql("topics_with_qrels", EVAL + """
 SELECT DISTINCT q.query_id, t.text FROM qrels q JOIN topics t USING (query_id)""")
 
 sql("trec_run_lines", EVAL + """
-SELECT query_id || ' 0 ' || author_id || ' 0 ' || printf('%.6f', round(score, 6)) || ' eciaf_score' AS value FROM rr""")
+SELECT query_id || ' 0 ' || author_id || ' 0 ' || printf('%.6f', round(score, 6)) || ' eciaf_score' AS value FROM run""")
 
 sql("query_entity_list", """
 SELECT query_id, string_agg(entity, '; ' ORDER BY entity) AS entities FROM qe GROUP BY query_id""")
@@ -451,13 +451,11 @@ SELECT query_id, string_agg(entity, '; ' ORDER BY entity) AS entities FROM qe GR
 sql("batch_topics", EVAL + """,
 jt AS (SELECT DISTINCT query_id FROM qrels)
 SELECT query_id, author_id, scoring, round(score, 6) AS score FROM (
-  SELECT s.query_id, s.author_id, 'eciaf_score' AS scoring, s.eciaf AS score,
-         row_number() OVER (PARTITION BY s.query_id ORDER BY s.eciaf DESC, s.author_id) AS rk
+  SELECT s.query_id, s.author_id, 'eciaf_score' AS scoring, s.eciaf AS score
   FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)
   UNION ALL
-  SELECT s.query_id, s.author_id, 'efiaf_score', s.efiaf,
-         row_number() OVER (PARTITION BY s.query_id ORDER BY s.efiaf DESC, s.author_id)
-  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)) WHERE rk <= 1000""")
+  SELECT s.query_id, s.author_id, 'efiaf_score', s.efiaf
+  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt))""")
 
 # ------------------------------------------------- text path (documents table)
 _WS = "[ \\t\\n\\x0B\\f\\r]"  # the reference's whitespace class
@@ -566,8 +564,7 @@ SELECT author_id, name, institution FROM authors WHERE author_id IN (SELECT auth
 
 sql("institution_papers", """
 SELECT a.author_id, a.institution, d.document_count FROM authors a JOIN (
-  SELECT a2.institution, count(*) AS document_count
-  FROM fx_documents d2 JOIN authors a2 USING (author_id) GROUP BY a2.institution) d USING (institution)""")
+  SELECT institution, count(*) AS document_count FROM fx_documents GROUP BY institution) d USING (institution)""")
 
 sql("author_mentions", """
 SELECT author_id, document_id, year, entity, round(rho, 6) AS rho FROM mentions""")
@@ -589,3 +586,17 @@ sql("document_json", """
 SELECT document_id, '{"author_id":' || to_json(author_id) || ',"ret_doc_id":' || CAST(document_id AS VARCHAR)
        || ',"year":' || CAST(year AS VARCHAR) || '}' AS json
 FROM fx_documents""")
+
+sql("find_experts_json", """
+SELECT query_id, CAST(rk AS INTEGER) AS rank,
+       '{"rank":' || CAST(rk AS VARCHAR) || ',"author_id":"' || author_id || '","name":"' || name ||
+       '","score":"' || printf('%.6f', score) || '"}' AS json
+FROM (SELECT s.query_id, s.author_id, a.name, round(s.eciaf, 6) AS score,
+             row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.eciaf, 6) DESC, s.author_id) AS rk
+      FROM scores s JOIN authors a USING (author_id))""")
+
+sql("score_random", """
+SELECT query_id, author_id,
+       CAST(CAST('0x' || substr(md5(query_id || '|' || author_id || '|42'), 1, 8) AS BIGINT) AS DOUBLE)
+         / 4294967296.0 AS score
+FROM scores""")

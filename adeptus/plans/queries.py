@@ -104,13 +104,13 @@ def entity_popularity(spark, sf):
 @query
 def entity_institution_frequency(spark, sf):
     c = _corpus(spark, sf)
-    return stats.entity_institution_frequency(c.doc_entities(), c.authors)
+    return stats.entity_institution_frequency(c.doc_entities(), c.documents)
 
 
 @query
 def institution_document_count(spark, sf):
     c = _corpus(spark, sf)
-    return stats.institution_document_count(c.documents, c.authors)
+    return stats.institution_document_count(c.documents)
 
 
 @query
@@ -342,8 +342,8 @@ def trec_eval_all(spark, sf):
 @query
 def trec_run_lines(spark, sf):
     run, _ = _run_and_qrels(spark, sf)
-    ranked = ranking.ranked_run(run).withColumn("score", r6("score"))
-    return ranking.trec_run_lines(ranked.withColumn("scoring", F.lit("eciaf_score")))
+    run = run.withColumn("score", r6("score"))
+    return ranking.trec_run_lines(run.withColumn("scoring", F.lit("eciaf_score")))
 
 
 @query
@@ -361,7 +361,7 @@ def batch_topics(spark, sf):
     qe = linking.query_entities(topics, gaz)
     outs = []
     for name in ("eciaf_score", "efiaf_score"):
-        s = ranking.find_experts(c, qe, name, k=1000, sort=False)
+        s = ranking.find_experts(c, qe, name, sort=False)
         outs.append(s.select("query_id", "author_id", F.lit(name).alias("scoring"), r6("score").alias("score")))
     return outs[0].unionByName(outs[1])
 
@@ -416,7 +416,7 @@ def anchor_gazetteer(spark, sf):
 def link_entities(spark, sf):
     """M1: every document linked against the anchor gazetteer of the pages."""
     ann = linking.link_entities(_docs(spark, sf).select("doc_id", "text"), _anchor_gazetteer(spark, sf),
-                                "doc_id", "text", min_link_prob=0.01)
+                                "doc_id", "text")
     return ann.select(F.col("id").cast("long").alias("doc_id"), "begin", "end", "entity", r6("rho").alias("rho"))
 
 
@@ -424,7 +424,7 @@ def link_entities(spark, sf):
 def annotated_bodies(spark, sf):
     """B13 over M1's annotations of every document (documents without any keep their escaped text)."""
     docs = _docs(spark, sf).select("doc_id", "text")
-    ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text", min_link_prob=0.01)
+    ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text")
     bodies = linking.annotated_bodies(docs, ann, "doc_id", "text")
     return bodies.select(F.col("id").cast("long").alias("doc_id"), "body")
 
@@ -521,7 +521,7 @@ def author_lookup(spark, sf):
 def institution_papers(spark, sf):
     """Each author's institution with that institution's document count."""
     c = _corpus(spark, sf)
-    d3 = stats.institution_document_count(c.documents, c.authors)
+    d3 = stats.institution_document_count(c.documents)
     return c.authors.join(d3, "institution").select("author_id", "institution", "document_count")
 
 
@@ -554,7 +554,7 @@ def document_json(spark, sf):
 
 @query
 def find_experts_json(spark, sf):
-    """/query shape: per topic the top-10 experts (eciaf) as a JSON array."""
+    """/query shape: every expert of every topic (eciaf) as a JSON object with its rank."""
     c = _corpus(spark, sf)
     ranked = ranking.find_experts(c, _query_entities(spark, sf, c), "eciaf_score", sort=False)
-    return lookups.experts_json(ranked.withColumn("score", r6("score")), 10)
+    return lookups.expert_rows_json(ranked.withColumn("score", r6("score")))

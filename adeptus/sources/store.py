@@ -98,9 +98,9 @@ class Store:
 
     def refresh_derived(self) -> None:
         c = self.corpus()
-        stats.entity_institution_frequency(c.doc_entities(), c.authors) \
+        stats.entity_institution_frequency(c.doc_entities(), c.documents) \
             .write.mode("overwrite").parquet(self._p("entities"))
-        stats.institution_document_count(c.documents, c.authors) \
+        stats.institution_document_count(c.documents) \
             .write.mode("overwrite").parquet(self._p("institutions"))
 
     def next_document_id(self, exclude_batch: str | None = None) -> int:

@@ -24,8 +24,9 @@ def tmpdir_path():
 
 # A small corpus worked out by hand (see test_scoring.py for the arithmetic).
 AUTHORS = [("a1", "Alice", "UniA"), ("a2", "Bob", "UniB"), ("a3", "Carol", "UniA"), ("a4", "Dan", "UniB")]
-DOCUMENTS = [(0, "a1", 2010, None), (1, "a1", 2011, None), (2, "a2", 2010, None), (3, "a2", 2012, None),
-             (4, "a3", 2011, None), (5, "a3", 2011, None)]  # d5: no mentions; a4: no documents
+DOCUMENTS = [(0, "a1", 2010, None, "UniA"), (1, "a1", 2011, None, "UniC"),  # a1 moved
+             (2, "a2", 2010, None, "UniB"), (3, "a2", 2012, None, "UniB"),
+             (4, "a3", 2011, None, "UniA"), (5, "a3", 2011, None, "UniA")]  # d5: no mentions; a4: no documents
 MENTIONS = [
     ("X", "a1", 0, 2010, 0.5), ("X", "a1", 0, 2010, 0.3), ("Y", "a1", 0, 2010, 0.2),  # Y at exactly 0.20
     ("X", "a1", 1, 2011, 0.9), ("Z", "a1", 1, 2011, 0.25),

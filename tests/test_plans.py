@@ -49,7 +49,7 @@ def test_hot_author_and_entity(spark):
     for a in range(30):
         ndocs = 80 if a == 0 else 4
         for _ in range(ndocs):
-            documents.append((doc, f"a{a}", 2000 + doc % 3, None))
+            documents.append((doc, f"a{a}", 2000 + doc % 3, None, f"U{doc % 3}"))
             for _ in range(rnd.randint(1, 4)):
                 e = "HOT" if rnd.random() < 0.7 else f"e{rnd.randint(0, 9)}"
                 mentions.append((e, f"a{a}", doc, 2000 + doc % 3, round(rnd.random(), 2)))

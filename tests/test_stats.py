@@ -31,11 +31,12 @@ def test_papers_popularity_total(corpus):
 
 
 def test_institution_tables(corpus):
-    d2 = stats.entity_institution_frequency(corpus.doc_entities(), corpus.authors)
+    d2 = stats.entity_institution_frequency(corpus.doc_entities(), corpus.documents)
     assert rows(d2, "entity", "institution", "frequency") == [
-        ("W", "UniA", 1), ("X", "UniA", 3), ("Y", "UniA", 1), ("Y", "UniB", 2), ("Z", "UniA", 1), ("Z", "UniB", 1)]
-    d3 = stats.institution_document_count(corpus.documents, corpus.authors)
-    assert rows(d3, "institution", "document_count") == [("UniA", 4), ("UniB", 2)]
+        ("W", "UniA", 1), ("X", "UniA", 2), ("X", "UniC", 1), ("Y", "UniA", 1), ("Y", "UniB", 2), ("Z", "UniB", 1),
+        ("Z", "UniC", 1)]
+    d3 = stats.institution_document_count(corpus.documents)
+    assert rows(d3, "institution", "document_count") == [("UniA", 3), ("UniB", 2), ("UniC", 1)]
     assert sum(r.document_count for r in d3.collect()) == corpus.total().first()[0]
     d8 = stats.institution_author_count(corpus.authors)
     assert rows(d8, "institution", "authors") == [("UniA", 2), ("UniB", 2)]

@@ -136,3 +136,14 @@ def test_annotation_memo(spark):
     assert calls[0].count() == 2  # identical texts are annotated once
     out2, fresh2 = linking.annotate_with_memo(texts, memo, annotator)
     assert fresh2.count() == 0 and out2.count() == 2
+
+
+def test_link_long_title(spark):
+    """A title of six tokens is linked whole, and its anchor counts all its places in the text."""
+    title = "theory of computation and formal languages"
+    gaz = linking.title_gazetteer(spark.createDataFrame([(title,), ("graph",)], "entity string"))
+    q = spark.createDataFrame([("q", f"a graph in {title} today")], "query_id string, text string")
+    assert sorted(r.entity for r in linking.query_entities(q, gaz).collect()) == ["graph", title]
+    pages = spark.createDataFrame([(f"<p><a href='/T'>{title}</a> {title} or {title}</p>",)], "html string")
+    row = linking.anchor_gazetteer(pages).first()
+    assert (row.surface, round(row.link_prob, 9)) == (title, round(1 / 3, 9))
