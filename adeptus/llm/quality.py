@@ -62,9 +62,10 @@ def features(block: TextBlock, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64), value / norm[row], first
 
 
-def train(texts: pa.Array, labels: np.ndarray, bits: int, epochs: int = 4, alpha: float = 0.5,
+def train(texts: pa.Array, labels: np.ndarray, bits: int, steps: int = 25_000, alpha: float = 0.5,
           beta: float = 1.0, l1: float = 0.05, l2: float = 0.01) -> Model:
-    """FTRL-proximal over the rows in order, ``epochs`` times."""
+    """FTRL-proximal over the rows in order, again and again for about ``steps`` rows, at most 50 times."""
+    epochs = min(50, max(1, round(steps / max(len(labels), 1))))
     z, n, w = (np.zeros(1 << bits) for _ in range(3))
     z0 = n0 = w0 = 0.0
     offsets, raw = column_bytes(texts)
