@@ -23,7 +23,6 @@ from adeptus.functions.text import normalize_author
 # them by value so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SUPPORTED_FORMATS = ("unipi", "tu")
 SEMICOLON_FIELDS = 20
 # Fixed positions of the semicolon format (0-based).
 F_AUTHOR_ID, F_LAST_NAME, F_FIRST_NAME, F_INSTITUTION, F_YEAR, F_DOI, F_ABSTRACT = 0, 1, 2, 4, 6, 11, 13
@@ -54,14 +53,23 @@ def fix_windows_1252(col):
 
 
 def _with_ordinal(df: DataFrame) -> DataFrame:
-    """Add input_file and ordinal (sorted file rank * 2^40 + row within the file)."""
+    """Add input_file and ordinal (sorted file rank * 2^40 + row within the file).
+
+    Rows are counted by split of a file (its path and block start).  A split's
+    rows follow each other in one partition, so a row's place is its distance
+    from the split's first row, after the rows of the file's earlier splits.
+    """
     d = (df.withColumn("input_file", F.col("_metadata.file_path"))
+         .withColumn("_block", F.col("_metadata.file_block_start"))
          .withColumn("_mid", F.monotonically_increasing_id()))
-    files = d.groupBy("input_file").agg(F.min("_mid").alias("_first"))
+    splits = d.groupBy("input_file", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("input_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    files = splits.select("input_file").distinct()
     files = files.withColumn("_rank", F.dense_rank().over(Window.orderBy("input_file")) - 1)  # one row per file
-    return (d.join(files, "input_file")  # one row per file; AQE broadcasts it when small
-            .withColumn("ordinal", F.col("_rank") * F.lit(1 << 40) + (F.col("_mid") - F.col("_first")))
-            .drop("_mid", "_first", "_rank"))
+    return (d.join(splits.join(files, "input_file"), ["input_file", "_block"])
+            .withColumn("ordinal", F.col("_rank") * F.lit(1 << 40) + F.col("_before") + (F.col("_mid") - F.col("_first")))
+            .drop("_mid", "_first", "_rank", "_block", "_n", "_before"))
 
 
 def read_papers_semicolon(spark: SparkSession, path: str, encoding: str = "windows-1252") -> DataFrame:

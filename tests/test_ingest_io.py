@@ -155,3 +155,27 @@ def test_write_texts_and_lines(spark, tmpdir_path):
     assert back == {"D1": "first", "NONE_2.xml": "second"}
     store.write_lines(spark.createDataFrame([("a b",), ("c",)], "value string"), f"{tmpdir_path}/lines")
     assert sorted(r.value for r in spark.read.text(f"{tmpdir_path}/lines").collect()) == ["a b", "c"]
+
+
+def test_input_order_over_many_splits(spark, tmpdir_path):
+    """Two files in more than 400 splits keep file and line order, without repeats."""
+    os.makedirs(f"{tmpdir_path}/assoc")
+    want = []
+    for name in ("b", "a"):
+        lines = [f"{name}{k:05d} doc{k}" for k in range(3000)]
+        with open(f"{tmpdir_path}/assoc/{name}.txt", "w") as f:
+            f.write("\n".join(lines) + "\n")
+        want = [x.split(" ")[0] for x in lines] + want
+    keys = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = readers.read_assoc(spark, f"{tmpdir_path}/assoc/*.txt")
+        assert spark.read.text(f"{tmpdir_path}/assoc/*.txt").rdd.getNumPartitions() > 400
+        got = df.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len({r.line_no for r in got}) == len(got) == 6000
+    assert [r.author_id for r in sorted(got, key=lambda r: r.line_no)] == want
