@@ -116,7 +116,7 @@ def read_papers(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """A3/A4: dispatch on the format name; ``path`` may be a glob."""
     readers = {"unipi": read_papers_semicolon, "tu": read_papers_tu}
     if fmt not in readers:
-        raise ValueError(f"Format '{fmt}' not supported")
+        raise ValueError(f"unknown paper format {fmt!r}; known: {', '.join(sorted(readers))}")
     return readers[fmt](spark, path)
 
 
