@@ -17,10 +17,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from adeptus.session import written
+
 # Confidence threshold for a mention to count for an author (strict ``>``).
 DEFAULT_MIN_RHO = 0.20
 
-# derived tables every scoring reads; materialised together by persist_derived()
+# derived tables every scoring reads; written together by write_derived()
 CORE_DERIVED = ("doc_entities", "author_entity", "papers", "popularity", "total")
 
 
@@ -42,22 +44,15 @@ class Corpus:
             self._memo[key] = build()
         return self._memo[key]
 
-    def persist_derived(self, *keys: str) -> "Corpus":
-        """Persist the derived tables several jobs read (memory, spilling to disk).
+    def write_derived(self, *keys: str) -> "Corpus":
+        """Write the derived tables that several jobs read to the shared folder, each from the ones before.
 
-        Persisted blocks lost with an executor are recomputed from lineage.
-        Without arguments the core tables are built and persisted.
+        Without arguments the core tables.
         """
-        keys = keys or CORE_DERIVED
-        for k in keys:
-            getattr(self, k)()  # build (memoised)
-            self._memo[k] = self._memo[k].persist()
+        for k in keys or CORE_DERIVED:
+            self._memo[k] = written(getattr(self, k)(), k)
         return self
 
-    def unpersist(self) -> None:
-        for df in self._memo.values():
-            df.unpersist()
-
     # shortcuts to the most used derived tables --------------------------
     def doc_entities(self) -> DataFrame:
         from adeptus.operators import stats

@@ -43,6 +43,11 @@ def html_attr_escape(text) -> Column:
     return F.replace(F.replace(t, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
 
 
+def plain_decimal(x) -> Column:
+    """A number without exponent, up to 12 decimals, at least one."""
+    return F.regexp_replace(_c(x).cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def annotated_text(text, annotations) -> Column:
     """Text with each annotation wrapped in a span.
 
@@ -50,7 +55,8 @@ def annotated_text(text, annotations) -> Column:
     [begin, end) character offsets.  Annotations are sorted by begin; the
     text between them and the surface are HTML-escaped; each span carries
     the entity (attribute-escaped) and the score.  Unlike the reference,
-    the text after the last annotation is escaped too.
+    the text after the last annotation is escaped too.  Scores are printed in
+    plain decimals, 12 at most.
 
     Each annotation is paired with the previous one's end by ``zip_with``
     so the per-annotation lambda only sees its own arguments (an array
@@ -66,7 +72,7 @@ def annotated_text(text, annotations) -> Column:
         return F.concat(html_escape(before),
                         F.lit("<span class='annotation' entity='"),
                         html_attr_escape(F.coalesce(a["entity"], F.lit(""))),
-                        F.lit("' score='"), a["rho"].cast("string"), F.lit("'>"),
+                        F.lit("' score='"), plain_decimal(a["rho"]), F.lit("'>"),
                         html_escape(surface), F.lit("</span>"))
 
     last_end = F.element_at(prev_ends, -1)
@@ -89,8 +95,3 @@ def truncate(text, n: int = 5000) -> Column:
 def normalize_space(text) -> Column:
     """Each whitespace character -> space, then trim."""
     return F.trim(F.regexp_replace(_c(text), _WS, " "))
-
-
-def tokens(text) -> Column:
-    """Lower-cased letter runs of a text (empty pieces removed)."""
-    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}]+"), lambda w: F.length(w) > 0)

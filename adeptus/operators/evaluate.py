@@ -170,16 +170,15 @@ def trec_eval(run: DataFrame, qrels: DataFrame, max_rank: int = 1000,
               relevance_level: int = 1, decimals: int | None = None) -> DataFrame:
     """Long form (measure, query_id, value), per query plus ``all``.
 
-    ``all`` averages over every judged query with a relevant author (absent
-    runs count 0); num_* measures are summed; gm_map is exp(mean(ln AP)).
+    ``all`` averages over every judged query (those without a run or without a
+    relevant author count 0); num_* measures are summed; gm_map is exp(mean(ln AP)).
     With ``decimals``, per-query values are rounded half up to that many
     decimals (as printed) and ``all`` averages the printed values exactly
     (integer sums), so the summary does not depend on summation order.
     """
     per = per_query_measures(run, qrels, max_rank, relevance_level)
     names = measure_names(per)
-    judged = (qrel_stats(qrels, relevance_level).where(F.col("num_rel") > 0)
-              .select("query_id", F.col("num_rel").cast("double").alias("nr")))
+    judged = qrel_stats(qrels, relevance_level).select("query_id", F.col("num_rel").cast("double").alias("nr"))
     long = (per.join(judged.select("query_id"), "query_id", "left_semi")
             .unpivot("query_id", names, "measure", "value")
             .withColumn("value", F.col("value").cast("double"))

@@ -5,8 +5,9 @@ papers(author_id, name, institution, year, abstract, doi[, ordinal][, input_file
   -> accepted papers (B2) -> consecutive document ids in input order (F2)
   -> annotation (M1 or any annotator) -> mentions, documents (body = B13)
 
-``ordinal`` is the input order (the readers give file rank * 2^40 + row in file); when
-absent the order is undefined but ids are still consecutive and unique.
+``ordinal`` is the input order, of any type that can be sorted (the readers give
+file, split and row); when absent the order is undefined but ids are still
+consecutive and unique.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
 from adeptus.functions.text import annotated_text, legit_document
+from adeptus.session import written
 
 # Reference ingest window (inclusive years).
 MIN_YEAR, MAX_YEAR = 2006, 2017
 
-# Rows per ordinal bucket when numbering documents (bounds each window partition).
-ID_BUCKET_ROWS = 1 << 20
-
 
 def year_filter(papers: DataFrame, min_year: int | None = None, max_year: int | None = None) -> DataFrame:
     """B1: keep papers with min_year <= year <= max_year (each bound optional)."""
@@ -57,25 +56,29 @@ def ingest_summary(papers: DataFrame, min_year: int | None = None, max_year: int
     return papers.groupBy(by).agg(*aggs) if by else papers.agg(*aggs)
 
 
-def assign_document_ids(papers: DataFrame, ordinal: str = "ordinal", start: int = 0,
-                        bucket_rows: int = ID_BUCKET_ROWS) -> DataFrame:
-    """consecutive ``document_id`` = start, start+1, ... in ``ordinal`` order.
-
-    Two passes instead of one global window: rows are grouped in ordinal
-    buckets of ``bucket_rows`` consecutive ordinals; a small table of bucket
-    sizes gives each bucket's first id (cumulative sum over the buckets) and
-    ``row_number`` inside a bucket gives the rest.  Each window partition
-    holds at most ``bucket_rows`` rows.
+def numbered(df: DataFrame, order: list, out: str, start: int = 0, ranges: int | None = None) -> DataFrame:
+    """Consecutive numbers ``start``, ``start + 1``, ... in the given order, without one task for all rows.
+
+    The rows are sorted into ``ranges`` partitions of about equal size (default:
+    ``spark.sql.shuffle.partitions``) and written; the only window over the
+    whole input is over the ``ranges`` partition sizes.  A key that holds many
+    rows is spread over several ranges if the order goes on within it.
     """
-    b = papers.withColumn("_bucket", F.floor(F.col(ordinal) / F.lit(int(bucket_rows))))
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select("_bucket", (F.sum("_n").over(w_all) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(ordinal)
-    return (b.withColumn("_rn", F.row_number().over(w))
-            .join(offsets, "_bucket")  # one row per bucket; AQE broadcasts it when small
-            .withColumn("document_id", (F.lit(int(start)) + F.col("_off") + F.col("_rn") - 1).cast("long"))
-            .drop("_bucket", "_rn", "_off"))
+    n = int(ranges or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (parts.withColumn("_row", within).join(sizes, "_range")
+            .withColumn(out, (F.lit(int(start)) + F.col("_before") + F.col("_row") - 1).cast("long"))
+            .drop("_range", "_row", "_before"))
+
+
+def assign_document_ids(papers: DataFrame, ordinal: str = "ordinal", start: int = 0,
+                        ranges: int | None = None) -> DataFrame:
+    """consecutive ``document_id`` = start, start+1, ... in ``ordinal`` order."""
+    return numbered(papers, [F.col(ordinal)], "document_id", start, ranges)
 
 
 def next_document_id(documents: DataFrame) -> DataFrame:
@@ -100,11 +103,6 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key).distinct(), key, "left_anti")
 
 
-def pending_documents(docs: DataFrame, done: DataFrame, key: str = "docno") -> DataFrame:
-    """Documents not yet written to the sink (skip what was processed before)."""
-    return pending(docs, done, key)
-
-
 def last_wins(assoc: DataFrame, key: str = "document_id", value: str = "author_id",
               order: str = "line_no") -> DataFrame:
     """One value per key, the one on the last line (max line number).
@@ -120,31 +118,39 @@ def merge_documents_authors(assoc: DataFrame, texts: DataFrame, key: str = "docu
     return assoc.join(texts, key).where(F.col("text").isNotNull() & (F.length("text") > 0))
 
 
-def papers_from_documents(docs: DataFrame) -> DataFrame:
-    """A2 mapping: (doc_id, author_id, text) -> paper rows with fixed name, institution, year."""
+def papers_from_documents(docs: DataFrame, *carry: str) -> DataFrame:
+    """A2 mapping: (doc_id, author_id, text) -> paper rows with fixed name, institution, year.
+
+    ``carry``: further columns to keep; without an ``ordinal`` among them, doc_id is the input order.
+    """
+    author = F.col("author_id").cast("string")
+    order = [] if "ordinal" in carry else [F.col("doc_id").alias("ordinal")]
     return docs.select(
-        F.col("author_id").cast("string").alias("author_id"),
-        F.concat(F.lit("Name of "), F.col("author_id").cast("string")).alias("name"),
+        author.alias("author_id"), F.concat(F.lit("Name of "), author).alias("name"),
         F.lit("TU").alias("institution"), F.lit(2017).alias("year"),
-        F.col("text").alias("abstract"), F.lit(None).cast("string").alias("doi"),
-        F.col("doc_id").alias("ordinal"))
+        F.col("text").alias("abstract"), F.lit(None).cast("string").alias("doi"), *order, *carry)
 
 
 def build_corpus(papers: DataFrame, annotator, min_year: int | None = MIN_YEAR,
                  max_year: int | None = MAX_YEAR, start_id: int = 0,
                  existing_authors: DataFrame | None = None) -> Corpus:
-    """Papers -> Corpus.  ``annotator(df(id, text)) -> (id, begin, end, entity, rho)``."""
+    """Papers -> Corpus.  ``annotator(df(id, text)) -> (id, begin, end, entity, rho)``.
+
+    Numbered documents and their annotations are written as one table, from
+    which documents and mentions are read: the annotator sees each document once.
+    """
     p = year_filter(papers, min_year, max_year)
     if "ordinal" not in p.columns:
         p = p.withColumn("ordinal", F.monotonically_increasing_id())
     authors = authors_first_wins(p, existing_authors)
-    docs = assign_document_ids(accepted(p), start=start_id)
+    docs = assign_document_ids(accepted(p), start=start_id).select(
+        "document_id", "author_id", "year", "abstract", "institution")
     ann = annotator(docs.select(F.col("document_id").cast("string").alias("id"), F.col("abstract").alias("text")))
-    ann = ann.withColumn("document_id", F.col("id").cast("long")).drop("id")
-    meta = docs.select("document_id", "author_id", "year", "abstract", "institution")
-    mentions = (ann.join(meta.select("document_id", "author_id", "year"), "document_id")
+    arrays = (ann.groupBy(F.col("id").cast("long").alias("document_id"))
+              .agg(F.collect_list(F.struct("begin", "end", "entity", "rho")).alias("anns")))
+    annotated = written(docs.join(arrays, "document_id", "left"), "annotated")
+    mentions = (annotated.select("author_id", "document_id", "year", F.inline("anns"))
                 .select("entity", "author_id", "document_id", "year", "rho"))
-    arrays = ann.groupBy("document_id").agg(F.collect_list(F.struct("begin", "end", "entity", "rho")).alias("anns"))
-    documents = (meta.join(arrays, "document_id", "left")
-                 .select("document_id", "author_id", "year", annotated_text("abstract", "anns").alias("body"), "institution"))
+    documents = annotated.select("document_id", "author_id", "year", annotated_text("abstract", "anns").alias("body"),
+                                 "institution")
     return Corpus(authors, documents, mentions)

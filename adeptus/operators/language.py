@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adeptus.session import spread
+from adeptus.session import dealt
 
 BROKEN = "broken"
 
@@ -74,7 +74,7 @@ def detect_language(text) -> Column:
 
 
 def with_language(docs: DataFrame, text_col: str = "text", out_col: str = "detected") -> DataFrame:
-    return spread(docs).withColumn(out_col, detect_language(F.col(text_col)))
+    return dealt(docs).withColumn(out_col, detect_language(F.col(text_col)))
 
 
 def language_counts(docs: DataFrame, lang_col: str = "detected") -> DataFrame:

@@ -3,11 +3,12 @@
 Pipeline (Spark jobs; Python only tokenises one text at a time):
 
 1. ``tokenize``: per text, word tokens with character offsets
-   (``mapInPandas``; offsets need a running position that SQL arrays lack).
+   (``mapInPandas``; offsets need a running position that SQL arrays lack
+   without quadratic work on a long text).
 2. n-grams of 1..n tokens, n the size of the longest surface that the
    gazetteer has, built JVM-side from the token arrays.
-3. join with a gazetteer ``(surface, entity, commonness, link_prob)``;
-   broadcast only after a row count proves it small, else a shuffle join.
+3. join with a gazetteer ``(surface, entity, commonness, link_prob)``; pass a
+   stored one, so that Catalyst picks the join by its size.
 4. each matched span keeps its most common sense; spans inside a longer
    matched span are dropped (longest match wins) by a running maximum of
    span ends over each text's matched spans, so no pairs are ever formed.
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adeptus.session import Bounded, checked_broadcast, spread
+from adeptus.session import dealt, written
 
 # Functions of this module run inside Python workers (mapInPandas); ship
 # them by value so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _WORD = re.compile(r"\w+")
+#: The same words in the JVM's notation.
+WORDS = r"[\p{L}\p{N}_]+"
 
 TOKENS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -67,10 +70,22 @@ def tokenize(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return src.mapInPandas(_tokenize_batches, TOKENS_SCHEMA)
 
 
-def ngrams(tokens: DataFrame, max_ngram: int) -> DataFrame:
-    """(id, i, n, begin, end, surface) for every n-gram, n = 1..max_ngram (0-based i)."""
-    with_n = tokens.select("id", "begins", "ends", "toks",
-                           F.explode(F.sequence(F.lit(1), F.lit(int(max_ngram)))).alias("n"))
+def words(text):
+    """The lower-cased words of a text, in order (JVM only)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0)
+
+
+def longest_surface(gazetteer: DataFrame):
+    """Scalar subquery: words of the longest surface, at least 1."""
+    return gazetteer.agg(F.coalesce(F.max(F.size(F.split("surface", " "))), F.lit(1)).alias("m")).scalar()
+
+
+def ngrams(tokens: DataFrame, max_ngram) -> DataFrame:
+    """(id, i, n, begin, end, surface) for every n-gram, n = 1..max_ngram (0-based i; a number or scalar)."""
+    most = F.lit(max_ngram) if isinstance(max_ngram, int) else max_ngram
+    with_n = (tokens.withColumn("_most", most)
+              .select("id", "begins", "ends", "toks",
+                      F.explode(F.sequence(F.lit(1), F.least("_most", F.greatest(F.size("toks"), F.lit(1))))).alias("n")))
     grams = F.transform(
         F.sequence(F.lit(0), F.size("toks") - F.col("n")),
         lambda i: F.struct(
@@ -85,10 +100,9 @@ def ngrams(tokens: DataFrame, max_ngram: int) -> DataFrame:
 def title_gazetteer(entities: DataFrame, entity_col: str = "entity") -> DataFrame:
     """Gazetteer whose surfaces are the entity titles themselves (commonness 1, link_prob 1)."""
     ents = entities.select(F.col(entity_col).alias("entity")).where(F.col("entity").isNotNull()).distinct()
-    toks = tokenize(ents.select(F.col("entity").alias("id"), F.col("entity").alias("text")))
-    return (toks.where(F.size("toks") > 0)
-            .select(F.array_join("toks", " ").alias("surface"), F.col("id").alias("entity"),
-                    F.lit(1.0).alias("commonness"), F.lit(1.0).alias("link_prob")))
+    return (ents.select(F.array_join(words("entity"), " ").alias("surface"), "entity",
+                        F.lit(1.0).alias("commonness"), F.lit(1.0).alias("link_prob"))
+            .where(F.length("surface") > 0))
 
 
 _ANCHOR = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -102,23 +116,25 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count:
     * link_prob  = (#times the surface is an anchor) / (#times it occurs as an
                    n-gram in the pages' text), capped at 1.
     """
-    pages = spread(pages.select(html_col))
+    pages = dealt(pages.select(html_col))
     anchors = (pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_ANCHOR), 0)).alias("a"))
                .select(F.regexp_extract("a", _ANCHOR, 1).alias("href"),
                        F.regexp_replace(F.regexp_extract("a", _ANCHOR, 2), "<[^>]*>", "").alias("label")))
     anchors = anchors.select(
         F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^.*/", "").alias("entity"),
-        F.array_join(F.regexp_extract_all(F.lower("label"), F.lit(r"[\p{L}\p{N}_]+"), 0), " ").alias("surface"))
+        F.array_join(words("label"), " ").alias("surface"))
     anchors = anchors.where((F.length("entity") > 0) & (F.length("surface") > 0))
-    # (surface, entity) counts: bounded by the link vocabulary, read twice below
-    sense = anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links")).persist()
+    # (surface, entity) counts, read several times below
+    sense = written(anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links")), "senses")
     per_surface = sense.groupBy("surface").agg(F.sum("links").alias("as_anchor"))
     # occurrences of anchor surfaces anywhere in the visible text of the pages
     # (n-grams no longer than the longest anchor surface)
-    longest = per_surface.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
-    text = pages.select(F.monotonically_increasing_id().cast("string").alias("id"),
-                                F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ").alias("text"))
-    grams = ngrams(tokenize(text), max(1, int(longest))).select("surface")
+    text = pages.select(words(F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ")).alias("toks"),
+                        longest_surface(per_surface).alias("m"))
+    sizes = text.select("toks", F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)))).alias("n"))
+    grams = (sizes.where(F.size("toks") >= F.col("n"))
+             .select("n", "toks", F.explode(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1)).alias("i"))
+             .select(F.array_join(F.slice("toks", F.col("i"), F.col("n")), " ").alias("surface")))
     occ = (grams.join(per_surface.select("surface"), "surface", "left_semi")
            .groupBy("surface").agg(F.count(F.lit(1)).alias("occurrences")))
     return (sense.join(per_surface, "surface").join(occ, "surface", "left")
@@ -130,17 +146,11 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count:
 
 
 def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_col: str = "text",
-                  min_link_prob: float = 0.0,
-                  small_side: str | None = "gazetteer") -> DataFrame:
+                  min_link_prob: float = 0.0) -> DataFrame:
     """M1: annotations (id, begin, end, entity, rho) of every text.
 
     ``id`` is returned as a string.  Overlapping spans that are not nested
     are both kept; a span inside a longer matched span is dropped.
-    ``small_side``: which join side to broadcast after a count proves it
-    small -- ``"gazetteer"`` for a corpus of texts, ``"texts"`` for a batch
-    of short queries, None to leave the choice to the planner / AQE.
-    The gazetteer is read more than once (size check, longest surface, join):
-    pass a persisted or stored one.
     """
     gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
     # one sense per surface: highest commonness, then entity name
@@ -149,16 +159,8 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
                           F.struct("commonness", F.col("entity").alias("e"))).alias("s"))
             .select("surface", F.col("s.entity").alias("entity"), F.col("s.link_prob").alias("rho")))
     # n-grams longer than the longest surface cannot match
-    longest = gaz.agg(F.max(F.size(F.split("surface", " "))).alias("m")).first()["m"] or 1
-    n_max = max(1, int(longest))
-    src = texts if small_side == "texts" else spread(texts)
-    grams = ngrams(tokenize(src, id_col, text_col), n_max)
-    if small_side == "gazetteer":
-        matched = grams.join(checked_broadcast(best), "surface")
-    elif small_side == "texts":
-        matched = Bounded(grams).hint().join(best, "surface")
-    else:
-        matched = grams.join(best, "surface")
+    grams = ngrams(tokenize(dealt(texts), id_col, text_col), longest_surface(gaz))
+    matched = grams.join(best, "surface")
     # longest match wins: a span is dropped when an earlier-starting (or
     # same-start, longer) matched span reaches at least as far; one window
     # per text over its matched spans only
@@ -180,19 +182,17 @@ def annotated_bodies(texts: DataFrame, annotations: DataFrame, id_col: str = "id
                      text_col: str = "text") -> DataFrame:
     """B13 for every text: (id, body) with its annotations wrapped in spans.
 
-    Texts without annotations keep their (escaped) text.  The texts are
-    spread over the cluster first: building bodies is CPU work per row and
-    must not stay on the few partitions of a large input file.
+    Texts without annotations keep their (escaped) text.
     """
     from adeptus.functions.text import annotated_text
     arrays = annotations_array(annotations)
-    t = spread(texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
+    t = dealt(texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     return t.join(arrays, "id", "left").select("id", annotated_text("text", "annotations").alias("body"))
 
 
 def query_entities(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Distinct (query_id, entity) found by linking each query text."""
-    ann = link_entities(queries, gazetteer, "query_id", "text", small_side="texts")
+    ann = link_entities(queries, gazetteer, "query_id", "text")
     return ann.select(F.col("id").alias("query_id"), "entity").distinct()
 
 
@@ -205,15 +205,16 @@ def annotate_with_memo(texts: DataFrame, memo: DataFrame | None, annotator, id_c
 
     ``memo`` rows: (text_hash, begin, end, entity, rho) plus a marker row with
     null entity for texts without annotations.  ``annotator(df(id, text))``
-    returns (id, begin, end, entity, rho).
+    returns (id, begin, end, entity, rho); it runs once, since its new rows are
+    written before they are read.
     """
     keyed = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
                          F.sha2(F.col(text_col), 256).alias("text_hash"))
     hashes = keyed.select("text_hash", "text").dropDuplicates(["text_hash"])
     todo = hashes if memo is None else hashes.join(memo.select("text_hash").distinct(), "text_hash", "left_anti")
     fresh = annotator(todo.select(F.col("text_hash").alias("id"), "text"))
-    fresh_rows = (todo.select("text_hash").join(fresh.withColumnRenamed("id", "text_hash"), "text_hash", "left")
-                  .select("text_hash", "begin", "end", "entity", "rho"))
+    fresh_rows = written(todo.select("text_hash").join(fresh.withColumnRenamed("id", "text_hash"), "text_hash", "left")
+                         .select("text_hash", "begin", "end", "entity", "rho"), "annotations")
     all_memo = fresh_rows if memo is None else memo.unionByName(fresh_rows)
     out = (keyed.join(all_memo, "text_hash").where(F.col("entity").isNotNull())
            .select("id", "begin", "end", "entity", "rho"))

@@ -1,7 +1,7 @@
 """Lookups and result shapes of the query endpoints.
 
-Single-key lookups are filters on the whole table; batched forms are
-semi-joins with a DataFrame of requested keys.  Nested result shapes are
+A lookup takes its keys as a Python list, a filter that is pushed to the
+Parquet scan, or as a DataFrame, a semi-join.  Nested result shapes are
 bounded by one document or one query's top-k; the author card is kept in
 long form (one row per author and entity) because an author's entity list
 is not bounded.
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
+from adeptus.operators.ingest import numbered
 
 COMPLETION_LIMIT = 50
 
@@ -41,11 +42,46 @@ def author_completion(authors: DataFrame, terms: str, limit: int = COMPLETION_LI
             .select("author_id", "name", "institution"))
 
 
+def _requested(df: DataFrame, column: str, keys) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among the keys (a list, or a DataFrame with that column)."""
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(column).distinct(), column, "left_semi")
+    return df.where(F.col(column).isin(list(keys)))
+
+
 def author_ids_by_name(authors: DataFrame, names) -> DataFrame:
-    """(name, author_id) for the requested names (a DataFrame or a list)."""
-    if not isinstance(names, DataFrame):
-        names = authors.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    return authors.join(names.select("name").distinct(), "name", "left_semi").select("name", "author_id")
+    """(name, author_id) for the requested names."""
+    return _requested(authors, "name", names).select("name", "author_id")
+
+
+def documents_by_id(documents: DataFrame, ids) -> DataFrame:
+    """(author_id, document_id, year, body) of the requested documents."""
+    return _requested(documents, "document_id", ids).select("author_id", "document_id", "year", "body")
+
+
+def authors_by_id(authors: DataFrame, ids) -> DataFrame:
+    """Name and institution of the requested authors."""
+    return _requested(authors, "author_id", ids).select("author_id", "name", "institution")
+
+
+def institution_papers_count(counts: DataFrame, institutions) -> DataFrame:
+    """(institution, document_count) of the requested institutions; ``counts`` is D3."""
+    return _requested(counts, "institution", institutions).select("institution", "document_count")
+
+
+def author_mentions(mentions: DataFrame, ids) -> DataFrame:
+    """Every mention of the requested authors, no rho filter."""
+    return _requested(mentions, "author_id", ids).select("author_id", "document_id", "year", "entity", "rho")
+
+
+def author_papers_count(papers: DataFrame, ids) -> DataFrame:
+    """(author_id, papers) of the requested authors; ``papers`` is D7."""
+    return _requested(papers, "author_id", ids).select("author_id", "papers")
+
+
+def entity_lists(requests: DataFrame, json_col: str = "entities") -> DataFrame:
+    """The JSON entity list argument: one row per entity of each request, null for what is no list of strings."""
+    return requests.withColumn("entity", F.explode_outer(F.from_json(json_col, "array<string>"))).drop(json_col)
 
 
 def document_json(documents: DataFrame) -> DataFrame:
@@ -60,15 +96,54 @@ def author_card(corpus: Corpus) -> DataFrame:
     Per (author, entity): name, papers_count (D6), frequency (D4 author_freq),
     rank of the entity by frequency desc (ties by entity), and the year
     histogram of confident mentions as text ``year:count,...`` sorted by year.
+    The rank is the distance from the author's first row in the order of all
+    rows, so that an author with very many entities isn't one task.
     """
-    ae = corpus.author_entity()
-    w = Window.partitionBy("author_id").orderBy(F.desc("author_freq"), "entity")
     years = F.array_join(F.transform("years", lambda y: F.concat(y["year"].cast("string"), F.lit(":"),
                                                                  y["n"].cast("string"))), ",")
-    return (ae.join(corpus.papers().withColumnRenamed("papers", "papers_count"), "author_id")
+    rows = corpus.author_entity().select("author_id", "entity", F.col("author_freq").alias("frequency"), years.alias("years"))
+    rows = numbered(rows, [F.col("author_id"), F.desc("frequency"), F.col("entity")], "_place")
+    first = rows.groupBy("author_id").agg(F.min("_place").alias("_first"))
+    return (rows.join(first, "author_id")
+            .join(corpus.papers().withColumnRenamed("papers", "papers_count"), "author_id")
             .join(corpus.authors.select("author_id", "name"), "author_id", "left")
-            .select("author_id", "name", "papers_count", F.row_number().over(w).alias("rank"),
-                    "entity", F.col("author_freq").alias("frequency"), years.alias("years")))
+            .select("author_id", "name", "papers_count", (F.col("_place") - F.col("_first") + 1).cast("int").alias("rank"),
+                    "entity", "frequency", "years"))
+
+
+def author_rows_json(corpus: Corpus) -> DataFrame:
+    """A20 /author shape: (author_id, rank, json), rank 0 for id, name and papers_count, then a row per entity.
+
+    An entity's ``years`` are [year, count] pairs by year.  One row per entity,
+    so that an author with very many isn't one value.
+    """
+    card = author_card(corpus)
+    pairs = F.transform(F.split("years", ","), lambda y: F.split(y, ":").cast("array<int>"))
+    entities = card.select("author_id", "rank", F.to_json(F.struct("entity", "frequency", pairs.alias("years"))).alias("json"))
+    head = (corpus.papers().join(corpus.authors.select("author_id", "name"), "author_id", "left")
+            .select("author_id", F.lit(0).alias("rank"),
+                    F.to_json(F.struct(F.col("author_id").alias("id"), "name", F.col("papers").alias("papers_count")))
+                    .alias("json")))
+    return head.unionByName(entities)
+
+
+def completion_json(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT) -> DataFrame:
+    """A20 /completion shape: one row ``{"authors":[{id, name, institution}, ...]}`` of at most ``limit`` authors."""
+    found = author_completion(authors, terms, limit)
+    one = F.struct(F.col("author_id").alias("id"), "name", "institution")
+    return found.agg(F.array_sort(F.collect_list(one)).alias("authors")).select(F.to_json(F.struct("authors")).alias("json"))
+
+
+def query_rows_json(scores: DataFrame, authors: DataFrame, score_format: str = "%.6f") -> DataFrame:
+    """A20 /query shape: (query_id, scoring, rank, json) of every hit of every scoring.
+
+    ``scores``: (query_id, author_id, scoring, score), as of ``all_scorings``.
+    """
+    named = scores.join(authors.select("author_id", "name"), "author_id", "left")
+    w = Window.partitionBy("query_id", "scoring").orderBy(F.desc("score"), "author_id")
+    hit = F.struct("author_id", "name", F.format_string(score_format, "score").alias("score"))
+    return (named.withColumn("rank", F.row_number().over(w).cast("int"))
+            .select("query_id", "scoring", "rank", F.to_json(hit).alias("json")))
 
 
 def expert_rows_json(ranked: DataFrame, score_format: str = "%.6f") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
+from adeptus.operators.ingest import numbered
+from adeptus.operators.lookups import author_ids_by_name
 from adeptus.operators.scoring import author_profiles, get_scoring
 
 
@@ -69,6 +71,24 @@ def author_profile_top(corpus: Corpus, k: int = 50) -> DataFrame:
                       years_text.alias("years_text"))
 
 
+def profile_report(corpus: Corpus, names, k: int = 50) -> DataFrame:
+    """E13 for authors given by name: name and institution beside each row of :func:`author_profile_top`."""
+    who = (author_ids_by_name(corpus.authors, names).select("author_id").distinct()
+           .join(corpus.authors, "author_id").select("author_id", "name", "institution"))
+    return who.join(author_profile_top(corpus, k), "author_id")
+
+
+def judged_topics(qrels: DataFrame, topics: DataFrame) -> DataFrame:
+    """Judged topics with their text and their ``position`` (from 0) by id and text."""
+    known = topics.join(qrels.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "text")
+    return numbered(known, [F.col("query_id"), F.col("text")], "position")
+
+
+def unknown_topics(qrels: DataFrame, topics: DataFrame) -> DataFrame:
+    """Ids of judged topics that have no text (the reference stops there; check that this has no rows)."""
+    return qrels.select("query_id").distinct().join(topics.select("query_id"), "query_id", "left_anti")
+
+
 def trec_run_lines(run: DataFrame, run_name_col: str = "scoring", score_format: str = "%.6f") -> DataFrame:
     """``qid 0 author 0 score runname`` lines (one column ``value``).
 

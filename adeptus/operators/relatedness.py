@@ -8,10 +8,11 @@ documents instead of Wikipedia links:
 with |A| the documents mentioning a, |A∩B| the documents mentioning both and
 N the number of documents; 1 for the same entity, 0 when never together.
 
-Only pairs with one side in a given *source* set are produced: the
-document self-join is restricted to documents that mention a source
-entity, so its output is (source mentions per document) x (entities per
-document), never all pairs of a document.
+Only pairs with one side in a given *source* set and relatedness above 0 are
+produced (an absent pair means 0).  The document self-join is restricted to
+source entities on one side; the other side of every document is dealt to
+``salts`` tasks by a hash of the entity, so that one document with very many
+entities isn't one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
-from adeptus.session import checked_broadcast
+
+#: Tasks that the entities of one document (or the authors of one entity) are dealt to in a join.
+SALTS = 4
+
+
+def salt_of(column: str, salts: int):
+    """Which of ``salts`` tasks a row belongs to."""
+    return F.pmod(F.xxhash64(column), F.lit(int(salts)))
+
+
+def on_every_salt(df: DataFrame, salts: int) -> DataFrame:
+    """The rows once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(salts) - 1).cast("long"))))
 
 
 def _rel_expr(a: str, b: str, both: str, n: str):
@@ -32,28 +45,25 @@ def _rel_expr(a: str, b: str, both: str, n: str):
             .otherwise(F.when(num == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
 
 
-def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame, small: bool | None = None) -> DataFrame:
-    """Oriented relatedness rows (source, other, rel) for every entity that
-    co-occurs in a document with a source entity (source != other).
+def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Oriented rows (source, other, rel > 0) for entities that co-occur in a
+    document with a source entity (source != other).
 
-    ``sources``: DataFrame with an ``entity`` column (e.g. query entities);
-    ``small``: caller's proof that it may be broadcast (None: count it).
+    ``sources``: DataFrame with an ``entity`` column (e.g. query entities).
     """
     de = corpus.doc_entities().select("document_id", "entity")
-    src = sources.select("entity").distinct()
-    if small is None:
-        src = checked_broadcast(src)
-    elif small:
-        src = F.broadcast(src)
-    src_docs = de.join(src, "entity").select("document_id", F.col("entity").alias("source"))
-    co = (src_docs.join(de.withColumnRenamed("entity", "other"), "document_id")
+    src_docs = (de.join(sources.select("entity").distinct(), "entity", "left_semi")
+                .select("document_id", F.col("entity").alias("source")))
+    others = de.select("document_id", F.col("entity").alias("other"), salt_of("entity", salts).alias("salt"))
+    co = (on_every_salt(src_docs, salts).join(others, ["document_id", "salt"])
           .where(F.col("source") != F.col("other"))
           .groupBy("source", "other").agg(F.count(F.lit(1)).alias("both")))
     pop = corpus.popularity()
     return (co.join(pop.select(F.col("entity").alias("source"), F.col("entity_popularity").alias("pa")), "source")
             .join(pop.select(F.col("entity").alias("other"), F.col("entity_popularity").alias("pb")), "other")
             .withColumn("total_papers", corpus.total().scalar())
-            .select("source", "other", _rel_expr("pa", "pb", "both", "total_papers").alias("rel")))
+            .select("source", "other", _rel_expr("pa", "pb", "both", "total_papers").alias("rel"))
+            .where(F.col("rel") > 0))
 
 
 def symmetric_pairs(oriented: DataFrame) -> DataFrame:
@@ -77,8 +87,7 @@ def needed_pairs(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     The product is per query over the union of candidates' entities, which
     is bounded by query entities x entity vocabulary.
     """
-    from adeptus.operators.scoring import query_side
-    qe = query_side(query_entities).hint()
+    qe = query_entities.select("query_id", "entity").distinct()
     ae = corpus.author_entity().select("author_id", "entity")
     cands = ae.join(qe, "entity").select("query_id", "author_id").distinct()
     cand_entities = (cands.join(ae, "author_id").select("query_id", F.col("entity").alias("other"))

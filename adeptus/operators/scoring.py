@@ -5,44 +5,27 @@ documents of author a with any mention, ec(a,e) = documents of a with a
 confident mention of e, mr(a,e) = max confident rho, Q = distinct query
 entities (|Q| counts entities unknown to the corpus too).
 
-All functions score every (query, candidate author) pair in one plan.  The
-query side is tiny compared with the corpus, so it is the side that gets
-broadcast (after a size check); the corpus side is streamed once and the
-final ``groupBy(query_id, author_id)`` aggregates map-side first.
+All functions score every (query, candidate author) pair in one plan; the
+final ``groupBy(query_id, author_id)`` aggregates map-side first.  Pass query
+entities as a stored table: several joins read them, and Catalyst then picks
+the join by their size.
 """
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
-from adeptus.session import Bounded
+from adeptus.operators.relatedness import SALTS, cooccurrence_relatedness, on_every_salt, salt_of
 
 # Fixed parameters of the relatedness scoring (values from the reference).
 RELATEDNESS_ALPHA = 1e-5
 RELATEDNESS_X = 10.0
 
 
-_QUERY_SIDES: "weakref.WeakKeyDictionary[DataFrame, Bounded]" = weakref.WeakKeyDictionary()
-
-
-def query_side(query_entities: DataFrame) -> Bounded:
-    """Distinct (query_id, entity), persisted and counted once per input DataFrame.
-
-    The count is the size proof for broadcasting the query side and every
-    table derived from it with no more rows (weights, norms, counts).
-    """
-    b = _QUERY_SIDES.get(query_entities)
-    if b is None:
-        b = Bounded(query_entities.select("query_id", "entity").distinct())
-        _QUERY_SIDES[query_entities] = b
-    return b
-
-
 def author_profiles(corpus: Corpus) -> DataFrame:
     """E1 for all authors: per (author, entity) ef, iaf, ef*iaf, max_rho, years.
 
@@ -75,10 +58,8 @@ def query_entity_counts(query_entities: DataFrame) -> DataFrame:
 
 def query_weights(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     """``qw(e) = (1/|Q|) * ln(N / pop(e))`` for query entities known to the corpus."""
-    side = query_side(query_entities)
-    counts = side.hint(query_entity_counts(side.df))
-    return (corpus.popularity().join(side.hint(), "entity")
-            .join(counts, "query_id")
+    return (corpus.popularity().join(query_entities.select("query_id", "entity").distinct(), "entity")
+            .join(query_entity_counts(query_entities), "query_id")
             .withColumn("total_papers", corpus.total().scalar())
             .select("query_id", "entity",
                     (F.lit(1.0) / F.col("n_query_entities")
@@ -87,8 +68,7 @@ def query_weights(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
 
 def citing_authors(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     """Distinct (query, author) with a confident mention of a query entity."""
-    side = query_side(query_entities)
-    return corpus.author_entity().join(side.hint(), "entity").select("query_id", "author_id").distinct()
+    return corpus.author_entity().join(query_entities, "entity").select("query_id", "author_id").distinct()
 
 
 def vector_sums(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
@@ -101,9 +81,7 @@ def vector_sums(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     Candidates are exactly the authors with a confident mention of a known
     query entity, i.e. the rows of the profile ⋈ query-weight join.
     """
-    side = query_side(query_entities)
-    qw = side.hint(query_weights(corpus, query_entities))  # rows <= query entities
-    joined = author_profiles(corpus).join(qw, "entity")
+    joined = author_profiles(corpus).join(query_weights(corpus, query_entities), "entity")
     return (joined.groupBy("query_id", "author_id")
             .agg(F.sum(F.col("ef_iaf") * F.col("qw")).alias("dot"),
                  F.sum(F.col("ef") * F.col("qw")).alias("efiaf"),
@@ -119,12 +97,10 @@ def vector_scores(corpus: Corpus, query_entities: DataFrame) -> DataFrame:
     of plain sums, as defined by the reference; 0/0 -> 0.0.  The author norm
     is aggregated once for all authors (memoised per corpus).
     """
-    side = query_side(query_entities)
-    qw = side.hint(query_weights(corpus, query_entities))
-    qnorm = qw.groupBy("query_id").agg(F.sum("qw").alias("qw_sum"))
+    qnorm = query_weights(corpus, query_entities).groupBy("query_id").agg(F.sum("qw").alias("qw_sum"))
     denom = F.sqrt(F.col("efiaf_sum")) * F.sqrt(F.col("qw_sum"))
     return (vector_sums(corpus, query_entities).join(author_norms(corpus), "author_id")
-            .join(side.hint(qnorm), "query_id")
+            .join(qnorm, "query_id")
             .select("query_id", "author_id",
                     F.coalesce(F.try_divide(F.col("dot"), denom), F.lit(0.0)).alias("cossim_efiaf"),
                     "efiaf", "eciaf", "log_ec_ef_iaf"))
@@ -149,7 +125,7 @@ log_ec_ef_iaf_score = _single("log_ec_ef_iaf")
 def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
                            relatedness: DataFrame | None = None,
                            alpha: float = RELATEDNESS_ALPHA, x: float = RELATEDNESS_X,
-                           **_) -> DataFrame:
+                           salts: int = SALTS, **_) -> DataFrame:
     """Relatedness-weighted geometric score of each candidate author.
 
     For query entity q: ``g_q`` = weighted geometric mean over the author's
@@ -162,48 +138,48 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
     whose term is not exactly 0.0 are joined (no |Q| x |A| product) and the
     unrelated case is exactly 0.
 
+    ``D`` depends on the query entity and the author alone: it is summed once
+    for each, over candidate authors only, and joined with the queries last.
+    The authors of one entity are dealt to ``salts`` tasks.
+
     ``relatedness``: oriented rows (source, other, rel) covering the query
-    entities as ``source``; default is co-occurrence relatedness (M3) of the
-    corpus.  The identity rel(q, q) = 1 is always added.
+    entities as ``source``, such as a stored memo; default is co-occurrence
+    relatedness (M3) of the corpus.  The identity rel(q, q) = 1 is always added.
     """
-    from adeptus.operators.relatedness import cooccurrence_relatedness
-
-    side = query_side(query_entities)
-    qe, qe_b = side.df, side.hint()
-    counts = side.hint(query_entity_counts(qe))
+    qe = query_entities.select("query_id", "entity").distinct()
     sources = qe.select("entity").distinct()
     if relatedness is None:
-        relatedness = cooccurrence_relatedness(corpus, sources, small=side.small)
+        relatedness = cooccurrence_relatedness(corpus, sources)
     rel = (relatedness.select("source", "other", "rel")
            .join(sources.withColumnRenamed("entity", "source"), "source", "left_semi")
            .where(F.col("source") != F.col("other"))
            .unionByName(sources.select(F.col("entity").alias("source"),
                                        F.col("entity").alias("other"), F.lit(1.0).alias("rel"))))
-    ae = corpus.author_entity().select(
-        "author_id", "entity", (F.col("author_freq") * F.col("max_rho")).alias("w"))
-    wsum = ae.groupBy("author_id").agg(F.sum("w").alias("W"))
-    cands = ae.join(qe_b, "entity").select("query_id", "author_id").distinct()
     # ln(1 + alpha) with the very same double operations as the term, so an
     # unrelated pair (r = 0) gives exactly 0.0
     ln1a = F.ln(F.lit(1.0) - F.pow(F.lit(0.0), F.lit(x)) + F.lit(alpha))
     # per related pair, the constant part of its term; pairs whose term is
     # exactly 0.0 in floating point (r^x below the precision of 1 + alpha)
     # add nothing and are dropped before the author join
-    rel_terms = (rel.select("source", "other",
-                            (F.ln(F.lit(1.0) - F.pow(F.col("rel"), F.lit(x)) + F.lit(alpha)) - ln1a)
-                            .alias("term"))
-                 .where(F.col("term") != 0.0))
-    pairs = (qe_b.withColumnRenamed("entity", "source").join(rel_terms, "source")
-             .join(ae.withColumnRenamed("entity", "other"), "other")
-             .join(cands, ["query_id", "author_id"], "left_semi")
-             .groupBy("query_id", "source", "author_id")
-             .agg(F.sum(F.col("w") * F.col("term")).alias("D")))
+    terms = (rel.select("source", "other",
+                        (F.ln(F.lit(1.0) - F.pow(F.col("rel"), F.lit(x)) + F.lit(alpha)) - ln1a).alias("term"))
+             .where(F.col("term") != 0.0))
+    ae = corpus.author_entity().select(
+        "author_id", "entity", (F.col("author_freq") * F.col("max_rho")).alias("w"))
+    candidates = ae.join(qe, "entity").select("query_id", "author_id").distinct()
+    own = ae.join(ae.join(sources, "entity", "left_semi").select("author_id").distinct(), "author_id", "left_semi")
+    wsum = own.groupBy("author_id").agg(F.sum("w").alias("W"))
+    others = own.select("author_id", F.col("entity").alias("other"), "w", salt_of("author_id", salts).alias("salt"))
     gap = -(1.0 + alpha) * F.expm1(F.col("D") / F.col("W"))
-    per_q = (pairs.join(wsum, "author_id")
-             .select("query_id", "author_id",
-                     F.pow(F.least(F.greatest(gap, F.lit(0.0)), F.lit(1.0)), F.lit(1.0 / x)).alias("t")))
-    return (per_q.groupBy("query_id", "author_id").agg(F.sum("t").alias("t_sum"))
-            .join(counts, "query_id")
+    per_source = (on_every_salt(terms, salts).join(others, ["other", "salt"])
+                  .groupBy("source", "author_id").agg(F.sum(F.col("w") * F.col("term")).alias("D"))
+                  .join(wsum, "author_id")
+                  .select("source", "author_id",
+                          F.pow(F.least(F.greatest(gap, F.lit(0.0)), F.lit(1.0)), F.lit(1.0 / x)).alias("t")))
+    return (per_source.join(qe.withColumnRenamed("entity", "source"), "source")
+            .join(candidates, ["query_id", "author_id"], "left_semi")
+            .groupBy("query_id", "author_id").agg(F.sum("t").alias("t_sum"))
+            .join(query_entity_counts(qe), "query_id")
             .select("query_id", "author_id",
                     (F.col("t_sum") / F.col("n_query_entities")).alias("score")))
 

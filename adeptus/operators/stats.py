@@ -21,14 +21,10 @@ from adeptus.corpus import DEFAULT_MIN_RHO
 
 
 def _entity_set(spark, entities) -> DataFrame:
-    """A one-column ``entity`` DataFrame from a DataFrame or a Python list.
-
-    A Python list is bounded by driver memory and is hinted for broadcast; a
-    DataFrame is left to the planner (AQE broadcasts it when it is small).
-    """
+    """A one-column ``entity`` DataFrame from a DataFrame or a Python list (the planner picks the join)."""
     if isinstance(entities, DataFrame):
         return entities.select("entity").distinct()
-    return F.broadcast(spark.createDataFrame([(e,) for e in set(entities)], "entity string"))
+    return spark.createDataFrame([(e,) for e in set(entities)], "entity string")
 
 
 # --------------------------------------------------------------------------
@@ -128,6 +124,15 @@ def grouped_entities(mentions: DataFrame, year: int | None = None,
     return g
 
 
+def grouped_entities_in_order(grouped: DataFrame) -> DataFrame:
+    """Rows of :func:`grouped_entities` with their ``position`` within the author's year.
+
+    By count descending, ties by entity; an author's list is ordered by (year, position).
+    """
+    w = Window.partitionBy("author_id", "year").orderBy(F.desc("count"), "entity")
+    return grouped.withColumn("position", F.row_number().over(w))
+
+
 def grouped_entity_rhos(mentions: DataFrame, year: int | None = None) -> DataFrame:
     """The rho list of D10 in long form: (author, entity, year, rho, n)."""
     m = mentions.where(F.col("entity").isNotNull())
@@ -139,8 +144,7 @@ def grouped_entity_rhos(mentions: DataFrame, year: int | None = None) -> DataFra
 def author_documents(doc_ent: DataFrame, entities=None) -> DataFrame:
     """Mention count per (document, entity) with year, no rho filter.
 
-    Optionally restricted to an entity set (semi-join; a Python list is
-    broadcast).
+    Optionally restricted to an entity set (semi-join).
     """
     out = doc_ent.select("author_id", "document_id", "year", "entity",
                          F.col("n_all").alias("count"))

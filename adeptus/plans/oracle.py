@@ -22,14 +22,21 @@ mentions AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 topics AS (
   SELECT 'topic-' || CAST(min(p_partkey) AS VARCHAR) AS query_id, p_name AS text FROM part GROUP BY p_name),
-vocab AS (
-  SELECT DISTINCT entity, array_to_string(regexp_extract_all(lower(entity), '\\w+'), ' ') AS ntitle
-  FROM mentions WHERE entity IS NOT NULL),
+titles AS (
+  SELECT array_to_string(regexp_extract_all(lower(entity), '[\\p{L}\\p{N}_]+'), ' ') AS surface, max(entity) AS entity
+  FROM (SELECT DISTINCT entity FROM mentions WHERE entity IS NOT NULL) GROUP BY 1 HAVING surface <> ''),
+topic_words AS (
+  SELECT query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM topics),
+topic_grams AS (
+  SELECT query_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS surface
+  FROM (SELECT query_id, words, i, unnest(range(1, len(words) - i + 2)) AS n
+        FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM topic_words))),
 qe AS (
-  SELECT DISTINCT t.query_id, v.entity
-  FROM topics t JOIN vocab v
-    ON (' ' || array_to_string(regexp_extract_all(lower(t.text), '\\w+'), ' ') || ' ')
-       LIKE ('% ' || v.ntitle || ' %')),
+  SELECT DISTINCT query_id, entity FROM (
+    SELECT g.query_id, t.entity, i, n, max(i + n) OVER (
+             PARTITION BY g.query_id ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM topic_grams g JOIN titles t USING (surface))
+  WHERE reach IS NULL OR reach < i + n),
 nq AS (SELECT query_id, count(*) AS n FROM qe GROUP BY query_id),
 strong_year AS (
   SELECT author_id, entity, year, count(DISTINCT document_id) AS docs, count(*) AS n, max(rho) AS mr
@@ -160,6 +167,13 @@ SELECT author_id, entity, year, round(avg(rho), 6) AS avg_rho, round(min(rho), 6
 FROM mentions WHERE entity IS NOT NULL
 GROUP BY author_id, entity, year HAVING count(*) >= 2""")
 
+sql("grouped_entities_in_order", """
+SELECT author_id, entity, year, round(avg(rho), 6) AS avg_rho, round(min(rho), 6) AS min_rho,
+       round(max(rho), 6) AS max_rho, count(*) AS count,
+       CAST(row_number() OVER (PARTITION BY author_id, year ORDER BY count(*) DESC, entity) AS INTEGER) AS position
+FROM mentions WHERE entity IS NOT NULL
+GROUP BY author_id, entity, year""")
+
 sql("grouped_entities_year", """
 SELECT author_id, entity, year, round(avg(rho), 6) AS avg_rho, round(min(rho), 6) AS min_rho,
        round(max(rho), 6) AS max_rho, count(*) AS count
@@ -283,7 +297,7 @@ SELECT query_id, author_id, scoring, round(score, 6) AS score FROM (
   UNION ALL SELECT query_id, author_id, 'log_ec_ef_iaf', log_ec_ef_iaf FROM scores
   UNION ALL SELECT query_id, author_id, 'relatedness_geom', score FROM geom)""")
 
-sql("entity_relatedness", "SELECT source, other, round(rel, 6) AS rel FROM rel")
+sql("entity_relatedness", "SELECT source, other, round(rel, 6) AS rel FROM rel WHERE rel > 0")
 
 sql("relatedness_missing_pairs", """,
 cands AS (SELECT DISTINCT qe.query_id, ae.author_id FROM ae JOIN qe USING (entity)),
@@ -422,8 +436,8 @@ def _trec_all() -> str:
         f"floor(CAST(\"{c}\" AS DOUBLE) * 1e6 + 0.5) AS units FROM mf" for c in _ALL_MEASURES)
     return EVAL + f""",
 long AS (
-  SELECT * FROM ({unions}) WHERE query_id IN (SELECT query_id FROM qs WHERE num_rel > 0)),
-judged AS (SELECT CAST(count(*) AS DOUBLE) AS nj, CAST(sum(num_rel) AS DOUBLE) AS total_rel FROM qs WHERE num_rel > 0),
+  SELECT * FROM ({unions}) WHERE query_id IN (SELECT query_id FROM qs)),
+judged AS (SELECT CAST(count(*) AS DOUBLE) AS nj, CAST(sum(num_rel) AS DOUBLE) AS total_rel FROM qs),
 summ AS (
   SELECT measure, 'all' AS query_id,
          floor(1e6 * CASE WHEN measure IN ('num_ret', 'num_rel_ret') THEN sum(units) / 1e6
@@ -440,7 +454,12 @@ sql("trec_eval_all", _trec_all())
 sql("ranked_run", EVAL + "SELECT query_id, author_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rr")
 
 sql("topics_with_qrels", EVAL + """
-SELECT DISTINCT q.query_id, t.text FROM qrels q JOIN topics t USING (query_id)""")
+SELECT query_id, text, row_number() OVER (ORDER BY query_id, text) - 1 AS position
+FROM topics WHERE query_id IN (SELECT query_id FROM qrels)""")
+
+sql("topics_without_text", EVAL + """
+SELECT DISTINCT query_id FROM qrels WHERE query_id NOT IN (
+  SELECT query_id FROM topics WHERE text IN (SELECT p_name FROM part WHERE p_size > 25))""")
 
 sql("trec_run_lines", EVAL + """
 SELECT query_id || ' 0 ' || author_id || ' 0 ' || printf('%.6f', round(score, 6)) || ' eciaf_score' AS value FROM run""")
@@ -552,22 +571,28 @@ WHERE d.text IS NOT NULL AND length(d.text) > 0""")
 
 # ------------------------------------------------------------ B: lookups
 sql("author_ids_by_name", """
-SELECT name, author_id FROM authors
-WHERE name IN (SELECT a.name FROM authors a WHERE a.author_id IN (SELECT author_id FROM fx_documents))""")
+SELECT name, author_id FROM authors WHERE name IN (
+  SELECT a.name FROM authors a WHERE a.author_id IN (SELECT author_id FROM fx_documents WHERE year BETWEEN 1996 AND 2000))""")
 
 sql("document_by_id", """
 SELECT author_id, document_id, year, CAST(NULL AS VARCHAR) AS body FROM fx_documents
-WHERE document_id IN (SELECT l_orderkey FROM lineitem)""")
+WHERE document_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 
 sql("author_lookup", """
-SELECT author_id, name, institution FROM authors WHERE author_id IN (SELECT author_id FROM papers)""")
+SELECT author_id, name, institution FROM authors
+WHERE author_id IN (SELECT author_id FROM mentions WHERE entity IS NOT NULL AND rho > 0.9)""")
 
 sql("institution_papers", """
-SELECT a.author_id, a.institution, d.document_count FROM authors a JOIN (
-  SELECT institution, count(*) AS document_count FROM fx_documents GROUP BY institution) d USING (institution)""")
+SELECT institution, count(*) AS document_count FROM fx_documents
+WHERE institution IN (SELECT institution FROM authors) GROUP BY institution""")
 
 sql("author_mentions", """
-SELECT author_id, document_id, year, entity, round(rho, 6) AS rho FROM mentions""")
+SELECT author_id, document_id, year, entity, round(rho, 6) AS rho FROM mentions
+WHERE author_id IN (SELECT author_id FROM fx_documents WHERE year BETWEEN 1996 AND 2000)""")
+
+sql("documents_by_entity_list", """
+SELECT qe.query_id, m.author_id, m.document_id, m.year, m.entity, count(*) AS count
+FROM mentions m JOIN qe USING (entity) GROUP BY qe.query_id, m.author_id, m.document_id, m.year, m.entity""")
 
 sql("author_completion", """
 SELECT author_id, name, institution FROM authors WHERE name ILIKE '%customer%00001%'
@@ -600,3 +625,105 @@ SELECT query_id, author_id,
        CAST(CAST('0x' || substr(md5(query_id || '|' || author_id || '|42'), 1, 8) AS BIGINT) AS DOUBLE)
          / 4294967296.0 AS score
 FROM scores""")
+
+sql("query_json", _GEOM + """,
+five AS (
+  SELECT query_id, author_id, 'cossim_efiaf' AS scoring, cossim_efiaf AS score FROM scores
+  UNION ALL SELECT query_id, author_id, 'efiaf', efiaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'eciaf', eciaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'log_ec_ef_iaf', log_ec_ef_iaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'relatedness_geom', score FROM geom)
+SELECT query_id, scoring, CAST(row_number() OVER (PARTITION BY query_id, scoring ORDER BY s DESC, author_id) AS INTEGER) AS rank,
+       '{"author_id":"' || author_id || '","name":"' || name || '","score":"' || printf('%.6f', s) || '"}' AS json
+FROM (SELECT f.*, a.name, round(score, 6) AS s FROM five f JOIN authors a USING (author_id))""")
+
+sql("author_json", """
+SELECT p.author_id, 0 AS rank,
+       '{"id":"' || p.author_id || '","name":"' || a.name || '","papers_count":' || CAST(p.papers AS VARCHAR) || '}' AS json
+FROM papers p JOIN authors a USING (author_id)
+UNION ALL
+SELECT ae.author_id,
+       CAST(row_number() OVER (PARTITION BY ae.author_id ORDER BY ae.author_freq DESC, ae.entity) AS INTEGER),
+       '{"entity":' || to_json(ae.entity) || ',"frequency":' || CAST(ae.author_freq AS VARCHAR) || ',"years":['
+       || (SELECT string_agg('[' || CAST(year AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']', ',' ORDER BY year)
+           FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) || ']}'
+FROM ae""")
+
+sql("completion_json", """
+SELECT '{"authors":[' || string_agg('{"id":"' || author_id || '","name":"' || name || '","institution":"' || institution || '"}',
+                                    ',' ORDER BY author_id) || ']}' AS json
+FROM (SELECT author_id, name, institution FROM authors WHERE name ILIKE '%customer%00001%' ORDER BY author_id LIMIT 50)""")
+
+# ------------------------------------------------- M1: linking against the anchors of the pages
+_ANCHORS = r""",
+anchor AS (
+  SELECT unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>')) AS a FROM pages),
+link AS (
+  SELECT regexp_replace(regexp_replace(regexp_extract(a, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1),
+                                       '[?#].*$', ''), '^.*/', '') AS entity,
+         array_to_string(regexp_extract_all(lower(regexp_replace(
+           regexp_extract(a, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g')),
+           '[\p{L}\p{N}_]+'), ' ') AS surface
+  FROM anchor),
+sense AS (SELECT surface, entity, count(*) AS links FROM link WHERE entity <> '' AND surface <> '' GROUP BY ALL),
+per_surface AS (SELECT surface, sum(links) AS as_anchor FROM sense GROUP BY surface),
+longest AS (SELECT coalesce(max(len(string_split(surface, ' '))), 1) AS m FROM per_surface),
+page_words AS (
+  SELECT regexp_extract_all(lower(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g')), '[\p{L}\p{N}_]+') AS words FROM pages),
+page_grams AS (
+  SELECT array_to_string(words[i:i + n - 1], ' ') AS surface
+  FROM (SELECT words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM (SELECT words, unnest(range(1, (SELECT m FROM longest) + 1)) AS n FROM page_words) WHERE len(words) >= n)),
+occ AS (SELECT surface, count(*) AS occurrences FROM page_grams SEMI JOIN per_surface USING (surface) GROUP BY surface),
+gaz AS (
+  SELECT s.surface, s.entity, s.links / p.as_anchor AS commonness,
+         least(1.0, p.as_anchor / greatest(coalesce(o.occurrences, 0), p.as_anchor)) AS link_prob
+  FROM sense s JOIN per_surface p USING (surface) LEFT JOIN occ o USING (surface)),
+best AS (
+  SELECT surface, entity, link_prob AS rho FROM (
+    SELECT *, row_number() OVER (PARTITION BY surface ORDER BY commonness DESC, entity DESC) AS rk FROM gaz) WHERE rk = 1),
+piece AS (
+  SELECT doc_id, unnest(pieces) AS p, unnest(range(1, len(pieces) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+') AS pieces FROM documents)),
+token AS (
+  SELECT doc_id, i, lower(w) AS w, e - length(w) AS b, e
+  FROM (SELECT doc_id, i, regexp_extract(p, '[\p{L}\p{N}_]+$') AS w,
+               sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM piece)),
+doc_words AS (
+  SELECT doc_id, list(w ORDER BY i) AS ws, list(b ORDER BY i) AS bs, list(e ORDER BY i) AS es FROM token GROUP BY doc_id),
+doc_grams AS (
+  SELECT doc_id, i, n, bs[i] AS b, es[i + n - 1] AS e, array_to_string(ws[i:i + n - 1], ' ') AS surface
+  FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM (SELECT *, unnest(range(1, (SELECT m FROM longest) + 1)) AS n FROM doc_words) WHERE len(ws) >= n)),
+linked AS (
+  SELECT doc_id, CAST(b AS INTEGER) AS b, CAST(e AS INTEGER) AS e, entity, rho FROM (
+    SELECT g.*, s.entity, s.rho, max(i + n) OVER (
+             PARTITION BY doc_id ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM doc_grams g JOIN best s USING (surface))
+  WHERE reach IS NULL OR reach < i + n)
+"""
+
+sql("anchor_gazetteer", _ANCHORS + """
+SELECT surface, entity, round(commonness, 6) AS commonness, round(link_prob, 6) AS link_prob FROM gaz""")
+
+sql("link_entities", _ANCHORS + """
+SELECT doc_id, b AS "begin", e AS "end", entity, round(rho, 6) AS rho FROM linked""")
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+sql("annotated_bodies", _ANCHORS + f""",
+span AS (
+  SELECT l.*, d.text, coalesce(lag(e) OVER (PARTITION BY l.doc_id ORDER BY b, e, entity), 0) AS prev,
+         regexp_replace(CAST(CAST(round(rho, 6) AS DECIMAL(38, 12)) AS VARCHAR), '(\\.\\d+?)0+$', '\\1') AS printed
+  FROM linked l JOIN documents d USING (doc_id)),
+body AS (
+  SELECT doc_id, arg_max(e, (b, e, entity)) AS last_end,
+         string_agg({_escaped("substr(text, prev + 1, greatest(b - prev, 0))")} || '<span class=''annotation'' entity='''
+                    || replace(replace({_escaped("entity")}, '"', '&quot;'), '''', '&#x27;') || ''' score=''' || printed || '''>'
+                    || {_escaped("substr(text, b + 1, e - b)")} || '</span>', '' ORDER BY b, e, entity) AS spans
+  FROM span GROUP BY doc_id)
+SELECT d.doc_id, coalesce(x.spans, '') || {_escaped("substr(d.text, coalesce(x.last_end, 0) + 1)")} AS body
+FROM documents d LEFT JOIN body x USING (doc_id)""")

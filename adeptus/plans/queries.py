@@ -17,6 +17,7 @@ from adeptus import fixtures as fx
 from adeptus.corpus import Corpus
 from adeptus.functions import text as text_fn
 from adeptus.operators import evaluate, ingest, language, linking, lookups, ranking, relatedness, scoring, stats
+from adeptus.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,14 +58,14 @@ def _key(spark, *parts):
 
 
 def _corpus(spark, sf) -> Corpus:
-    """The fixture corpus of ``sf`` with its derived tables persisted.
+    """The fixture corpus of ``sf`` with its derived tables written to the shared folder.
 
     Built once per session and directory, like the reference's database:
     every query of the session reads the same materialised derived tables.
     """
     key = _key(spark, sf)
     if key not in _CORPORA:
-        _CORPORA[key] = fx.corpus(spark, sf).persist_derived()
+        _CORPORA[key] = fx.corpus(spark, sf).write_derived()
     return _CORPORA[key]
 
 
@@ -72,9 +73,8 @@ def _query_entities(spark, sf, corpus: Corpus) -> DataFrame:
     """Topics linked to entities with a gazetteer of the corpus's entity titles."""
     key = _key(spark, "qe", sf)
     if key not in _CORPORA:
-        # the gazetteer is read by several jobs (n-gram cap, join): persist it once
-        gaz = linking.title_gazetteer(corpus.popularity().select("entity")).persist()
-        _CORPORA[key] = linking.query_entities(fx.topics(spark, sf), gaz)
+        gaz = written(linking.title_gazetteer(corpus.popularity().select("entity")), "titles")
+        _CORPORA[key] = written(linking.query_entities(fx.topics(spark, sf), gaz), "query-entities")
     return _CORPORA[key]
 
 
@@ -125,6 +125,14 @@ def grouped_entities(spark, sf):
                     r6("min_rho").alias("min_rho"), r6("max_rho").alias("max_rho"), "count")
 
 
+@query
+def grouped_entities_in_order(spark, sf):
+    """D10 without any restriction, with G3's order."""
+    g = stats.grouped_entities_in_order(stats.grouped_entities(fx.mentions(spark, sf)))
+    return g.select("author_id", "entity", "year", r6("avg_rho").alias("avg_rho"),
+                    r6("min_rho").alias("min_rho"), r6("max_rho").alias("max_rho"), "count", "position")
+
+
 @query
 def grouped_entities_year(spark, sf):
     g = stats.grouped_entities(fx.mentions(spark, sf), year=1998)
@@ -287,15 +295,22 @@ def _run_and_qrels(spark, sf):
     key = _key(spark, "run", sf)
     if key not in _CORPORA:
         run = scoring.eciaf_score(c, _query_entities(spark, sf, c))
-        _CORPORA[key] = (run.persist(), fx.qrels(spark, sf).persist())
+        _CORPORA[key] = (written(run, "run"), written(fx.qrels(spark, sf), "qrels"))
     return _CORPORA[key]
 
 
 @query
 def topics_with_qrels(spark, sf):
-    """Judged topics (distinct) joined to their text; unknown topics dropped."""
-    qrels = fx.qrels(spark, sf)
-    return qrels.select("query_id").distinct().join(fx.topics(spark, sf), "query_id")
+    """Judged topics with their text, in order."""
+    return ranking.judged_topics(fx.qrels(spark, sf), fx.topics(spark, sf))
+
+
+@query
+def topics_without_text(spark, sf):
+    """Judged topics that aren't among the topics whose text names a part of size above 25."""
+    part = fx.read_table(spark, sf, "part").where("p_size > 25").select(F.col("p_name").alias("text")).distinct()
+    some = fx.topics(spark, sf).join(part, "text", "left_semi")
+    return ranking.unknown_topics(fx.qrels(spark, sf), some)
 
 
 @query
@@ -356,9 +371,8 @@ def query_entity_list(spark, sf):
 def batch_topics(spark, sf):
     """Judged topics (C8) x two scorings, one plan per scoring, unioned."""
     c = _corpus(spark, sf)
-    topics = topics_with_qrels(spark, sf)
-    gaz = linking.title_gazetteer(c.popularity().select("entity")).persist()
-    qe = linking.query_entities(topics, gaz)
+    judged = ranking.judged_topics(fx.qrels(spark, sf), fx.topics(spark, sf))
+    qe = _query_entities(spark, sf, c).join(judged.select("query_id"), "query_id", "left_semi")
     outs = []
     for name in ("eciaf_score", "efiaf_score"):
         s = ranking.find_experts(c, qe, name, sort=False)
@@ -402,7 +416,7 @@ def _anchor_gazetteer(spark, sf):
     key = _key(spark, "gaz", sf)
     if key not in _CORPORA:
         pages = fx.read_table(spark, sf, "pages").select("html")
-        _CORPORA[key] = linking.anchor_gazetteer(pages).persist()
+        _CORPORA[key] = written(linking.anchor_gazetteer(pages), "anchors")
     return _CORPORA[key]
 
 
@@ -424,7 +438,7 @@ def link_entities(spark, sf):
 def annotated_bodies(spark, sf):
     """B13 over M1's annotations of every document (documents without any keep their escaped text)."""
     docs = _docs(spark, sf).select("doc_id", "text")
-    ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text")
+    ann = linking.link_entities(docs, _anchor_gazetteer(spark, sf), "doc_id", "text").withColumn("rho", r6("rho"))
     bodies = linking.annotated_bodies(docs, ann, "doc_id", "text")
     return bodies.select(F.col("id").cast("long").alias("doc_id"), "body")
 
@@ -453,7 +467,7 @@ def ingest_summary(spark, sf):
 @query
 def assign_document_ids(spark, sf):
     p = ingest.accepted(ingest.year_filter(fx.papers(spark, sf), _Y0, _Y1))
-    return ingest.assign_document_ids(p, bucket_rows=4096).select("ordinal", "author_id", "document_id")
+    return ingest.assign_document_ids(p).select("ordinal", "author_id", "document_id")
 
 
 @query
@@ -496,40 +510,51 @@ def merge_documents_authors(spark, sf):
 # ------------------------------------------------------------ B: lookups
 @query
 def author_ids_by_name(spark, sf):
-    """B7 batched: ids of every name that has a document (semi-join on requested names)."""
+    """Ids of the names of authors with a document in the first year window."""
     c = _corpus(spark, sf)
-    names = c.authors.join(c.documents.select("author_id").distinct(), "author_id", "left_semi").select("name")
-    return c.authors.join(names.distinct(), "name", "left_semi").select("name", "author_id")
+    wrote = ingest.year_filter(c.documents, _Y0, _Y1)
+    return lookups.author_ids_by_name(c.authors, c.authors.join(wrote, "author_id", "left_semi"))
 
 
 @query
 def document_by_id(spark, sf):
-    """B8 batched: documents for every id referenced by a line item."""
+    """Documents for every id referenced by a line item sent back."""
     c = _corpus(spark, sf)
-    ids = fx.read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id")).distinct()
-    return c.documents.join(ids, "document_id", "left_semi").select("author_id", "document_id", "year", "body")
+    ids = fx.read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id"))
+    return lookups.documents_by_id(c.documents, ids)
 
 
 @query
 def author_lookup(spark, sf):
-    """B9 batched: name and institution of every author with a mention."""
+    """Name and institution of every author with a confident mention above 0.9."""
     c = _corpus(spark, sf)
-    return c.authors.join(c.papers(), "author_id", "left_semi").select("author_id", "name", "institution")
+    return lookups.authors_by_id(c.authors, c.author_entity().where("max_rho > 0.9"))
 
 
 @query
 def institution_papers(spark, sf):
-    """Each author's institution with that institution's document count."""
+    """Document counts of every institution of an author."""
     c = _corpus(spark, sf)
-    d3 = stats.institution_document_count(c.documents)
-    return c.authors.join(d3, "institution").select("author_id", "institution", "document_count")
+    return lookups.institution_papers_count(stats.institution_document_count(c.documents), c.authors)
 
 
 @query
 def author_mentions(spark, sf):
-    """Every mention (year, entity, rho) of every author, no rho filter."""
-    m = fx.mentions(spark, sf)
-    return m.select("author_id", "document_id", "year", "entity", r6("rho").alias("rho"))
+    """Every mention (year, entity, rho) of the authors with a document in the first year window, no rho filter."""
+    c = _corpus(spark, sf)
+    m = lookups.author_mentions(c.mentions, ingest.year_filter(c.documents, _Y0, _Y1))
+    return m.withColumn("rho", r6("rho"))
+
+
+@query
+def documents_by_entity_list(spark, sf):
+    """D11 for entity lists given as JSON: each topic's linked entities are one request."""
+    c = _corpus(spark, sf)
+    requests = (_query_entities(spark, sf, c).groupBy("query_id")
+                .agg(F.to_json(F.array_sort(F.collect_set("entity"))).alias("entities")))
+    asked = lookups.entity_lists(requests)
+    return asked.join(stats.author_documents(c.doc_entities()), "entity").select(
+        "query_id", "author_id", "document_id", "year", "entity", "count")
 
 
 @query
@@ -558,3 +583,23 @@ def find_experts_json(spark, sf):
     c = _corpus(spark, sf)
     ranked = ranking.find_experts(c, _query_entities(spark, sf, c), "eciaf_score", sort=False)
     return lookups.expert_rows_json(ranked.withColumn("score", r6("score")))
+
+
+@query
+def query_json(spark, sf):
+    """/query shape: every expert of every topic for the five scorings."""
+    c = _corpus(spark, sf)
+    scores = scoring.all_scorings(c, _query_entities(spark, sf, c)).withColumn("score", r6("score"))
+    return lookups.query_rows_json(scores, c.authors)
+
+
+@query
+def author_json(spark, sf):
+    """/author shape of every author, a row per entity."""
+    return lookups.author_rows_json(_corpus(spark, sf))
+
+
+@query
+def completion_json(spark, sf):
+    """/completion shape for the term 'customer 00001'."""
+    return lookups.completion_json(fx.authors(spark, sf), "customer 00001")

@@ -30,49 +30,28 @@ RELATEDNESS = T.StructType([
     T.StructField("rel", T.DoubleType()),
 ])
 
-QUERIES = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
-QUERY_ENTITIES = T.StructType([
-    T.StructField("query_id", T.StringType()),
+ENTITIES = T.StructType([
     T.StructField("entity", T.StringType()),
+    T.StructField("institution", T.StringType()),
+    T.StructField("frequency", T.LongType()),
 ])
 
-QRELS = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("author_id", T.StringType()),
-    T.StructField("rel", T.IntegerType()),
+INSTITUTIONS = T.StructType([
+    T.StructField("institution", T.StringType()),
+    T.StructField("document_count", T.LongType()),
 ])
 
-RUN = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("author_id", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("scoring", T.StringType()),
+REJECTS = T.StructType([
+    T.StructField("input_file", T.StringType()),
+    T.StructField("doc_id", T.StringType()),
+    T.StructField("record", T.StringType()),
 ])
 
-PAPERS = T.StructType([
-    T.StructField("author_id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("institution", T.StringType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("abstract", T.StringType()),
-    T.StructField("doi", T.StringType()),
-])
-
-# one annotation of a text: character span [begin, end) linked to an entity
-ANNOTATION = T.StructType([
+# annotations by the text's SHA-256; a null entity marks a text without any
+ANNOTATION_MEMO = T.StructType([
+    T.StructField("text_hash", T.StringType()),
     T.StructField("begin", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
     T.StructField("entity", T.StringType()),
     T.StructField("rho", T.DoubleType()),
 ])
-
-GAZETTEER = T.StructType([
-    T.StructField("surface", T.StringType()),
-    T.StructField("entity", T.StringType()),
-    T.StructField("commonness", T.DoubleType()),
-    T.StructField("link_prob", T.DoubleType()),
-])

@@ -1,15 +1,19 @@
-"""Session helpers: sensible defaults, checkpoint directory, size-checked broadcast."""
+"""Session helpers: sensible defaults, tables in the shared folder, dealing of texts.
+
+No join side is hinted for broadcast after a count: a table that several jobs
+read is written, so that Catalyst knows its bytes and compares them with
+``spark.sql.autoBroadcastJoinThreshold``; AQE decides the rest at run time.
+"""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Largest side (rows) that may be hinted for broadcast after an explicit count.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Session setting: number of partitions that texts are dealt to before CPU-heavy work on each (unset: as read).
+TEXT_PARTITIONS = "spark.adeptus.textPartitions"
 
 
 def build_session(master: str | None = None, app: str = "adeptus",
@@ -27,82 +31,46 @@ def build_session(master: str | None = None, app: str = "adeptus",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # let AQE coalesce the shuffle partitions of persisted (cached) plans too
-        "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
-    spark = b.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set one only when unset.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when nothing is configured (local tests) a scratch folder is created.
+    Where it is unset, a local master (as in tests) gets a temporary folder;
+    on a cluster that is an error, since a folder of the driver's machine
+    can't be read by the executors.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = fallback or tempfile.mkdtemp(prefix="adeptus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="adeptus-shared-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return configured
+    return configured.rstrip("/")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only when a count proves it is small.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, under a name of its own.
 
-    Use for sides whose size is not bounded by construction (query sets,
-    gazetteers).  Above the bound the plain DataFrame is returned and the
-    planner (with AQE's runtime statistics) picks a shuffle join.
+    Computed once, whatever reads it later; it cuts the lineage, survives lost
+    executors, holds no executor memory, and its size is known to Catalyst.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-class Bounded:
-    """A persisted DataFrame with a proven row bound.
-
-    ``small`` says whether the count is within ``max_rows``; tables derived
-    from it with at most as many rows (e.g. an inner join on a unique key)
-    may use :meth:`hint` on themselves too.  Persisted (not checkpointed
-    locally), so lost blocks are recomputed from lineage.
-    """
-
-    def __init__(self, df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                 rows_per_partition: int = 100_000):
-        persisted = df.persist()
-        self.rows = persisted.count()
-        self.small = self.rows <= max_rows
-        # a proven-small side needs few tasks: narrow it (no shuffle) to a
-        # partition count that follows from the count
-        want = max(1, -(-self.rows // rows_per_partition))
-        self.df = persisted.coalesce(want) if self.small else persisted
-
-    def hint(self, df: DataFrame | None = None) -> DataFrame:
-        d = self.df if df is None else df
-        return F.broadcast(d) if self.small else d
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster when it has fewer partitions than cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in ``TEXT_PARTITIONS`` partitions where the session sets that number, else as it is.
 
-    For CPU-heavy per-row work (text) read from few large files.  With many
-    input splits (the large-scale case) the DataFrame is returned unchanged
-    and no shuffle is added.
+    For texts in a few large files; input of many splits needs no shuffle.
     """
-    # a plan with a shuffle already runs at shuffle parallelism; and asking an
-    # adaptive plan with shuffles for its partitions would execute them
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    n = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -1,8 +1,11 @@
 """File readers: paper CSVs, XML dumps, association lists, topics and qrels.
 
 All readers take explicit schemas and glob paths (several files are read as
-one DataFrame).  Input order, where the reference depends on it, is kept
-as an ``ordinal`` column: file rank (sorted path) * 2^40 + row within file.
+one DataFrame).  Input order, where the reference depends on it, is kept as an
+``ordinal`` column: file path, start of the split, and a number that grows with
+the rows of a split.  Rows that don't fit a format are left out and listed or
+counted by a function of their own: ``rejected_papers``, ``broken_xml_files``,
+``rejected_topics``, ``rejected_qrels``.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adeptus.functions.text import normalize_author
+from adeptus.operators.ingest import papers_from_documents
 
 # Functions of this module run inside Python workers (mapInPandas); ship
 # them by value so executors need no installed copy of the package.
@@ -53,63 +57,95 @@ def fix_windows_1252(col):
 
 
 def _with_ordinal(df: DataFrame) -> DataFrame:
-    """Add input_file and ordinal (sorted file rank * 2^40 + row within the file).
+    """Add input_file and ordinal, a struct that sorts in input order; no join or window is needed."""
+    return (df.withColumn("input_file", F.col("_metadata.file_path"))
+            .withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("file"),
+                                            F.col("_metadata.file_block_start").alias("block"),
+                                            F.monotonically_increasing_id().alias("row"))))
 
-    Rows are counted by split of a file (its path and block start).  A split's
-    rows follow each other in one partition, so a row's place is its distance
-    from the split's first row, after the rows of the file's earlier splits.
-    """
-    d = (df.withColumn("input_file", F.col("_metadata.file_path"))
-         .withColumn("_block", F.col("_metadata.file_block_start"))
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    splits = d.groupBy("input_file", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("input_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    files = splits.select("input_file").distinct()
-    files = files.withColumn("_rank", F.dense_rank().over(Window.orderBy("input_file")) - 1)  # one row per file
-    return (d.join(splits.join(files, "input_file"), ["input_file", "_block"])
-            .withColumn("ordinal", F.col("_rank") * F.lit(1 << 40) + F.col("_before") + (F.col("_mid") - F.col("_first")))
-            .drop("_mid", "_first", "_rank", "_block", "_n", "_before"))
-
-
-def read_papers_semicolon(spark: SparkSession, path: str, encoding: str = "windows-1252") -> DataFrame:
-    """``;``-separated, no header, exactly 20 fields per record (others dropped).
-
-    Columns: author_id, name (B3 of first + last), institution, year (int;
-    a non-integer year drops the row), abstract, doi, input_file, ordinal.
+
+BAD = "_bad"
+
+
+def csv_schema(names) -> T.StructType:
+    """String columns and the record itself where it doesn't have as many."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*names, BAD)])
+
+
+def not_blank(records: DataFrame) -> DataFrame:
+    """Records with a value in any field, or with a wrong number of fields."""
+    return records.where(F.coalesce(*(F.col(c) for c in records.columns)).isNotNull())
+
+
+def csv_options(reader, multi_line: bool = True):
+    """Records with another number of fields are kept apart in the column ``BAD``."""
+    return (reader.option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD))
+
+
+def _is_1252(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-") in ("windows-1252", "cp1252")
+
+
+def _semicolon_records(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
+    reader = csv_options(spark.read.schema(csv_schema(f"c{i}" for i in range(SEMICOLON_FIELDS))), multi_line)
+    return not_blank(reader.option("sep", ";").option("encoding", "iso-8859-1" if _is_1252(encoding) else encoding).csv(path))
+
+
+_YEAR = f"try_cast(trim(c{F_YEAR}) AS INT)"
+
+
+def read_papers_semicolon(spark: SparkSession, path: str, encoding: str = "windows-1252",
+                          multi_line: bool = True) -> DataFrame:
+    """``;``-separated, no header, exactly 20 fields per record.
+
+    Columns: author_id, name (B3 of first + last), institution, year (int),
+    abstract, doi, input_file, ordinal.  Records with another number of fields
+    or a year that is no integer are left out (see ``rejected_papers``).
     windows-1252 is read as ISO-8859-1 and the 0x80-0x9F range re-mapped.
+    ``multi_line=False`` reads large files in splits, where no quoted field has
+    a line break.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(SEMICOLON_FIELDS)])
-    cp = encoding.lower().replace("_", "-") in ("windows-1252", "cp1252")
-    raw = (spark.read.schema(schema)
-           .option("sep", ";").option("quote", '"').option("escape", '"')
-           .option("multiLine", "true").option("mode", "DROPMALFORMED")
-           .option("encoding", "iso-8859-1" if cp else encoding)
-           .csv(path))
-    fix = fix_windows_1252 if cp else (lambda c: c)
+    raw = _semicolon_records(spark, path, encoding, multi_line)
+    fix = fix_windows_1252 if _is_1252(encoding) else (lambda c: c)
     cols = {i: fix(F.col(f"c{i}")) for i in (F_AUTHOR_ID, F_LAST_NAME, F_FIRST_NAME, F_INSTITUTION,
                                              F_YEAR, F_DOI, F_ABSTRACT)}
-    papers = raw.select(
+    papers = raw.where(F.col(BAD).isNull()).select(
         cols[F_AUTHOR_ID].alias("author_id"),
         normalize_author(cols[F_FIRST_NAME], cols[F_LAST_NAME]).alias("name"),
         cols[F_INSTITUTION].alias("institution"),
-        F.expr(f"try_cast(trim(c{F_YEAR}) AS INT)").alias("year"),
+        F.expr(_YEAR).alias("year"),
         cols[F_ABSTRACT].alias("abstract"),
         cols[F_DOI].alias("doi"),
         F.col("_metadata"))
     return _with_ordinal(papers.where(F.col("year").isNotNull())).drop("_metadata")
 
 
-def read_papers_tu(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+TU_FIELDS = ("doc_id", "author_id", "text")
+
+
+def _tu_records(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
+    return not_blank(csv_options(spark.read.schema(csv_schema(TU_FIELDS)), multi_line).option("encoding", encoding).csv(path))
+
+
+def read_papers_tu(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
     """A2: ``doc_id,author_id,text`` CSV; name 'Name of <id>', institution 'TU', year 2017."""
-    schema = "doc_id string, author_id string, text string"
-    raw = (spark.read.schema(schema).option("escape", '"').option("multiLine", "true")
-           .option("mode", "DROPMALFORMED").option("encoding", encoding).csv(path))
-    papers = raw.select(
-        "author_id", F.concat(F.lit("Name of "), F.col("author_id")).alias("name"),
-        F.lit("TU").alias("institution"), F.lit(2017).alias("year"),
-        F.col("text").alias("abstract"), F.lit(None).cast("string").alias("doi"), F.col("_metadata"))
-    return _with_ordinal(papers).drop("_metadata")
+    raw = _tu_records(spark, path, encoding, multi_line).where(F.col(BAD).isNull()).select(*TU_FIELDS, "_metadata")
+    return papers_from_documents(_with_ordinal(raw), "input_file", "ordinal")
+
+
+def rejected_papers(spark: SparkSession, path: str, fmt: str, encoding: str | None = None,
+                    multi_line: bool = True) -> DataFrame:
+    """Per input file: non-blank records, those with a wrong number of fields, and those with a year that is no integer."""
+    if fmt == "unipi":
+        raw, year_ok = _semicolon_records(spark, path, encoding or "windows-1252", multi_line), F.expr(_YEAR).isNotNull()
+    else:
+        raw, year_ok = _tu_records(spark, path, encoding or "utf-8", multi_line), F.lit(True)
+    fits = F.col(BAD).isNull()
+    rows = raw.select(F.col("_metadata.file_path").alias("input_file"), fits.alias("fits"), year_ok.alias("year_ok"))
+    return rows.groupBy("input_file").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(~F.col("fits")).alias("bad_fields"),
+        F.count_if(F.col("fits") & ~F.col("year_ok")).alias("bad_year"))
 
 
 def read_papers(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -129,7 +165,14 @@ def _xml_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ok.append(True)
             except ET.ParseError:
                 ok.append(False)
-        yield pd.DataFrame({"path": pdf["path"], "well_formed": ok})
+        yield pdf.assign(well_formed=ok)
+
+
+def _xml_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path, file, well_formed) of every file, read once."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"),
+                                                         F.col("_metadata.file_name").alias("file"))
+    return files.mapInPandas(_xml_check, "value string, path string, file string, well_formed boolean")
 
 
 def xml_text(value) -> "F.Column":
@@ -151,17 +194,13 @@ def read_xml_dump(spark: SparkSession, path: str) -> DataFrame:
     root's ``docno`` text, else ``NONE_<file name>``.  Files that are not
     well-formed are dropped (listed by :func:`broken_xml_files`).
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"),
-                                                         F.col("_metadata.file_name").alias("file"))
-    checked = files.select("path", "value").mapInPandas(_xml_check, "path string, well_formed boolean")
-    good = files.join(checked.where("well_formed"), "path", "left_semi")
-    return good.select(xml_docno(F.col("value"), F.col("file")).alias("docno"),
-                       xml_text(F.col("value")).alias("text"), "file")
+    return _xml_files(spark, path).where("well_formed").select(
+        xml_docno(F.col("value"), F.col("file")).alias("docno"), xml_text(F.col("value")).alias("text"), "file")
 
 
 def broken_xml_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return files.mapInPandas(_xml_check, "path string, well_formed boolean").where(~F.col("well_formed"))
+    """Paths of the files that ``read_xml_dump`` leaves out."""
+    return _xml_files(spark, path).where(~F.col("well_formed")).select("path", "well_formed")
 
 
 def read_assoc(spark: SparkSession, path: str) -> DataFrame:
@@ -184,26 +223,48 @@ def _strip(col):
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
+def _topic_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select(_strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("input_file"))
+    return lines.where(F.length("line") > 0)
+
+
+def _topic_fits(sep: str):
+    return F.col("line").contains(";") if sep == ";" else F.size(F.split("line", sep)) == 2
+
+
 def read_topics(spark: SparkSession, path: str, sep: str = "\t", prefix: str = "topic-") -> DataFrame:
     """``id<sep>description`` lines -> (query_id, text).
 
     Tab form: exactly two fields, id prefixed with ``prefix`` (A9, B21).
     Semicolon form: split at the first ``;`` (A8), id kept as is.
     """
-    lines = spark.read.text(path).select(_strip(F.col("value")).alias("line")).where(F.length("line") > 0)
+    lines = _topic_lines(spark, path).where(_topic_fits(sep))
     if sep == ";":
         return lines.select(F.regexp_extract("line", r"^([^;]*);(.*)$", 1).alias("query_id"),
-                            F.regexp_extract("line", r"^([^;]*);(.*)$", 2).alias("text")) \
-            .where(F.col("line").contains(";")).drop("line")
+                            F.regexp_extract("line", r"^([^;]*);(.*)$", 2).alias("text"))
     parts = F.split("line", sep)
-    return (lines.where(F.size(parts) == 2)
-            .select(F.concat(F.lit(prefix), parts[0]).alias("query_id"), parts[1].alias("text")))
+    return lines.select(F.concat(F.lit(prefix), parts[0]).alias("query_id"), parts[1].alias("text"))
+
+
+def rejected_topics(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Non-empty lines that ``read_topics`` leaves out: (input_file, record)."""
+    return _topic_lines(spark, path).where(~_topic_fits(sep)).select("input_file", F.col("line").alias("record"))
+
+
+_REL = "try_cast(try_element_at(split(line, '\\t'), 4) AS INT)"
+
+
+def _qrel_fits():
+    return (F.size(F.split("line", "\t")) == 4) & F.expr(_REL).isNotNull()
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """A10: ``topic<TAB>ignored<TAB>author<TAB>rel`` -> (query_id, author_id, rel)."""
-    lines = spark.read.text(path).select(_strip(F.col("value")).alias("line"))
     parts = F.split("line", "\t")
-    return (lines.where(F.size(parts) == 4)
-            .select(parts[0].alias("query_id"), parts[2].alias("author_id"),
-                    F.expr("try_cast(split(line, '\\t')[3] AS INT)").alias("rel")))
+    return (_topic_lines(spark, path).where(_qrel_fits())
+            .select(parts[0].alias("query_id"), parts[2].alias("author_id"), F.expr(_REL).alias("rel")))
+
+
+def rejected_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """Non-empty lines that ``read_qrels`` leaves out: (input_file, record)."""
+    return _topic_lines(spark, path).where(~_qrel_fits()).select("input_file", F.col("line").alias("record"))

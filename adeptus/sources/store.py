@@ -1,10 +1,11 @@
 """The store: a folder of Parquet tables replacing the reference's database.
 
-Layout ``<path>/<table>/batch=<id>`` for the base tables authors,
-documents, entity_occurrences and ``<path>/<table>`` for the derived tables
-entities (D2) and institutions (D3).  Derived tables are recomputed from the base tables after a write,
-never updated in place.  The folder should be on shared storage: it is also
-what cuts lineage between the build and the query jobs.
+Every table is ``<path>/<table>/batch=<id>``: the base tables authors, documents
+and entity_occurrences; the counts of D2 (entities) and D3 (institutions), of
+which a batch holds its own part and a reader sums them; rejected input rows;
+and the memos of annotations and relatedness.  A write adds a batch and leaves
+the others alone.  The folder should be on shared storage: it is also what cuts
+lineage between the build and the query jobs.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ from pyspark.sql import types as T
 
 from adeptus import schemas
 from adeptus.corpus import Corpus
-from adeptus.operators import ingest, stats
+from adeptus.functions.text import normalize_space
+from adeptus.operators import ingest, linking, stats
+from adeptus.operators.relatedness import oriented_from_memo
 
-BASE = {"authors": schemas.AUTHORS, "documents": schemas.DOCUMENTS, "entity_occurrences": schemas.MENTIONS}
+TABLES = {"authors": schemas.AUTHORS, "documents": schemas.DOCUMENTS, "entity_occurrences": schemas.MENTIONS,
+          "entities": schemas.ENTITIES, "institutions": schemas.INSTITUTIONS, "rejects": schemas.REJECTS,
+          "annotation_memo": schemas.ANNOTATION_MEMO, "relatedness_memo": schemas.RELATEDNESS}
+#: Tables of counts: each batch holds its part, of which the last column is summed over the batches.
+COUNTS = ("entities", "institutions")
 
 
 class Store:
@@ -59,50 +66,64 @@ class Store:
         return sorted(n.split("=", 1)[1] for n in names if n.startswith("batch="))
 
     def read(self, table: str, exclude_batch: str | None = None) -> DataFrame:
-        schema = BASE.get(table)
-        r = self.spark.read
-        if schema is not None:
-            r = r.schema(T.StructType(schema.fields + [T.StructField("batch", T.StringType())]))
-        df = r.parquet(self._p(table))
-        if "batch" in df.columns:
-            if exclude_batch is not None:
-                df = df.where(F.col("batch") != F.lit(exclude_batch))
-            df = df.drop("batch")
-        return df
+        """A table over all batches; without rows where nothing has been written yet."""
+        schema = TABLES[table]
+        if not self.exists(table):
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.StringType())])) \
+            .parquet(self._p(table))
+        if exclude_batch is not None:
+            df = df.where(F.col("batch") != F.lit(exclude_batch))
+        if table in COUNTS:
+            *keys, count = schema.names
+            return df.groupBy(*keys).agg(F.sum(count).alias(count))
+        return df.drop("batch")
+
+    def add(self, table: str, rows: DataFrame, batch: str) -> None:
+        """Write a batch of a table; a batch of that name is replaced."""
+        rows.select(*TABLES[table].names).write.mode("overwrite").parquet(f"{self._p(table)}/batch={batch}")
 
     def corpus(self) -> Corpus:
-        return Corpus(self.read("authors"), self.read("documents"), self.read("entity_occurrences"))
+        """The stored corpus; entity popularity (D5) is the sum of the stored D2 over institutions."""
+        c = Corpus(self.read("authors"), self.read("documents"), self.read("entity_occurrences"))
+        c.memo("popularity", lambda: self.read("entities").groupBy("entity")
+               .agg(F.sum("frequency").alias("entity_popularity")))
+        return c
+
+    def remembering(self, annotator, batch: str):
+        """An annotator that looks texts up in the stored memo first and adds what is new as ``batch``."""
+        def run(texts: DataFrame) -> DataFrame:
+            memo = self.read("annotation_memo", exclude_batch=batch)
+            found, fresh = linking.annotate_with_memo(texts, memo, annotator)
+            self.add("annotation_memo", fresh, batch)
+            return found
+        return run
+
+    def relatedness(self) -> DataFrame:
+        """The stored relatedness memo as oriented rows for E7."""
+        return oriented_from_memo(self.read("relatedness_memo"))
 
     def next_batch(self) -> str:
         nums = [int(b) for b in self.batches() if b.isdigit()]
         return f"{(max(nums) + 1) if nums else 0:06d}"
 
-    def write(self, corpus: Corpus, batch: str | None = None, refresh: bool = True) -> "Store":
+    def write(self, corpus: Corpus, batch: str | None = None) -> "Store":
         """Write a corpus as one batch (default: the next numbered batch).
 
         Authors already stored in other batches keep their row (first wins);
-        document ids are the caller's (see :meth:`next_document_id`).
+        document ids are the caller's (see :meth:`next_document_id`).  D2 and D3
+        are counted over this batch alone.
         """
         batch = batch or self.next_batch()
-        authors = corpus.authors
-        if self.exists("authors") and any(b != batch for b in self.batches("authors")):
-            authors = authors.join(self.read("authors", exclude_batch=batch).select("author_id"),
-                                   "author_id", "left_anti")
-        for table, df, schema in (("authors", authors, schemas.AUTHORS),
-                                  ("documents", corpus.documents, schemas.DOCUMENTS),
-                                  ("entity_occurrences", corpus.mentions, schemas.MENTIONS)):
-            df.select(*schema.names).write.mode("overwrite").parquet(f"{self._p(table)}/batch={batch}")
-        if refresh:
-            self.refresh_derived()
+        authors = corpus.authors.join(self.read("authors", exclude_batch=batch).select("author_id"),
+                                      "author_id", "left_anti")
+        for table, rows in (("authors", authors), ("documents", corpus.documents),
+                            ("entity_occurrences", corpus.mentions),
+                            ("entities", stats.entity_institution_frequency(corpus.doc_entities(), corpus.documents)),
+                            ("institutions", stats.institution_document_count(corpus.documents))):
+            self.add(table, rows, batch)
         return self
 
-    def refresh_derived(self) -> None:
-        c = self.corpus()
-        stats.entity_institution_frequency(c.doc_entities(), c.documents) \
-            .write.mode("overwrite").parquet(self._p("entities"))
-        stats.institution_document_count(c.documents) \
-            .write.mode("overwrite").parquet(self._p("institutions"))
-
     def next_document_id(self, exclude_batch: str | None = None) -> int:
         """D15 (as an int for the next ingest): max stored document id + 1, or 0."""
         if not self.exists():
@@ -117,7 +138,7 @@ def open_store(spark: SparkSession, path: str, erase: bool = False) -> Store:
 
 
 def write_store(store: Store, corpus: Corpus, batch: str | None = None) -> Store:
-    """Write a corpus (authors, documents, mentions) as one batch; derived tables refreshed."""
+    """Write a corpus (authors, documents, mentions, counts) as one batch."""
     return store.write(corpus, batch)
 
 
@@ -127,8 +148,8 @@ def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
 
 
 def write_topics(topics: DataFrame, path: str) -> None:
-    """``id;text`` topic lines."""
-    write_lines(topics.select(F.concat_ws(";", "query_id", "text").alias("value")), path)
+    """``id;text`` topic lines, white space of the text made single spaces."""
+    write_lines(topics.select(F.concat_ws(";", "query_id", normalize_space("text")).alias("value")), path)
 
 
 def write_papers_csv(rows: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_eciaf_beats_random_on_map(spark):
-    c = fx.corpus(spark, SF).persist_derived()
+    c = fx.corpus(spark, SF).write_derived()
     gaz = linking.title_gazetteer(c.popularity().select("entity"))
     qe = linking.query_entities(fx.topics(spark, SF), gaz)
     qrels = fx.qrels(spark, SF)
@@ -30,4 +30,3 @@ def test_eciaf_beats_random_on_map(spark):
     rel = {(r.source, r.other): r.rel for r in relatedness.cooccurrence_relatedness(c, src).collect()}
     assert all(0.0 <= v <= 1.0 for v in rel.values())
     assert all(abs(v - rel[(b, a)]) < 1e-12 for (a, b), v in rel.items() if (b, a) in rel)
-    c.unpersist()

@@ -15,7 +15,7 @@ def test_measures_hand_computed(spark):
         ("q1", "a", 0), ("q1", "b", 2), ("q1", "c", 1), ("q1", "e", 0), ("q1", "f", 1),
         ("q2", "y", 1),
         ("q3", "z", 1),   # judged, no run: counts 0 in 'all'
-        ("q4", "w", 0),   # no relevant author: left out of 'all'
+        ("q4", "w", 0),   # no relevant author: counts 0 in 'all'
     ], "query_id string, author_id string, rel int")
     m = {r.query_id: r for r in evaluate.per_query_measures(run, qrels).collect()}
     q1 = m["q1"]
@@ -41,9 +41,9 @@ def test_measures_hand_computed(spark):
 
     te = {(r.measure, r.query_id): r.value for r in evaluate.trec_eval(run, qrels).collect()}
     assert ("map", "q4") not in te and ("map", "q3") not in te
-    assert math.isclose(te[("map", "all")], ap / 3)            # q1, q2 (0), q3 (absent, 0)
+    assert math.isclose(te[("map", "all")], ap / 4)            # q1, q2 (0), q3 and q4 (absent, 0)
     assert te[("num_rel", "all")] == 5.0 and te[("num_ret", "all")] == 6.0
-    assert math.isclose(te[("gm_map", "all")], math.exp((math.log(ap) + 2 * math.log(1e-5)) / 3))
+    assert math.isclose(te[("gm_map", "all")], math.exp((math.log(ap) + 3 * math.log(1e-5)) / 4))
     assert ("iprec_at_recall_0.10", "all") in te
 
 

@@ -2,9 +2,10 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from adeptus.operators import ingest, linking
+from adeptus.operators import ingest, linking, relatedness, scoring
 from adeptus.sources import readers, store
 
 
@@ -16,7 +17,7 @@ def _write(path, data: bytes):
 
 def test_assign_ids_consecutive(spark):
     df = spark.createDataFrame([(o, f"a{o % 3}") for o in [5, 1, 99, 42, 7, 1000, 3]], "ordinal long, author_id string")
-    got = {r.ordinal: r.document_id for r in ingest.assign_document_ids(df, start=10, bucket_rows=4).collect()}
+    got = {r.ordinal: r.document_id for r in ingest.assign_document_ids(df, start=10, ranges=3).collect()}
     assert got == {o: 10 + i for i, o in enumerate(sorted(got))}
 
 
@@ -32,8 +33,6 @@ def test_first_wins_last_wins_pending(spark):
                                   "document_id string, author_id string, line_no long")
     assert {r.document_id: r.author_id for r in ingest.last_wins(assoc).collect()} == {"d1": "y", "d2": "z"}
     done = spark.createDataFrame([("d1",)], "document_id string")
-    assert [r.document_id for r in ingest.pending_documents(assoc.select("document_id").distinct(), done,
-                                                            "document_id").collect()] == ["d2"]
     assert [r.document_id for r in ingest.pending(assoc.select("document_id").distinct(), done, "document_id")
             .collect()] == ["d2"]
 
@@ -66,6 +65,8 @@ def test_semicolon_reader(spark, tmpdir_path):
     assert p[0].name == "Mario Rossi" and p[1].name == "Nicolò D àngelo"
     assert p[0].abstract == 'An abstract; with a semicolon\nand a newline and a "quote" € è'
     assert (p[0].institution, p[0].year, p[0].doi) == ("Univ Pisa", 2010, "10.1/abc")
+    lost = readers.rejected_papers(spark, f"{tmpdir_path}/in/*.csv", "unipi").first()
+    assert (lost.records, lost.bad_fields, lost.bad_year) == (5, 2, 1)
     try:
         readers.read_papers(spark, tmpdir_path, "nope")
         raise AssertionError("unknown format accepted")
@@ -80,6 +81,10 @@ def test_tu_reader_and_writer_roundtrip(spark, tmpdir_path):
     p = readers.read_papers(spark, f"{tmpdir_path}/merged/*.csv", "tu").collect()
     got = {r.author_id: (r.name, r.institution, r.year, r.abstract, r.doi) for r in p}
     assert got["au1"] == ("Name of au1", "TU", 2017, 'text, with "quotes"\nand lines', None)
+    _write(f"{tmpdir_path}/tu/a.csv", b"d1,au1,fine\nd2,au2\nd3,au3,one,two\n")
+    assert readers.read_papers(spark, f"{tmpdir_path}/tu/*.csv", "tu").count() == 1
+    lost = readers.rejected_papers(spark, f"{tmpdir_path}/tu/*.csv", "tu").first()
+    assert (lost.records, lost.bad_fields, lost.bad_year) == (3, 2, 0)
 
 
 def test_xml_topics_qrels_assoc_text_dir(spark, tmpdir_path):
@@ -89,15 +94,19 @@ def test_xml_topics_qrels_assoc_text_dir(spark, tmpdir_path):
     x = {r.docno: r.text for r in readers.read_xml_dump(spark, f"{tmpdir_path}/xml/*/*.xml").collect()}
     assert x == {"D1": "hello  bold  world", "NONE_2.xml": "no number"}  # document order
     assert readers.broken_xml_files(spark, f"{tmpdir_path}/xml/*/*.xml").count() == 1
+    plan = readers.read_xml_dump(spark, f"{tmpdir_path}/xml/*/*.xml")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
     _write(f"{tmpdir_path}/topics.tsv", "1\tdata structures\n2\tmachine learning \n\n".encode())
     t = {r.query_id: r.text for r in readers.read_topics(spark, f"{tmpdir_path}/topics.tsv").collect()}
     assert t == {"topic-1": "data structures", "topic-2": "machine learning"}
     _write(f"{tmpdir_path}/topics.csv", "7;a;b c\n".encode())
     t2 = readers.read_topics(spark, f"{tmpdir_path}/topics.csv", sep=";").collect()
     assert [(r.query_id, r.text) for r in t2] == [("7", "a;b c")]
-    _write(f"{tmpdir_path}/q.qrel", "topic-1\t0\tau1\t1\ntopic-1\t0\tau2\t0\n".encode())
+    _write(f"{tmpdir_path}/q.qrel", "topic-1\t0\tau1\t1\ntopic-1\t0\tau2\t0\nthree\tfields\tonly\n".encode())
     q = readers.read_qrels(spark, f"{tmpdir_path}/q.qrel").collect()
     assert sorted(tuple(r) for r in q) == [("topic-1", "au1", 1), ("topic-1", "au2", 0)]
+    assert [r.record for r in readers.rejected_qrels(spark, f"{tmpdir_path}/q.qrel").collect()] == ["three\tfields\tonly"]
+    assert readers.rejected_topics(spark, f"{tmpdir_path}/topics.csv").count() == 1     # no tab in it
     _write(f"{tmpdir_path}/all.assoc", b"au1 d1 x\nau2 d1\nau3 d2\n")
     a = ingest.last_wins(readers.read_assoc(spark, f"{tmpdir_path}/all.assoc"))
     assert {r.document_id: r.author_id for r in a.collect()} == {"d1": "au2", "d2": "au3"}
@@ -141,7 +150,7 @@ def test_build_corpus_and_store_append(spark, tmpdir_path):
     assert (ent[("Graph", "U")], ent[("Graph", "Z")]) == (1, 1)  # a2's new paper is from Z
     inst = {r.institution: r.document_count for r in st.read("institutions").collect()}
     assert inst == {"U": 2, "Z": 2}
-    store.write_topics(spark.createDataFrame([("1", "x y")], "query_id string, text string"), f"{tmpdir_path}/t")
+    store.write_topics(spark.createDataFrame([("1", " x\ty ")], "query_id string, text string"), f"{tmpdir_path}/t")
     assert spark.read.text(f"{tmpdir_path}/t").first().value == "1;x y"
     lines = store.evaluation_report_lines(spark.createDataFrame([("map", "all", 0.5)], "measure string, "
                                                                 "query_id string, value double")).first().value
@@ -179,3 +188,43 @@ def test_input_order_over_many_splits(spark, tmpdir_path):
             spark.conf.set(k, v)
     assert len({r.line_no for r in got}) == len(got) == 6000
     assert [r.author_id for r in sorted(got, key=lambda r: r.line_no)] == want
+
+
+def test_texts_are_annotated_once(spark, tmpdir_path):
+    """100 documents: 100 annotator rows on the build, none on a second build with the memo."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def annotator(df):
+        def run(batches):
+            for pdf in batches:
+                rows.add(len(pdf))
+                yield pd.DataFrame({"id": pdf["id"], "begin": 0, "end": 4, "entity": "E", "rho": 0.5})
+        return df.mapInPandas(run, "id string, begin int, end int, entity string, rho double")
+
+    papers = spark.createDataFrame([(f"a{i % 9}", "N", f"U{i % 4}", 2010, f"text number {i} of many", None, i) for i in range(100)],
+                                   "author_id string, name string, institution string, year int, abstract string, doi string, ordinal long")
+    st = store.open_store(spark, f"{tmpdir_path}/store")
+    for k, want in (("000000", 100), ("000001", 100)):
+        c = ingest.build_corpus(papers, st.remembering(annotator, k), start_id=st.next_document_id())
+        st.write(c, k)
+        assert rows.value == want
+    assert st.read("documents").count() == st.read("entity_occurrences").count() == 200
+    assert st.corpus().popularity().collect() == [("E", 200)]
+    assert st.read("institutions").agg(F.sum("document_count")).first()[0] == 200
+
+
+def test_relatedness_memo(spark, corpus, qe, tmpdir_path):
+    st = store.open_store(spark, f"{tmpdir_path}/store")
+    rel = relatedness.cooccurrence_relatedness(corpus, qe)
+    st.add("relatedness_memo", relatedness.symmetric_pairs(rel), "000000")
+    from_memo = scoring.relatedness_geom_score(corpus, qe, st.relatedness()).collect()
+    assert sorted(from_memo) == sorted(scoring.relatedness_geom_score(corpus, qe).collect())
+
+
+def test_numbered_hot_key(spark):
+    """A key with a third of the rows is spread over the ranges, since the order goes on within it."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id")
+    got = ingest.numbered(df, [F.col("k"), F.desc("id")], "place", ranges=16).collect()
+    want = sorted(((("hot" if i % 3 == 0 else f"k{i}"), -i) for i in range(3000)))
+    assert [(r.k, -r.id) for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(3000))

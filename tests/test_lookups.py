@@ -2,7 +2,7 @@
 
 import json
 
-from adeptus.operators import lookups, ranking
+from adeptus.operators import lookups, ranking, scoring, stats
 
 
 def test_completion(spark):
@@ -44,3 +44,41 @@ def test_experts_json(corpus, qe):
     out = {r.query_id: json.loads(r.json) for r in lookups.experts_json(ranked, k=1).collect()}
     assert [e["author_id"] for e in out["q1"]] == ["a1"]
     assert out["q1"][0]["rank"] == 1 and out["q1"][0]["name"] == "Alice"
+
+
+def test_single_keys(spark, corpus, tmpdir_path):
+    corpus.documents.write.parquet(f"{tmpdir_path}/d")
+    one = lookups.documents_by_id(spark.read.parquet(f"{tmpdir_path}/d"), [2])
+    assert [(r.author_id, r.year) for r in one.collect()] == [("a2", 2010)]
+    assert "EqualTo(document_id,2)" in one._jdf.queryExecution().executedPlan().toString()    # pushed to the scan
+    assert [(r.name, r.institution) for r in lookups.authors_by_id(corpus.authors, ["a3"]).collect()] == [("Carol", "UniA")]
+    assert lookups.author_mentions(corpus.mentions, ["a1"]).count() == 5
+    assert [r.papers for r in lookups.author_papers_count(corpus.papers(), ["a2"]).collect()] == [2]
+    counts = stats.institution_document_count(corpus.documents)
+    assert [r.document_count for r in lookups.institution_papers_count(counts, ["UniA", "Nope"]).collect()] == [3]
+
+
+def test_entity_lists(spark):
+    asked = spark.createDataFrame([("r1", '["X", "a b"]'), ("r2", "[]"), ("r3", "nonsense")], "r string, entities string")
+    got = sorted((r.r, r.entity) for r in lookups.entity_lists(asked).collect() if r.entity is not None)
+    assert got == [("r1", "X"), ("r1", "a b")]
+
+
+def test_response_shapes(corpus, qe):
+    rows = {(r.author_id, r.rank): json.loads(r.json) for r in lookups.author_rows_json(corpus).collect()}
+    assert rows[("a1", 0)] == {"id": "a1", "name": "Alice", "papers_count": 2}
+    assert rows[("a1", 1)] == {"entity": "X", "frequency": 2, "years": [[2010, 2], [2011, 1]]}
+    names = json.loads(lookups.completion_json(corpus.authors, "a").first().json)["authors"]
+    assert names[0] == {"id": "a1", "name": "Alice", "institution": "UniA"} and len(names) == 3
+    hits = {(r.query_id, r.scoring, r.rank): json.loads(r.json)["author_id"]
+            for r in lookups.query_rows_json(scoring.all_scorings(corpus, qe), corpus.authors).collect()}
+    assert hits[("q1", "eciaf", 1)] == "a1" and hits[("q1", "eciaf", 2)] == "a3"
+
+
+def test_profile_report_and_topics(spark, corpus):
+    rep = ranking.profile_report(corpus, ["Alice", "Nobody"], 1).collect()
+    assert [(r.name, r.institution, r.entity) for r in rep] == [("Alice", "UniA", "X")]
+    topics = spark.createDataFrame([("t2", "b"), ("t1", "a"), ("t3", "c")], "query_id string, text string")
+    qrels = spark.createDataFrame([("t3", "x", 1), ("t1", "x", 0), ("t9", "x", 1)], "query_id string, author_id string, rel int")
+    assert sorted((r.position, r.query_id) for r in ranking.judged_topics(qrels, topics).collect()) == [(0, "t1"), (1, "t3")]
+    assert [r.query_id for r in ranking.unknown_topics(qrels, topics).collect()] == ["t9"]

@@ -1,35 +1,34 @@
-"""Session helpers: size proofs, spreading, checkpoint directory."""
+"""Session helpers: the shared folder, written tables, dealing of texts."""
 
 from pyspark.sql import functions as F
 
 from adeptus.operators import stats
-from adeptus.session import Bounded, checked_broadcast, ensure_checkpoint_dir, spread
+from adeptus.session import TEXT_PARTITIONS, dealt, shared_folder, written
 
 
-def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_written_table(spark):
+    folder = shared_folder(spark)
+    assert folder and shared_folder(spark) == folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    runs = spark.sparkContext.accumulator(0)
 
+    def seen(batches):
+        for pdf in batches:
+            runs.add(len(pdf))
+            yield pdf
 
-def test_bounded_and_checked_broadcast(spark):
-    small = Bounded(spark.range(1000).repartition(16), max_rows=10_000)
-    assert small.small and small.rows == 1000
-    assert small.df.rdd.getNumPartitions() == 1          # narrowed: 1000 rows need one task
-    big = Bounded(spark.range(50), max_rows=10)
-    assert not big.small and big.hint() is big.df          # no broadcast hint above the bound
-    joined = spark.range(100).join(checked_broadcast(spark.range(5), max_rows=10), "id")
-    assert "BroadcastHashJoin" in _plan(joined)
+    table = written(spark.range(100).mapInPandas(seen, "id long"), "t")
+    assert table.count() == 100 and table.agg(F.sum("id")).first()[0] == 4950
+    assert runs.value == 100                                  # computed once, read twice
 
 
-def test_spread(spark):
+def test_dealt(spark):
     one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    shuffled = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
-    assert spread(shuffled) is shuffled                   # shuffled input: left alone, nothing executed
-
-
-def test_checkpoint_dir_kept(spark):
-    d = ensure_checkpoint_dir(spark)
-    assert d and ensure_checkpoint_dir(spark) == d
+    assert dealt(one) is one                                  # as it is where the session names no number
+    spark.conf.set(TEXT_PARTITIONS, "3")
+    try:
+        assert dealt(one).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(TEXT_PARTITIONS)
 
 
 def test_entity_popularity_subset(corpus):

@@ -126,7 +126,7 @@ def test_annotation_memo(spark):
 
     out, fresh = linking.annotate_with_memo(texts, None, annotator)
     assert sorted((r.id, r.entity) for r in out.collect()) == [("1", "NY"), ("2", "NY")]
-    memo = fresh.persist()
+    memo = fresh
     assert calls[0].count() == 2  # identical texts are annotated once
     out2, fresh2 = linking.annotate_with_memo(texts, memo, annotator)
     assert fresh2.count() == 0 and out2.count() == 2
