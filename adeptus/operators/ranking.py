@@ -8,6 +8,8 @@ task instead of all its candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def find_experts(corpus: Corpus, query_entities: DataFrame, scoring: str = "ecia
     return out
 
 
+def find_experts_batch(corpus: Corpus, query_entities: DataFrame, scorings) -> DataFrame:
+    """Every hit of every query for each of the named scorings, with the scoring's name."""
+    runs = [find_experts(corpus, query_entities, name, sort=False).withColumn("scoring", F.lit(name)) for name in scorings]
+    return reduce(DataFrame.unionByName, runs)
+
+
 def ranked_run(run: DataFrame, max_rank: int = 1000) -> DataFrame:
     """Evaluator order (score desc, author_id desc), at most ``max_rank`` per query."""
     return top_k(run, max_rank, order=(F.desc("score"), F.desc("author_id")))

@@ -467,14 +467,14 @@ SELECT query_id || ' 0 ' || author_id || ' 0 ' || printf('%.6f', round(score, 6)
 sql("query_entity_list", """
 SELECT query_id, string_agg(entity, '; ' ORDER BY entity) AS entities FROM qe GROUP BY query_id""")
 
-sql("batch_topics", EVAL + """,
-jt AS (SELECT DISTINCT query_id FROM qrels)
+sql("batch_topics", EVAL + _GEOM + """
 SELECT query_id, author_id, scoring, round(score, 6) AS score FROM (
-  SELECT s.query_id, s.author_id, 'eciaf_score' AS scoring, s.eciaf AS score
-  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt)
-  UNION ALL
-  SELECT s.query_id, s.author_id, 'efiaf_score', s.efiaf
-  FROM scores s WHERE s.query_id IN (SELECT query_id FROM jt))""")
+  SELECT query_id, author_id, 'cossim_efiaf_score' AS scoring, cossim_efiaf AS score FROM scores
+  UNION ALL SELECT query_id, author_id, 'efiaf_score', efiaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'eciaf_score', eciaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'log_ec_ef_iaf_score', log_ec_ef_iaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'relatedness_geom', score FROM geom)
+WHERE query_id IN (SELECT query_id FROM qrels)""")
 
 # ------------------------------------------------- text path (documents table)
 _WS = "[ \\t\\n\\x0B\\f\\r]"  # the reference's whitespace class

@@ -369,15 +369,13 @@ def query_entity_list(spark, sf):
 
 @query
 def batch_topics(spark, sf):
-    """Judged topics (C8) x two scorings, one plan per scoring, unioned."""
+    """Judged topics (C8) x the five scorings."""
     c = _corpus(spark, sf)
     judged = ranking.judged_topics(fx.qrels(spark, sf), fx.topics(spark, sf))
     qe = _query_entities(spark, sf, c).join(judged.select("query_id"), "query_id", "left_semi")
-    outs = []
-    for name in ("eciaf_score", "efiaf_score"):
-        s = ranking.find_experts(c, qe, name, sort=False)
-        outs.append(s.select("query_id", "author_id", F.lit(name).alias("scoring"), r6("score").alias("score")))
-    return outs[0].unionByName(outs[1])
+    runs = ranking.find_experts_batch(c, qe, ("cossim_efiaf_score", "efiaf_score", "eciaf_score", "log_ec_ef_iaf_score",
+                                              "relatedness_geom"))
+    return runs.select("query_id", "author_id", "scoring", r6("score").alias("score"))
 
 
 # ------------------------------------------------- text path (documents table)
