@@ -3,13 +3,17 @@
 Documents are counted into cells (source, language, topic) by tokens.  Raking
 scales the cells' weights to one margin after the other, round after round,
 until all margins have their target shares.  A cell's rate is its raked weight
-over its tokens; divided by the largest rate it is the probability with which
-each of its documents is drawn, so the expected tokens of the sample have
-the target margins.  The draw compares a hash of seed and id with it: the same
-whenever it is repeated, and independent of how rows are dealt.
+over its tokens.  With a ``budget``, a share of the corpus's tokens, the rates are
+scaled so that the sample is expected to have so many tokens; a rate above 1
+means whole repeats and a drawn remainder, so a rare cell doesn't shrink the
+sample of the others.  Without one, rates are divided by the largest and no
+document is repeated; the size of the sample then depends on the rarest cell.
+Either way the expected tokens of the sample have the target margins.  The draw
+compares a hash of seed and id with the rate: the same whenever it is repeated,
+and independent of how rows are dealt.
 
 Nulls of a dimension are a value of their own (``?``).  A null or empty text has
-no tokens; a cell without tokens keeps the probability 1.  Documents with
+no tokens; a cell without tokens keeps the rate 1.  Documents with
 a null id are drawn by a hash of their text; repeated ids are drawn alike.
 Values that a target names and the corpus lacks are left out and the rest
 scaled; values that it doesn't name keep their natural share.  No documents: no rows.
@@ -26,6 +30,8 @@ from adeptus.llm.shared import written
 ROUNDS, AT_ONCE = 12, 4
 #: Power of the natural shares that the default targets follow: 1 is natural, 0 equal shares.
 TEMPER = 0.95
+#: The pipeline's: tokens of the sample over tokens of its input, and the power of its targets.
+BUDGET, POWER = 1.0, 0.8
 TOKEN = r"[^ \t\r\n]+"
 # Topic rules, the first that holds counts: name, and strings of which the lower-cased text has one.
 TOPICS = [("legal", ["license", "licence"]), ("web", ["http://", "https://", "www."]), ("table", [" | "])]
@@ -76,11 +82,15 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
     return w.select(*dims, "tokens", "weight")
 
 
-def rates(raked: DataFrame, dims: list[str]) -> DataFrame:
-    """(dims, probability): each cell's rate over the largest rate."""
-    rate = raked.select(*dims, (F.col("weight") / F.col("tokens")).alias("rate"))
-    most = F.broadcast(rate.agg(F.max("rate").alias("most")))             # one row
-    return rate.crossJoin(most).select(*dims, (F.col("rate") / F.col("most")).alias("probability"))
+def rates(raked: DataFrame, dims: list[str], budget: float | None = None) -> DataFrame:
+    """(dims, probability): each cell's expected copies of a document.
+
+    They are scaled to ``budget`` of all tokens, or to 1 for the largest.
+    """
+    rate = raked.select(*dims, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("rate"))
+    unit = F.max("rate") if budget is None else F.sum("weight") / (F.sum("tokens") * F.lit(float(budget)))
+    one = F.broadcast(rate.agg(unit.alias("one")))                        # one row
+    return rate.crossJoin(one).select(*dims, (F.col("rate") / F.col("one")).alias("probability"))
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -98,34 +108,37 @@ def cell_columns(text_col: str, source_col: str, lang_col: str) -> dict[str, Col
 
 
 def chances(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_col: str = "text",
-            source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+            source_col: str = "source", lang_col: str = "lang", budget: float | None = None,
+            power: float | None = None) -> DataFrame:
     """(source, lang, topic, probability) of every cell with tokens.
 
     ``targets`` gives shares by dimension (``source``, ``lang``, ``topic``);
-    a dimension that it lacks gets the tempered natural shares.
+    a dimension that it lacks gets the natural shares to ``power``.
     """
     counted = docs.select(*(c.alias(d) for d, c in cell_columns(text_col, source_col, lang_col).items()),
                           tokens(F.col(text_col)).alias("tokens"))
     cells = written(counted.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     targets = targets or {}
-    goals = {d: targets[d] if d in targets else tempered(cells, d) for d in DIMS}
-    return written(rates(rake(cells, DIMS, goals), DIMS), "mix-rates")
+    goals = {d: targets[d] if d in targets else tempered(cells, d, TEMPER if power is None else power) for d in DIMS}
+    return written(rates(rake(cells, DIMS, goals), DIMS, budget), "mix-rates")
 
 
 def draw(docs: DataFrame, chance: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", lang_col: str = "lang", seed: str = "mix") -> DataFrame:
-    """``docs`` with ``__mix``: its cell, probability and whether the row is ``kept``."""
+    """``docs`` with ``__mix``: its cell, expected and drawn ``copies``, and whether the row is ``kept``."""
     dims = cell_columns(text_col, source_col, lang_col)
     u = uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
     rows = docs.select("*", *(c.alias(f"__mix_{d}") for d, c in dims.items()), u.alias("__mix_u"))
     chance = chance.select(*(F.col(d).alias(f"__mix_{d}") for d in dims), F.col("probability").alias("__mix_p"))
     p = F.coalesce("__mix_p", F.lit(1.0))
+    copies = (F.floor(p) + F.when(F.col("__mix_u") < p - F.floor(p), 1).otherwise(0)).cast("int")
     return rows.join(chance, [f"__mix_{d}" for d in dims], "left").select(
         *(rows[c] for c in docs.columns),
         F.struct(*(F.col(f"__mix_{d}").alias(d) for d in dims), p.alias("probability"),
-                 (F.col("__mix_u") < p).alias("kept")).alias("__mix"))
+                 (copies > 0).alias("kept"), copies.alias("copies")).alias("__mix"))
 
 
 def sampled(docs: DataFrame, chance: DataFrame, **columns: str) -> DataFrame:
-    """The rows of ``docs`` that are drawn."""
-    return draw(docs, chance, **columns).filter("__mix.kept").drop("__mix")
+    """The rows of ``docs`` that are drawn, each as often as it has copies."""
+    drawn = draw(docs, chance, **columns).filter("__mix.kept")
+    return drawn.withColumn("__mix", F.explode(F.expr("array_repeat(0, __mix.copies)"))).drop("__mix")

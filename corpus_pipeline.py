@@ -43,8 +43,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that source, language and topic have their target shares."""
-    return mixing.sampled(docs, mixing.chances(docs))
+    """Documents drawn so that source, language and topic have their target shares, as many tokens as before.
+
+    Documents of rare cells are repeated, with their ids.
+    """
+    return mixing.sampled(docs, mixing.chances(docs, budget=mixing.BUDGET, power=mixing.POWER))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

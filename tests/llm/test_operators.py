@@ -92,6 +92,28 @@ def test_mixing_margins(spark, odd, empty):
     assert mixing.sampled(empty, mixing.chances(empty)).count() == 0
 
 
+def test_mixing_budget(spark):
+    """A stray source doesn't shrink the sample: it is repeated, and the margins and the token budget hold."""
+    rows = [row(i, "w " * 50, "en", "abc"[min(i % 10 // 4, 2)]) for i in range(2000)] + [row(9999, "w", "en", "stray")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    chance = mixing.chances(docs, budget=1.0, power=0.8)
+    drawn = mixing.draw(docs, chance).select("source", mixing.tokens(F.col("text")).alias("n"), "__mix.probability", "__mix.copies").collect()
+    mass = collections.Counter()
+    for r in drawn:
+        mass[r.source] += r.n * r.probability
+        assert r.copies in (math.floor(r.probability), math.floor(r.probability) + 1)
+    natural = collections.Counter()
+    for r in rows:
+        natural[r[3]] += r[1].count("w")
+    raised = {s: t ** 0.8 for s, t in natural.items()}
+    assert sum(mass.values()) == pytest.approx(sum(natural.values()))
+    for s in natural:
+        assert mass[s] / sum(mass.values()) == pytest.approx(raised[s] / sum(raised.values()))
+    kept = mixing.sampled(docs, chance)
+    assert kept.columns == docs.columns and kept.count() == sum(r.copies for r in drawn)
+    assert kept.filter("source <> 'stray'").count() > 1900 and kept.filter("source = 'stray'").count() > 1
+
+
 # ----------------------------------------------------------------- 4: archives
 def test_archive_round_trip(spark):
     body = "<p>" + "same " * 40
