@@ -7,8 +7,10 @@ Notices are found by the pigeonhole principle: a notice that may have ``k``
 edits is split into ``k + 1`` pieces, of which at least one must occur unchanged.
 An automaton over all pieces finds them in one pass over a text; around every
 piece found, the ``regex`` library matches the whole notice with at most ``k``
-errors and gives the span and the number of edits.  Windows that touch are merged
-first, so a text full of pieces is matched once.
+errors and gives the span and the number of edits, leftmost first.  Windows that
+touch are merged first, so a text full of pieces is matched once.  Every run of
+white space is one space before that, so wrapped and indented notices have the
+same pieces; spans are places of the text as it was.
 
 A null or empty text has no words and no labels, score 0.  Every whole text is
 scanned, repeated rows each; all places are counted.
@@ -16,6 +18,7 @@ scanned, repeated rows each; all places are counted.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -55,10 +58,26 @@ def split_notice(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
 
+#: White space that isn't one space already.
+WIDE = regex.compile(r"\s{2,}|[^\S ]")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """``text`` with each run of white space as one space, the folded runs' places, and characters lost up to each."""
+    out, places, lost = [], [], [0]
+    last = size = 0
+    for m in WIDE.finditer(text):
+        out += [text[last:m.start()], " "]
+        size += m.start() - last + 1
+        last = m.end()
+        places.append(size - 1)
+        lost.append(last - size)
+    return ("".join(out) + text[last:] if out else text), places, lost
+
+
 def notice_pattern(notice: str, edits: int):
-    """Matches the notice with at most ``edits`` errors; any white space counts as a space."""
-    body = regex.escape(notice).replace(r"\ ", r"\s+").replace(" ", r"\s+")
-    return regex.compile(f"(?:{body}){{e<={edits}}}", regex.BESTMATCH)
+    """Matches the notice with at most ``edits`` errors in folded text."""
+    return regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}", regex.ENHANCEMATCH)
 
 
 class Scanner:
@@ -78,22 +97,25 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of every notice in lower-case ``text``, by code points."""
-        windows: dict[int, list[list[int]]] = {}
+        text, places, lost = folded(text)
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.find.iter(text):
             for i, at in where:
                 notice, _, edits = self.notices[i]
-                lo = max(0, end + 1 - size - at - 2 * edits)
-                hi = end + 1 - size - at + len(notice) + 2 * edits
-                own = windows.setdefault(i, [])
+                lo = end + 1 - size - at
+                windows.setdefault(i, []).append((max(0, lo - 2 * edits), lo + len(notice) + 2 * edits))
+        found = []
+        for i, near in windows.items():
+            own: list[list[int]] = []
+            for lo, hi in sorted(near):
                 if own and own[-1][1] >= lo:
-                    own[-1][0], own[-1][1] = min(own[-1][0], lo), max(own[-1][1], hi)
+                    own[-1][1] = max(own[-1][1], hi)
                 else:
                     own.append([lo, hi])
-        found = []
-        for i, own in windows.items():
             for lo, hi in own:
                 for m in self.patterns[i].finditer(text, lo, min(hi, len(text))):
-                    found.append((self.notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                    start, end = (x + lost[bisect_left(places, x)] for x in m.span())
+                    found.append((self.notices[i][1], start, end, sum(m.fuzzy_counts)))
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 

@@ -232,6 +232,21 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_notices():
+    """White space of any length is a space at no cost, spans are the text's, and every place counts."""
+    scanner = licenses.Scanner(licenses.NOTICES)
+    for text in ("all\nrights\nreserved", "x  all rights\n         reserved.", "all\r\n\t rights \u00a0 reserved"):
+        (label, start, end, edits), = scanner.spans(text)
+        assert (label, edits, text[start:end].split()) == ("reserved", 0, ["all", "rights", "reserved"])
+    wrapped = "gnu\n   lesser\n   generl\n   public\n   license"
+    assert scanner.spans(wrapped) == [("lgpl", 0, len(wrapped), 1)]
+    notice = "licensed under cc\n    by-nc 4.0"
+    assert scanner.spans("\n\n" + notice) == [("cc-by-nc", 2, 2 + len(notice), 0)]
+    near = "all rights reservd all rights reserved all  rights reserved"
+    assert [(near[a:b], e) for _, a, b, e in scanner.spans(near)] == [
+        ("all rights reservd", 1), ("all rights reserved", 0), ("all  rights reserved", 0)]
+
+
 # ----------------------------------------------------------------- 8: language
 def test_language(spark, odd, empty):
     rnd = random.Random(4)
