@@ -2,8 +2,8 @@
 
 For every language the n-grams (``GRAM`` bytes of lower-cased words, borders
 included) that occur in enough of its training documents are put into one
-bit-sliced Bloom filter: a table of 64-bit masks in which bit l of a slot belongs
-to language l.  Looking an n-gram up at ``HASHES`` slots and AND-ing the masks
+bit-sliced Bloom filter: rows of 64-bit masks in which bit l % 64 of a slot of row
+l // 64 belongs to language l.  Looking an n-gram up at ``HASHES`` slots and AND-ing the masks
 returns all languages that have it, at once.
 
 A text's n-grams give a count per language (population counts of each bit
@@ -11,9 +11,10 @@ over all its masks).  A filter of fill ``f`` answers yes by chance with
 ``f ** HASHES``; counts are corrected for that, and the largest decides.  The score is
 the winner's share of the corrected counts above the runner-up's, scaled to 0-1.
 
-Training reads a bounded sample (``max_train`` documents a language, at most
-64 languages, those with most rows, by a hash of the id); prediction reads
-every whole text.  Null languages and ids aren't learnt from.  A text that is null or has
+Training reads a bounded sample (``max_train`` documents a language, by a hash
+of the id), each language in a task of its own; the n-grams kept come to the
+driver.  The number of languages isn't bounded.  Prediction reads every whole
+text.  Null languages and ids aren't learnt from.  A text that is null or has
 no letter is ``und`` with score 0, and so is every text if nothing was learnt;
 a text whose n-grams no language knows gets the most frequent language, score
 0.  Ties go to the more frequent language, then by name.
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adeptus.llm.shared import written
 from adeptus.llm.textblock import BYTE_KEY, CLASS, LOWER, POWER, WORD, column_bytes, mix, slices, sums_by
 
 GRAM = 4
@@ -38,12 +40,13 @@ HASHES = 3
 SLOT_BITS = 20
 #: Part of a language's training documents that an n-gram must occur in.
 LEAST_SHARE = 0.04
-MAX_LANGUAGES = 64
+#: Languages in one mask.
+MASK = 64
 
 
 @dataclass
 class Model:
-    """The languages, most frequent first, the table of masks, and each language's chance hits."""
+    """The languages, most frequent first, the table of masks (a row for 64 languages), and each language's chance hits."""
 
     languages: list[str]
     table: np.ndarray
@@ -84,50 +87,49 @@ def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> np.uint64(k * (64 - bits) // max(1, HASHES - 1))) & mask).astype(np.int64) for k in range(HASHES)]
 
 
-def train(texts: pa.Array, langs: list[str], bits: int = SLOT_BITS) -> Model:
-    """Filters from whole texts; ``langs`` names each text's language."""
-    names, counts = np.unique(np.array(langs, dtype=object).astype(str), return_counts=True)
-    order = np.lexsort((names, -counts))
-    languages = names[order].tolist()[:MAX_LANGUAGES]
-    number = {name: i for i, name in enumerate(languages)}
-    of = np.array([number.get(x, -1) for x in langs])
-    table = np.zeros(1 << bits, np.uint64)
-    chance = np.zeros(len(languages))
-    for i in range(len(languages)):
-        mine = texts.take(pa.array(np.flatnonzero(of == i)))
-        offsets, raw = column_bytes(mine)
-        seen = []
-        for lo, hi in slices(offsets):
-            h, first = grams(offsets, raw, lo, hi)
-            doc = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
-            pairs = np.unique(np.stack((h, doc)), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            seen.append(np.unique(pairs[0], return_counts=True))
-        if not seen:
-            continue
-        h, back = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
-        docs = np.bincount(back, weights=np.concatenate([s[1] for s in seen]), minlength=len(h))
-        kept = h[docs >= max(1, LEAST_SHARE * len(mine))]
-        for s in slots(kept, bits):
-            table[s] |= np.uint64(1 << i)
-        fill = float(np.mean((table >> np.uint64(i)) & np.uint64(1)))
-        chance[i] = fill ** HASHES
-    return Model(languages, table, chance)
+def kept_grams(texts: pa.Array) -> np.ndarray:
+    """Hashes of the n-grams that occur in enough of one language's texts."""
+    offsets, raw = column_bytes(texts)
+    seen = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for lo, hi in slices(offsets):
+        h, first = grams(offsets, raw, lo, hi)
+        doc = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
+        pairs = np.unique(np.stack((h, doc)), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+        seen.append(np.unique(pairs[0], return_counts=True))
+    h, back = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
+    docs = np.bincount(back, weights=np.concatenate([s[1] for s in seen]), minlength=len(h))
+    return h[docs >= max(1, LEAST_SHARE * len(texts))]
+
+
+def build(kept: list[tuple[str, int, np.ndarray]], bits: int = SLOT_BITS) -> Model:
+    """Filters from (language, number of documents, n-grams kept)."""
+    kept = sorted(kept, key=lambda k: (-k[1], k[0]))
+    table = np.zeros((-(-len(kept) // MASK), 1 << bits), np.uint64)
+    chance = np.zeros(len(kept))
+    for i, (_, _, h) in enumerate(kept):
+        mask, bit = table[i // MASK], np.uint64(i % MASK)
+        for s in slots(h, bits):
+            mask[s] |= np.uint64(1) << bit
+        chance[i] = float(np.mean((mask >> bit) & np.uint64(1))) ** HASHES
+    return Model([name for name, _, _ in kept], table, chance)
 
 
 def predict(model: Model, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the language, score) of each row."""
-    bits = int(np.log2(len(model.table)))
+    bits = int(np.log2(model.table.shape[1]))
     n = len(offsets) - 1
     best, score = np.zeros(n, np.int64), np.zeros(n)
     for lo, hi in slices(offsets):
         h, first = grams(offsets, raw, lo, hi)
         places = slots(h, bits)
-        mask = model.table[places[0]]
-        for s in places[1:]:
-            mask &= model.table[s]
         total = np.diff(first)
-        hits = np.stack([sums_by(((mask >> np.uint64(i)) & np.uint64(1)).astype(np.float64), first)
-                         for i in range(len(model.languages))])
+        hits = np.zeros((len(model.languages), hi - lo))
+        for k, masks in enumerate(model.table):
+            mask = masks[places[0]]
+            for s in places[1:]:
+                mask &= masks[s]
+            for i in range(k * MASK, min((k + 1) * MASK, len(hits))):
+                hits[i] = sums_by(((mask >> np.uint64(i % MASK)) & np.uint64(1)).astype(np.float64), first)
         fair = np.maximum(hits - total * model.chance[:, None], 0) / (1 - np.minimum(model.chance, 0.99))[:, None]
         best[lo:hi] = fair.argmax(axis=0)
         ranked = np.sort(fair, axis=0)
@@ -139,37 +141,31 @@ def predict(model: Model, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndar
 
 def training_rows(docs: DataFrame, learn: Column, max_train: int, id_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(text, lang, k): at most ``max_train`` documents of each of the most frequent languages.
+    """(text, lang, k): at most ``max_train`` documents of each language.
 
-    Ids are chosen first; their number is bounded by the parameter times
-    ``MAX_LANGUAGES``, and only they are joined with texts.
+    Ids are chosen first; their number is bounded by the parameter times the
+    number of languages, and only they are joined with texts.
     """
     known = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang")).filter(
         "k IS NOT NULL AND lang IS NOT NULL").filter(learn)
-    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-
     place = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = (known.join(F.broadcast(often), "lang").withColumn("place", F.row_number().over(place))
+    chosen = (known.withColumn("place", F.row_number().over(place))
               .filter(F.col("place") <= max_train).groupBy("k").agg(F.min("lang").alias("lang")))
     texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "k").select("text", "lang", "k")
+    return texts.join(written(chosen, "language-sample"), "k").select("text", "lang", "k")
 
 
 def fit(rows: DataFrame, bits: int = SLOT_BITS) -> Model:
-    """Build the filters from a bounded sample, in one task; they come back to the driver."""
+    """Build the filters from a bounded sample, a task for each language; the n-grams kept come to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        m = train(table.column("text").combine_chunks(), table.column("lang").to_pylist(), bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([m.languages]), pa.array([m.table.astype("<u8").tobytes()]), pa.array([m.chance.tolist()])],
-            names=["languages", "masks", "chance"])
-
-    out = (rows.repartition(1).sortWithinPartitions("k", "text")
-           .mapInArrow(run, "languages array<string>, masks binary, chance array<double>").collect())
-    if not out:
-        return Model([], np.zeros(1, np.uint64), np.zeros(0))
-    return Model(list(out[0]["languages"]), np.frombuffer(out[0]["masks"], "<u8"), np.array(out[0]["chance"]))
+    def run(table: pa.Table) -> pa.Table:
+        texts = table.column("text").combine_chunks()
+        return pa.table({"lang": table.column("lang").slice(0, 1).cast(pa.string()), "docs": pa.array([len(texts)], pa.int64()),
+                         "grams": pa.array([kept_grams(texts).astype("<u8").tobytes()], pa.binary())})
+
+    out = (rows.select("text", F.col("lang").cast("string").alias("lang")).groupBy("lang")
+           .applyInArrow(run, "lang string, docs bigint, grams binary").collect())
+    return build([(r.lang, r.docs, np.frombuffer(r.grams, "<u8")) for r in out], bits)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

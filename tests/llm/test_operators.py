@@ -262,6 +262,19 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_mask(spark):
+    """All of 70 languages are learnt and told apart."""
+    rnd = random.Random(11)
+    parts = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(5)] for k in range(70)}
+    rows = [row(len(parts) * c + k, " ".join(rnd.choice(w) for _ in range(20)), lang)
+            for c in range(6) for k, (lang, w) in enumerate(parts.items())]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(language.training_rows(docs, F.lit(True), 50))
+    assert len(model.languages) == 70 and model.table.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
 # -------------------------------------------------------------- 9: fingerprints
 def test_fingerprints(spark, words, odd, empty):
     rnd = random.Random(3)
