@@ -56,13 +56,15 @@ class Model:
 def grams(offsets: np.ndarray, raw: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first): the n-grams of row d are ``first[d]:first[d+1]``.
 
-    Bytes that aren't part of a word count as one border; an n-gram has at
-    least two bytes of words and no border inside.
+    Bytes that aren't part of a word count as one border, and so do a row's
+    start and end; an n-gram has at least two bytes of words and no border inside.
     """
     base = offsets[lo]
-    offsets = offsets[lo:hi + 1] - base
-    buf = LOWER[raw[base:base + offsets[-1]]]
-    n = len(buf)
+    size = np.diff(offsets[lo:hi + 1])
+    offsets = offsets[lo:hi + 1] - base + 2 * np.arange(hi - lo + 1)
+    n = int(offsets[-1])
+    buf = np.zeros(n, np.uint8)                        # a border before and after each row
+    buf[np.arange(n - 2 * len(size)) + np.repeat(2 * np.arange(len(size)) + 1, size)] = LOWER[raw[base:base + n - 2 * len(size)]]
     if n < GRAM:
         return np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
     word = CLASS[buf] == WORD
@@ -75,8 +77,6 @@ def grams(offsets: np.ndarray, raw: np.ndarray, lo: int, hi: int) -> tuple[np.nd
     good = word[1:m + 1].copy()
     for k in range(2, GRAM - 1):
         good &= word[k:m + k]
-    row_end = np.repeat(offsets[1:], np.diff(offsets))
-    good &= np.arange(m) + GRAM <= row_end[:m]
     at = np.flatnonzero(good)
     return mix(h[at]), np.searchsorted(at, offsets)
 

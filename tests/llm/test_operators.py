@@ -275,6 +275,18 @@ def test_more_languages_than_a_mask(spark):
     assert all(got[r[0]] == r[2] for r in rows)
 
 
+def test_borders_of_a_text():
+    """A text's first and last n-grams touch its ends, also in texts shorter than an n-gram, and none spans two texts."""
+    def hashes(*texts):
+        offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+        h, first = language.grams(offsets, np.frombuffer("".join(texts).encode(), np.uint8), 0, len(texts))
+        return [h[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+
+    alone = hashes("De.", "word", "a", "", "Re")
+    assert [len(h) for h in alone] == [1, 3, 0, 0, 1]
+    assert alone[1] == hashes(". word, ")[0] and alone[0] == hashes("de")[0]
+
+
 # -------------------------------------------------------------- 9: fingerprints
 def test_fingerprints(spark, words, odd, empty):
     rnd = random.Random(3)
