@@ -38,10 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adeptus.llm.textblock import BYTE_KEY, CLASS, LOWER, SPACE, WORD, column_bytes, mix, powers, slices
+from adeptus.llm.textblock import BYTE_KEY, CLASS, LOWER, POWER, SPACE, WORD, column_bytes, mix, powers, slices
 
 SPAN, DECAY = 8, 0.6
 LANDMARKS = 256
+#: Characters of a window of three or more pieces.
+JOIN = 10
+INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 #: Codes: 1..26 letters, 27..36 digits, 37..62 other bytes, 63 the border.
 CODE = np.zeros(256, np.int32)
 CODE[97:123] = np.arange(1, 27)
@@ -91,24 +94,40 @@ class Segments:
         new = np.ones(len(at), bool)
         new[1:] = piece[1:] != piece[:-1]
         start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(at)))
         doc = np.searchsorted(offsets, at[start], side="right") - 1
         ends = np.flatnonzero(SENTENCE_END[buf]) if n else np.zeros(0, np.int64)
         sentence = np.searchsorted(ends, at[start]) + doc
-        # runs of at least three one-byte pieces are one segment
-        single = size == 1
+        text = buf[at]
+        count = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))[np.append(start, len(at))]
+        # runs of at least three one-character pieces are one segment
+        single = np.diff(count) == 1
         follows = np.zeros(len(start), bool)
         if len(start) > 1:
             follows[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
         run = np.cumsum(~follows) - 1
         length = np.bincount(run) if len(run) else np.zeros(0, np.int64)
         joined = (length >= 3)[run] & follows if len(run) else follows
-        start, size_of = start[~joined], np.diff(np.append(start[~joined], len(at)))
-        self.doc, self.sentence = doc[~joined], sentence[~joined]
-        text = buf[at]
+        begin = [np.flatnonzero(~joined)]
+        end = [np.append(begin[0][1:], len(start))] if len(start) else [begin[0]]
+        # windows of neighbours in a sentence
+        for k in range(2, JOIN + 1):
+            m = max(0, len(start) - k + 1)
+            near = sentence[k - 1:k - 1 + m] == sentence[:m]
+            if k > 2:
+                near &= count[k:k + m] - count[:m] <= JOIN
+            begin.append(np.flatnonzero(near))
+            end.append(begin[-1] + k)
+        begin, end = np.concatenate(begin), np.concatenate(end)
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], end[order]
+        self.doc, self.sentence = doc[begin], sentence[begin]
         if len(start):
-            place = np.arange(len(at)) - np.repeat(start, size_of)
-            h = mix(np.add.reduceat(BYTE_KEY[text] * powers(int(size_of.max()))[place], start))
+            edge = np.append(start, len(at))
+            start, size_of = edge[begin], edge[end] - edge[begin]
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_KEY[text] * powers(len(text)))))
+            back = np.full(len(text), INVERSE)
+            back[0] = 1
+            h = mix((total[start + size_of] - total[start]) * np.multiply.accumulate(back)[start])
             self.hash, some, self.kind = np.unique(h, return_index=True, return_inverse=True)
             s, z = start[some], size_of[some]
         else:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -189,6 +190,31 @@ def test_toxicity_held_out(spark, words, odd, empty):
     assert max(r.score for r in toxicity.score(docs, none).collect()) < 1e-9
 
 
+def probabilities(model, texts):
+    raw = "".join(texts).encode()
+    return toxicity.scores(model, np.cumsum([0] + [len(t.encode()) for t in texts]), np.frombuffer(raw, np.uint8))
+
+
+def mixed_texts(words, marks, n=400):
+    rnd = random.Random(12)
+    texts, labels = [], []
+    for i in range(n):
+        w = [rnd.choice(words) for _ in range(40)]
+        if i % 4 == 0:
+            w.insert(rnd.randrange(30), marks[i // 4 % len(marks)])
+        texts.append(". ".join(" ".join(w[k:k + 10]) for k in range(0, len(w), 10)))
+        labels.append(int(i % 4 == 0))
+    return pa.array(texts), np.array(labels)
+
+
+def test_split_and_spelled_out_insults(words):
+    """Insults in two pieces, spelled out with letters of several bytes, or within a spelled-out sentence."""
+    model = toxicity.train(*mixed_texts(words, ["bmupzkk", "imbécile", "дурачина"]))
+    bad = ["such bmu pzkk here", "such i m b é c i l e here", "such д у р а ч и н а here", "such " + " ".join("stonebmupzkkareston") + " here"]
+    p = probabilities(model, [*bad, "such stone here", "such " + " ".join("stonearestonarestone")])
+    assert min(p[:4]) > 0.5 > max(p[4:]), p
+
+
 def test_folded_weights_equal_the_kernel():
     """The folded machine's value is the weighted sum of kernels with the landmarks."""
     def kernel(s, t):
