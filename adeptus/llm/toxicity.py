@@ -4,17 +4,21 @@ The kernel compares two strings by their common subsequences of three bytes;
 a subsequence that spans ``s`` bytes weighs ``DECAY**s``, up to ``SPAN`` bytes.
 So ``idxiot`` or ``i-d-i-o-t`` still shares most of its weight with ``idiot``.
 
-A text is cut into sentences, a sentence into segments: runs without white
-space, of which letters and digits are kept, and runs of one-byte pieces joined
-(``i d i o t``), each between border marks.  A sentence is as toxic as its most
-toxic segment, a document as its most toxic sentence.
+A text is cut into sentences, a sentence into segments: pieces without white
+space, of which letters and digits are kept; runs of one-character pieces joined
+(``i d i o t``); and overlapping windows of joined neighbours, every two of them
+and more up to ``JOIN`` characters (``id iot``, insults of several words, spelled
+out sentences).  Each stands between border marks.  A sentence is as toxic as its
+most toxic segment, a document as its most toxic sentence.
 
 Training sees labelled sentences.  Those of clean documents are clean.  A toxic
-document's sentences are a bag: the sentence with the segment that most tells
-toxic from clean sentences is its positive one.  Segments of the positive
-sentences against segments of clean ones train a linear SVM in the space that
-the landmarks span (Nyström), with rounds of hard clean segments added; a
-logistic curve over documents calibrates the scores.
+document's segments are a bag of which the one that most tells toxic from clean
+sentences is positive, if enough toxic sentences have it (a share of the toxic
+documents).  Every other toxic document gives, among its segments of the best
+odds, that which the machine of the turn before finds most toxic.  They train
+against segments of clean sentences a linear SVM in the space that the landmarks
+span (Nyström), with rounds of hard clean segments added; a logistic curve over
+documents calibrates the scores.
 
 The decision is linear in the subsequences, so the trained machine is folded
 into one weight per subsequence, and scoring is table look-ups for all segments
@@ -44,6 +48,8 @@ SPAN, DECAY = 8, 0.6
 LANDMARKS = 256
 #: Characters of a window of three or more pieces.
 JOIN = 10
+#: Toxic sentences, as a share of the toxic documents, that make a segment's odds count.
+LEAST_SHARE = 0.001
 INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 #: Codes: 1..26 letters, 27..36 digits, 37..62 other bytes, 63 the border.
 CODE = np.zeros(256, np.int32)
@@ -140,11 +146,6 @@ class Segments:
         codes[put] = CODE[text[take]]
         self.codes, self.size = codes, z + 2
 
-    def strings(self) -> list[bytes]:
-        """Each distinct segment's codes, borders included."""
-        raw = self.codes.astype(np.uint8).tobytes()
-        return [raw[a:b] for a, b in zip(self.first[:-1], self.first[1:])]
-
 
 def _norms(longest: int) -> np.ndarray:
     """Length of a string's feature vector by the string's size, subsequences counted as distinct."""
@@ -223,62 +224,80 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS, seed:
     if not toxic.any() or toxic.all():
         return Model(weights, 0.0, 0.0, -40.0)
     offsets, raw = column_bytes(texts)
-    parts = [(lo, Segments(offsets, raw, lo, hi)) for lo, hi in slices(offsets)]
-    strings: dict[int, bytes] = {}
-    bags = []
-    for lo, part in parts:
-        strings.update(zip(part.hash.tolist(), part.strings()))
-        h = part.hash[part.kind]
-        # a sentence is the set of its segments; copies of a sentence count once
+    parts, hashes, docs, sents, marks = [], [], [], [], []
+    sentences = 0
+    for lo, hi in slices(offsets):
+        part = Segments(offsets, raw, lo, hi)
         cut = np.flatnonzero(np.diff(part.sentence, prepend=-1))
         if not len(cut):
             continue
-        mark = np.add.reduceat(mix(h), cut)
-        for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(h)))):
-            bags.append((int(mark[k]), lo + int(part.doc[a]), h[a:b]))
-    counts = [dict(), dict()]
-    known: set[int] = set()
-    totals = [0, 0]
-    for mark, doc, h in bags:
-        if mark in known:
-            continue
-        known.add(mark)
-        side = int(toxic[doc])
-        totals[side] += 1
-        for s in set(h.tolist()):
-            counts[side][s] = counts[side].get(s, 0) + 1
-    odds = {s: np.log((c + 0.3) / (totals[1] + 1)) - np.log((counts[0].get(s, 0) + 0.3) / (totals[0] + 1))
-            for s, c in counts[1].items() if c >= 3}
-    # the positive sentence of each toxic document is that of its most telling segment
-    best: dict[int, tuple[float, int]] = {}
-    for _, doc, h in bags:
-        if toxic[doc]:
-            for s in h.tolist():
-                o = odds.get(s, 0.0)
-                if o > 2.0 and o > best.get(doc, (0.0, 0))[0]:
-                    best[doc] = (o, s)
-    witness: dict[int, int] = {}
-    for _, s in best.values():
-        witness[s] = witness.get(s, 0) + 1
-    if not witness:
+        parts.append((part.hash, part.codes.astype(np.uint8), part.first))
+        h = part.hash[part.kind]
+        hashes.append(h)
+        docs.append(lo + part.doc)
+        sents.append(np.repeat(sentences + np.arange(len(cut)), np.diff(np.append(cut, len(h)))))
+        marks.append(np.add.reduceat(mix(h), cut))
+        sentences += len(cut)
+    if not parts:
         return Model(weights, 0.0, 0.0, -40.0)
-    positive = sorted(witness, key=lambda s: (-witness[s], s))
-    pool = [s for s in sorted(counts[0]) if s not in witness]
+    known = np.unique(np.concatenate([h for h, _, _ in parts]))
+    place = [np.searchsorted(known, h) for h, _, _ in parts]
+    held, spot = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    for i, at in enumerate(place):
+        held[at], spot[at] = i, np.arange(len(at))
+    kind, doc, sent = np.searchsorted(known, np.concatenate(hashes)), np.concatenate(docs), np.concatenate(sents)
+    del hashes, docs, sents
+
+    def strings(kinds: list[int]) -> list[bytes]:
+        return [parts[held[s]][1][parts[held[s]][2][spot[s]]:parts[held[s]][2][spot[s] + 1]].tobytes() for s in kinds]
+
+    def values() -> np.ndarray:
+        out = np.zeros(len(known))
+        for at, (_, codes, first) in zip(place, parts):
+            out[at] = segment_values(codes.astype(np.int32), first, weights)
+        return out
+
+    # a sentence is the set of its segments; copies of a sentence count once
+    fresh = np.zeros(sentences, bool)
+    fresh[np.unique(np.concatenate(marks), return_index=True)[1]] = True
+    side = np.zeros(sentences, bool)
+    side[sent] = toxic[doc]
+    pair = np.unique((sent * len(known) + kind)[fresh[sent]])
+    of, pair = side[pair // len(known)], pair % len(known)
+    clean, bad = (np.bincount(pair[of == x], minlength=len(known)) for x in (False, True))
+    odds = (np.log((bad + 0.3) / ((fresh & side).sum() + 1)) - np.log((clean + 0.3) / ((fresh & ~side).sum() + 1)))
+    # a toxic document's positive is its most telling segment
+    row, has = doc[toxic[doc]], kind[toxic[doc]]
+    del kind, doc, sent, pair, of
+    sure = (bad >= max(2, LEAST_SHARE * toxic.sum())) & (odds > 2.0)
+    told = np.isin(row, row[sure[has]])
+
+    def best(second: np.ndarray, among: np.ndarray) -> np.ndarray:
+        d, s = row[among], has[among]
+        order = np.lexsort((s, -second[s], -odds[s], d))
+        return s[order][np.diff(d[order], prepend=-1) > 0]
+
     rng = np.random.Generator(np.random.PCG64(seed))
-    negative = [pool[i] for i in rng.permutation(len(pool))[:4000].tolist()]
-    codes = np.frombuffer(b"".join(strings[s] for s in pool), np.uint8).astype(np.int32)
-    first = np.concatenate(([0], np.cumsum([len(strings[s]) for s in pool])))
-    bias = 0.0
+    value, negative, bias = np.zeros(len(known)), None, 0.0
     for turn in range(4):
-        if turn:
-            hard = np.argsort(-segment_values(codes, first, weights), kind="stable")[:1500]
-            negative = sorted(set(negative) | {pool[i] for i in hard.tolist()})
+        # the first turn has the documents with such a segment, if there are any; the others follow the machine
+        positive = best(value, told & sure[has] if not turn and told.any() else told & sure[has] | ~told)
+        witness, often = np.unique(positive, return_counts=True)
+        if not len(witness):
+            return Model(weights, 0.0, 0.0, -40.0)
+        order = np.lexsort((witness, -often))
+        positive, often = witness[order].tolist(), often[order].astype(float)
+        free = clean > 0
+        free[witness] = False
+        pool = np.flatnonzero(free)
+        if negative is None:
+            negative = rng.permutation(pool)[:6000]
+        hard = pool[np.argsort(-value[pool], kind="stable")[:1500]] if turn else pool[:0]
+        negative = np.union1d(negative[free[negative]], hard)
         marks = positive[:landmarks * 3 // 4]
-        values = (segment_values(*_joined([strings[s] for s in negative]), weights) if turn
-                  else np.arange(len(negative), 0, -1.0))
-        marks = marks + [negative[i] for i in np.argsort(-values, kind="stable")[:landmarks - len(marks)].tolist()]
-        weights, bias = _fit([strings[s] for s in marks], [strings[s] for s in positive],
-                             np.array([witness[s] for s in positive], float), [strings[s] for s in negative])
+        marks = marks + negative[np.argsort(-value[negative], kind="stable")[:landmarks - len(marks)]].tolist()
+        weights, bias = _fit(strings(marks), strings(positive), often, strings(negative.tolist()))
+        value = values()
     top = document_values(weights, bias, offsets, raw)
     return Model(weights, bias, *_curve(top, toxic.astype(float)))
 

@@ -215,6 +215,19 @@ def test_split_and_spelled_out_insults(words):
     assert min(p[:4]) > 0.5 > max(p[4:]), p
 
 
+def test_every_toxic_document_trains(words):
+    """Insults of ordinary words, and insults that only two documents of the sample have, are learnt."""
+    clean = {w for w in words}
+    phrase = f"{words[7]} {words[11]}"
+    assert set(phrase.split()) <= clean
+    p = probabilities(toxicity.train(*mixed_texts(words, [phrase])), [f"such {phrase} here", words[7], words[11], "such stone here"])
+    assert p[0] > 0.5 > max(p[1:]), p
+    rnd = random.Random(13)
+    rare = ["".join(rnd.choice("bcdfghkmpqvwxz") for _ in range(7)) for _ in range(50)]
+    p = probabilities(toxicity.train(*mixed_texts(words, rare)), [f"such {w} here" for w in rare] + ["such stone here"])
+    assert (p[:50] > 0.5).all() and p[50] < 0.5, p
+
+
 def test_folded_weights_equal_the_kernel():
     """The folded machine's value is the weighted sum of kernels with the landmarks."""
     def kernel(s, t):
