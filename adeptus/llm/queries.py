@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, search, toxicity
+from adeptus.llm import (
+    archive, bpe, fingerprint, language, licenses, merkle, mixing, neardup, quality, search, toxicity, turns, urls)
 from adeptus.llm.shared import scratch_path, written
 
 
@@ -117,5 +120,28 @@ def op1_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(index, search.query_vectors(queries, idf, "doc_id", "text"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_top10, op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan,
-                                   op7_toxicity, op8_language, op9_fingerprint, op10_near_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest's root; a third of the texts, lower-cased, are held against it."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(fold("doc_id", 3) == 0, merkle.leaf(*columns, low))
+    found = merkle.manifest(docs, merkle.leaf(*columns, F.col("text")), carry={"tampered": tampered})
+    again = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                        again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule or the trees' verdict for the URL of every page."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, a fifth of whose rows are damaged."""
+    return turns.repair(turns.damaged(_table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bm25_top10, op2_byte_bpe, op3_mixing, op4_arc_to_warc, op5_quality, op6_license_scan, op7_toxicity, op8_language,
+    op9_fingerprint, op10_near_dedup, op11_merkle_manifest, op12_url_filter, op13_conversation_repair)}
