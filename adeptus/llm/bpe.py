@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adeptus.llm.shared import by_batches
 from adeptus.llm.textblock import BYTE_KEY, column_bytes, mix, powers, slices
 
-#: Distinct matches that one generation of the memo holds (about 20 MB).
-MEMO_ENTRIES = 100_000
+#: Bytes of one generation of the memo; characters from which a match is not kept.
+MEMO_BYTES, LONG = 8 << 20, 64
 #: Bytes of text tokenised at once.
 SLICE_BYTES = 1 << 20
 
@@ -164,28 +165,37 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def learn(self, matches: set[str]) -> None:
-        """Put the packed ids of new matches into the memo."""
-        if len(self.young) > MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        fresh = []
+    def learn(self, matches: set[str]) -> dict[str, bytes]:
+        """Put the packed ids of new matches into the memo; those of long ones are returned, not kept."""
+        if self.size > MEMO_BYTES:
+            self.old, self.young, self.size = self.young, {}, 0
+        fresh, long = [], {}
         for m in matches:
             if m in self.old:
-                self.young[m] = self.old[m]
+                self._keep(m, self.old[m])
             elif m not in self.young:
                 fresh.append(m)
-        if not fresh:
-            return
         raw = [m.encode() for m in fresh]
-        for m, token, key in zip(fresh, raw, self.table.find(raw).tolist()):
+        for m, token, key in zip(fresh, raw, self.table.find(raw).tolist() if raw else ()):
             ids = [key] if self.vocabulary[key] == token else merge(token, self.rank_of)
-            self.young[m] = np.array(ids, "<u4").tobytes()
+            packed = np.array(ids, "<u4").tobytes()
+            if len(m) > LONG:
+                long[m] = packed
+            else:
+                self._keep(m, packed)
+        return long
+
+    def _keep(self, match: str, packed: bytes) -> None:
+        if match not in self.young:
+            self.size += 200 + 4 * len(match) + len(packed)      # with the objects' own bytes
+            self.young[match] = packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         matches = [self.find(t) for t in texts]
-        self.learn(set().union(*matches))
-        get = self.young.__getitem__
+        long = self.learn(set().union(*matches))
+        get = {**self.young, **long}.__getitem__ if long else self.young.__getitem__
         return [b"".join(map(get, m)) for m in matches]
 
 
@@ -209,7 +219,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                     [*part.columns[:n], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=[*carry, "n_tokens", "ids"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return by_batches(docs.select(*names), run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -229,4 +239,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())],
                                                  names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return by_batches(encoded, run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adeptus.llm.shared import written
+from adeptus.llm.shared import by_batches, written
 from adeptus.llm.textblock import POWER, TextBlock, column_bytes, mix, slices
 
 SHINGLE = 5
@@ -77,7 +77,7 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], rows))],
                                          names=["word", "docs"])
 
-    rows = docs.select(text_col).mapInArrow(run, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
+    rows = by_batches(docs.select(text_col), run, "word bigint, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
     # at most 2**IDF_BITS + 1 rows, whatever the input
     table = rows.toPandas()
     n = float(table.loc[table.word == -1, "docs"].sum())
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "text_hash", "content", "keys"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
+    return by_batches(docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash")), run, schema)
 
 
 def units(entries: DataFrame) -> DataFrame:
@@ -264,8 +264,8 @@ def verified(pairs: DataFrame, idf, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()),
                                                   pa.array([x[1] for x in links], pa.binary())], names=["a", "b"])
 
-    return (pairs.select(F.xxhash64("unit").alias("u"), "left", "entry", "text")
-            .repartition("u").sortWithinPartitions("u").mapInArrow(run, "a binary, b binary"))
+    dealt = pairs.select(F.xxhash64("unit").alias("u"), "left", "entry", "text").repartition("u").sortWithinPartitions("u")
+    return by_batches(dealt, run, "a binary, b binary")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

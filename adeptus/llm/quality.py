@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adeptus.llm.shared import by_batches
 from adeptus.llm.textblock import POWER, TextBlock, column_bytes, mix, slices, sums_by
 
 BITS = 18
@@ -129,8 +130,8 @@ def fit(sample: DataFrame, bits: int = BITS) -> Model:
             [pa.array([at.astype("<i4").tobytes()]), pa.array([model.weights[at].astype("<f8").tobytes()]),
              pa.array([model.bias])], names=["at", "weights", "bias"])
 
-    rows = (sample.repartition(1).sortWithinPartitions("place", "k", "text")
-            .mapInArrow(run, "at binary, weights binary, bias double").collect())
+    ordered = sample.repartition(1).sortWithinPartitions("place", "k", "text")
+    rows = by_batches(ordered, run, "at binary, weights binary, bias double").collect()
     weights = np.zeros(1 << bits)
     if not rows:
         return Model(weights, 0.0)
@@ -152,4 +153,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
             found = scores(shipped.value, *column_bytes(batch.column(at)), bits)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found)], names=[*carry, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return by_batches(docs.select(*names), run, schema)

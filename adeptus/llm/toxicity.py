@@ -42,10 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adeptus.llm.shared import by_batches
 from adeptus.llm.textblock import BYTE_KEY, CLASS, LOWER, POWER, SPACE, WORD, column_bytes, mix, powers, slices
 
 SPAN, DECAY = 8, 0.6
 LANDMARKS = 256
+#: Bytes of text whose segments are held at once; each byte is in several windows.
+SLICE_BYTES = 1 << 17
 #: Characters of a window of three or more pieces.
 JOIN = 10
 #: Toxic sentences, as a share of the toxic documents, that make a segment's odds count.
@@ -224,51 +227,58 @@ def train(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS, seed:
     if not toxic.any() or toxic.all():
         return Model(weights, 0.0, 0.0, -40.0)
     offsets, raw = column_bytes(texts)
-    parts, hashes, docs, sents, marks = [], [], [], [], []
-    sentences = 0
-    for lo, hi in slices(offsets):
+    parts, marks, sentences = [], [], 0                # per slice: its distinct segments, and its occurrences
+    for lo, hi in slices(offsets, SLICE_BYTES):
         part = Segments(offsets, raw, lo, hi)
         cut = np.flatnonzero(np.diff(part.sentence, prepend=-1))
         if not len(cut):
             continue
-        parts.append((part.hash, part.codes.astype(np.uint8), part.first))
-        h = part.hash[part.kind]
-        hashes.append(h)
-        docs.append(lo + part.doc)
-        sents.append(np.repeat(sentences + np.arange(len(cut)), np.diff(np.append(cut, len(h)))))
-        marks.append(np.add.reduceat(mix(h), cut))
+        kind = part.kind.astype(np.int32)
+        sent = np.repeat(np.arange(len(cut), dtype=np.int32), np.diff(np.append(cut, len(kind))))
+        parts.append((part.hash, part.codes.astype(np.uint8), part.first.astype(np.int32), kind, (lo + part.doc).astype(np.int32),
+                      sent, sentences))
+        marks.append(np.add.reduceat(mix(part.hash[kind]), cut))
         sentences += len(cut)
     if not parts:
         return Model(weights, 0.0, 0.0, -40.0)
-    known = np.unique(np.concatenate([h for h, _, _ in parts]))
-    place = [np.searchsorted(known, h) for h, _, _ in parts]
-    held, spot = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    known = np.zeros(0, np.uint64)
+    for lo in range(0, len(parts), 16):
+        known = np.unique(np.concatenate([known, *(p[0] for p in parts[lo:lo + 16])]))
+    place = [np.searchsorted(known, p[0]).astype(np.int32) for p in parts]
+    held, spot = np.zeros(len(known), np.int32), np.zeros(len(known), np.int32)
     for i, at in enumerate(place):
         held[at], spot[at] = i, np.arange(len(at))
-    kind, doc, sent = np.searchsorted(known, np.concatenate(hashes)), np.concatenate(docs), np.concatenate(sents)
-    del hashes, docs, sents
 
     def strings(kinds: list[int]) -> list[bytes]:
         return [parts[held[s]][1][parts[held[s]][2][spot[s]]:parts[held[s]][2][spot[s] + 1]].tobytes() for s in kinds]
 
     def values() -> np.ndarray:
         out = np.zeros(len(known))
-        for at, (_, codes, first) in zip(place, parts):
+        for at, (_, codes, first, *_) in zip(place, parts):
             out[at] = segment_values(codes.astype(np.int32), first, weights)
         return out
 
     # a sentence is the set of its segments; copies of a sentence count once
     fresh = np.zeros(sentences, bool)
     fresh[np.unique(np.concatenate(marks), return_index=True)[1]] = True
-    side = np.zeros(sentences, bool)
-    side[sent] = toxic[doc]
-    pair = np.unique((sent * len(known) + kind)[fresh[sent]])
-    of, pair = side[pair // len(known)], pair % len(known)
-    clean, bad = (np.bincount(pair[of == x], minlength=len(known)) for x in (False, True))
-    odds = (np.log((bad + 0.3) / ((fresh & side).sum() + 1)) - np.log((clean + 0.3) / ((fresh & ~side).sum() + 1)))
+    clean, bad, kept = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), [0, 0]
+    row, has = [], []
+    for at, (_, _, _, kind, doc, sent, before) in zip(place, parts):
+        bad_row = toxic[doc]
+        row.append(doc[bad_row])
+        has.append(at[kind[bad_row]])
+        side = np.zeros(int(sent[-1]) + 1, bool)
+        side[sent] = bad_row
+        new = fresh[before:before + len(side)]
+        kept[0] += int((new & ~side).sum())
+        kept[1] += int((new & side).sum())
+        pair = np.unique(sent[new[sent]].astype(np.int64) * len(at) + kind[new[sent]])
+        of, pair = side[pair // len(at)], at[pair % len(at)]
+        np.add.at(clean, pair[~of], 1)
+        np.add.at(bad, pair[of], 1)
+    odds = np.log((bad + 0.3) / (kept[1] + 1)) - np.log((clean + 0.3) / (kept[0] + 1))
     # a toxic document's positive is its most telling segment
-    row, has = doc[toxic[doc]], kind[toxic[doc]]
-    del kind, doc, sent, pair, of
+    row, has = np.concatenate(row), np.concatenate(has)
     sure = (bad >= max(2, LEAST_SHARE * toxic.sum())) & (odds > 2.0)
     told = np.isin(row, row[sure[has]])
 
@@ -335,7 +345,7 @@ def _fit(marks: list[bytes], positive: list[bytes], often: np.ndarray, negative:
 def document_values(weights: np.ndarray, bias: float, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Largest segment decision of each row; -2 for a row without segments."""
     out = np.full(len(offsets) - 1, -2.0)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, SLICE_BYTES):
         part = Segments(offsets, raw, lo, hi)
         if len(part.kind):
             value = segment_values(part.codes, part.first, weights)[part.kind] + bias
@@ -355,8 +365,8 @@ def fit(sample: DataFrame) -> Model:
             [pa.array([at.astype("<i4").tobytes()]), pa.array([m.weights[at].astype("<f8").tobytes()]),
              pa.array([[m.bias, m.slope, m.shift]])], names=["at", "weights", "rest"])
 
-    rows = (sample.repartition(1).sortWithinPartitions("place", "k", "text")
-            .mapInArrow(run, "at binary, weights binary, rest array<double>").collect())
+    ordered = sample.repartition(1).sortWithinPartitions("place", "k", "text")
+    rows = by_batches(ordered, run, "at binary, weights binary, rest array<double>").collect()
     weights = np.zeros(64 ** 3)
     if not rows:
         return Model(weights, 0.0, 0.0, -40.0)
@@ -382,4 +392,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
             found = scores(shipped.value, *column_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found)], names=[*carry, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return by_batches(docs.select(*names), run, schema)
