@@ -1,100 +1,117 @@
 """Dictionary entity linking (replaces the reference's remote annotator).
 
-Pipeline (Spark jobs; Python only tokenises one text at a time):
-
-1. ``tokenize``: per text, word tokens with character offsets
-   (``mapInPandas``; offsets need a running position that SQL arrays lack
-   without quadratic work on a long text).
-2. n-grams of 1..n tokens, n the size of the longest surface that the
-   gazetteer has, built JVM-side from the token arrays.
-3. join with a gazetteer ``(surface, entity, commonness, link_prob)``; pass a
-   stored one, so that Catalyst picks the join by its size.
-4. each matched span keeps its most common sense; spans inside a longer
-   matched span are dropped (longest match wins) by a running maximum of
-   span ends over each text's matched spans, so no pairs are ever formed.
-5. ``rho`` = link probability of the surface (min_link_prob filters).
-
-Gazetteers come either from entity titles (:func:`title_gazetteer`) or from
-hyperlink anchors of a web corpus (:func:`anchor_gazetteer`).
+Pipeline (Spark jobs, all in the JVM):
+
+1. ``tokenize``: texts are dealt by id, a row per word; character offsets are running
+   sums of the lengths of words and gaps, in one local sort per task.
+2. the gazetteer's surfaces are a trie of (node, word) edges.  Every place of a
+   text whose word leaves the root follows the trie, one join a level; a place
+   is dropped where no edge goes on.  So a text emits rows for places that begin
+   a surface, however long the longest surface is.
+3. a matched span inside a longer matched span is dropped (longest match wins) by a
+   running maximum of span ends over each text's matched spans, so no pairs are formed.
+4. senses: the most common one of the surface (:func:`link_entities`), or the one
+   that the text's other mentions vote for (:func:`link_entities_voted`).
+
+Gazetteers ``(surface, entity, commonness, link_prob)`` come either from entity
+titles (:func:`title_gazetteer`) or from hyperlink anchors of a web corpus
+(:func:`anchor_gazetteer`); pass a stored one, so that Catalyst picks joins by its size.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adeptus.session import dealt, written
 
-# Functions of this module run inside Python workers (mapInPandas); ship
-# them by value so executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_WORD = re.compile(r"\w+")
-#: The same words in the JVM's notation.
+#: Words, and words with the gap before them.
 WORDS = r"[\p{L}\p{N}_]+"
+GAP_WORD = r"[^\p{L}\p{N}_]*[\p{L}\p{N}_]+"
+#: Levels of the trie that a place follows with the words that it carries, before it fetches more.
+AHEAD = 8
 
-TOKENS_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("begins", T.ArrayType(T.IntegerType())),
-    T.StructField("ends", T.ArrayType(T.IntegerType())),
-    T.StructField("toks", T.ArrayType(T.StringType())),
-])
-
-
-def _tokenize_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        begins, ends, toks = [], [], []
-        for text in pdf["text"]:
-            b, e, t = [], [], []
-            if isinstance(text, str):
-                for m in _WORD.finditer(text):
-                    b.append(m.start())
-                    e.append(m.end())
-                    t.append(m.group().lower())
-            begins.append(b)
-            ends.append(e)
-            toks.append(t)
-        yield pd.DataFrame({"id": pdf["id"], "begins": begins, "ends": ends, "toks": toks})
 
+def tokenize(texts: DataFrame, id_col: str = "id", text_col: str = "text", ahead: int = 0) -> DataFrame:
+    """(id, i, word, begin, end, ahead): lower-cased words and their [begin, end) in characters.
 
-def tokenize(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, begins, ends, toks): lower-cased word tokens and their [begin, end)."""
-    src = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(_tokenize_batches, TOKENS_SCHEMA)
+    ``i`` numbers the words from 0; ``ahead`` holds (word, end) of the next ones, so many as asked for.
+    Texts are shuffled once, by id; the window's order needs no further exchange.  Ids are
+    unique and not null.
+    """
+    src = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).repartition("id")
+    pieces = src.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(GAP_WORD), F.lit(0))).alias("i", "piece"))
+    inner = Window.partitionBy("id").orderBy("i")
+    size = F.length("piece")
+    rows = pieces.select("id", "i", F.sum(size).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int").alias("end"),
+                         F.regexp_extract("piece", WORDS + "$", 0).alias("own"))
+    rows = rows.select("id", "i", F.lower("own").alias("word"), (F.col("end") - F.length("own")).alias("begin"), "end")
+    following = [F.struct(F.lead("word", k).over(inner).alias("word"), F.lead("end", k).over(inner).alias("end"))
+                 for k in range(1, ahead + 1)]
+    return rows.withColumn("ahead", F.array(*following) if following else F.lit(None).cast("array<struct<word: string, end: int>>"))
 
 
 def words(text):
-    """The lower-cased words of a text, in order (JVM only)."""
+    """The lower-cased words of a text, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0)
 
 
-def longest_surface(gazetteer: DataFrame):
-    """Scalar subquery: words of the longest surface, at least 1."""
-    return gazetteer.agg(F.coalesce(F.max(F.size(F.split("surface", " "))), F.lit(1)).alias("m")).scalar()
-
+def surface_trie(surfaces: DataFrame) -> DataFrame:
+    """(depth, node, word, child, surface, more): the edges of all prefixes of the surfaces.
 
-def ngrams(tokens: DataFrame, max_ngram) -> DataFrame:
-    """(id, i, n, begin, end, surface) for every n-gram, n = 1..max_ngram (0-based i; a number or scalar)."""
-    most = F.lit(max_ngram) if isinstance(max_ngram, int) else max_ngram
-    with_n = (tokens.withColumn("_most", most)
-              .select("id", "begins", "ends", "toks",
-                      F.explode(F.sequence(F.lit(1), F.least("_most", F.greatest(F.size("toks"), F.lit(1))))).alias("n")))
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("toks") - F.col("n")),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.element_at("begins", i + 1).alias("begin"),
-            F.element_at("ends", i + F.col("n")).alias("end"),
-            F.array_join(F.slice("toks", i + 1, F.col("n")), " ").alias("surface")))
-    return (with_n.where(F.size("toks") >= F.col("n"))
-            .select("id", "n", F.inline(grams)))
+    A node is the digest of its prefix, the root is empty.  ``surface`` is set where
+    one ends, ``more`` says whether edges leave the child.
+    """
+    rows = (surfaces.select("surface").distinct().select("surface", F.split("surface", " ").alias("w"))
+            .select("surface", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("depth")))
+
+    def node(k) -> Column:
+        return F.md5(F.encode(F.array_join(F.slice("w", 1, k), " "), "UTF-8"))
+
+    last = F.col("depth") == F.size("w")
+    edges = rows.select("depth", F.when(F.col("depth") > 1, node(F.col("depth") - 1)).otherwise("").alias("node"),
+                        F.element_at("w", F.col("depth")).alias("word"), node(F.col("depth")).alias("child"),
+                        F.when(last, F.col("surface")).alias("surface"), (~last).alias("more"))
+    return edges.groupBy("depth", "node", "word", "child").agg(F.max("surface").alias("surface"), F.max("more").alias("more"))
+
+
+class Trie:
+    """A gazetteer's surfaces as written edges; ``deepest`` is the number of words of the longest."""
+
+    def __init__(self, surfaces: DataFrame):
+        self.edges = written(surface_trie(surfaces), "trie")
+        self.deepest = self.edges.agg(F.max("depth")).first()[0] or 0
+        self.ahead = min(AHEAD - 1, max(self.deepest - 1, 0))
+
+    def places(self, rows: DataFrame) -> DataFrame:
+        """(id, i, n, begin, end, surface) of every place of a surface: word number from 0, words, characters.
+
+        ``rows`` is as from :func:`tokenize`, with ``self.ahead`` words ahead.  One join a level, over
+        the places that are still on a path; each level is written, and the walk ends
+        where no place goes on.
+        """
+        places = rows.select("id", "i", F.lit("").alias("node"), "begin", F.col("word").alias("next"), "end", "ahead")
+        found = None
+        for depth in range(1, max(self.deepest, 1) + 1):
+            edges = self.edges.filter(F.col("depth") == depth).select("node", F.col("word").alias("next"), "child", "surface", "more")
+            step = places.join(edges, ["node", "next"]).select(
+                "id", "i", F.lit(depth).alias("n"), "begin", "end", "surface", F.col("child").alias("node"), "more", "ahead")
+            if self.deepest > 1:
+                step = written(step, "places")
+            here = step.filter("surface IS NOT NULL").select("id", "i", "n", "begin", "end", "surface")
+            found = here if found is None else found.unionByName(here)
+            if depth >= self.deepest:
+                break
+            alive = step.filter("more").select("id", "i", "node", "begin", "ahead")
+            if alive.isEmpty():
+                break
+            if depth % AHEAD == 0:                     # the words carried are used up: fetch the next ones
+                more = rows.select("id", (F.col("i") - depth).alias("i"), F.col("word").alias("next"), "end", F.col("ahead").alias("later"))
+                places = alive.drop("ahead").join(more, ["id", "i"]).withColumnRenamed("later", "ahead")
+            else:
+                tok = F.get("ahead", F.lit(depth % AHEAD - 1))
+                places = alive.select("id", "i", "node", "begin", tok["word"].alias("next"), tok["end"].alias("end"), "ahead")
+        return found
 
 
 def title_gazetteer(entities: DataFrame, entity_col: str = "entity") -> DataFrame:
@@ -108,6 +125,17 @@ def title_gazetteer(entities: DataFrame, entity_col: str = "entity") -> DataFram
 _ANCHOR = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
+def page_links(pages: DataFrame, html_col: str = "html", *carry: str) -> DataFrame:
+    """(surface, entity, carried columns) of every hyperlink with a text and a target."""
+    anchors = (pages.select(*carry, F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_ANCHOR), 0)).alias("a"))
+               .select(*carry, F.regexp_extract("a", _ANCHOR, 1).alias("href"),
+                       F.regexp_replace(F.regexp_extract("a", _ANCHOR, 2), "<[^>]*>", "").alias("label")))
+    anchors = anchors.select(
+        F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^.*/", "").alias("entity"),
+        F.array_join(words("label"), " ").alias("surface"), *carry)
+    return anchors.where((F.length("entity") > 0) & (F.length("surface") > 0))
+
+
 def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count: int = 1) -> DataFrame:
     """Gazetteer from hyperlinks of a web corpus (anchor text -> link target).
 
@@ -117,26 +145,17 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count:
                    n-gram in the pages' text), capped at 1.
     """
     pages = dealt(pages.select(html_col))
-    anchors = (pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_ANCHOR), 0)).alias("a"))
-               .select(F.regexp_extract("a", _ANCHOR, 1).alias("href"),
-                       F.regexp_replace(F.regexp_extract("a", _ANCHOR, 2), "<[^>]*>", "").alias("label")))
-    anchors = anchors.select(
-        F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^.*/", "").alias("entity"),
-        F.array_join(words("label"), " ").alias("surface"))
-    anchors = anchors.where((F.length("entity") > 0) & (F.length("surface") > 0))
+    anchors = page_links(pages, html_col)
     # (surface, entity) counts, read several times below
     sense = written(anchors.groupBy("surface", "entity").agg(F.count(F.lit(1)).alias("links")), "senses")
     per_surface = sense.groupBy("surface").agg(F.sum("links").alias("as_anchor"))
     # occurrences of anchor surfaces anywhere in the visible text of the pages
-    # (n-grams no longer than the longest anchor surface)
-    text = pages.select(words(F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ")).alias("toks"),
-                        longest_surface(per_surface).alias("m"))
-    sizes = text.select("toks", F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)))).alias("n"))
-    grams = (sizes.where(F.size("toks") >= F.col("n"))
-             .select("n", "toks", F.explode(F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1)).alias("i"))
-             .select(F.array_join(F.slice("toks", F.col("i"), F.col("n")), " ").alias("surface")))
-    occ = (grams.join(per_surface.select("surface"), "surface", "left_semi")
-           .groupBy("surface").agg(F.count(F.lit(1)).alias("occurrences")))
+    visible = pages.select(F.monotonically_increasing_id().alias("id"), F.regexp_replace(F.col(html_col), r"(?s)<[^>]*>", " ").alias("text"))
+    trie = Trie(per_surface)
+    toks = F.transform(words("text"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("end")))
+    rows = visible.select("id", toks.alias("toks")).select("id", "toks", F.posexplode("toks").alias("i", "tok")).select(
+        "id", "i", "tok.word", F.lit(0).alias("begin"), "tok.end", F.slice("toks", F.col("i") + 2, trie.ahead).alias("ahead"))
+    occ = trie.places(rows).groupBy("surface").agg(F.count(F.lit(1)).alias("occurrences"))
     return (sense.join(per_surface, "surface").join(occ, "surface", "left")
             .where(F.col("links") >= F.lit(int(min_anchor_count)))
             .select("surface", "entity",
@@ -145,12 +164,27 @@ def anchor_gazetteer(pages: DataFrame, html_col: str = "html", min_anchor_count:
                     .alias("link_prob")))
 
 
+def longest_spans(texts: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, i, begin, end, surface): surfaces of the texts that lie in no longer one.
+
+    A span is dropped when an earlier-starting (or same-start, longer) matched
+    span reaches at least as far; one window per text over its matched spans only.
+    """
+    trie = Trie(gazetteer)
+    places = trie.places(tokenize(texts, id_col, text_col, trie.ahead))
+    w = (Window.partitionBy("id").orderBy(F.col("i").asc(), F.col("n").desc())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    kept = places.withColumn("_reach", F.max(F.col("i") + F.col("n")).over(w)).where(
+        F.col("_reach").isNull() | (F.col("_reach") < F.col("i") + F.col("n")))
+    return kept.select("id", "i", "begin", "end", "surface")
+
+
 def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_col: str = "text",
                   min_link_prob: float = 0.0) -> DataFrame:
-    """M1: annotations (id, begin, end, entity, rho) of every text.
+    """M1: annotations (id, begin, end, entity, rho) of every text, by the surfaces' most common senses.
 
-    ``id`` is returned as a string.  Overlapping spans that are not nested
-    are both kept; a span inside a longer matched span is dropped.
+    ``id`` is returned as a string, rho is the link probability.  Overlapping spans that are
+    not nested are both kept; a span inside a longer matched span is dropped.
     """
     gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
     # one sense per surface: highest commonness, then entity name
@@ -158,18 +192,46 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, id_col: str = "id", te
             .agg(F.max_by(F.struct("entity", "link_prob"),
                           F.struct("commonness", F.col("entity").alias("e"))).alias("s"))
             .select("surface", F.col("s.entity").alias("entity"), F.col("s.link_prob").alias("rho")))
-    # n-grams longer than the longest surface cannot match
-    grams = ngrams(tokenize(dealt(texts), id_col, text_col), longest_surface(gaz))
-    matched = grams.join(best, "surface")
-    # longest match wins: a span is dropped when an earlier-starting (or
-    # same-start, longer) matched span reaches at least as far; one window
-    # per text over its matched spans only
-    w = (Window.partitionBy("id").orderBy(F.col("i").asc(), F.col("n").desc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    reach = F.max(F.col("i") + F.col("n")).over(w)
-    kept = matched.withColumn("_reach", reach).where(
-        F.col("_reach").isNull() | (F.col("_reach") < F.col("i") + F.col("n")))
-    return kept.select("id", "begin", "end", "entity", "rho")
+    return longest_spans(texts, gaz, id_col, text_col).join(best, "surface").select("id", "begin", "end", "entity", "rho")
+
+
+def link_entities_voted(texts: DataFrame, gazetteer: DataFrame, related: DataFrame, id_col: str = "id",
+                        text_col: str = "text", min_link_prob: float = 0.0) -> DataFrame:
+    """M2: annotations (id, begin, end, entity, rho) whose senses are chosen by the text's other mentions.
+
+    ``related`` has oriented rows (source, other, rel); an entity is related to itself by 1.
+    Every mention votes for a sense with the commonness-weighted relatedness of its own
+    senses; a sense's coherence is the mean vote of the other mentions of the text (0 if
+    there are none).  The most coherent sense is taken, then the more common one, then the later name;
+    rho is the mean of link probability and coherence.
+
+    No pairs of mentions are formed: a text has one row per candidate sense with the summed
+    commonness of its mentions, which meets the sparse relatedness rows; what a mention gave
+    to its own senses depends on its surface only and is subtracted.
+    """
+    gaz = gazetteer.where(F.col("link_prob") >= F.lit(float(min_link_prob)))
+    spans = longest_spans(texts, gaz, id_col, text_col)
+    candidates = written(spans.join(gaz, "surface"), "candidates")
+    weight = candidates.groupBy("id", "entity").agg(F.sum("commonness").alias("weight"))
+    mentions = candidates.groupBy("id").agg(F.count_distinct("i").alias("mentions"))
+    near = related.where("source <> other").select("source", "other", "rel")
+
+    def gathered(weights: DataFrame, key: str) -> DataFrame:
+        """(key, entity, gain): for each sense of a key the related senses' weights of the same key, with its own."""
+        given = weights.join(near, F.col("entity") == F.col("other")).select(
+            key, F.col("source").alias("entity"), (F.col("rel") * F.col("weight")).alias("weight"))
+        given = given.join(weights.select(key, "entity"), [key, "entity"], "left_semi")
+        return given.unionByName(weights).groupBy(key, "entity").agg(F.sum("weight").alias("gain"))
+
+    support = gathered(weight, "id").withColumnRenamed("gain", "support")
+    own = gathered(gaz.groupBy("surface", "entity").agg(F.sum("commonness").alias("weight")), "surface").withColumnRenamed("gain", "own")
+    others = F.col("mentions") - 1
+    vote = F.when(others > 0, F.round(F.greatest((F.col("support") - F.col("own")) / others, F.lit(0.0)), 9)).otherwise(0.0)
+    rows = candidates.join(support, ["id", "entity"]).join(own, ["surface", "entity"]).join(mentions, "id").withColumn("vote", vote)
+    best = rows.groupBy("id", "i").agg(F.max_by(
+        F.struct("begin", "end", "entity", ((F.col("link_prob") + F.col("vote")) / 2).alias("rho")),
+        F.struct("vote", "commonness", F.col("entity").alias("e"))).alias("s"))
+    return best.select("id", "s.*")
 
 
 def annotations_array(annotations: DataFrame) -> DataFrame:

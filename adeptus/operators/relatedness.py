@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
+from adeptus.session import written
 
 #: Tasks that the entities of one document (or the authors of one entity) are dealt to in a join.
 SALTS = 4
@@ -51,21 +52,34 @@ def cooccurrence_relatedness(corpus: Corpus, sources: DataFrame, salts: int = SA
 
     ``sources``: DataFrame with an ``entity`` column (e.g. query entities).
     """
-    de = corpus.doc_entities().select("document_id", "entity")
+    return document_relatedness(corpus.doc_entities(), sources, corpus.popularity(), corpus.total(), salts)
+
+
+def document_relatedness(doc_entities: DataFrame, sources: DataFrame, popularity: DataFrame, total: DataFrame,
+                         salts: int = SALTS) -> DataFrame:
+    """The same from (document_id, entity) rows, each once; ``total`` is one row with the number of documents."""
+    de = doc_entities.select("document_id", "entity")
     src_docs = (de.join(sources.select("entity").distinct(), "entity", "left_semi")
                 .select("document_id", F.col("entity").alias("source")))
     others = de.select("document_id", F.col("entity").alias("other"), salt_of("entity", salts).alias("salt"))
     co = (on_every_salt(src_docs, salts).join(others, ["document_id", "salt"])
           .where(F.col("source") != F.col("other"))
           .groupBy("source", "other").agg(F.count(F.lit(1)).alias("both")))
-    pop = corpus.popularity()
+    pop = popularity
     return (co.join(pop.select(F.col("entity").alias("source"), F.col("entity_popularity").alias("pa")), "source")
             .join(pop.select(F.col("entity").alias("other"), F.col("entity_popularity").alias("pb")), "other")
-            .withColumn("total_papers", corpus.total().scalar())
+            .withColumn("total_papers", total.scalar())
             .select("source", "other", _rel_expr("pa", "pb", "both", "total_papers").alias("rel"))
             .where(F.col("rel") > 0))
 
 
+def link_relatedness(links: DataFrame) -> DataFrame:
+    """Oriented rows (source, other, rel > 0) of entities that the same pages link to; ``links`` has (page, entity)."""
+    rows = written(links.select(F.col("page").alias("document_id"), "entity").distinct(), "links")
+    popularity = written(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_popularity")), "popularity")
+    return document_relatedness(rows, popularity, popularity, rows.agg(F.count_distinct("document_id")))
+
+
 def symmetric_pairs(oriented: DataFrame) -> DataFrame:
     """Memo key form (B14): (entity_a <= entity_b, rel), one row per pair."""
     return (oriented.select(F.least("source", "other").alias("entity_a"),

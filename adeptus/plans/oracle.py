@@ -710,6 +710,52 @@ sql("link_entities", _ANCHORS + """
 SELECT doc_id, b AS "begin", e AS "end", entity, round(rho, 6) AS rho FROM linked""")
 
 
+_PAGE_REL = r""",
+page_link AS (
+  SELECT DISTINCT page_id, regexp_replace(regexp_replace(regexp_extract(a, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1),
+                                       '[?#].*$', ''), '^.*/', '') AS entity,
+         array_to_string(regexp_extract_all(lower(regexp_replace(
+           regexp_extract(a, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g')),
+           '[\p{L}\p{N}_]+'), ' ') AS surface
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>')) AS a FROM pages)),
+page_entity AS MATERIALIZED (SELECT DISTINCT page_id, entity FROM page_link WHERE entity <> '' AND surface <> ''),
+entity_pages AS (SELECT entity, count(*) AS n FROM page_entity GROUP BY entity),
+together AS (
+  SELECT x.entity AS source, y.entity AS other, count(*) AS both_pages
+  FROM page_entity x JOIN page_entity y ON x.page_id = y.page_id AND x.entity <> y.entity GROUP BY ALL),
+page_rel AS MATERIALIZED (
+  SELECT source, other, CASE WHEN den > 0 THEN greatest(0.0, 1.0 - num / den) WHEN num = 0 THEN 1.0 ELSE 0.0 END AS rel FROM (
+    SELECT source, other, ln(greatest(p.n, q.n)::DOUBLE) - ln(both_pages::DOUBLE) AS num,
+           ln((SELECT count(DISTINCT page_id) FROM page_entity)::DOUBLE) - ln(least(p.n, q.n)::DOUBLE) AS den
+    FROM together JOIN entity_pages p ON p.entity = source JOIN entity_pages q ON q.entity = other) WHERE rel > 0)"""
+
+sql("link_relatedness", _ANCHORS + _PAGE_REL + """
+SELECT source, other, round(rel, 6) AS rel FROM page_rel""")
+
+sql("link_entities_voted", _ANCHORS + _PAGE_REL + """,
+v_kept AS (
+  SELECT doc_id, i, b, e, surface FROM (
+    SELECT g.*, max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM doc_grams g SEMI JOIN gaz USING (surface))
+  WHERE reach IS NULL OR reach < i + n),
+v_cand AS MATERIALIZED (SELECT k.*, g.entity, g.commonness, g.link_prob FROM v_kept k JOIN gaz g USING (surface)),
+v_rel AS (SELECT source, other, rel FROM page_rel UNION ALL SELECT DISTINCT entity, entity, 1.0 FROM gaz),
+v_weight AS (SELECT doc_id, entity, sum(commonness) AS w FROM v_cand GROUP BY ALL),
+v_support AS (
+  SELECT s.doc_id, s.entity, sum(rel * o.w) AS support
+  FROM v_weight s JOIN v_rel ON source = s.entity JOIN v_weight o ON o.doc_id = s.doc_id AND o.entity = other GROUP BY ALL),
+v_own AS (
+  SELECT s.surface, s.entity, sum(rel * o.commonness) AS own
+  FROM gaz s JOIN v_rel ON source = s.entity JOIN gaz o ON o.surface = s.surface AND o.entity = other GROUP BY ALL),
+v_counted AS (SELECT doc_id, count(DISTINCT i) AS mentions FROM v_cand GROUP BY doc_id),
+v_voted AS (
+  SELECT v_cand.*, CASE WHEN mentions > 1 THEN round(greatest((support - own) / (mentions - 1), 0.0), 9) ELSE 0.0 END AS vote
+  FROM v_cand JOIN v_support USING (doc_id, entity) JOIN v_own USING (surface, entity) JOIN v_counted USING (doc_id))
+SELECT doc_id, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end", entity, round((link_prob + vote) / 2, 6) AS rho
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY vote DESC, commonness DESC, entity DESC) AS rk FROM v_voted)
+WHERE rk = 1""")
+
+
 def _escaped(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 

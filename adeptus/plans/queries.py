@@ -432,6 +432,28 @@ def link_entities(spark, sf):
     return ann.select(F.col("id").cast("long").alias("doc_id"), "begin", "end", "entity", r6("rho").alias("rho"))
 
 
+def _page_relatedness(spark, sf):
+    key = _key(spark, "page-rel", sf)
+    if key not in _CORPORA:
+        pages = fx.read_table(spark, sf, "pages").select(F.col("page_id").alias("page"), "html")
+        _CORPORA[key] = written(relatedness.link_relatedness(linking.page_links(pages, "html", "page")), "page-relatedness")
+    return _CORPORA[key]
+
+
+@query
+def link_relatedness(spark, sf):
+    """M3 over hyperlinks: how related entities are that the same pages link to."""
+    return _page_relatedness(spark, sf).select("source", "other", r6("rel").alias("rel"))
+
+
+@query
+def link_entities_voted(spark, sf):
+    """M2: every document linked against the anchor gazetteer, senses chosen by the document's other mentions."""
+    ann = linking.link_entities_voted(_docs(spark, sf).select("doc_id", "text"), _anchor_gazetteer(spark, sf),
+                                      _page_relatedness(spark, sf), "doc_id", "text")
+    return ann.select(F.col("id").cast("long").alias("doc_id"), "begin", "end", "entity", r6("rho").alias("rho"))
+
+
 @query
 def annotated_bodies(spark, sf):
     """B13 over M1's annotations of every document (documents without any keep their escaped text)."""

@@ -1,11 +1,12 @@
 """Text column functions, language profiles and dictionary linking vs brute force."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
 
 from adeptus.functions import text as T
-from adeptus.operators import language, linking
+from adeptus.operators import language, linking, relatedness
 
 
 def span(entity, score, text):
@@ -141,3 +142,80 @@ def test_link_long_title(spark):
     pages = spark.createDataFrame([(f"<p><a href='/T'>{title}</a> {title} or {title}</p>",)], "html string")
     row = linking.anchor_gazetteer(pages).first()
     assert (row.surface, round(row.link_prob, 9)) == (title, round(1 / 3, 9))
+
+
+def test_tokenize_offsets(spark):
+    """Offsets of every word of odd and of long texts, as a plain scan finds them."""
+    texts = ["", None, "  a", "a ", "Ünï-çödé 文字 🙂x", "### !!", "ab" * 3000 + " " * 500 + "c", "x y-z " * 5000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, word int")
+    rows = linking.tokenize(df, ahead=2).collect()
+    for i, t in enumerate(texts):
+        want = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\w+", t or "")]
+        own = sorted((r for r in rows if r.id == str(i)), key=lambda r: r.i)
+        assert [(r.word, r.begin, r.end) for r in own] == want
+        for k, r in list(enumerate(own))[-5:]:
+            assert [(a.word, a.end) for a in r.ahead if a.word is not None] == [(w, e) for w, _, e in want[k + 1:k + 3]]
+    plan = linking.tokenize(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_one_long_surface_costs_no_rows(spark):
+    """A surface of 19 words: only places that begin it are followed, and it is found whole."""
+    long = [f"w{k % 7}" for k in range(19)]
+    gaz = [(" ".join(long), "Long", 1.0, 1.0), ("w1 w2", "Short", 1.0, 0.5), ("zebra", "Z", 1.0, 0.2)]
+    gdf = spark.createDataFrame(gaz, "surface string, entity string, commonness double, link_prob double")
+    text = "zebra " + " ".join(long) + " w1 w2 " + " ".join(long[:15]) + " zebra"
+    tdf = spark.createDataFrame([(0, text), (1, "plain words " * 2000)], "id long, text string")
+    trie = linking.Trie(gdf)
+    assert trie.deepest == 19 and trie.ahead == linking.AHEAD - 1
+    places = sorted((r.i, r.n, r.surface) for r in trie.places(linking.tokenize(tdf, ahead=trie.ahead)).collect())
+    toks = text.split()
+    assert places == sorted((i, len(s.split()), s) for s, *_ in gaz for i in range(len(toks)) if toks[i:i + len(s.split())] == s.split())
+
+
+def py_vote(text, gaz, rel, max_n=4):
+    """Voting by pairs of mentions: every other mention's commonness-weighted relatedness."""
+    senses = {}
+    for s, e, c, lp in gaz:
+        senses.setdefault(s, []).append((e, c, lp))
+    one = [(s, s, 1.0, 1.0) for s in senses]           # spans do not depend on senses
+    spans = [(b, e, s) for b, e, s, _ in py_link(text, one, max_n)]
+    out = []
+    for k, (b, e, s) in enumerate(spans):
+        scored = []
+        for ent, c, lp in senses[s]:
+            votes = [sum(oc * (1.0 if oe == ent else rel.get((ent, oe), 0.0)) for oe, oc, _ in senses[os])
+                     for j, (_, _, os) in enumerate(spans) if j != k]
+            vote = round(sum(votes) / len(votes), 9) if votes else 0.0
+            scored.append((vote, c, ent, (lp + vote) / 2))
+        best = max(scored)
+        out.append((b, e, best[2], round(best[3], 8)))
+    return out
+
+
+def test_votes_flip_the_sense(spark):
+    """'jaguar' is mostly the car, but among animals it is the cat; alone it stays the car."""
+    gaz = [("jaguar", "Car", 0.8, 0.5), ("jaguar", "Cat", 0.2, 0.5), ("lion", "Lion", 1.0, 0.4), ("engine", "Engine", 0.9, 0.3),
+           ("engine", "Search_engine", 0.1, 0.3), ("lion king", "Film", 1.0, 0.6)]
+    pairs = {("Cat", "Lion"): 0.9, ("Car", "Engine"): 0.8, ("Film", "Lion"): 0.3, ("Car", "Cat"): 0.1}
+    rel = {**pairs, **{(b, a): r for (a, b), r in pairs.items()}}
+    texts = ["The jaguar and the lion, a Lion!", "jaguar", "Jaguar engine", "a jaguar, lion king, jaguar; engine lion", "", None, "none"]
+    gdf = spark.createDataFrame(gaz, "surface string, entity string, commonness double, link_prob double")
+    rdf = spark.createDataFrame([(a, b, r) for (a, b), r in rel.items()], "source string, other string, rel double")
+    tdf = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id long, text string, vote string")
+    got = {}
+    for r in linking.link_entities_voted(tdf, gdf, rdf).collect():
+        got.setdefault(int(r.id), []).append((r.begin, r.end, r.entity, round(r.rho, 8)))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == (py_vote(t, gaz, rel) if t else []), t
+    assert [x[2] for x in sorted(got[0])] == ["Cat", "Lion", "Lion"] and got[1][0][2] == "Car" and sorted(got[2])[0][2] == "Car"
+    common = {r.begin: r.entity for r in linking.link_entities(tdf.filter("id = 0"), gdf).collect()}
+    assert common[4] == "Car"
+
+
+def test_link_relatedness(spark):
+    links = spark.createDataFrame([(1, "A"), (1, "B"), (1, "A"), (2, "A"), (2, "B"), (3, "C"), (4, "A"), (4, "C")], "page long, entity string")
+    got = {(r.source, r.other): r.rel for r in relatedness.link_relatedness(links).collect()}
+    # A in 3 of 4 pages, B in 2, both in 2; A and C meet once: 1 - ln(3)/ln(2) < 0
+    want = 1 - (math.log(3) - math.log(2)) / (math.log(4) - math.log(2))
+    assert set(got) == {("A", "B"), ("B", "A")} and abs(got["A", "B"] - want) < 1e-12
