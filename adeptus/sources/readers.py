@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adeptus.functions.text import normalize_author
 from adeptus.operators.ingest import papers_from_documents
+from adeptus.session import written
 
 # Functions of this module run inside Python workers (mapInPandas); ship
 # them by value so executors need no installed copy of the package.
@@ -87,9 +88,61 @@ def _is_1252(encoding: str) -> bool:
     return encoding.lower().replace("_", "-") in ("windows-1252", "cp1252")
 
 
+def quoted_records(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(input_file, ordinal, record): the records of CSV files whose quoted fields may hold line breaks, read in splits.
+
+    A line begins a record where the number of quotes before it in its file is even
+    (a doubled quote within a field counts twice).  That number is a sum in two levels:
+    over the splits of a file before the line's own, and over the split's lines before
+    it.  Lines that go on with a record of an earlier split get its key.  Where a file's
+    first line ends with a carriage return and a line feed, all line ends become line feeds.  So many tasks
+    read one file; only a record is put together in one place.  A quote within an unquoted
+    field counts like any other.
+    """
+    block = ["file", "block"]
+    text = F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth"), text.alias("line"))
+    lines = lines.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lines.groupBy(*block).agg(F.sum("quotes").alias("q"), F.min_by(F.endswith("line", F.lit("\r")), F.col("nth")).alias("crlf"))
+    before = sums.select(*block, F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q"),
+                         F.first("crlf").over(Window.partitionBy("file").orderBy("block")).alias("crlf"))
+    own = Window.partitionBy(*block).orderBy("nth")
+    inside = F.coalesce(F.sum("quotes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lines.join(before, block).withColumn("first", ((F.col("q") + inside) % 2 == 0).cast("long"))
+    rows = rows.withColumn("number", F.sum("first").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = written(rows.select(*block, "nth", "number", "line", "crlf"), "csv-lines")
+    held = rows.groupBy(*block).agg(F.max("number").alias("n"))
+    last = F.last(F.when(F.col("n") > 0, F.struct("block", F.col("n").alias("number"))), ignorenulls=True).over(earlier)
+    owners = held.select(*block, last.alias("open"))
+    key = F.when(F.col("number") > 0, F.struct("block", "number")).otherwise(F.col("open"))
+    keyed = rows.join(owners, block).select("file", "crlf", key.alias("key"), F.struct("block", "nth", "line").alias("part"))
+    parts = F.array_sort(F.collect_list("part"))
+    whole = keyed.groupBy("file", "crlf", "key").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("record"))
+    return whole.select(F.col("file").alias("input_file"),
+                        F.struct("file", F.col("key.block").alias("block"), F.col("key.number").alias("row")).alias("ordinal"),
+                        F.when(F.col("crlf"), F.regexp_replace(F.regexp_replace("record", "\r\n", "\n"), "\r$", ""))
+                        .otherwise(F.col("record")).alias("record"))
+
+
+def _records(spark: SparkSession, path: str, names, sep: str, encoding: str, multi_line: bool) -> DataFrame:
+    """Columns ``names``, ``BAD``, input_file and ordinal of every record that isn't blank."""
+    schema = csv_schema(names)
+    if not multi_line:
+        reader = csv_options(spark.read.schema(schema), False).option("sep", sep).option("encoding", encoding)
+        return _with_ordinal(not_blank(reader.csv(path)).select(*schema.names, "_metadata")).drop("_metadata")
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    parsed = quoted_records(spark, path, encoding).where("record <> ''").select(
+        "input_file", "ordinal", F.from_csv("record", ", ".join(f"`{c}` STRING" for c in schema.names), options).alias("c"))
+    rows = parsed.select("c.*", "input_file", "ordinal")
+    return rows.where(F.coalesce(*(F.col(c) for c in schema.names)).isNotNull())
+
+
 def _semicolon_records(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
-    reader = csv_options(spark.read.schema(csv_schema(f"c{i}" for i in range(SEMICOLON_FIELDS))), multi_line)
-    return not_blank(reader.option("sep", ";").option("encoding", "iso-8859-1" if _is_1252(encoding) else encoding).csv(path))
+    return _records(spark, path, [f"c{i}" for i in range(SEMICOLON_FIELDS)], ";",
+                    "iso-8859-1" if _is_1252(encoding) else encoding, multi_line)
 
 
 _YEAR = f"try_cast(trim(c{F_YEAR}) AS INT)"
@@ -103,8 +156,8 @@ def read_papers_semicolon(spark: SparkSession, path: str, encoding: str = "windo
     abstract, doi, input_file, ordinal.  Records with another number of fields
     or a year that is no integer are left out (see ``rejected_papers``).
     windows-1252 is read as ISO-8859-1 and the 0x80-0x9F range re-mapped.
-    ``multi_line=False`` reads large files in splits, where no quoted field has
-    a line break.
+    Large files are read in splits, quoted line breaks and all (``quoted_records``);
+    ``multi_line=False`` spares the shuffles where no quoted field has a line break.
     """
     raw = _semicolon_records(spark, path, encoding, multi_line)
     fix = fix_windows_1252 if _is_1252(encoding) else (lambda c: c)
@@ -116,22 +169,21 @@ def read_papers_semicolon(spark: SparkSession, path: str, encoding: str = "windo
         cols[F_INSTITUTION].alias("institution"),
         F.expr(_YEAR).alias("year"),
         cols[F_ABSTRACT].alias("abstract"),
-        cols[F_DOI].alias("doi"),
-        F.col("_metadata"))
-    return _with_ordinal(papers.where(F.col("year").isNotNull())).drop("_metadata")
+        cols[F_DOI].alias("doi"), "input_file", "ordinal")
+    return papers.where(F.col("year").isNotNull())
 
 
 TU_FIELDS = ("doc_id", "author_id", "text")
 
 
 def _tu_records(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
-    return not_blank(csv_options(spark.read.schema(csv_schema(TU_FIELDS)), multi_line).option("encoding", encoding).csv(path))
+    return _records(spark, path, TU_FIELDS, ",", encoding, multi_line)
 
 
 def read_papers_tu(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
     """A2: ``doc_id,author_id,text`` CSV; name 'Name of <id>', institution 'TU', year 2017."""
-    raw = _tu_records(spark, path, encoding, multi_line).where(F.col(BAD).isNull()).select(*TU_FIELDS, "_metadata")
-    return papers_from_documents(_with_ordinal(raw), "input_file", "ordinal")
+    raw = _tu_records(spark, path, encoding, multi_line).where(F.col(BAD).isNull())
+    return papers_from_documents(raw.select(*TU_FIELDS, "input_file", "ordinal"), "input_file", "ordinal")
 
 
 def rejected_papers(spark: SparkSession, path: str, fmt: str, encoding: str | None = None,
@@ -142,7 +194,7 @@ def rejected_papers(spark: SparkSession, path: str, fmt: str, encoding: str | No
     else:
         raw, year_ok = _tu_records(spark, path, encoding or "utf-8", multi_line), F.lit(True)
     fits = F.col(BAD).isNull()
-    rows = raw.select(F.col("_metadata.file_path").alias("input_file"), fits.alias("fits"), year_ok.alias("year_ok"))
+    rows = raw.select("input_file", fits.alias("fits"), year_ok.alias("year_ok"))
     return rows.groupBy("input_file").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(~F.col("fits")).alias("bad_fields"),
         F.count_if(F.col("fits") & ~F.col("year_ok")).alias("bad_year"))

@@ -1,6 +1,7 @@
 """Ingest operators, file readers and the store."""
 
 import os
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -228,3 +229,33 @@ def test_numbered_hot_key(spark):
     want = sorted(((("hot" if i % 3 == 0 else f"k{i}"), -i) for i in range(3000)))
     assert [(r.k, -r.id) for r in sorted(got, key=lambda r: r.place)] == want
     assert sorted(r.place for r in got) == list(range(3000))
+
+
+def test_quoted_csv_in_splits(spark, tmpdir_path):
+    """Fields with quotes, line breaks and blank lines in them, cut into many splits: the same as one task reads."""
+    rnd, rows = random.Random(8), []
+    pieces = ["plain", 'say ""yes""', "two\nlines", "a\r\nb", ",", "x\n\n\ny", "é文", '""', "z" * 300]
+    for i in range(600):
+        text = " ".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 6)))
+        rows.append(f'{i},a{i % 7},"{text}"' if i % 50 else f"{i},short")      # some have a field too few
+    os.makedirs(f"{tmpdir_path}/q")
+    with open(f"{tmpdir_path}/q/a.csv", "w", newline="", encoding="utf-8") as f:
+        f.write("\n".join(rows) + "\n")
+    with open(f"{tmpdir_path}/q/b.csv", "w", newline="", encoding="utf-8") as f:
+        f.write("".join(f"{r}\r\n" for r in rows[:40]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    one = readers.csv_options(spark.read.schema(readers.csv_schema(readers.TU_FIELDS))).csv(f"{tmpdir_path}/q/*.csv")
+    want = sorted((r.doc_id, r.text) for r in one.where(f"{readers.BAD} IS NULL").collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        splits = spark.read.text(f"{tmpdir_path}/q/*.csv").rdd.getNumPartitions()
+        papers = readers.read_papers_tu(spark, f"{tmpdir_path}/q/*.csv").orderBy("ordinal").collect()
+        bad = {r.input_file[-5:]: (r.records, r.bad_fields) for r in readers.rejected_papers(spark, f"{tmpdir_path}/q/*.csv", "tu").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits > 10 and len(want) == 588 + 39
+    assert sorted((r.name[8:], r.abstract) for r in papers) == sorted(("a%d" % (int(i) % 7), t) for i, t in want)
+    first = readers.csv_options(spark.read.schema(readers.csv_schema(readers.TU_FIELDS))).csv(f"{tmpdir_path}/q/a.csv")
+    first = sorted((int(r.doc_id), r.text) for r in first.where(f"{readers.BAD} IS NULL").collect())
+    assert [r.abstract for r in papers if r.input_file.endswith("a.csv")] == [t for _, t in first]      # in input order
+    assert bad == {"a.csv": (600, 12), "b.csv": (40, 1)}
