@@ -12,6 +12,8 @@ consecutive and unique.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,31 @@ def numbered(df: DataFrame, order: list, out: str, start: int = 0, ranges: int |
             .drop("_range", "_row", "_before"))
 
 
+def ranked_within(df: DataFrame, keys: list[str], order: list, out: str, ranges: int | None = None) -> DataFrame:
+    """``row_number()`` from 1 within each group of ``keys`` in the given order, for groups of any size.
+
+    As in :func:`numbered` the rows, sorted by keys and order, are cut into equal
+    ranges, so a group with a third of all rows is several tasks.  A row's place is
+    its place in its range plus the group's rows in the ranges before; a range
+    continues at most one group, so there are no more of these sums than ranges.
+    Nulls are a group.
+    """
+    n = int(ranges or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(k) for k in keys]
+    parts = written(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (parts.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.sum("_n").over(before)).where("_before > 0")
+               .select("_before", F.col("_range").alias("_r"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                  F.col("_range") == F.col("_r"))
+    within = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    return (parts.withColumn("_row", within)
+            .join(F.broadcast(carried), same, "left")       # at most a row for each range
+            .withColumn(out, (F.col("_row") + F.coalesce("_before", F.lit(0))).cast("int"))
+            .select(*df.columns, out))
+
+
 def assign_document_ids(papers: DataFrame, ordinal: str = "ordinal", start: int = 0,
                         ranges: int | None = None) -> DataFrame:
     """consecutive ``document_id`` = start, start+1, ... in ``ordinal`` order."""

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
-from adeptus.operators.ingest import numbered
+from adeptus.operators.ingest import numbered, ranked_within
+from adeptus.session import written
 
 COMPLETION_LIMIT = 50
 
@@ -30,13 +31,39 @@ def completion_pattern(terms: str) -> str:
     return "%" + re.sub(r"[%\s]+", "%", t) + "%"
 
 
-def author_completion(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT) -> DataFrame:
+def trigram_index(authors: DataFrame) -> DataFrame:
+    """Written postings (trigram, author_id): every three characters in a row of each lower-cased name.
+
+    Sorted by trigram, so that a lookup reads the row groups of its trigrams only.
+    """
+    low = F.lower("name")
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))
+    rows = authors.where(F.length(low) >= 3).select(F.explode(F.array_distinct(grams)).alias("trigram"), "author_id")
+    return written(rows.repartitionByRange("trigram", "author_id").sortWithinPartitions("trigram", "author_id"), "trigrams")
+
+
+def pattern_trigrams(spark: SparkSession, pattern: str) -> list[str]:
+    """Trigrams that a name must have to match the pattern: those of its parts between wildcards."""
+    low = spark.range(1).select(F.lower(F.lit(pattern)).alias("p")).first()["p"]      # as ILIKE lowers it
+    parts = re.split("[%_]", low.replace("\\\\", "\\"))
+    return sorted({p[i:i + 3] for p in parts for i in range(len(p) - 2)})
+
+
+def author_completion(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT,
+                      postings: DataFrame | None = None) -> DataFrame:
     """Authors whose name matches the terms case-insensitively, at most ``limit``.
 
     The reference returns the first ``limit`` rows in storage order; ours are
-    the ``limit`` smallest author ids (deterministic).
+    the ``limit`` smallest author ids (deterministic).  With ``postings``
+    (:func:`trigram_index` of the same authors) only authors that have all the
+    terms' trigrams are checked; terms without three characters in a row scan.
     """
     pat = completion_pattern(terms)
+    grams = pattern_trigrams(authors.sparkSession, pat) if postings is not None else []
+    if grams:
+        having = (postings.where(F.col("trigram").isin(grams)).groupBy("author_id")
+                  .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)))
+        authors = authors.join(having, "author_id", "left_semi")
     return (authors.where(F.col("name").ilike(pat))
             .orderBy("author_id").limit(limit)
             .select("author_id", "name", "institution"))
@@ -127,9 +154,10 @@ def author_rows_json(corpus: Corpus) -> DataFrame:
     return head.unionByName(entities)
 
 
-def completion_json(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT) -> DataFrame:
+def completion_json(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT,
+                    postings: DataFrame | None = None) -> DataFrame:
     """A20 /completion shape: one row ``{"authors":[{id, name, institution}, ...]}`` of at most ``limit`` authors."""
-    found = author_completion(authors, terms, limit)
+    found = author_completion(authors, terms, limit, postings)
     one = F.struct(F.col("author_id").alias("id"), "name", "institution")
     return found.agg(F.array_sort(F.collect_list(one)).alias("authors")).select(F.to_json(F.struct("authors")).alias("json"))
 
@@ -140,9 +168,8 @@ def query_rows_json(scores: DataFrame, authors: DataFrame, score_format: str = "
     ``scores``: (query_id, author_id, scoring, score), as of ``all_scorings``.
     """
     named = scores.join(authors.select("author_id", "name"), "author_id", "left")
-    w = Window.partitionBy("query_id", "scoring").orderBy(F.desc("score"), "author_id")
     hit = F.struct("author_id", "name", F.format_string(score_format, "score").alias("score"))
-    return (named.withColumn("rank", F.row_number().over(w).cast("int"))
+    return (ranked_within(named, ["query_id", "scoring"], [F.desc("score"), F.col("author_id")], "rank")
             .select("query_id", "scoring", "rank", F.to_json(hit).alias("json")))
 
 
@@ -152,9 +179,8 @@ def expert_rows_json(ranked: DataFrame, score_format: str = "%.6f") -> DataFrame
     One row per hit, so that a query with many candidates is never one value;
     the score is text in a fixed format.
     """
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "author_id")
     hit = F.struct("rank", "author_id", "name", F.format_string(score_format, "score").alias("score"))
-    return (ranked.withColumn("rank", F.row_number().over(w).cast("int"))
+    return (ranked_within(ranked, ["query_id"], [F.desc("score"), F.col("author_id")], "rank")
             .select("query_id", "rank", F.to_json(hit).alias("json")))
 
 

@@ -8,15 +8,13 @@ task instead of all its candidates.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
 from adeptus.operators.ingest import numbered
 from adeptus.operators.lookups import author_ids_by_name
-from adeptus.operators.scoring import author_profiles, get_scoring
+from adeptus.operators.scoring import author_profiles, get_scoring, scorings
 
 
 def attach_names(scores: DataFrame, authors: DataFrame) -> DataFrame:
@@ -49,10 +47,13 @@ def find_experts(corpus: Corpus, query_entities: DataFrame, scoring: str = "ecia
     return out
 
 
-def find_experts_batch(corpus: Corpus, query_entities: DataFrame, scorings) -> DataFrame:
-    """Every hit of every query for each of the named scorings, with the scoring's name."""
-    runs = [find_experts(corpus, query_entities, name, sort=False).withColumn("scoring", F.lit(name)) for name in scorings]
-    return reduce(DataFrame.unionByName, runs)
+def find_experts_batch(corpus: Corpus, query_entities: DataFrame, names) -> DataFrame:
+    """Every hit of every query for each of the named scorings, with the scoring's name.
+
+    One plan for all scorings that share an aggregation, and one join with the authors.
+    """
+    found = scorings(corpus, query_entities, names)
+    return attach_names(found, corpus.authors).select("query_id", "author_id", "name", "score", "scoring")
 
 
 def ranked_run(run: DataFrame, max_rank: int = 1000) -> DataFrame:

@@ -14,12 +14,14 @@ the join by their size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adeptus.corpus import Corpus
-from adeptus.operators.relatedness import SALTS, cooccurrence_relatedness, on_every_salt, salt_of
+from adeptus.operators.relatedness import cooccurrence_relatedness
+from adeptus.operators.skew import ROWS_PER_TASK, heavy_keys, replicated, salted
 
 # Fixed parameters of the relatedness scoring (values from the reference).
 RELATEDNESS_ALPHA = 1e-5
@@ -125,7 +127,7 @@ log_ec_ef_iaf_score = _single("log_ec_ef_iaf")
 def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
                            relatedness: DataFrame | None = None,
                            alpha: float = RELATEDNESS_ALPHA, x: float = RELATEDNESS_X,
-                           salts: int = SALTS, **_) -> DataFrame:
+                           per_task: int = ROWS_PER_TASK, **_) -> DataFrame:
     """Relatedness-weighted geometric score of each candidate author.
 
     For query entity q: ``g_q`` = weighted geometric mean over the author's
@@ -140,7 +142,8 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
 
     ``D`` depends on the query entity and the author alone: it is summed once
     for each, over candidate authors only, and joined with the queries last.
-    The authors of one entity are dealt to ``salts`` tasks.
+    The authors of an entity that has more than ``per_task`` of them are dealt to
+    as many tasks as that takes.
 
     ``relatedness``: oriented rows (source, other, rel) covering the query
     entities as ``source``, such as a stored memo; default is co-occurrence
@@ -169,9 +172,11 @@ def relatedness_geom_score(corpus: Corpus, query_entities: DataFrame,
     candidates = ae.join(qe, "entity").select("query_id", "author_id").distinct()
     own = ae.join(ae.join(sources, "entity", "left_semi").select("author_id").distinct(), "author_id", "left_semi")
     wsum = own.groupBy("author_id").agg(F.sum("w").alias("W"))
-    others = own.select("author_id", F.col("entity").alias("other"), "w", salt_of("author_id", salts).alias("salt"))
+    heavy = corpus.memo(f"heavy_entities_{per_task}", lambda: heavy_keys(corpus.author_entity().select(
+        F.col("entity").alias("other")), "other", per_task))
+    others = salted(own.select("author_id", F.col("entity").alias("other"), "w"), "other", "author_id", heavy)
     gap = -(1.0 + alpha) * F.expm1(F.col("D") / F.col("W"))
-    per_source = (on_every_salt(terms, salts).join(others, ["other", "salt"])
+    per_source = (replicated(terms, "other", heavy).join(others, ["other", "salt"])
                   .groupBy("source", "author_id").agg(F.sum(F.col("w") * F.col("term")).alias("D"))
                   .join(wsum, "author_id")
                   .select("source", "author_id",
@@ -216,16 +221,32 @@ def get_scoring(name: str) -> Callable[..., DataFrame]:
                          f"choose from {sorted(SCORING_FUNCTIONS)}") from None
 
 
-def all_scorings(corpus: Corpus, query_entities: DataFrame,
-                 relatedness: DataFrame | None = None) -> DataFrame:
-    """The five reference scorings in long form (query_id, author_id, scoring, score).
+#: The five reference scorings: name in the registry, name in the long form.
+FIVE = {f"{c}_score": c for c in ("cossim_efiaf", "efiaf", "eciaf", "log_ec_ef_iaf")} | {"relatedness_geom": "relatedness_geom"}
+_OWN = {name: SCORING_FUNCTIONS[name] for name in FIVE}
+
+
+def scorings(corpus: Corpus, query_entities: DataFrame, names, relatedness: DataFrame | None = None) -> DataFrame:
+    """(query_id, author_id, scoring, score) for each of the registered ``names``.
 
-    E3-E6 come from one wide aggregation and are unpivoted; E7 is appended.
+    However many of E3-E6 are asked for, they come from one wide aggregation.
     """
-    wide = vector_scores(corpus, query_entities)
-    long = wide.unpivot(["query_id", "author_id"],
-                        ["cossim_efiaf", "efiaf", "eciaf", "log_ec_ef_iaf"],
-                        "scoring", "score")
-    rg = relatedness_geom_score(corpus, query_entities, relatedness).select(
-        "query_id", "author_id", F.lit("relatedness_geom").alias("scoring"), "score")
-    return long.unionByName(rg)
+    names = list(dict.fromkeys(names))
+    wide = [n for n in names if n in FIVE and n != "relatedness_geom" and get_scoring(n) is _OWN[n]]
+    parts = []
+    if wide:
+        scores = vector_scores(corpus, query_entities) if "cossim_efiaf_score" in wide else vector_sums(corpus, query_entities)
+        scores = scores.select("query_id", "author_id", *(F.col(FIVE[n]).alias(n) for n in wide))
+        parts.append(scores.unpivot(["query_id", "author_id"], wide, "scoring", "score"))
+    for n in names:
+        if n not in wide:
+            extra = {"relatedness": relatedness} if n == "relatedness_geom" and get_scoring(n) is _OWN[n] else {}
+            parts.append(get_scoring(n)(corpus, query_entities, **extra).select(
+                "query_id", "author_id", F.lit(n).alias("scoring"), "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_scorings(corpus: Corpus, query_entities: DataFrame,
+                 relatedness: DataFrame | None = None) -> DataFrame:
+    """The five reference scorings in long form (query_id, author_id, scoring, score)."""
+    return scorings(corpus, query_entities, FIVE, relatedness).withColumn("scoring", F.regexp_replace("scoring", "_score$", ""))

@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adeptus.corpus import DEFAULT_MIN_RHO
+from adeptus.operators.ingest import ranked_within
+
+#: Base-2 logarithm of a paper sketch's registers: a relative error of about 1.6 %.
+SKETCH_PRECISION = 12
 
 
 def _entity_set(spark, entities) -> DataFrame:
@@ -70,6 +74,21 @@ def papers_count(doc_ent: DataFrame) -> DataFrame:
             .agg(F.count_distinct("document_id").alias("papers")))
 
 
+def paper_sketches(doc_ent: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """D7, approximate: (author_id, papers), a HyperLogLog sketch of each author's documents.
+
+    Sketches of batches merge, so a new batch needs no old mentions
+    (:func:`approx_papers_count`).  The relative error is about 1 / sqrt(2**precision);
+    a sketch has at most about 2**precision bytes, and few where an author has few documents.
+    """
+    return doc_ent.groupBy("author_id").agg(F.hll_sketch_agg("document_id", F.lit(int(precision))).alias("papers"))
+
+
+def approx_papers_count(sketches: DataFrame) -> DataFrame:
+    """(author_id, papers): the estimate of each author's merged sketches."""
+    return sketches.groupBy("author_id").agg(F.hll_sketch_estimate(F.hll_union_agg("papers")).alias("papers"))
+
+
 def total_papers(documents: DataFrame) -> DataFrame:
     """One-row DataFrame ``total_papers`` (all accepted documents)."""
     return documents.agg(F.count(F.lit(1)).alias("total_papers"))
@@ -129,8 +148,7 @@ def grouped_entities_in_order(grouped: DataFrame) -> DataFrame:
 
     By count descending, ties by entity; an author's list is ordered by (year, position).
     """
-    w = Window.partitionBy("author_id", "year").orderBy(F.desc("count"), "entity")
-    return grouped.withColumn("position", F.row_number().over(w))
+    return ranked_within(grouped, ["author_id", "year"], [F.desc("count"), F.col("entity")], "position")
 
 
 def grouped_entity_rhos(mentions: DataFrame, year: int | None = None) -> DataFrame:

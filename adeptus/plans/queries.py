@@ -577,10 +577,17 @@ def documents_by_entity_list(spark, sf):
         "query_id", "author_id", "document_id", "year", "entity", "count")
 
 
+def _trigrams(spark, sf):
+    key = _key(spark, "trigrams", sf)
+    if key not in _CORPORA:
+        _CORPORA[key] = lookups.trigram_index(fx.authors(spark, sf))
+    return _CORPORA[key]
+
+
 @query
 def author_completion(spark, sf):
     """Name completion for the term 'customer 00001' (50 results, by author id)."""
-    return lookups.author_completion(fx.authors(spark, sf), "customer 00001")
+    return lookups.author_completion(fx.authors(spark, sf), "customer 00001", postings=_trigrams(spark, sf))
 
 
 @query
@@ -622,4 +629,4 @@ def author_json(spark, sf):
 @query
 def completion_json(spark, sf):
     """/completion shape for the term 'customer 00001'."""
-    return lookups.completion_json(fx.authors(spark, sf), "customer 00001")
+    return lookups.completion_json(fx.authors(spark, sf), "customer 00001", postings=_trigrams(spark, sf))

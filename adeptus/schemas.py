@@ -55,3 +55,14 @@ ANNOTATION_MEMO = T.StructType([
     T.StructField("entity", T.StringType()),
     T.StructField("rho", T.DoubleType()),
 ])
+
+# per author a HyperLogLog sketch of the batch's documents
+PAPER_SKETCHES = T.StructType([
+    T.StructField("author_id", T.StringType()),
+    T.StructField("papers", T.BinaryType()),
+])
+
+# entities whose related entities the relatedness memo has all
+RELATEDNESS_SOURCES = T.StructType([
+    T.StructField("entity", T.StringType()),
+])
