@@ -48,6 +48,15 @@ NOTICES = [
     ("licensed under cc by-sa 4.0", "cc-by-sa", 1),
     ("creative commons attribution", "cc-by", 2),
     ("all rights reserved", "reserved", 1),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd", 4),
+    ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc", 4),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 4),
+    ("gnu affero general public license", "agpl", 2),
+    ("eclipse public license", "epl", 1),
+    ("common development and distribution license", "cddl", 2),
+    ("boost software license - version 1.0", "boost", 2),
+    ("creative commons cc0 1.0 universal", "cc0", 2),
+    ("licensed under cc by 4.0", "cc-by", 1),
 ]
 
 
@@ -97,6 +106,10 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of every notice in lower-case ``text``, by code points."""
+        return [m[:4] for m in self.matches(text)]
+
+    def matches(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """:meth:`spans`, each with the size of the notice that it matched."""
         text, places, lost = folded(text)
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.find.iter(text):
@@ -115,7 +128,7 @@ class Scanner:
             for lo, hi in own:
                 for m in self.patterns[i].finditer(text, lo, min(hi, len(text))):
                     start, end = (x + lost[bisect_left(places, x)] for x in m.span())
-                    found.append((self.notices[i][1], start, end, sum(m.fuzzy_counts)))
+                    found.append((self.notices[i][1], start, end, sum(m.fuzzy_counts), len(self.notices[i][0])))
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
@@ -147,15 +160,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          phrases: dict[str, str] | None = None, notices: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """Per row: n_words, n_base, first_word, last_word, base_labels, labels, score and the notices' spans.
 
-    ``score`` is 1 with a base phrase, else the best notice's share of
-    unedited characters, else 0.
+    ``score`` is 1 with a base phrase, else the share of unedited characters of
+    the notice that was matched best, else 0.
     """
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + T._parse_datatype_string(
         "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
         f"labels string, score double, spans {SPANS}").fields)
-    size_of = {label: min(len(n) for n, x, _ in notices if x == label) for _, label, _ in notices}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices)
@@ -180,9 +192,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = []
                 for r in range(n):
                     text = texts[block.offsets[r]:block.offsets[r + 1]].decode()
-                    spans = scanner.spans(text)
-                    near = [max(0.0, 1 - e / size_of[label]) for label, _, _, e in spans]
-                    out.append((spans, 1.0 if base[r] else max(near, default=0.0)))
+                    found = scanner.matches(text)
+                    near = [max(0.0, 1 - edits / size) for *_, edits, size in found]
+                    out.append(([m[:4] for m in found], 1.0 if base[r] else max(near, default=0.0)))
                 has = count > 0
                 rows = {
                     id_col: batch.column(0).slice(lo, n),
