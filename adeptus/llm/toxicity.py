@@ -1,8 +1,9 @@
 """Toxicity: a subsequence string kernel, an SVM on Nyström landmarks.
 
-The kernel compares two strings by their common subsequences of three bytes;
-a subsequence that spans ``s`` bytes weighs ``DECAY**s``, up to ``SPAN`` bytes.
-So ``idxiot`` or ``i-d-i-o-t`` still shares most of its weight with ``idiot``.
+The kernel compares two strings by their common subsequences of three characters;
+a subsequence that spans ``s`` characters weighs ``DECAY**s``, up to ``SPAN`` of them.
+Characters are code points of any script, lower-cased; a Latin letter with a mark
+is the letter, and other letters are dealt to 26 codes by their code point.  So ``idxiot`` or ``i-d-i-o-t`` still shares most of its weight with ``idiot``.
 
 A text is cut into sentences, a sentence into segments: pieces without white
 space, of which letters and digits are kept; runs of one-character pieces joined
@@ -33,8 +34,10 @@ the curve.  Null labels aren't learnt from; without both labels every score is
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,17 +57,46 @@ JOIN = 10
 #: Toxic sentences, as a share of the toxic documents, that make a segment's odds count.
 LEAST_SHARE = 0.001
 INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
-#: Codes: 1..26 letters, 27..36 digits, 37..62 other bytes, 63 the border.
-CODE = np.zeros(256, np.int32)
+#: Codes: 1..26 letters, 27..36 digits, 37..62 other characters, 63 the border.
+OTHER, BORDER = 37, 63
+CODE = np.zeros(128, np.int32)
 CODE[97:123] = np.arange(1, 27)
 CODE[48:58] = np.arange(27, 37)
-CODE[128:] = 37 + np.arange(128) % 26
-BORDER = 63
+#: Code points that may have case or marks, which lie in the first two planes.
+CASED = 0x20000
 STEPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[10, 13, 33, 46, 63]] = True
 
 
+@cache
+def _code_table() -> np.ndarray:
+    """The code of every code point below ``CASED``; once a process."""
+    table = np.zeros(CASED, np.int32)
+    for point in range(CASED):
+        low = chr(point).lower()
+        base = ord(unicodedata.normalize("NFD", low)[0])
+        table[point] = CODE[base] if base < 128 and CODE[base] else OTHER + ord(low[0]) % (BORDER - OTHER)
+    return table
+
+
+def _codes(text: np.ndarray) -> np.ndarray:
+    """The code of each character of UTF-8 bytes."""
+    if not len(text) or text.max() < 128:
+        return CODE[text]
+    at = np.flatnonzero((text & 0xC0) != 0x80)
+    point = text[at].astype(np.int32)
+    kind = point.copy()
+    follow = np.append(text & 0x3F, np.zeros(3, np.uint8)).astype(np.int32)
+    for least, most, size, bits in ((0xC0, 0xDF, 2, 0x1F), (0xE0, 0xEF, 3, 0x0F), (0xF0, 0xF7, 4, 0x07)):
+        some = np.flatnonzero((kind >= least) & (kind <= most))
+        value = kind[some] & bits
+        for k in range(1, size):
+            value = value << 6 | follow[at[some] + k]
+        point[some] = value
+    return np.where(point < CASED, _code_table()[np.minimum(point, CASED - 1)], OTHER + point % (BORDER - OTHER))
+
+
 @dataclass
 class Model:
     """A weight for each subsequence, the SVM's intercept, and the calibration curve."""
@@ -78,9 +110,10 @@ class Model:
 class Segments:
     """Segments of rows ``lo:hi`` of a text column.
 
-    ``codes`` holds the coded bytes of all distinct segments one after another,
+    ``codes`` holds the coded characters of all distinct segments one after another,
     each between borders, segment k at ``first[k]:first[k+1]``.  ``kind`` names
     the distinct segment of each occurrence, ``doc`` its row, ``sentence`` its sentence.
+    Segments of the same codes are the same, since the kernel can't tell them apart.
     """
 
     def __init__(self, offsets: np.ndarray, raw: np.ndarray, lo: int, hi: int):
@@ -131,8 +164,8 @@ class Segments:
         begin, end = begin[order], end[order]
         self.doc, self.sentence = doc[begin], sentence[begin]
         if len(start):
-            edge = np.append(start, len(at))
-            start, size_of = edge[begin], edge[end] - edge[begin]
+            text = _codes(text)
+            start, size_of = count[begin], count[end] - count[begin]
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_KEY[text] * powers(len(text)))))
             back = np.full(len(text), INVERSE)
             back[0] = 1
@@ -146,7 +179,7 @@ class Segments:
         codes = np.full(int(self.first[-1]), BORDER, np.int32)
         put = np.repeat(self.first[:-1] + 1, z) + (np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z, z))
         take = np.repeat(s, z) + (np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z, z))
-        codes[put] = CODE[text[take]]
+        codes[put] = text[take]
         self.codes, self.size = codes, z + 2
 
 
@@ -163,7 +196,7 @@ def segment_values(codes: np.ndarray, first: np.ndarray, weights: np.ndarray) ->
     """Weighted sum of each segment's subsequences, divided by its norm."""
     n = len(codes)
     size = np.diff(first)
-    left = np.repeat(first[1:], size) - np.arange(n)   # bytes from here to the segment's end
+    left = np.repeat(first[1:], size) - np.arange(n)   # characters from here to the segment's end
     value = np.zeros(n)
     high = codes * 4096
     for a, b in STEPS:

@@ -215,6 +215,22 @@ def test_split_and_spelled_out_insults(words):
     assert min(p[:4]) > 0.5 > max(p[4:]), p
 
 
+def test_characters_of_all_scripts(words):
+    """Case, marks and scripts: codes are by character, and an insult in capitals or with a gap is the insult."""
+    def code(text):
+        return toxicity._codes(toxicity.LOWER[np.frombuffer(text.encode(), np.uint8)]).tolist()
+    assert code("ДУРАЧИНА") == code("дурачина") and code("а") != code("ж") and code("ÉÈ") == code("ee") == code("Ee")
+    alphabet = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    assert len({c for x in alphabet for c in code(x)}) >= 25
+    mixed = "aé文ж😀9"
+    assert len(code(mixed)) == len(mixed) and all(1 <= c < toxicity.BORDER for c in code(mixed))
+    assert code(mixed) == [c for x in mixed for c in code(x)]                 # a character's code doesn't depend on its neighbours
+    model = toxicity.train(*mixed_texts(words, ["imbécile", "дурачина"]))
+    bad = ["such ДУРАЧИНА here", "such Imbecile here", "such дура-чина here", "such дуржачина here", "such IMBÉCILE here"]
+    p = probabilities(model, [*bad, "such хороший here", "such stone here", "文字 文字"])
+    assert min(p[:5]) > 0.5 > max(p[5:]), p
+
+
 def test_every_toxic_document_trains(words):
     """Insults of ordinary words, and insults that only two documents of the sample have, are learnt."""
     clean = {w for w in words}
@@ -271,6 +287,38 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_license_score_is_of_the_notice_matched(spark):
+    """Two edits of 45 characters, whatever shorter notices the label has; labels of the longer list."""
+    text = "permision is hereby granted, free of chrge"
+    notice = "permission is hereby granted, free of charge"
+    texts = [text, "MIT license. " + text, "this is free and unencumbred software released into the public domain", "", None]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got[0].score == pytest.approx(1 - 2 / len(notice)) and got[0].spans[0].edits == 2 and got[1].score == 1.0
+    assert got[2].labels == "unlicense" and got[2].score == pytest.approx(1 - 1 / 70)
+    assert [got[i].score for i in (3, 4)] == [0.0, 0.0] and got[4].spans == []
+    for notice, label, edits in licenses.NOTICES:
+        assert min(len(p) for _, p in licenses.split_notice(notice, edits)) >= 6
+        assert (label, 0, len(notice), 0) in licenses.Scanner(licenses.NOTICES).spans(notice)
+
+
+def test_licenses_equal_matching_everywhere(words):
+    """Every label that a match of the whole text finds, without seeds and windows, is found, and no other."""
+    rnd = random.Random(21)
+    scanner = licenses.Scanner(licenses.NOTICES)
+    whole = [(licenses.notice_pattern(n, k), label) for n, label, k in licenses.NOTICES]
+    for _ in range(60):
+        parts = []
+        for notice, _, edits in rnd.sample(licenses.NOTICES, 2):
+            chars = list(notice)
+            for _ in range(rnd.randint(0, edits + 1)):
+                at = rnd.randrange(len(chars))
+                chars[at:at + rnd.randint(0, 1)] = rnd.choice(["", "x", " "])
+            parts += [rnd.choice(words), "".join(chars)]
+        text = rnd.choice([" ", "\n  "]).join(parts)
+        flat = licenses.folded(text)[0]
+        assert {s[0] for s in scanner.spans(text)} == {label for p, label in whole if p.search(flat)}, text
+
+
 def test_wrapped_notices():
     """White space of any length is a space at no cost, spans are the text's, and every place counts."""
     scanner = licenses.Scanner(licenses.NOTICES)
