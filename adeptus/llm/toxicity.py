@@ -198,13 +198,17 @@ def segment_values(codes: np.ndarray, first: np.ndarray, weights: np.ndarray) ->
     size = np.diff(first)
     left = np.repeat(first[1:], size) - np.arange(n)   # characters from here to the segment's end
     value = np.zeros(n)
-    high = codes * 4096
-    for a, b in STEPS:
-        m = n - a - b
+    codes = codes.astype(np.intp)
+    first_code, inner_code = codes * 4096, codes * 64
+    for span in range(2, SPAN):                        # from the first character to the last
+        m = n - span
         if m <= 0:
-            continue
-        code = high[:m] + codes[a:a + m] * 64 + codes[a + b:]
-        value[:m] += np.where(left[:m] > a + b, weights[code], 0.0) * DECAY ** (a + b + 1)
+            break
+        ends = first_code[:m] + codes[span:]
+        total = weights[ends + inner_code[1:1 + m]]
+        for a in range(2, span):
+            total += weights[ends + inner_code[a:a + m]]
+        value[:m] += total * (left[:m] > span) * DECAY ** (span + 1)
     return np.add.reduceat(value, first[:-1]) / _norms(int(size.max()))[size] if n else np.zeros(0)
 
 
