@@ -52,6 +52,8 @@ SPAN, DECAY = 8, 0.6
 LANDMARKS = 256
 #: Bytes of text whose segments are held at once; each byte is in several windows.
 SLICE_BYTES = 1 << 17
+#: Characters whose subsequences are summed in one pass.
+PASS = 1 << 13
 #: Characters of a window of three or more pieces.
 JOIN = 10
 #: Toxic sentences, as a share of the toxic documents, that make a segment's odds count.
@@ -198,17 +200,18 @@ def segment_values(codes: np.ndarray, first: np.ndarray, weights: np.ndarray) ->
     size = np.diff(first)
     left = np.repeat(first[1:], size) - np.arange(n)   # characters from here to the segment's end
     value = np.zeros(n)
-    codes = codes.astype(np.intp)
-    first_code, inner_code = codes * 4096, codes * 64
-    for span in range(2, SPAN):                        # from the first character to the last
-        m = n - span
-        if m <= 0:
-            break
-        ends = first_code[:m] + codes[span:]
-        total = weights[ends + inner_code[1:1 + m]]
-        for a in range(2, span):
-            total += weights[ends + inner_code[a:a + m]]
-        value[:m] += total * (left[:m] > span) * DECAY ** (span + 1)
+    for lo in range(0, n, PASS):                       # what a pass reads again and again fits the processor's cache
+        part = codes[lo:lo + PASS + SPAN - 1].astype(np.intp)
+        first_code, inner_code, rest = part * 4096, part * 64, left[lo:lo + PASS]
+        for span in range(2, SPAN):                    # from the first character to the last
+            m = min(PASS, len(part) - span)
+            if m <= 0:
+                break
+            ends = first_code[:m] + part[span:span + m]
+            total = weights[ends + inner_code[1:1 + m]]
+            for a in range(2, span):
+                total += weights[ends + inner_code[a:a + m]]
+            value[lo:lo + m] += total * (rest[:m] > span) * DECAY ** (span + 1)
     return np.add.reduceat(value, first[:-1]) / _norms(int(size.max()))[size] if n else np.zeros(0)
 
 
