@@ -2,7 +2,7 @@
 
 A lookup takes its keys as a Python list, a filter that is pushed to the
 Parquet scan, or as a DataFrame, a semi-join.  Nested result shapes are
-bounded by one document or one query's top-k; the author card is kept in
+bounded by one document, one query's top-k or one page; the author card is kept in
 long form (one row per author and entity) because an author's entity list
 is not bounded.
 """
@@ -19,6 +19,10 @@ from adeptus.operators.ingest import numbered, ranked_within
 from adeptus.session import written
 
 COMPLETION_LIMIT = 50
+#: Entities of an author, or hits of a query and scoring, in one page of a nested answer.
+PAGE_ROWS = 1000
+#: Names of the scorings in the /query shape.
+ANSWER_SCORINGS = ("efiaf", "eciaf", "log_ec_ef_iaf", "cossim_efiaf", "relatedness_geom")
 
 
 def completion_pattern(terms: str) -> str:
@@ -154,6 +158,54 @@ def author_rows_json(corpus: Corpus) -> DataFrame:
     return head.unionByName(entities)
 
 
+def _page(rank, page_rows: int):
+    """Page number, from 0, of a rank."""
+    return F.floor((F.col(rank) - 1) / F.lit(page_rows)).cast("int")
+
+
+def author_answers_json(corpus: Corpus, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """A20 /author shape, nested: (author_id, page, json) with id, name, papers_count and the page's entities.
+
+    Entities come by frequency, highest first.  An author with at most
+    ``page_rows`` of them is one value; the others go on over further pages, so
+    no value and no group grows with the author.  Without entities: one empty page.
+    """
+    card = author_card(corpus)
+    pairs = F.transform(F.split("years", ","), lambda y: F.split(y, ":").cast("array<int>"))
+    pages = card.groupBy("author_id", _page("rank", page_rows).alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "entity", "frequency", pairs.alias("years")))).alias("entities"))
+    none = F.array().cast("array<struct<entity:string,frequency:bigint,years:array<array<int>>>>")
+    listed = F.transform("entities", lambda e: F.struct(e["entity"].alias("entity"), e["frequency"].alias("frequency"),
+                                                        e["years"].alias("years")))
+    return (corpus.papers().join(corpus.authors.select("author_id", "name"), "author_id", "left")
+            .join(pages, "author_id", "left")
+            .select("author_id", F.coalesce("page", F.lit(0)).alias("page"),
+                    F.to_json(F.struct(F.col("author_id").alias("id"), "name", F.col("papers").alias("papers_count"),
+                                       F.coalesce(listed, none).alias("entities"))).alias("json")))
+
+
+def query_answers_json(scores: DataFrame, authors: DataFrame, query_entities: DataFrame, page_rows: int = PAGE_ROWS,
+                       score_format: str = "%.6f") -> DataFrame:
+    """A20 /query shape, nested: (query_id, page, json) with ``experts_<scoring>`` of all scorings and ``query_entities``.
+
+    ``scores``: as of ``all_scorings``.  A page holds ``page_rows`` ranks of each
+    scoring; a query's further hits are its next pages.  A query without hits has
+    one page of empty lists.  All queries are scored at once, so there is no time of one query.
+    """
+    named = scores.join(authors.select("author_id", "name"), "author_id", "left")
+    ranked = ranked_within(named, ["query_id", "scoring"], [F.desc("score"), F.col("author_id")], "rank")
+    hit = F.struct("rank", "author_id", "name", F.format_string(score_format, "score").alias("score"))
+    pages = ranked.groupBy("query_id", _page("rank", page_rows).alias("page")).agg(
+        *(F.array_sort(F.collect_list(F.when(F.col("scoring") == s, hit))).alias(s) for s in ANSWER_SCORINGS))
+    none = F.array().cast("array<struct<author_id:string,name:string,score:string>>")
+    lists = (F.coalesce(F.transform(s, lambda h: F.struct(h["author_id"].alias("author_id"), h["name"].alias("name"),
+                                                          h["score"].alias("score"))), none).alias(f"experts_{s}")
+             for s in ANSWER_SCORINGS)
+    asked = query_entities.groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("query_entities"))
+    return asked.join(pages, "query_id", "left").select(
+        "query_id", F.coalesce("page", F.lit(0)).alias("page"), F.to_json(F.struct(*lists, "query_entities")).alias("json"))
+
+
 def completion_json(authors: DataFrame, terms: str, limit: int = COMPLETION_LIMIT,
                     postings: DataFrame | None = None) -> DataFrame:
     """A20 /completion shape: one row ``{"authors":[{id, name, institution}, ...]}`` of at most ``limit`` authors."""

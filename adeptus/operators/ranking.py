@@ -8,6 +8,8 @@ task instead of all its candidates.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from adeptus.corpus import Corpus
 from adeptus.operators.ingest import numbered
 from adeptus.operators.lookups import author_ids_by_name
 from adeptus.operators.scoring import author_profiles, get_scoring, scorings
+from adeptus.session import written
 
 
 def attach_names(scores: DataFrame, authors: DataFrame) -> DataFrame:
@@ -108,6 +111,21 @@ def trec_run_lines(run: DataFrame, run_name_col: str = "scoring", score_format:
                                   F.col(run_name_col)).alias("value"))
 
 
+def timed_run(corpus: Corpus, query_entities: DataFrame, scoring: str = "eciaf_score", **kw) -> tuple[DataFrame, DataFrame]:
+    """(every hit of every query, written to the shared folder; ``qid seconds`` lines, column ``value``).
+
+    All queries are scored by one job, so the seconds are those of that job
+    divided by the number of queries.
+    """
+    start = time.monotonic()
+    run = written(find_experts(corpus, query_entities, scoring, sort=False, **kw), "run")
+    took = time.monotonic() - start
+    queries = query_entities.select("query_id").distinct()
+    each = queries.agg((F.lit(took) / F.count("*")).alias("seconds"))
+    return run, queries.crossJoin(F.broadcast(each)).select(        # one row
+        F.concat_ws(" ", "query_id", F.format_string("%.6f", "seconds")).alias("value"))
+
+
 def query_entity_lines(query_entities: DataFrame) -> DataFrame:
     """Per query ``qid e1; e2; ...`` (entities sorted; bounded by the query size)."""
     return (query_entities.groupBy("query_id")

@@ -649,6 +649,42 @@ SELECT ae.author_id,
            FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) || ']}'
 FROM ae""")
 
+sql("author_answers_json", """,
+ranked AS (
+  SELECT ae.author_id, row_number() OVER (PARTITION BY ae.author_id ORDER BY ae.author_freq DESC, ae.entity) AS rk,
+         '{"entity":' || to_json(ae.entity) || ',"frequency":' || CAST(ae.author_freq AS VARCHAR) || ',"years":['
+         || (SELECT string_agg('[' || CAST(year AS VARCHAR) || ',' || CAST(n AS VARCHAR) || ']', ',' ORDER BY year)
+             FROM strong_year sy WHERE sy.author_id = ae.author_id AND sy.entity = ae.entity) || ']}' AS one
+  FROM ae),
+paged AS (SELECT author_id, (rk - 1) // 5 AS page, string_agg(one, ',' ORDER BY rk) AS list FROM ranked GROUP BY ALL)
+SELECT p.author_id, CAST(coalesce(page, 0) AS INTEGER) AS page,
+       '{"id":"' || p.author_id || '","name":"' || a.name || '","papers_count":' || CAST(p.papers AS VARCHAR)
+       || ',"entities":[' || coalesce(list, '') || ']}' AS json
+FROM papers p JOIN authors a USING (author_id) LEFT JOIN paged USING (author_id)""")
+
+sql("query_answers_json", _GEOM + """,
+five AS (
+  SELECT query_id, author_id, 'cossim_efiaf' AS scoring, cossim_efiaf AS score FROM scores
+  UNION ALL SELECT query_id, author_id, 'efiaf', efiaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'eciaf', eciaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'log_ec_ef_iaf', log_ec_ef_iaf FROM scores
+  UNION ALL SELECT query_id, author_id, 'relatedness_geom', score FROM geom),
+hits AS (
+  SELECT query_id, scoring, row_number() OVER (PARTITION BY query_id, scoring ORDER BY s DESC, author_id) AS rk,
+         '{"author_id":"' || author_id || '","name":"' || name || '","score":"' || printf('%.6f', s) || '"}' AS one
+  FROM (SELECT f.*, a.name, round(score, 6) AS s FROM five f JOIN authors a USING (author_id))),
+lists AS (
+  SELECT query_id, (rk - 1) // 1000 AS page, """ + ", ".join(
+      f"coalesce(string_agg(one, ',' ORDER BY rk) FILTER (scoring = '{s}'), '') AS l{i}" for i, s in enumerate(
+          ("efiaf", "eciaf", "log_ec_ef_iaf", "cossim_efiaf", "relatedness_geom"))) + """
+  FROM hits GROUP BY ALL),
+asked AS (SELECT query_id, string_agg(CAST(to_json(entity) AS VARCHAR), ',' ORDER BY entity) AS entities FROM qe GROUP BY query_id)
+SELECT query_id, CAST(coalesce(page, 0) AS INTEGER) AS page,
+       '{"experts_efiaf":[' || coalesce(l0, '') || '],"experts_eciaf":[' || coalesce(l1, '')
+       || '],"experts_log_ec_ef_iaf":[' || coalesce(l2, '') || '],"experts_cossim_efiaf":[' || coalesce(l3, '')
+       || '],"experts_relatedness_geom":[' || coalesce(l4, '') || '],"query_entities":[' || entities || ']}' AS json
+FROM asked LEFT JOIN lists USING (query_id)""")
+
 sql("completion_json", """
 SELECT '{"authors":[' || string_agg('{"id":"' || author_id || '","name":"' || name || '","institution":"' || institution || '"}',
                                     ',' ORDER BY author_id) || ']}' AS json

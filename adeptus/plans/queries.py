@@ -626,6 +626,21 @@ def author_json(spark, sf):
     return lookups.author_rows_json(_corpus(spark, sf))
 
 
+@query
+def author_answers_json(spark, sf):
+    """/author shape of every author, nested, in pages of 5 entities."""
+    return lookups.author_answers_json(_corpus(spark, sf), 5)
+
+
+@query
+def query_answers_json(spark, sf):
+    """/query shape of every topic, nested, for the five scorings, in pages of 1000 hits."""
+    c = _corpus(spark, sf)
+    qe = _query_entities(spark, sf, c)
+    scores = scoring.all_scorings(c, qe).withColumn("score", r6("score"))
+    return lookups.query_answers_json(scores, c.authors, qe)
+
+
 @query
 def completion_json(spark, sf):
     """/completion shape for the term 'customer 00001'."""

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from adeptus.operators import lookups, ranking, scoring, stats
 
 
@@ -75,6 +77,47 @@ def test_response_shapes(corpus, qe):
     assert hits[("q1", "eciaf", 1)] == "a1" and hits[("q1", "eciaf", 2)] == "a3"
 
 
+@pytest.mark.parametrize("page_rows", [1, 2, 1000])
+def test_nested_answers(spark, corpus, qe, page_rows):
+    """Pages hold every row of the long forms once, in their order, at most ``page_rows`` each."""
+    flat = {}
+    for r in sorted(lookups.author_rows_json(corpus).collect(), key=lambda r: (r.author_id, r.rank)):
+        flat.setdefault(r.author_id, []).append(json.loads(r.json))
+    nested = {}
+    for r in sorted(lookups.author_answers_json(corpus, page_rows).collect(), key=lambda r: (r.author_id, r.page)):
+        one = json.loads(r.json)
+        assert r.page == len(nested.get(r.author_id, ())) and len(one["entities"]) <= page_rows
+        nested.setdefault(r.author_id, []).append(one)
+    assert nested.keys() == flat.keys()
+    for a, pages in nested.items():
+        assert [e for p in pages for e in p.pop("entities")] == flat[a][1:] and all(p == flat[a][0] for p in pages)
+
+    asked = qe.unionByName(spark.createDataFrame([("q0", "nowhere"), ("q0", "at all")], "query_id string, entity string"),
+                           allowMissingColumns=True)
+    scores = scoring.all_scorings(corpus, asked)
+    hits = {}
+    for r in sorted(lookups.query_rows_json(scores, corpus.authors).collect(), key=lambda r: r["rank"]):
+        hits.setdefault((r.query_id, r.scoring), []).append(json.loads(r.json))
+    got = {}
+    for r in sorted(lookups.query_answers_json(scores, corpus.authors, asked, page_rows).collect(), key=lambda r: r.page):
+        one = json.loads(r.json)
+        assert list(one) == [f"experts_{s}" for s in lookups.ANSWER_SCORINGS] + ["query_entities"]
+        if r.query_id == "q0":
+            assert r.page == 0 and one.pop("query_entities") == ["at all", "nowhere"] and not any(one.values())
+        for s in lookups.ANSWER_SCORINGS:
+            assert len(one[f"experts_{s}"]) <= page_rows
+            got.setdefault((r.query_id, s), []).extend(one[f"experts_{s}"])
+    assert {k: v for k, v in got.items() if v} == hits and hits
+
+
+def test_timed_run(corpus, qe):
+    run, lines = ranking.timed_run(corpus, qe, "eciaf_score")
+    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, ranking.find_experts(corpus, qe, "eciaf_score").collect()))
+    lines = [r.value.split(" ") for r in lines.collect()]
+    assert sorted(q for q, _ in lines) == sorted(r.query_id for r in qe.select("query_id").distinct().collect())
+    assert len({s for _, s in lines}) == 1 and all(float(s) > 0 for _, s in lines)
+
+
 def test_profile_report_and_topics(spark, corpus):
     rep = ranking.profile_report(corpus, ["Alice", "Nobody"], 1).collect()
     assert [(r.name, r.institution, r.entity) for r in rep] == [("Alice", "UniA", "X")]
