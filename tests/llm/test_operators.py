@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, search, toxicity
+from adeptus.llm import archive, bpe, fingerprint, language, licenses, mixing, neardup, quality, search, textblock, toxicity
 from adeptus.llm.shared import scratch_path
 from .conftest import SCHEMA, row
 
@@ -174,6 +174,47 @@ def test_quality_held_out(spark, words, odd, empty):
     assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def test_quality_equals_plain_regression():
+    """Training and scores equal follow-the-regularised-leader on dictionaries of words and pairs of words."""
+    rnd = random.Random(41)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(15)]
+    texts, labels = [], []
+    for i in range(60):
+        good = i % 3 > 0
+        texts.append([rnd.choice(vocabulary[:10] if good else vocabulary[5:]) for _ in range(rnd.randint(1, 25))])
+        labels.append(float(good))
+
+    def values(t):
+        count = collections.Counter(t) + collections.Counter("same" if a == b else (a, b) for a, b in zip(t, t[1:]))
+        norm = math.sqrt(sum(count.values()))
+        return {f: math.sqrt(c) / norm for f, c in count.items()}
+
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.01
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(f):
+        least = 0.0 if f is None else l1                    # the intercept isn't shrunk
+        if abs(z[f]) <= least:
+            return 0.0
+        return -(z[f] - math.copysign(least, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(f) * v for f, v in x.items()) - weight(None)))
+
+    rows = [values(t) for t in texts]
+    for _ in range(4):
+        for x, y in zip(rows, labels):
+            off = chance(x) - y
+            for f, v in [*x.items(), (None, 1.0)]:
+                g, w = off * v, weight(f)
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w
+                n[f] += g * g
+    column = pa.array([" ".join(t) for t in texts])
+    model = quality.train(column, np.array(labels), quality.BITS, steps=4 * len(texts))
+    found = quality.scores(model, *textblock.column_bytes(column), quality.BITS)
+    assert np.abs(found - [chance(x) for x in rows]).max() < 1e-6 and found.std() > 0.1
+
+
 def test_toxicity_held_out(spark, words, odd, empty):
     docs, labels = labelled(spark, words, lambda: "bmupzkk")
     learn = F.crc32(F.col("k").cast("string")) % 5 != 0
@@ -349,6 +390,33 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_equals_plain_sets(spark):
+    """Predictions equal counting each text's n-grams in exact sets, one for each language."""
+    rnd = random.Random(21)
+    parts = {"aa": ["ka", "to", "mi", "su"], "bb": ["to", "mi", "na", "re"], "cc": ["na", "re", "ka", "lo"]}
+    rows = [row(i, " ".join("".join(rnd.choice(parts[lang]) for _ in range(2)) for _ in range(rnd.randint(1, 12))) + ".", lang)
+            for i, lang in enumerate(sorted(parts) * 60)]
+
+    def ngrams(text):
+        padded = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        found = [padded[k:k + language.GRAM] for k in range(len(padded) - language.GRAM + 1)]
+        return [g for g in found if " " not in g[1:-1]]
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(language.training_rows(docs, F.crc32(F.col("k").cast("string")) % 4 != 2, 50))
+    learnt = {lang: [r for r in rows if r[2] == lang and zlib.crc32(str(r[0]).encode()) % 4 != 2] for lang in parts}
+    assert all(0 < len(r) <= 50 for r in learnt.values()) and set(model.languages) == set(parts)
+    kept = {}
+    for lang, texts in learnt.items():
+        seen = collections.Counter(g for r in texts for g in set(ngrams(r[1])))
+        kept[lang] = {g for g, n in seen.items() if n >= max(1, language.LEAST_SHARE * len(texts))}
+    for r in language.identify(docs, model).collect():
+        hits = {lang: sum(g in kept[lang] for g in ngrams(rows[r.doc_id][1])) for lang in parts}
+        first, second = sorted(hits.values(), reverse=True)[:2]
+        assert hits[r.lang_pred] == first
+        assert abs(r.score - ((first - second) / first if first else 0.0)) < 0.01
+
+
 def test_more_languages_than_a_mask(spark):
     """All of 70 languages are learnt and told apart."""
     rnd = random.Random(11)
@@ -398,6 +466,51 @@ def test_fingerprints(spark, words, odd, empty):
 
 
 # ---------------------------------------------------------------- 10: near-dedup
+def test_near_duplicates_equal_all_pairs(spark, words):
+    """Classes are the components of the pairs whose weighted Jaccard similarity, computed for all pairs, is 0.8 or more."""
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(25):
+        base = [rnd.choice(words) for _ in range(rnd.randint(40, 250))]
+        for _ in range(6):
+            v = list(base)
+            for k in rnd.sample(range(len(v)), rnd.randint(0, 1 + len(v) // 30)):
+                v[k] = rnd.choice(words)
+            texts.append(v)
+    df = collections.Counter(w for t in texts for w in set(t))
+    n = len(texts)
+    idf = {w: 1 + math.log1p(n / d) / math.log1p(n) for w, d in df.items()}
+    bags = []
+    for t in texts:
+        count = collections.Counter(tuple(t[k:k + 5]) for k in range(len(t) - 4))
+        bags.append({s: (1 + math.log(c)) * sum(idf[w] for w in s) / 5 for s, c in count.items()})
+
+    def alike(a, b):
+        low = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+        return low / (sum(a.values()) + sum(b.values()) - low)
+
+    sims = {(i, j): alike(bags[i], bags[j]) for i in range(n) for j in range(i)}
+    near = neardup.THRESHOLD
+
+    def classes(least):
+        root = list(range(n))
+        for _ in range(n):
+            before = list(root)
+            for (i, j), x in sims.items():
+                if x >= least:
+                    root[i] = root[j] = min(root[i], root[j])
+            if root == before:
+                return root
+
+    assert sum(0.5 < x < near for x in sims.values()) > 30 and sum(x >= near for x in sims.values()) > 30
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(
+        spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    strict, loose = classes(near + 1e-3), classes(near - 1e-3)     # weights of hashed words are rounded
+    assert all(got[i] == got[j] for (i, j), x in sims.items() if x >= near + 0.02)
+    assert all(loose[i] == loose[got[i]] for i in range(n))
+    assert sum(got[i] == strict[i] for i in range(n)) >= 0.98 * n
+
+
 def test_near_duplicates(spark, words, odd, empty):
     rnd = random.Random(8)
     base = [[rnd.choice(words) for _ in range(200)] for _ in range(60)]
