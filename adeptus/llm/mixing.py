@@ -2,7 +2,9 @@
 
 Documents are counted into cells (source, language, topic) by tokens.  Raking
 scales the cells' weights to one margin after the other, round after round,
-until all margins have their target shares.  A cell's rate is its raked weight
+until every margin's shares are within ``TOLERANCE`` of their targets.  Targets that contradict
+the cells (a language of one source only, say) never fit: after ``ROUNDS`` a
+warning names the error that is left.  A cell's rate is its raked weight
 over its tokens.  With a ``budget``, a share of the corpus's tokens, the rates are
 scaled so that the sample is expected to have so many tokens; a rate above 1
 means whole repeats and a drawn remainder, so a rare cell doesn't shrink the
@@ -21,17 +23,20 @@ scaled; values that it doesn't name keep their natural share.  No documents: no
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adeptus.llm.shared import written
 
-#: Rounds of raking, and how many are planned at once.
-ROUNDS, AT_ONCE = 12, 4
+#: Rounds of raking at most, how many are planned at once, and the largest error of a share that ends it.
+ROUNDS, AT_ONCE, TOLERANCE = 24, 4, 1e-9
 #: Power of the natural shares that the default targets follow: 1 is natural, 0 equal shares.
-TEMPER = 0.95
-#: The pipeline's: tokens of the sample over tokens of its input, and the power of its targets.
-BUDGET, POWER = 1.0, 0.8
+POWER = 0.8
+#: The queries': tokens of the sample over tokens of its input.
+BUDGET = 1.0
 TOKEN = r"[^ \t\r\n]+"
 # Topic rules, the first that holds counts: name, and strings of which the lower-cased text has one.
 TOPICS = [("legal", ["license", "licence"]), ("web", ["http://", "https://", "www."]), ("table", [" | "])]
@@ -52,7 +57,7 @@ def topic(text: Column) -> Column:
     return out
 
 
-def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
+def tempered(cells: DataFrame, dim: str, power: float = POWER) -> DataFrame:
     """(dim, share): natural token shares to a power, scaled to 1."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).filter("t > 0")
     raised = sums.select(dim, F.pow(F.col("t").cast("double"), F.lit(power)).alias("p"))
@@ -60,6 +65,17 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
         dim, (F.col("p") / F.col("all")).alias("share"))
 
 
+def margin_error(w: DataFrame, dims: list[str]) -> float:
+    """The largest difference of a margin's share from its target's."""
+
+    def of(d: str) -> DataFrame:
+        m = w.groupBy(d).agg(F.sum("weight").alias("m"), F.max(f"goal_{d}").alias("g"))
+        both = F.broadcast(m.agg(F.sum("m").alias("all_m"), F.sum("g").alias("all_g")))          # one row
+        return m.crossJoin(both).agg(F.max(F.abs(F.col("m") / F.col("all_m") - F.col("g") / F.col("all_g"))).alias("error"))
+
+    return reduce(DataFrame.unionAll, [of(d) for d in dims]).agg(F.max("error")).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (dims, tokens) with ``weight``: their share once all margins fit.
 
@@ -67,10 +83,10 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
     number of combinations that occur, not of documents.
     """
     w = cells.filter("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    w = w.crossJoin(F.broadcast(w.agg(F.sum("tokens").alias("__all"))))                          # one row
     for d in dims:
         goal = targets[d].select(F.col(d), F.col("share").alias(f"goal_{d}"))
-        natural = F.sum("tokens").over(Window.partitionBy(d)) / total
+        natural = F.sum("tokens").over(Window.partitionBy(d)) / F.col("__all")
         w = w.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", natural))
     w = written(w, "cells")
     for r in range(rounds):
@@ -79,6 +95,11 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], round
             w = w.withColumn("weight", F.col("weight") * F.col(f"goal_{d}") / margin)
         if (r + 1) % AT_ONCE == 0 or r == rounds - 1:
             w = written(w, "raked")
+            error = margin_error(w, dims)
+            if error <= TOLERANCE:
+                break
+    else:
+        warnings.warn(f"raking: after {rounds} rounds a margin's share is still {error:.2g} off its target")
     return w.select(*dims, "tokens", "weight")
 
 
@@ -109,7 +130,7 @@ def cell_columns(text_col: str, source_col: str, lang_col: str) -> dict[str, Col
 
 def chances(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_col: str = "text",
             source_col: str = "source", lang_col: str = "lang", budget: float | None = None,
-            power: float | None = None) -> DataFrame:
+            power: float = POWER) -> DataFrame:
     """(source, lang, topic, probability) of every cell with tokens.
 
     ``targets`` gives shares by dimension (``source``, ``lang``, ``topic``);
@@ -119,7 +140,7 @@ def chances(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_c
                           tokens(F.col(text_col)).alias("tokens"))
     cells = written(counted.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     targets = targets or {}
-    goals = {d: targets[d] if d in targets else tempered(cells, d, TEMPER if power is None else power) for d in DIMS}
+    goals = {d: targets[d] if d in targets else tempered(cells, d, power) for d in DIMS}
     return written(rates(rake(cells, DIMS, goals), DIMS, budget), "mix-rates")
 
 

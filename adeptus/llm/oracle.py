@@ -26,7 +26,7 @@ def mixing_ctes(docs: str, seed: str = "mix") -> str:
         GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for d in dims:
         parts.append(f"""goal_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS g_{d} FROM (
-            SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.TEMPER}) AS p FROM mcells GROUP BY {d}))""")
+            SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.POWER}) AS p FROM mcells GROUP BY {d}))""")
     parts.append("""w0 AS MATERIALIZED (SELECT mcells.*, g_source, g_lang, g_topic, CAST(tokens AS DOUBLE) AS weight
         FROM mcells JOIN goal_source USING (source) JOIN goal_lang USING (lang) JOIN goal_topic USING (topic))""")
     step = 0
@@ -35,11 +35,13 @@ def mixing_ctes(docs: str, seed: str = "mix") -> str:
             parts.append(f"""w{step + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight),
                 weight * g_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{step})""")
             step += 1
-    parts.append(f"""chance AS MATERIALIZED (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER ()
+    parts.append(f"""chance AS MATERIALIZED (SELECT source, lang, topic, (weight / tokens) * (sum(tokens) OVER () * {mixing.BUDGET} / sum(weight) OVER ())
         AS probability FROM w{step})""")
     parts.append("""drawn AS MATERIALIZED (SELECT doc_id, source, lang, topic, n_tokens,
-        floor(coalesce(probability, 1.0) * 1e6 + 0.5) / 1e6 AS probability, u < coalesce(probability, 1.0) AS kept
-        FROM mrows LEFT JOIN chance USING (source, lang, topic))""")
+        floor(coalesce(probability, 1.0) * 1e6 + 0.5) / 1e6 AS probability, copies > 0 AS kept, copies
+        FROM (SELECT *, CAST(floor(coalesce(probability, 1.0)) AS INTEGER)
+            + CAST(u < coalesce(probability, 1.0) - floor(coalesce(probability, 1.0)) AS INTEGER) AS copies
+            FROM mrows LEFT JOIN chance USING (source, lang, topic)))""")
     return ",\n".join(parts)
 
 

@@ -99,12 +99,12 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's cell, its probability after raking, and whether it is drawn."""
+    """Every document's cell, the copies expected after raking to the token budget, and those drawn."""
     docs = _table(spark, sf_dir, "documents")
     p = F.col("__mix.probability")
-    return mixing.draw(docs, mixing.chances(docs)).select(
+    return mixing.draw(docs, mixing.chances(docs, budget=mixing.BUDGET, power=mixing.POWER)).select(
         "doc_id", "__mix.source", "__mix.lang", "__mix.topic", mixing.tokens(F.col("text")).alias("n_tokens"),
-        (F.floor(p * 1e6 + 0.5) / 1e6).alias("probability"), "__mix.kept")
+        (F.floor(p * 1e6 + 0.5) / 1e6).alias("probability"), "__mix.kept", "__mix.copies")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

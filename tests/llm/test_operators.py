@@ -115,6 +115,22 @@ def test_mixing_budget(spark):
     assert kept.filter("source <> 'stray'").count() > 1900 and kept.filter("source = 'stray'").count() > 1
 
 
+def test_mixing_rakes_until_margins_fit(spark):
+    """Sources that nearly fix the language need more than a few rounds; contradicting targets are reported."""
+    counts = {("a", "en"): 6000, ("a", "de"): 100, ("b", "en"): 80, ("b", "de"): 3000}
+    cells = spark.createDataFrame([(*k, n) for k, n in counts.items()], "source string, lang string, tokens long")
+    goals = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double"),
+             "lang": spark.createDataFrame([("en", 0.6), ("de", 0.4)], "lang string, share double")}
+    mass = collections.Counter()
+    for r in mixing.rake(cells, ["source", "lang"], goals, 400).collect():
+        mass[r.source] += r.weight
+        mass[r.lang] += r.weight
+    assert [mass[k] for k in ("a", "b", "en", "de")] == pytest.approx([0.5, 0.5, 0.6, 0.4], abs=1e-8)
+    apart = cells.filter("source = 'a' AND lang = 'en' OR source = 'b' AND lang = 'de'")
+    with pytest.warns(UserWarning, match="0.1 off"):
+        mixing.rake(apart, ["source", "lang"], goals, 4).collect()
+
+
 # ----------------------------------------------------------------- 4: archives
 def test_archive_round_trip(spark):
     body = "<p>" + "same " * 40
