@@ -275,6 +275,7 @@ def plain_repair(rows):
         role, text = (" " if x is None else x for x in (role, text))
         kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
         text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
         convs[conv] += [(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
     out = {}
     for conv, found in convs.items():
@@ -348,3 +349,20 @@ def test_conversations_empty(spark, tmp_path):
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:1".encode()) % 20 == 0)
     found = queries.op13_conversation_repair(spark, conversations(spark, [(gone, 1, "user", "x")], tmp_path / "b")).collect()
     assert [tuple(r) for r in found] == [(gone, 0, 0, 0, 0, 0, 0, "", sha(""))]
+
+
+def test_damage_of_every_kind(spark):
+    """One row of each remainder 0 to 5, by the contract's table: the fifth kind sets the role, of null and "user" too."""
+    kind_of = {zlib.crc32(f"{i}:1".encode()) % 20: i for i in range(2000, 0, -1)}
+    role = {0: "system", 1: "assistant", 2: "system", 3: "assistant", 4: "assistant", 5: "assistant"}
+    rows = [(kind_of[k], 1, role[k], "A. b! c? d") for k in role]
+    null = next(i for i in range(1, 5000) if zlib.crc32(f"{i}: ".encode()) % 20 == 4)
+    rows.append((null, None, None, None))
+    got = collections.Counter((r.conv_id, r.turn, r.role, r.text, r.dropped)
+                              for r in turns.damaged(spark.createDataFrame(rows, CONV)).collect())
+    text = "A. b! c? d"
+    want = {(kind_of[0], 1, "system", "", True): 1, (kind_of[1], 1, "assistant", "", False): 1,
+            (kind_of[2], 1, "system", "A b c d", False): 1, (kind_of[3], 1, "assistant", text, False): 2,
+            (kind_of[4], 1, "user", text, False): 1, (kind_of[5], 1, "assistant", text, False): 1,
+            (null, None, "user", " ", False): 1}
+    assert got == want
