@@ -7,9 +7,10 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from adeptus import schemas
+from adeptus import fixtures, schemas, session
 from adeptus.corpus import Corpus
 from adeptus.operators import ingest, lookups, ranking, relatedness, scoring, skew, stats
 from adeptus.sources import store
@@ -216,3 +217,41 @@ def test_paper_sketches_merge(spark, tmpdir_path):
     assert got["few"] == 3 and abs(got["many"] - 24997) < 24997 * 3 / math.sqrt(2 ** stats.SKETCH_PRECISION)
     plan = st.approx_papers_count()._jdf.queryExecution().executedPlan().toString()
     assert "paper_sketches" in plan and "entity_occurrences" not in plan
+
+
+def test_corpus_build_deals_by_rows(spark, tmp_path, monkeypatch):
+    """Line items are joined in tasks of few rows, however few bytes they are; null and repeated keys as in a plain join."""
+    monkeypatch.setattr(session, "SPREAD_ROWS", 200)
+    items = [(i % 500 if i % 50 else None, i % 7 if i % 60 else None, float(i % 3), .1) for i in range(3000)]
+    orders = [(k % 499, k % 11) for k in range(500)]                  # order 0 twice, 499 absent
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.lit("1997-01-01").cast("timestamp")) \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"part {k % 3}") for k in range(7)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = fixtures.mentions(spark, str(tmp_path))
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 600 and len(items) / most > 4
+    by_order = {}
+    for o, c in orders:
+        by_order.setdefault(o, []).append(c)
+    want = sorted((f"part {p % 3}", str(c), o) for o, p, _, _ in items if o is not None and p is not None for c in by_order.get(o, []))
+    assert sorted((r.entity, r.author_id, r.document_id) for r in found.collect()) == want
+
+
+def test_ranks_of_large_groups_in_one_shuffle(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 200)).alias("k"),
+                                  F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("j"), "id")
+    ranked = ingest.ranked_within(df, ["k", "j"], [F.desc("id")], "place", ranges=16, large_groups=True)
+    plain = df.withColumn("place", F.row_number().over(Window.partitionBy("k", "j").orderBy(F.desc("id"))))
+    assert sorted(map(str, ranked.collect())) == sorted(map(str, plain.collect()))
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ingest.ranked_within(df.where("false"), ["k"], [F.desc("id")], "place", large_groups=True).count() == 0
+
+
+def test_scorings_with_names(spark, corpus, qe):
+    """Names joined to the wide rows are those of a join with the long ones; unknown authors have null."""
+    who = corpus.authors.where("author_id <> 'a2'")
+    long = scoring.all_scorings(corpus, qe)
+    want = long.join(who.select("author_id", "name"), "author_id", "left").select("query_id", "author_id", "scoring", F.round("score", 9), "name")
+    got = scoring.all_scorings(corpus, qe, authors=who).select("query_id", "author_id", "scoring", F.round("score", 9), "name")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
