@@ -6,9 +6,11 @@ itself, in two tiers:
 1. a minimal perfect hash over the vocabulary finds the matches that are
    whole vocabulary entries (hashed for many matches at once, then compared
    byte by byte, so a false hit is impossible);
-2. each other match is merged with a heap of adjacent pairs over a linked
-   list of its bytes, lowest rank first, leftmost first among equals, in
-   O(n log n) however long the match is.
+2. each other match is merged by adjacent pairs, lowest rank first, leftmost
+   first among equals: short ones many at a time, one pair of each in a round,
+   by a sorted table of all pairs of entries that are an entry together; a long
+   one with a heap of pairs over a linked list of its bytes, in O(n log n)
+   however long it is.
 
 Results per distinct match are remembered in a bounded two-generation memo.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from adeptus.llm.shared import by_batches
 from adeptus.llm.textblock import BYTE_KEY, column_bytes, mix, powers, slices
 
 #: Bytes of one generation of the memo; characters from which a match is not kept.
-MEMO_BYTES, LONG = 8 << 20, 64
+MEMO_BYTES, LONG = 16 << 20, 64
 #: Bytes of text tokenised at once.
 SLICE_BYTES = 1 << 20
 
@@ -120,6 +123,73 @@ class PerfectHash:
         return self.key_at[np.where(d < 0, -d - 1, self._slot(h, d))]
 
 
+class Pairs:
+    """Pairs of vocabulary entries that are an entry together, and merging of many matches at once."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        rank_of = {t: i for i, t in enumerate(vocabulary)}
+        keys, merged = [], []
+        for rank, token in enumerate(vocabulary):
+            for cut in range(1, len(token)):
+                left, right = rank_of.get(token[:cut]), rank_of.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.none = len(vocabulary)
+        self.merged = np.append(np.array(merged, np.int32)[order], self.none).astype(np.int32)
+        self.single = np.array([rank_of.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's entry; ``none`` where there is no such entry."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merged[at], self.none)
+
+    def merge(self, tokens: list[bytes]) -> list[bytes]:
+        """Packed ids of each non-empty match, as :func:`merge` gives them."""
+        out: list[bytes] = [b""] * len(tokens)
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        part = self.single[np.frombuffer(b"".join(tokens), np.uint8)]
+        if (part < 0).any():
+            raise KeyError("the vocabulary lacks a byte")
+        which = np.arange(len(tokens))                  # the matches still merged
+        rank = np.full(len(part), self.none, np.int64)  # of each part with the next one of its match
+        inner = np.ones(len(part), bool)
+        inner[np.cumsum(size) - 1] = False
+        fresh = np.flatnonzero(inner)
+        rank[fresh] = self.rank(part[fresh], part[fresh + 1])
+        while len(which):
+            first = np.cumsum(size) - size
+            low = np.minimum.reduceat(rank, first)
+            going = low < self.none
+            if not going.all():
+                stay = np.repeat(going, size)
+                packed, end = part[~stay].astype("<u4").tobytes(), 4 * np.cumsum(size[~going])
+                for i, a, b in zip(which[~going].tolist(), (end - 4 * size[~going]).tolist(), end.tolist()):
+                    out[i] = packed[a:b]
+                part, rank, which, size, low = part[stay], rank[stay], which[going], size[going], low[going]
+                if not len(which):
+                    break
+            owner = np.repeat(np.arange(len(which)), size)
+            at = np.flatnonzero(rank == low[owner])
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]      # the leftmost of each match
+            part[at] = rank[at]
+            keep = np.ones(len(part), bool)
+            keep[at + 1] = False
+            part, rank, owner = part[keep], rank[keep], owner[keep]
+            at = at - np.arange(len(at))                # one part went from each match before
+            size = size - 1
+            last = np.cumsum(size) - 1
+            rank[at] = self.none
+            right = at[at < last]
+            left = at[at > last - size + 1] - 1
+            rank[right] = self.rank(part[right], part[right + 1])
+            rank[left] = self.rank(part[left], part[left + 1])
+        return out
+
+
 def merge(token: bytes, rank_of: dict[bytes, int]) -> list[int]:
     """Ids of one match: always merge the adjacent pair of lowest rank, leftmost first."""
     n = len(token)
@@ -159,8 +229,8 @@ def merge(token: bytes, rank_of: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes texts in a task; the vocabulary and the perfect hash are given."""
 
-    def __init__(self, vocabulary: list[bytes], table: PerfectHash, pattern: str):
-        self.vocabulary, self.table = vocabulary, table
+    def __init__(self, vocabulary: list[bytes], table: PerfectHash, pairs: Pairs, pattern: str):
+        self.vocabulary, self.table, self.pairs = vocabulary, table, pairs
         self.rank_of = {t: i for i, t in enumerate(vocabulary)}
         self.find = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
@@ -178,13 +248,23 @@ class Encoder:
             elif m not in self.young:
                 fresh.append(m)
         raw = [m.encode() for m in fresh]
+        short, tokens = [], []
         for m, token, key in zip(fresh, raw, self.table.find(raw).tolist() if raw else ()):
-            ids = [key] if self.vocabulary[key] == token else merge(token, self.rank_of)
-            packed = np.array(ids, "<u4").tobytes()
+            if self.vocabulary[key] == token:
+                ids = [key]
+            elif len(m) <= LONG:
+                short.append(m)
+                tokens.append(token)
+                continue
+            else:
+                ids = merge(token, self.rank_of)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(m) > LONG:
                 long[m] = packed
             else:
                 self._keep(m, packed)
+        for m, packed in zip(short, self.pairs.merge(tokens) if tokens else ()):
+            self._keep(m, packed)
         return long
 
     def _keep(self, match: str, packed: bytes) -> None:
@@ -203,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
            carry: list[str] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, n_tokens and ids: every whole text encoded, ids packed as ``<u4``."""
     vocabulary = read_ranks(ranks_path)
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, PerfectHash(vocabulary), pattern))
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, PerfectHash(vocabulary), Pairs(vocabulary), pattern))
     names = [*carry] if text_col in carry else [*carry, text_col]
     at, n = names.index(text_col), len(carry)
     schema = T.StructType([docs.schema[c] for c in carry] + [

@@ -75,6 +75,24 @@ def test_perfect_hash_and_merge():
     assert (table.find(vocabulary[:5000]) == np.arange(5000)).all() and len(set(table.key_at.tolist())) == 5000
 
 
+def test_short_matches_merge_together(monkeypatch):
+    """A slice's short matches are merged many at a time, as one by one; only long ones go through the heap."""
+    vocabulary = bpe.read_ranks(RANKS)
+    rank_of = {t: i for i, t in enumerate(vocabulary)}
+    draw = random.Random(5)
+    tokens = [b"".join(draw.choices(vocabulary, k=draw.randint(1, 6))) for _ in range(3000)]
+    tokens += [bytes(draw.choices(b"ethan os", k=draw.randint(1, 60))) for _ in range(3000)] + [b"a" * n for n in range(1, 120)]
+    pairs, alone = bpe.Pairs(vocabulary), bpe.merge
+    one_by_one = [np.array(alone(t, rank_of), "<u4").tobytes() for t in tokens]
+    assert pairs.merge(tokens) == one_by_one
+    heaped = []
+    monkeypatch.setattr(bpe, "merge", lambda token, ranks: heaped.append(token) or alone(token, ranks))
+    encoder = bpe.Encoder(vocabulary, bpe.PerfectHash(vocabulary), pairs, public_tokenizers.PATTERN)
+    text = " qzxv thhedin éüß x" + "y" * 100
+    assert encoder.encode([text, ""])[0] == b"".join(np.array(alone(m.encode(), rank_of), "<u4").tobytes() for m in encoder.find(text))
+    assert heaped == [b" x" + b"y" * 100]
+
+
 # ------------------------------------------------------------------ 3: mixing
 def test_mixing_margins(spark, odd, empty):
     rows = [row(i, "w " * (1 + i % 7), "en" if i % 3 else "de", "a" if i % 4 else "b") for i in range(400)]
