@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from adeptus import fixtures, schemas, session
 from adeptus.corpus import Corpus
-from adeptus.operators import ingest, lookups, ranking, relatedness, scoring, skew, stats
+from adeptus.operators import ingest, linking, lookups, ranking, relatedness, scoring, skew, stats
 from adeptus.sources import store
 from adeptus.sources.store import UNIT, Store
 
@@ -238,6 +238,20 @@ def test_corpus_build_deals_by_rows(spark, tmp_path, monkeypatch):
     assert sorted((r.entity, r.author_id, r.document_id) for r in found.collect()) == want
 
 
+def test_linking_deals_by_characters(spark, monkeypatch):
+    """Texts are split into words, and spans ordered, in tasks of few of them, however well they compress."""
+    monkeypatch.setattr(linking, "TASK_CHARS", 4000)
+    monkeypatch.setattr(linking, "TASK_SPANS", 500)
+    texts = spark.createDataFrame([(i, "a big, big apple " * 20) for i in range(120)], "id long, text string")
+    rows = linking.tokenize(texts).groupBy(F.spark_partition_id()).count()
+    assert rows.agg(F.max("count")).first()[0] < 20 * 80 and rows.count() > 8
+    gaz = spark.createDataFrame([("big apple", "NYC", 1.0, 1.0), ("apple", "Fruit", 1.0, 1.0), ("a", "A", 1.0, 1.0)],
+                                "surface string, entity string, commonness double, link_prob double")
+    spans = linking.longest_spans(texts, gaz, "id", "text")
+    assert spans.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20 * 80
+    assert spans.count() == 120 * 40                       # 'apple' lies in 'big apple'
+
+
 def test_ranks_of_large_groups_in_one_shuffle(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 200)).alias("k"),
                                   F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("j"), "id")
