@@ -252,6 +252,24 @@ def test_linking_deals_by_characters(spark, monkeypatch):
     assert spans.count() == 120 * 40                       # 'apple' lies in 'big apple'
 
 
+def test_senses_are_voted_once_a_surface(spark, monkeypatch):
+    """What meets the relatedness rows is a row per surface and sense of a text, however often it is mentioned."""
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = session.written(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(linking, "written", keep)
+    texts = spark.createDataFrame([(i, "jaguar lion " * (50 + i)) for i in range(4)], "id long, text string")
+    gaz = spark.createDataFrame([("jaguar", "Car", 0.8, 0.5), ("jaguar", "Cat", 0.2, 0.5), ("lion", "Lion", 1.0, 0.4)],
+                                "surface string, entity string, commonness double, link_prob double")
+    rel = spark.createDataFrame([("Cat", "Lion", 0.9), ("Lion", "Cat", 0.9)], "source string, other string, rel double")
+    got = linking.link_entities_voted(texts, gaz, rel).collect()
+    assert kept["candidates"].count() == 4 * 3
+    assert len(got) == sum(2 * (50 + i) for i in range(4)) and {r.entity for r in got} == {"Car", "Cat", "Lion"} - {"Car"}
+
+
 def test_ranks_of_large_groups_in_one_shuffle(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 200)).alias("k"),
                                   F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("j"), "id")
