@@ -57,6 +57,65 @@ def test_search_odd(odd, empty):
     assert search.search(index, search.query_vectors(empty, idf, "doc_id", "text"), 10).count() == 0
 
 
+def test_search_many_at_a_time():
+    """A shard's frequent terms are scored only in blocks that can still gain; the hits are those of the whole product."""
+    rnd = np.random.default_rng(3)
+    n, k = 512, 5
+    impacts = np.zeros((60, n))
+    for d in range(n):                                 # two languages of 25 words, interleaved, and ten rarer words
+        own = rnd.choice(25, 12, replace=False) + 25 * (d % 2)
+        impacts[own, d] = rnd.uniform(.5, 2, 12)
+        impacts[50 + rnd.integers(10), d] = 1.5 * (rnd.random() < .1)
+    impacts = impacts[:, search.alike(impacts)]
+    term, doc = np.nonzero(impacts)
+    first = np.searchsorted(term, np.arange(61))
+    frequent = search.frequent_terms(first, n)
+    maxima = np.maximum.reduceat(impacts[frequent], np.arange(0, n, 32), axis=1)
+    kinds = {"ids": np.arange(n), "no_id": np.zeros(n, bool), "terms": np.arange(60, dtype="<u8"), "first": first.astype("<i4"),
+             "docs": doc.astype("<i4"), "impacts": impacts[term, doc], "frequent": frequent.astype("<i4"), "maxima": maxima.astype("<f4")}
+    shard = search.Shard({name: v.tobytes() for name, v in kinds.items()}, 32)
+    assert 0 < len(frequent) <= 50
+    query = np.repeat(np.arange(40), 60)
+    weights = rnd.uniform(.2, 1, (40, 60)) * ((np.arange(60) < 25) ^ (np.arange(40) % 2 == 1)[:, None])
+    whole = np.round(weights @ impacts, 9)
+    bar = np.sort(whole, axis=1)[:, -k]
+    for low in (np.zeros(40), bar):                    # no threshold, and one that leaves blocks out
+        products = []
+        real = shard.single
+
+        class Counted(np.ndarray):
+            def __getitem__(self, at):
+                products.append(at)
+                return np.asarray(real)[at]
+
+        shard.single = real.view(Counted)
+        q, d, score = shard.best(query, np.tile(np.arange(60), 40), weights.ravel(), low, k)
+        shard.single = real
+        for i in range(40):
+            want = sorted((-s, j) for j, s in enumerate(whole[i]) if s >= max(bar[i], 1e-9))[:k]
+            assert d[q == i].tolist() == [j for _, j in want] and np.allclose(score[q == i], [-s for s, _ in want])
+    assert products                                    # with the threshold, block by block
+
+
+def test_search_blocks_of_queries(spark, words, monkeypatch):
+    """Several blocks of queries, tasks of several shards and batches of postings give what one of each gives."""
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([row(i, " ".join(rnd.choice(words[:300]) for _ in range(rnd.randint(0, 30)))) for i in range(400)], SCHEMA)
+    found = []
+    for sizes in ((2048, 64, 4096, 512, 1 << 20, 16, .7), (50, 8, 30, 4, 64, 2, .7), (50, 8, 30, 4, 64, 3, 1.1)):
+        for name, size in zip(("SHARD_DOCS", "BLOCK", "QUERY_BLOCK", "TOGETHER", "POSTINGS", "TASK_SHARDS", "MOST"), sizes):
+            monkeypatch.setattr(search, name, size)
+        index, idf = search.build_index(docs)
+        rows = search.search(index, search.query_vectors(docs.filter("doc_id % 4 = 0"), idf, "doc_id", "text"), 6).collect()
+        found.append({(r.query, r["rank"]): (r.doc_id, round(r.score, 6)) for r in rows})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_word_count():
+    texts = pa.array(["a b", "", "b", "\u00e9!x", None, "c", "!!", " d ", "E", "x" * 10]).slice(1)
+    assert search.word_count(texts) == search.terms_of(texts)[3].sum() == 7
+
+
 # --------------------------------------------------------------------- 2: BPE
 def test_bpe_equals_tiktoken(odd, odd_rows, empty):
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(RANKS))}
