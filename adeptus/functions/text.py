@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 _NON_WORD = r"[^\p{L}\p{N}_]+"
 # The reference's whitespace class (space, \t, \n, \v, \f, \r).
 _WS = r"[ \t\n\x0B\f\r]"
+#: Characters of the parts that annotated spans are cut from.
+PART_CHARS = 256
 
 
 def _c(x) -> Column:
@@ -61,23 +63,36 @@ def annotated_text(text, annotations) -> Column:
     Each annotation is paired with the previous one's end by ``zip_with``
     so the per-annotation lambda only sees its own arguments (an array
     expression referenced inside a lambda is re-evaluated per element).
+    What it cuts from the text comes from the parts of ``PART_CHARS`` characters that it
+    touches: a place in the whole text is found by counting from its start, so the work
+    would grow with its length times its annotations.
     """
     t = _c(text)
-    anns = F.array_sort(F.coalesce(_c(annotations), F.array()))
-    prev_ends = F.concat(F.array(F.lit(0)), F.transform(anns, lambda a: a["end"]))
-
-    def piece(a, prev):
-        before = F.substring(t, prev + 1, a["begin"] - prev)
-        surface = F.substring(t, a["begin"] + 1, a["end"] - a["begin"])
-        return F.concat(html_escape(before),
-                        F.lit("<span class='annotation' entity='"),
-                        html_attr_escape(F.coalesce(a["entity"], F.lit(""))),
-                        F.lit("' score='"), plain_decimal(a["rho"]), F.lit("'>"),
-                        html_escape(surface), F.lit("</span>"))
-
-    last_end = F.element_at(prev_ends, -1)
-    tail = F.when(last_end < F.length(t), F.substring(t, last_end + 1, F.length(t))).otherwise(F.lit(""))
-    return F.concat(F.array_join(F.zip_with(anns, prev_ends, piece), ""), html_escape(tail))
+    once = F.struct(F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % PART_CHARS), F.lit(0)).alias("parts"),
+                    F.array_sort(F.coalesce(_c(annotations), F.array())).alias("anns"))
+
+    def body(row):
+        parts, anns = row["parts"], row["anns"]
+        prev_ends = F.concat(F.array(F.lit(0)), F.transform(anns, lambda a: a["end"]))
+
+        def cut(begin, end):
+            first, last = (F.floor(c / PART_CHARS).cast("int") for c in (begin, end - 1))
+            near = F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return (F.when(begin >= 0, F.substring(near, begin - first * PART_CHARS + 1, end - begin))
+                    .otherwise(F.substring(t, begin + 1, end - begin)))
+
+        def piece(a, prev):
+            return F.concat(html_escape(cut(prev, a["begin"])),
+                            F.lit("<span class='annotation' entity='"),
+                            html_attr_escape(F.coalesce(a["entity"], F.lit(""))),
+                            F.lit("' score='"), plain_decimal(a["rho"]), F.lit("'>"),
+                            html_escape(cut(a["begin"], a["end"])), F.lit("</span>"))
+
+        last_end = F.element_at(prev_ends, -1)
+        tail = F.when(last_end < F.length(t), cut(last_end, F.length(t))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.zip_with(anns, prev_ends, piece), ""), html_escape(tail))
+
+    return F.transform(F.array(once), body)[0]           # bound to a name, so that each is evaluated once a text
 
 
 def snippet(text, limit: int = 83, keep: int = 80) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -219,3 +220,39 @@ def test_link_relatedness(spark):
     # A in 3 of 4 pages, B in 2, both in 2; A and C meet once: 1 - ln(3)/ln(2) < 0
     want = 1 - (math.log(3) - math.log(2)) / (math.log(4) - math.log(2))
     assert set(got) == {("A", "B"), ("B", "A")} and abs(got["A", "B"] - want) < 1e-12
+
+
+def _wrapped(text, anns):
+    """B13 by slices of the whole text."""
+    def esc(s):
+        return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    out, at = [], 0
+    for begin, end, entity in sorted(anns):
+        out.append(f"{esc(text[at:begin])}<span class='annotation' entity='{entity}' score='0.5'>{esc(text[begin:end])}</span>")
+        at = end
+    return "".join(out) + esc(text[at:])
+
+
+def test_annotated_text_cuts_across_parts(spark):
+    n = T.PART_CHARS
+    text = "".join("aé<😀&z\n"[k % 7] for k in range(3 * n + 5))
+    spans = [[(0, n)], [(n - 1, n + 1), (n + 1, 2 * n), (2 * n, 3 * n + 5)], [(5, 2 * n + 7), (9, 20), (n, n + 3)], [(3 * n, 3 * n + 99)],
+             [(4, 4), (3 * n + 5, 3 * n + 5)], []]
+    rows = [(i, text, [(b, e, f"e{b}", 0.5) for b, e in s]) for i, s in enumerate(spans)]
+    df = spark.createDataFrame(rows, "i int, t string, a array<struct<begin:int,end:int,entity:string,rho:double>>")
+    got = {r.i: r.body for r in df.select("i", T.annotated_text("t", "a").alias("body")).collect()}
+    assert got == {i: _wrapped(t, [x[:3] for x in a]) for i, t, a in rows}
+
+
+def test_annotated_text_of_a_long_text_takes_no_longer_than_its_pieces(spark):
+    def took(texts, size):
+        one = F.expr(f"transform(sequence(0, {size - 10}, 10), x -> struct(x + 2 AS begin, x + 6 AS end, 'e' AS entity, 0.5D AS rho))")
+        df = spark.range(0, texts, 1, 1).select(T.annotated_text(F.expr(f"repeat('0123456789', {size // 10})"), one).alias("body"))
+        times = []
+        for _ in range(2):
+            start = time.monotonic()
+            assert df.agg(F.sum(F.length("body"))).first()[0] > texts * size
+            times.append(time.monotonic() - start)
+        return min(times)
+
+    assert took(1, 200_000) < 5 * took(50, 4_000) + 2
