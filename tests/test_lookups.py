@@ -110,6 +110,13 @@ def test_nested_answers(spark, corpus, qe, page_rows):
     assert {k: v for k, v in got.items() if v} == hits and hits
 
 
+def test_query_answers_of_groups_of_queries(corpus, qe):
+    scores = scoring.all_scorings(corpus, qe, authors=corpus.authors)
+    whole = lookups.query_answers_json(scores, corpus.authors, qe, 1)
+    few = lookups.query_answers_json(scores, corpus.authors, qe, 1, hits_together=2)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_timed_run(corpus, qe):
     run, lines = ranking.timed_run(corpus, qe, "eciaf_score")
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, ranking.find_experts(corpus, qe, "eciaf_score").collect()))
