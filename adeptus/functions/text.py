@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 _NON_WORD = r"[^\p{L}\p{N}_]+"
 # The reference's whitespace class (space, \t, \n, \v, \f, \r).
 _WS = r"[ \t\n\x0B\f\r]"
-#: Characters of the parts that annotated spans are cut from.
-PART_CHARS = 256
+#: Characters of the parts that annotated spans are cut from, a power of two.
+PART_BITS = 8
+PART_CHARS = 1 << PART_BITS
 
 
 def _c(x) -> Column:
@@ -76,9 +77,10 @@ def annotated_text(text, annotations) -> Column:
         prev_ends = F.concat(F.array(F.lit(0)), F.transform(anns, lambda a: a["end"]))
 
         def cut(begin, end):
-            first, last = (F.floor(c / PART_CHARS).cast("int") for c in (begin, end - 1))
-            near = F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
-            return (F.when(begin >= 0, F.substring(near, begin - first * PART_CHARS + 1, end - begin))
+            first, last = (F.shiftright(c, PART_BITS).cast("int") for c in (begin, end - 1))
+            near = F.when((first == last) & (first < F.size(parts)), F.get(parts, first)).otherwise(
+                F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), ""))
+            return (F.when(begin >= 0, F.substring(near, begin.bitwiseAND(PART_CHARS - 1) + 1, end - begin))
                     .otherwise(F.substring(t, begin + 1, end - begin)))
 
         def piece(a, prev):

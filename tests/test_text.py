@@ -237,8 +237,9 @@ def test_annotated_text_cuts_across_parts(spark):
     n = T.PART_CHARS
     text = "".join("aé<😀&z\n"[k % 7] for k in range(3 * n + 5))
     spans = [[(0, n)], [(n - 1, n + 1), (n + 1, 2 * n), (2 * n, 3 * n + 5)], [(5, 2 * n + 7), (9, 20), (n, n + 3)], [(3 * n, 3 * n + 99)],
-             [(4, 4), (3 * n + 5, 3 * n + 5)], []]
+             [(4, 4), (3 * n + 5, 3 * n + 5)], [(4 * n + 1, 4 * n + 3)], []]
     rows = [(i, text, [(b, e, f"e{b}", 0.5) for b, e in s]) for i, s in enumerate(spans)]
+    rows += [(len(rows), "", [(0, 2, "e0", 0.5)]), (len(rows) + 1, text[:n], [(0, n, "e0", 0.5), (n, n + 2, f"e{n}", 0.5)])]
     df = spark.createDataFrame(rows, "i int, t string, a array<struct<begin:int,end:int,entity:string,rho:double>>")
     got = {r.i: r.body for r in df.select("i", T.annotated_text("t", "a").alias("body")).collect()}
     assert got == {i: _wrapped(t, [x[:3] for x in a]) for i, t, a in rows}
